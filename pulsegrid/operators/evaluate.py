@@ -144,7 +144,7 @@ def validate_pairs(df: DataFrame, owner: str, condition: str, device: str, refer
     levels = F.array(*[F.struct(
         F.lit(i).alias("level"), (F.col("owner") if "owner" in s else F.lit(None)).alias("o"),
         (F.col("condition") if "condition" in s else F.lit(None)).alias("c")) for s, i in zip(sets, (0, 1, 2, 3))])
-    # values are counted at the finest level first, so the coarser levels start from counts
+    # every value takes part in four levels; grouped_quantiles counts equal values before the shuffle
     spread = d.filter("ref IS NOT NULL").select("ref", F.inline(levels))
     med = grouped_quantiles(spread, ["level", "o", "c"], "ref", {"median_ref": ("linear", 0.5)})
     cond = (agg["level"] == med["level"]) & agg["owner"].eqNullSafe(med["o"]) & agg["condition"].eqNullSafe(med["c"])

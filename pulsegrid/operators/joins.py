@@ -76,7 +76,7 @@ def interpolate_at(grid: DataFrame, samples: DataFrame, by: list[str], *, t: str
 def uniform_grid(samples: DataFrame, by: list[str], t: str, hz: float, name: str = "grid_t") -> DataFrame:
     """Times t0, t0 + 1000/hz, ... up to the owner's last sample; explode runs per owner row."""
     ends = samples.groupBy(*by).agg(F.min(t).cast("double").alias("_t0"), F.max(t).cast("double").alias("_t1"))
-    n = F.floor((F.col("_t1") - F.col("_t0")) / 1000.0 * F.lit(float(hz)))
+    n = F.floor((F.col("_t1") - F.col("_t0")) * F.lit(float(hz)) / 1000.0)
     # two explodes keep a very long owner from building one array of all its grid points
     step = 100_000
     blocks = ends.withColumn("_n", n).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_n") / F.lit(float(step))))))

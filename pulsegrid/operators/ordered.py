@@ -49,8 +49,8 @@ class Ordered:
         numbered = (placed.withColumn("_local", F.row_number().over(local))
                     .join(_renamed(starts, keys), _same(keys), "left")
                     .drop(*[f"_r_{k}" for k in keys]))
-        return (numbered.withColumn("_rn", F.col("_local") + F.col("_start"))
-                .withColumn("_block", F.floor((F.col("_rn") - 1) / F.lit(self.block_rows)))
+        return (numbered.withColumn("_row_no", F.col("_local") + F.col("_start"))
+                .withColumn("_row_block", F.floor((F.col("_row_no") - 1) / F.lit(self.block_rows)))
                 .drop("_part", "_local", "_start"))
 
     def _with(self, df: DataFrame) -> "Ordered":
@@ -61,12 +61,12 @@ class Ordered:
 
     @property
     def _parts(self) -> list[str]:
-        return [*self.keys, "_block"] if self.blocked else self.keys
+        return [*self.keys, "_row_block"] if self.blocked else self.keys
 
     @property
     def rows(self) -> DataFrame:
         """The rows with the added columns, without helper columns."""
-        return self.df.drop("_rn", "_block")
+        return self.df.drop("_row_no", "_row_block")
 
     def transform(self, fn: Callable[[DataFrame], DataFrame]) -> "Ordered":
         """Apply a row-wise change (new columns); it must not drop or reorder rows."""
@@ -77,7 +77,7 @@ class Ordered:
     def number(self, name: str) -> "Ordered":
         """Position of the row within its key, from 1."""
         if self.blocked:
-            return self._with(self.df.withColumn(name, F.col("_rn")))
+            return self._with(self.df.withColumn(name, F.col("_row_no")))
         w = Window.partitionBy(*self.keys).orderBy(*self.order)
         return self._with(self.df.withColumn(name, F.row_number().over(w).cast("long")))
 
@@ -87,16 +87,16 @@ class Ordered:
             return self._with(self.df.withColumns(build(Window.partitionBy(*self.keys).orderBy(*self.order))))
         if max(before, after) > self.block_rows:
             raise ValueError("frame is longer than a block")
-        pos = (F.col("_rn") - 1) % F.lit(self.block_rows)
+        pos = (F.col("_row_no") - 1) % F.lit(self.block_rows)
         homes = F.filter(
             F.array(
-                F.col("_block"),
-                F.when(pos < after, F.col("_block") - 1),
-                F.when(pos >= self.block_rows - before, F.col("_block") + 1)),
+                F.col("_row_block"),
+                F.when(pos < after, F.col("_row_block") - 1),
+                F.when(pos >= self.block_rows - before, F.col("_row_block") + 1)),
             lambda b: b.isNotNull() & (b >= 0))
         lent = self.df.withColumn("_home", F.explode(homes))
         w = Window.partitionBy(*self.keys, "_home").orderBy(*self.order)
-        return self._with(lent.withColumns(build(w)).filter("_home = _block").drop("_home"))
+        return self._with(lent.withColumns(build(w)).filter("_home = _row_block").drop("_home"))
 
     def running(self, columns: dict[str, tuple[str, Column]], *, reverse: bool = False,
                 current: bool = True) -> "Ordered":
@@ -112,10 +112,10 @@ class Ordered:
         local = values.withColumns({n: _window_agg(k, F.col(f"_v_{n}"), w) for n, (k, _) in columns.items()})
         if not self.blocked:
             return self._with(local.drop(*[f"_v_{n}" for n in columns]))
-        rank = -F.col("_rn") if reverse else F.col("_rn")
+        rank = -F.col("_row_no") if reverse else F.col("_row_no")
         per_block = values.groupBy(*self._parts).agg(*[
             _block_agg(k, F.col(f"_v_{n}"), rank).alias(f"_b_{n}") for n, (k, _) in columns.items()])
-        step = F.desc("_block") if reverse else F.asc("_block")
+        step = F.desc("_row_block") if reverse else F.asc("_row_block")
         wb = Window.partitionBy(*self.keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
         carried = per_block.select(*self._parts, *[
             _window_agg(k, F.col(f"_b_{n}"), wb).alias(f"_c_{n}") for n, (k, _) in columns.items()])
