@@ -13,8 +13,8 @@ from pulsegrid.plans import tables as T
 
 # clicks look for the error report of the same user nearest in time
 ASOF_SQL = """
-WITH l AS (SELECT user_id, event_id, epoch_ms(ts) AS t FROM events WHERE event_type = 'click'),
-r AS (SELECT user_id, event_id AS state_id, epoch_ms(ts) AS state_t, value FROM events WHERE event_type = 'error'),
+WITH l AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) AS t FROM events WHERE event_type = 'click'),
+r AS (SELECT user_id, event_id AS state_id, (epoch_us(ts) // 1000) AS state_t, value FROM events WHERE event_type = 'error'),
 m AS (SELECT l.user_id, l.event_id, l.t, r.state_t, r.value, l.t - r.state_t AS gap,
              row_number() OVER (PARTITION BY l.user_id, l.event_id ORDER BY abs(l.t - r.state_t), r.state_t, state_id) AS k
       FROM l LEFT JOIN r ON r.user_id = l.user_id)
@@ -49,10 +49,11 @@ def _(spark, sf):
 WITH b AS ({T.BEATS_SQL}), g AS (
  SELECT subject, t0 + unnest(range(0, CAST(floor((t1 - t0) / 1000e0 * 2e0) AS BIGINT) + 1)) * 500 AS t
  FROM (SELECT subject, min(t_ms) AS t0, max(t_ms) AS t1 FROM b GROUP BY subject) e),
-p AS (SELECT g.subject, g.t, a.t_ms AS ta, a.rr_ms AS va FROM g ASOF JOIN b a ON a.subject = g.subject AND g.t >= a.t_ms),
-n AS (SELECT p.*, c.t_ms AS tb, c.rr_ms AS vb FROM p ASOF JOIN b c ON c.subject = p.subject AND p.t <= c.t_ms)
-SELECT subject, CAST(t AS DOUBLE) AS t, round(CASE WHEN tb = ta THEN va ELSE va + (vb - va) * ((t - ta) / CAST(tb - ta AS DOUBLE)) END, 6)
-       AS rr_ms, tb - ta <= 900 AS valid FROM n""")
+bb AS (SELECT *, t_ms - lag(t_ms) OVER (PARTITION BY subject ORDER BY t_ms) AS back FROM b),
+p AS (SELECT g.subject, g.t, a.t_ms AS ta, a.rr_ms AS va, a.back FROM g ASOF JOIN bb a ON a.subject = g.subject AND g.t >= a.t_ms),
+n AS (SELECT p.*, c.t_ms AS tb, c.rr_ms AS vb FROM p ASOF LEFT JOIN b c ON c.subject = p.subject AND p.t < c.t_ms)
+SELECT subject, CAST(t AS DOUBLE) AS t, round(CASE WHEN tb IS NULL THEN va ELSE va + (vb - va) * ((t - ta) / CAST(tb - ta AS DOUBLE)) END, 6)
+       AS rr_ms, coalesce(tb - ta, back) <= 900 AS valid FROM n""")
 def _(spark, sf):
     b = T.beats(spark, sf)
     grid = J.uniform_grid(b, ["subject"], "t_ms", 2.0, "t").select("subject", "t")
@@ -130,7 +131,7 @@ def _(spark, sf):
 
 
 @query("window_gaps", """
-SELECT user_id, event_id, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events""")
+SELECT user_id, event_id, (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events""")
 def _(spark, sf):
     e = T.table(spark, sf, "events").select("user_id", "event_id", T.millis("ts").alias("t"))
     return Ordered(e, ["user_id"], ["t", "event_id"]).around(

@@ -86,9 +86,9 @@ def _(spark, sf):
 
 
 LOCAL_SQL = f"""
-SELECT user_id, id, epoch_ms(edited_at) + (id % 5 - 2) * 40000000000 AS edit_ms, version - id % 2 AS version, id % 3 <> 0 AS dirty, id % 7 = 0 AND id % 3 <> 0 AS deleted
+SELECT user_id, id, (epoch_us(edited_at) // 1000) + (id % 5 - 2) * 40000000000 AS edit_ms, version - id % 2 AS version, id % 3 <> 0 AS dirty, id % 7 = 0 AND id % 3 <> 0 AS deleted
 FROM ({T.RECORD_TABLE_SQL}) t WHERE id % 4 <> 1"""
-REMOTE_SQL = f"SELECT user_id, id, epoch_ms(edited_at) AS edit_ms, version, deleted, epoch_ms(edited_at) + 60000 AS server_ms FROM ({T.RECORD_TABLE_SQL}) t WHERE id % 4 <> 2"
+REMOTE_SQL = f"SELECT user_id, id, (epoch_us(edited_at) // 1000) AS edit_ms, version, deleted, (epoch_us(edited_at) // 1000) + 60000 AS server_ms FROM ({T.RECORD_TABLE_SQL}) t WHERE id % 4 <> 2"
 
 
 @query("record_reconcile", f"""
@@ -122,7 +122,7 @@ def _(spark, sf):
 
 
 @query("record_edit_clock", f"""
-SELECT user_id, seq, max(epoch_ms(edited_at) - seq) OVER (PARTITION BY user_id ORDER BY seq) + seq AS edit_ms FROM ({T.RECORDS_SQL}) r""")
+SELECT user_id, seq, max((epoch_us(edited_at) // 1000) - seq) OVER (PARTITION BY user_id ORDER BY seq) + seq AS edit_ms FROM ({T.RECORDS_SQL}) r""")
 def _(spark, sf):
     r = T.record_changes(spark, sf).withColumn("now_ms", T.millis("edited_at"))
     return R.edit_clock(r, ["user_id"], ["seq"], "now_ms").select("user_id", "seq", "edit_ms")

@@ -57,8 +57,8 @@ def _(spark, sf):
 
 
 SUMMARY_SQL = f"""
-WITH s AS ({SERIES_SQL}), a AS (SELECT session, {up('avg(hr) FILTER (WHERE t >= 60 AND t < 180)')} AS rest_hr, {up('avg(hr) FILTER (WHERE t >= 180 AND t < 420)')} AS challenge_hr,
- {up('avg(hr) FILTER (WHERE t >= 540 AND t < 600)')} AS recovery_end_hr FROM s GROUP BY session),
+WITH s AS ({SERIES_SQL}), a AS (SELECT session, floor(avg(CAST(round(hr * 10) AS BIGINT)) FILTER (WHERE t >= 60 AND t < 180) + 0.5e0) / 10e0 AS rest_hr, floor(avg(CAST(round(hr * 10) AS BIGINT)) FILTER (WHERE t >= 180 AND t < 420) + 0.5e0) / 10e0 AS challenge_hr,
+ floor(avg(CAST(round(hr * 10) AS BIGINT)) FILTER (WHERE t >= 540 AND t < 600) + 0.5e0) / 10e0 AS recovery_end_hr FROM s GROUP BY session),
 b AS (SELECT *, {up('challenge_hr - rest_hr')} AS hr_rise FROM a),
 r AS (SELECT session, t, avg(hr) OVER (PARTITION BY session ORDER BY CAST(t * 1000 AS BIGINT) RANGE BETWEEN 14999 PRECEDING AND CURRENT ROW) AS roll FROM s WHERE t >= 410 AND t < 600),
 h AS (SELECT session, {up('min(t) - 420', 0)} AS half FROM r JOIN b USING (session) WHERE hr_rise >= 3 AND t >= 420 AND roll <= rest_hr + hr_rise / 2 GROUP BY session)

@@ -51,10 +51,13 @@ def interpolate_at(grid: DataFrame, samples: DataFrame, by: list[str], *, t: str
                    values: list[str], max_gap: float | None = 250, **ordered) -> DataFrame:
     """Linear value at every grid time from the previous and next sample; ends are held.
 
-    `valid` is true when the two samples lie within `max_gap`. Grid and sample times are unique per owner.
+    `valid` is true when the two samples lie within `max_gap`; at the last sample its own step counts. Grid and sample times are unique per owner.
     """
-    cell = F.struct(F.col(sample_t).cast("double").alias("t"), *[F.col(v).cast("double").alias(v) for v in values])
-    s = samples.select(*by, F.col(sample_t).cast("double").alias("_t"), F.lit(0).alias("_side"), cell.alias("_s"))
+    cell = F.struct(F.col(sample_t).cast("double").alias("t"), F.col("_back").alias("back"),
+                    *[F.col(v).cast("double").alias(v) for v in values])
+    stepped = Ordered(samples, by, [sample_t], **ordered).around(
+        1, 0, lambda w: {"_back": F.col(sample_t) - F.lag(sample_t).over(w)}).rows
+    s = stepped.select(*by, F.col(sample_t).cast("double").alias("_t"), F.lit(0).alias("_side"), cell.alias("_s"))
     g = grid.select(*by, F.col(t).cast("double").alias("_t"), F.lit(1).alias("_side"), F.col(t).alias("_grid"))
     both = s.unionByName(g, allowMissingColumns=True)
     o = Ordered(both, by, ["_t", "_side"], **ordered)
@@ -69,7 +72,7 @@ def interpolate_at(grid: DataFrame, samples: DataFrame, by: list[str], *, t: str
 
     cols = [F.col("_grid").alias(t), *[value(v) for v in values]]
     if max_gap is not None:
-        cols.append(F.coalesce(span <= max_gap, F.lit(False)).alias("valid"))
+        cols.append(F.coalesce(F.coalesce(span, F.col("_a.back")) <= max_gap, F.lit(False)).alias("valid"))
     return o.rows.filter("_side = 1").select(*by, *cols)
 
 

@@ -147,11 +147,10 @@ def _losses(df: DataFrame, features: list[str], y: str, group: str, names: list,
 
 
 class NestedResult:
-    """Chosen penalty and coefficients per held-out owner."""
+    """Chosen penalty and coefficients per held-out owner; `inner_beta[(k, i)]` saw neither owner k nor i."""
 
-    def __init__(self, names, c, beta, inner_beta, features, mean, sd):
-        self.names, self.c, self.beta, self.inner_beta = names, c, beta, inner_beta
-        self.features, self.mean, self.sd = features, mean, sd
+    def __init__(self, names: list, c: np.ndarray, beta: np.ndarray, inner_beta: dict, features: list[str]):
+        self.names, self.c, self.beta, self.inner_beta, self.features = names, c, beta, inner_beta, features
 
     def coefficients(self, spark) -> DataFrame:
         rows = [(str(n), f, float(self.beta[i, j + 1]), float(self.beta[i, 0]), float(self.c[i]))
@@ -194,63 +193,97 @@ def loo_cv(df: DataFrame, owner: str, y: str, features: list[str], *, grid: list
     ks = np.arange(m)
     w = _balanced(n0.sum() - n0, n1.sum() - n1)
     beta = fit_many(rows, features, y, owner, names, np.column_stack([ks]), w, 1.0 / chosen)
-    return NestedResult(names, chosen, beta, inner_beta, features, None, None)
+    return NestedResult(names, chosen, beta, inner_beta, features)
 
 
 def held_out_scores(df: DataFrame, owner: str, result: NestedResult, name: str = "p") -> DataFrame:
     """Add the probability of the model that did not see the row's owner: one small join and a projection."""
-    spark = df.sparkSession
-    owner_type = df.schema[owner].dataType
-    rows = [(n.item() if hasattr(n, "item") else n, [float(x) for x in b]) for n, b in zip(result.names, result.beta)]
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
-
-    coefs = spark.createDataFrame(rows, StructType([StructField(owner, owner_type), StructField("_b", ArrayType(DoubleType()))]))
+    coefs = _owner_arrays(df, owner, list(zip(result.names, result.beta)))
     x = F.array(*[F.col(f).cast("double") for f in result.features])
     z = F.aggregate(F.zip_with(F.slice("_b", F.lit(2), F.lit(len(result.features))), x, lambda a, v: a * v), F.get("_b", 0), lambda s, t: s + t)
     return df.join(coefs, owner, "left").withColumn(name, sigmoid(z)).drop("_b")
 
 
-def stacked_scores(df: DataFrame, owner: str, y: str, results: dict[str, NestedResult], prefix: str = "z_") -> DataFrame:
+def stacked_scores(df: DataFrame, owner: str, y: str, results: dict[str, NestedResult]) -> DataFrame:
     """Stacked fusion: a logistic model (C = 1) on inner held-out probabilities of each signal, missing = 0.5.
 
-    For the fold that leaves out owner k the inputs of a row of owner i come from the model that saw neither;
-    the rows are fitted one held-out owner at a time, each fit being a distributed sum over all rows.
+    For the fold that leaves out owner k, a row of owner i gets its inputs from the models that saw neither.
+    The inputs of all folds are computed inside the tasks from the inner coefficients, so there is one pass
+    per Newton step for all folds together.
     """
     spark = df.sparkSession
-    signals = list(results)
     names = sorted({n for r in results.values() for n in r.names})
-    inputs = [f"_q_{s}" for s in signals]
-    rows = []
-    for k in names:
-        cols = []
-        for s, r in results.items():
-            if k not in r.names:
-                cols.append(F.lit(0.5).alias(f"_q_{s}"))
-                continue
-            kk = r.names.index(k)
-            table = {r.names[i]: b for (o, i), b in r.inner_beta.items() if o == kk}
-            expr = F.lit(None).cast("double")
-            for who, b in table.items():
-                z = F.lit(float(b[0]))
-                for f, w in zip(r.features, b[1:]):
-                    z = z + F.col(f) * float(w)
-                expr = F.when(F.col(owner) == who, sigmoid(z)).otherwise(expr)
-            cols.append(F.coalesce(expr, F.lit(0.5)).alias(f"_q_{s}"))
-        train = df.filter(F.col(owner) != k).select(owner, y, *cols)
-        counts = _owner_counts(train, owner, y)
-        w = _balanced(np.array([counts["n0"].sum()], float), np.array([counts["n1"].sum()], float))
-        beta = fit_many(train, inputs, y, owner, list(counts[owner]), np.array([[-1]]), w, np.array([1.0]))[0]
-        rows.append((k.item() if hasattr(k, "item") else k, [float(x) for x in beta]))
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+    index = {n: i for i, n in enumerate(names)}
+    m, signals = len(names), list(results)
+    inner = []
+    for r in results.values():
+        b = np.full((m, m, len(r.features) + 1), np.nan)
+        for (o, i), v in r.inner_beta.items():
+            b[index[r.names[o]], index[r.names[i]]] = v
+        inner.append(b)
+    feats = [r.features for r in results.values()]
+    columns = sorted({f for fs in feats for f in fs})
+    counts = _owner_counts(df, owner, y).set_index(owner).reindex(names).fillna(0)
+    n0, n1 = counts["n0"].to_numpy(float), counts["n1"].to_numpy(float)
+    weights = _balanced(n0.sum() - n0, n1.sum() - n1)
+    d = len(signals) + 1
+    beta = np.zeros((m, d))
+
+    def shares(now: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast((now, inner, weights, index))
+
+        def part(batches):
+            b, coefs, w, idx = sent.value
+            total = np.zeros((m, d + d * d))
+            for pdf in batches:
+                g = pdf[owner].map(idx).to_numpy()
+                yy = pdf[y].to_numpy(float)
+                for a in range(0, len(yy), 2048):
+                    gs, ys = g[a:a + 2048], yy[a:a + 2048]
+                    xs = np.ones((m, len(ys), d))
+                    for s, fs in enumerate(feats):
+                        raw = np.column_stack([np.ones(len(ys)), pdf[fs].to_numpy(float)[a:a + 2048]])
+                        z = np.einsum("knd,nd->kn", coefs[s][:, gs, :], raw)
+                        xs[:, :, s + 1] = np.where(np.isfinite(z), _sig(z), 0.5)
+                    p = _sig(np.einsum("knd,kd->kn", xs, b))
+                    use = (gs[None, :] != np.arange(m)[:, None]) * np.where(ys[None, :] == 1, w[:, 1:], w[:, :1])
+                    total[:, :d] += np.einsum("kn,knd->kd", use * (p - ys[None, :]), xs)
+                    curve = use * np.maximum(p * (1 - p), 1e-9)
+                    total[:, d:] += np.einsum("kn,knd,kne->kde", curve, xs, xs).reshape(m, d * d)
+            yield pd.DataFrame({"k": np.repeat(np.arange(m), total.shape[1]),
+                                "c": np.tile(np.arange(total.shape[1]), m), "v": total.ravel()})
+
+        got = (df.select(owner, y, *columns).mapInPandas(part, "k int, c int, v double")
+               .groupBy("k", "c").agg(F.sum("v").alias("v")).collect())
+        sent.unpersist()
+        out = np.zeros((m, d + d * d))
+        for r in got:
+            out[r["k"], r["c"]] = r["v"]
+        return out
 
-    coefs = spark.createDataFrame(rows, StructType([StructField(owner, df.schema[owner].dataType), StructField("_b", ArrayType(DoubleType()))]))
+    ridge = np.diag(np.r_[0.0, np.ones(d - 1)])
+    for _ in range(STEPS):
+        t = shares(beta)
+        step = np.linalg.solve(t[:, d:].reshape(m, d, d) + ridge, (t[:, :d] + beta @ ridge)[:, :, None])[:, :, 0]
+        beta -= step
+        if np.abs(step).max() < TOLERANCE:
+            break
+    coefs = _owner_arrays(df, owner, [(n, beta[i]) for i, n in enumerate(names)])
     out = df
     for s, r in results.items():
         out = held_out_scores(out, owner, r, f"_q_{s}")
     z = F.get("_b", 0)
     for j, s in enumerate(signals):
         z = z + F.get("_b", j + 1) * F.coalesce(F.col(f"_q_{s}"), F.lit(0.5))
-    return out.join(coefs, owner, "left").withColumn("stacked_p", sigmoid(z)).drop("_b", *inputs)
+    return out.join(coefs, owner, "left").withColumn("stacked_p", sigmoid(z)).drop("_b", *[f"_q_{s}" for s in signals])
+
+
+def _owner_arrays(df: DataFrame, owner: str, rows: list) -> DataFrame:
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    schema = StructType([StructField(owner, df.schema[owner].dataType), StructField("_b", ArrayType(DoubleType()))])
+    return df.sparkSession.createDataFrame(
+        [(n.item() if hasattr(n, "item") else n, [float(x) for x in b]) for n, b in rows], schema)
 
 
 def fit_population(df: DataFrame, y: str, features: list[str], c: float = 1.0):

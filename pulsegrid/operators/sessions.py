@@ -69,7 +69,8 @@ def summary_numbers(series: DataFrame, phases: DataFrame) -> DataFrame:
     s = series.join(p, S)
     t = F.col("t")
     within = lambda a, b: (t >= a) & (t < b)
-    mean = lambda cond: round_up(F.avg(F.when(cond, F.col("hr"))), 1)
+    tenths = F.round(F.col("hr") * 10).cast("long")  # whole numbers: the mean does not depend on row order
+    mean = lambda cond: F.floor(F.avg(F.when(cond, tenths)) + 0.5) / 10.0
     rest_from = F.greatest(sec("rest_start"), sec("rest_end") - 120)
     agg = s.groupBy(*S).agg(
         mean(within(rest_from, sec("rest_end"))).alias("rest_hr"),

@@ -53,8 +53,13 @@ def label_at_rate(samples: DataFrame, labels: DataFrame, owner: list[str], *, id
 
 def label_over_span(labels: DataFrame, owner: list[str], *, idx: str, fs: float, label_fs: float,
                     label: str) -> DataFrame:
-    """Majority label over the source span of each target sample, by computed bucket."""
-    bucket = F.floor(F.col(idx) / F.lit(float(label_fs)) * F.lit(float(fs)))
+    """Majority label over the source span of each target sample, by computed bucket.
+
+    Spans start at the rounded position (half to even) of each target sample in the source.
+    """
+    width = F.lit(float(label_fs) / float(fs))
+    guess = F.floor((F.col(idx) + 0.5) / width)
+    bucket = guess - F.when(F.rint(guess * width) > F.col(idx), 1).otherwise(0)
     return majority_label(labels.withColumn("target_idx", bucket), [*owner, "target_idx"], label,
                           min_share=0.0, keep=(0, 1, 2, 3, 4, 5, 6, 7))
 

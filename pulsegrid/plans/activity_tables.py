@@ -13,7 +13,7 @@ PASSAGE = "the cat sat on the mat near the old town bridge"
 # events of a user in order, with a position and a compressed clock (about one event a second)
 BASE_SQL = """
 SELECT user_id AS run, event_id AS e, event_type AS kind0, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
-       CAST(floor(epoch_ms(ts) / 30000e0) AS BIGINT) AS t0 FROM events"""
+       CAST(floor((epoch_us(ts) // 1000) / 30000e0) AS BIGINT) AS t0 FROM events"""
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
