@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pulsegrid import constants as K
 from pulsegrid.functions.scalar import norm, round_up
 from pulsegrid.operators.joins import asof_nearest, interpolate_at, uniform_grid
-from pulsegrid.operators.ordered import Ordered, grouped_quantiles
+from pulsegrid.operators.ordered import Ordered, grouped_quantiles, sized
 
 PAUSE_MS = 2000
 LONGEST_HOLD_MS = 1500
@@ -59,6 +59,7 @@ def typing_metrics(events: DataFrame, passages: DataFrame, **ordered) -> DataFra
     events: run, seq, t_ms, kind (down, up, input), key, value; passages: run, passage. Only times, lengths
     and right/wrong flags leave this function.
     """
+    ordered = sized(events, RUN, **ordered)
     keyed = events.filter(F.col("kind").isin("down", "up"))
     held = Ordered(keyed, ["run", "key"], ["seq"], **ordered).around(1, 0, lambda w: {"_prev": F.lag("kind").over(w)})
     fresh = (F.col("kind") == "down") & F.coalesce(F.col("_prev") == "up", F.lit(True))
@@ -117,6 +118,7 @@ def typing_metrics(events: DataFrame, passages: DataFrame, **ordered) -> DataFra
 
 def tracking_metrics(samples: DataFrame, **ordered) -> DataFrame:
     """Follow-the-dot metrics. samples: run, t_ms, px, py, tx, ty. The first second is left out."""
+    ordered = sized(samples, RUN, **ordered)
     first = samples.groupBy(*RUN).agg((F.min("t_ms") + 1000).alias("_t0"))
     x = samples.join(first, RUN).filter("t_ms >= _t0").drop("_t0")
     err = norm(F.col("px") - F.col("tx"), F.col("py") - F.col("ty"))
@@ -156,6 +158,8 @@ def tracking_metrics(samples: DataFrame, **ordered) -> DataFrame:
 def tap_metrics(trials: DataFrame, **ordered) -> DataFrame:
     """Target-tap metrics. trials: run, trial, target(x, y, r), start(x, y), shown_ms, path[(t, x, y)],
     tap(t, x, y), pointer. A path belongs to one trial, so it stays an array."""
+    ordered = sized(trials, RUN, **ordered)
+
     def dist(p: Column, q: str) -> Column:
         return norm(p["x"] - F.col(f"{q}.x"), p["y"] - F.col(f"{q}.y"))
 
@@ -199,6 +203,7 @@ def tap_metrics(trials: DataFrame, **ordered) -> DataFrame:
 
 def word_metrics(responses: DataFrame, **ordered) -> DataFrame:
     """Colour-word metrics. responses: run, ink, congruent, rt_ms, answer (NULL = missed)."""
+    ordered = sized(responses, RUN, **ordered)
     right = (F.col("answer") == F.col("ink")) & F.col("rt_ms").isNotNull()
     d = responses.withColumns({
         "con": F.when(right & F.col("congruent"), F.col("rt_ms")),
@@ -223,8 +228,8 @@ def staircase_levels(responses: DataFrame, **ordered) -> DataFrame:
     A step is x -> min(hi, max(lo, x + s)), and such steps compose into one of the same form. A run is cut
     into blocks of bounded size; each block's composed step gives the level the next block starts at.
     """
-    rows = ordered.pop("block_rows", 200_000)
-    o = Ordered(responses, RUN, ["seq"], block_rows=rows, **ordered).number("_i")
+    rows = ordered.get("block_rows", 200_000)
+    o = Ordered(responses, RUN, ["seq"], block_rows=rows, bounded=ordered.get("bounded")).number("_i")
     blocks = o.rows.withColumn("_b", F.floor((F.col("_i") - 1) / F.lit(rows)))
     low, high = LEVELS
     if o.blocked:
@@ -323,6 +328,7 @@ def tremor_metrics(samples: DataFrame, **ordered) -> DataFrame:
     looked up at two shifted positions. Spectrum sums use a fixed list of at most 53 frequencies and are
     added up before the shuffle.
     """
+    ordered = sized(samples, RUN, **ordered)
     axes = ["x", "y", "z"]
     o = Ordered(samples, RUN, ["t_ms"], **ordered).number("_i").running(
         {f"_c{a}": ("sum", F.col(a).cast("double")) for a in axes})
@@ -357,6 +363,7 @@ def tremor_metrics(samples: DataFrame, **ordered) -> DataFrame:
 
 def rhythm_metrics(taps: DataFrame, period_ms: float = PERIOD_MS, **ordered) -> DataFrame:
     """Tap the rhythm. taps: run, kind (beat, paced, free), seq, t_ms."""
+    ordered = sized(taps, RUN, **ordered)
     paced = taps.filter("kind = 'paced'").select(*RUN, "seq", "t_ms")
     beat = taps.filter("kind = 'beat'").select(*RUN, F.col("seq").alias("beat_seq"), F.col("t_ms").alias("beat_ms"))
     near = asof_nearest(paced, beat, RUN, t="t_ms", left_id="seq", right_t="beat_ms", right_id="beat_seq", values=[],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import constants as K
 from pulsegrid.functions.scalar import middle, round_up
-from pulsegrid.operators.ordered import Ordered, grouped_quantiles
+from pulsegrid.operators.ordered import Ordered, grouped_quantiles, sized
 from pulsegrid.operators.windows import assign_windows, complete_windows
 
 
@@ -22,8 +22,7 @@ def in_range(rr: Column) -> Column:
     return F.coalesce(rr.between(K.RR_LOW_MS, K.RR_HIGH_MS) & ~F.isnan(rr.cast("double")), F.lit(False))
 
 
-def clean_rr(df: DataFrame, key: list[str], order: list[str], rr: str = "rr_ms", *, bounded: bool = False,
-             relative: float = K.RR_MAX_DEVIATION, neighbours: int = K.RR_NEIGHBOURS, **ordered) -> DataFrame:
+def clean_rr(df: DataFrame, key: list[str], order: list[str], rr: str = "rr_ms", *, relative: float = K.RR_MAX_DEVIATION, neighbours: int = K.RR_NEIGHBOURS, **ordered) -> DataFrame:
     """Flag intervals to keep (`kept`): in range, and within `relative` of the median of up to `neighbours`
     in-range intervals on each side. With fewer than two neighbours the interval is kept."""
     def look(w):
@@ -33,16 +32,15 @@ def clean_rr(df: DataFrame, key: list[str], order: list[str], rr: str = "rr_ms",
         return {"_near": near}
 
     flagged = df.withColumn("_in", in_range(F.col(rr)))
-    o = Ordered(flagged, [*key, "_in"], order, bounded=bounded, **ordered).around(neighbours, neighbours, look)
+    o = Ordered(flagged, [*key, "_in"], order, **ordered).around(neighbours, neighbours, look)
     med = middle(F.col("_near"))
     ok = (F.size("_near") < 2) | (F.abs(F.col(rr) - med) <= med * relative)
     return o.rows.withColumn("kept", F.col("_in") & ok).drop("_near", "_in")
 
 
-def successive(df: DataFrame, key: list[str], order: list[str], rr: str, *, bounded: bool = False,
-               **ordered) -> DataFrame:
+def successive(df: DataFrame, key: list[str], order: list[str], rr: str, **ordered) -> DataFrame:
     """`dd`: difference to the previous interval when both it and this one were kept."""
-    o = Ordered(df, key, order, bounded=bounded, **ordered).around(1, 0, lambda w: {
+    o = Ordered(df, key, order, **ordered).around(1, 0, lambda w: {
         "dd": F.when(F.col("kept") & F.lag("kept").over(w), F.col(rr) - F.lag(rr).over(w))})
     return o.rows
 
@@ -57,8 +55,9 @@ def beat_features(df: DataFrame, key: list[str], order: list[str], rr: str = "rr
     statistics come from value counts. `duration_s=None` takes the sum of the intervals as duration.
     """
     part = df.repartition(*[F.col(k) for k in key]) if bounded else df
-    kept = clean_rr(part, key, order, rr, bounded=bounded, **ordered)
-    pairs = successive(kept, key, order, rr, bounded=bounded, **ordered)
+    step = {"bounded": True} if bounded else sized(df, key, growth=1, **ordered)
+    kept = clean_rr(part, key, order, rr, **step)
+    pairs = successive(kept, key, order, rr, **step)
     clean = F.when(F.col("kept"), F.col(rr).cast("double"))
     aggs = [
         F.count("*").alias("n_beats"), F.count(clean).alias("n_clean"), F.avg(clean).alias("_mean"),
@@ -69,7 +68,7 @@ def beat_features(df: DataFrame, key: list[str], order: list[str], rr: str = "rr
     if bounded:
         agg = pairs.groupBy(*key).agg(*aggs, F.median(clean).alias("_median"))
     else:
-        med = grouped_quantiles(pairs.withColumn("_c", clean), key, "_c", {"_median": ("linear", 0.5)}, **ordered)
+        med = grouped_quantiles(pairs.withColumn("_c", clean), key, "_c", {"_median": ("linear", 0.5)}, **step)
         agg = pairs.groupBy(*key).agg(*aggs).join(med, key, "left") if key else pairs.agg(*aggs).crossJoin(med)
     if not gated:
         enough = F.col("n_clean") >= K.MIN_CLEAN_BEATS
@@ -120,6 +119,7 @@ def window_features(beats: DataFrame, owner: list[str], t: str = "t_ms", rr: str
 
 def resting_hr(windows: DataFrame, owner: list[str], hr: str = "hr_mean", **ordered) -> DataFrame:
     """Mean of the lowest quarter (at least one) of window heart rates, to 0.1."""
+    ordered = sized(windows, owner, growth=1, **ordered)
     ok = windows.filter(F.col(hr).between(30, 220)).groupBy(*owner, hr).agg(F.count("*").alias("_n"))
     seen = Ordered(ok, owner, [hr], **ordered).running({"_upto": ("sum", F.col("_n"))}).rows
     total = ok.groupBy(*owner).agg(F.greatest(F.floor(F.sum("_n") / F.lit(4)), F.lit(1)).alias("_k"))
@@ -218,6 +218,7 @@ def rolling_rr_hr(df: DataFrame, owner: list[str], t: str, rr: str, *, span_ms:
 def break_markers(beats: DataFrame, samples: DataFrame, owner: list[str], *, t: str = "t_ms", bad: str = "bad",
                   rr: str = "rr_ms", **ordered) -> DataFrame:
     """Drop intervals that span a bad sample: prefix sums of `bad`, compared at the two beats."""
+    ordered = sized(samples, owner, **ordered)
     both = (samples.select(*owner, F.col(t), F.lit(0).alias("_side"), F.col(bad).cast("int").alias("_bad"))
             .unionByName(beats.select(*owner, F.col(t), F.lit(1).alias("_side"), F.lit(0).alias("_bad"))))
     upto = Ordered(both, owner, [t, "_side"], **ordered).running({"_upto": ("sum", F.col("_bad"))}).rows

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import constants as K
 from pulsegrid.functions.scalar import to_score
-from pulsegrid.operators.ordered import Ordered, grouped_quantiles
+from pulsegrid.operators.ordered import BLOCK_ROWS, Ordered, grouped_quantiles, largest_group
 
 
 def _n(cond: Column) -> Column:
@@ -24,6 +24,8 @@ def auc(df: DataFrame, by: list[str], y: str, p: str, **ordered) -> DataFrame:
     if not by:
         d, by = d.withColumn("_all", F.lit(1)), ["_all"]
         return auc(d, by, y, p, **ordered).drop("_all")
+    if "bounded" not in ordered and largest_group(d, by) <= ordered.get("block_rows", BLOCK_ROWS):
+        ordered["bounded"] = True  # distinct scores cannot outnumber rows
     cells = d.groupBy(*by, p).agg(_n(F.col(y) == 1).alias("_pos"), _n(F.col(y) == 0).alias("_neg"))
     o = Ordered(cells, by, [p], **ordered).running({"_below": ("sum", F.col("_neg"))}, current=False)
     below = F.coalesce(F.col("_below"), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.ordered import Ordered
+from pulsegrid.operators.ordered import Ordered, sized
 
 
 def _merged(left: DataFrame, right: DataFrame, by: list[str], t: str, right_t: str, values: list[str],
@@ -53,6 +53,7 @@ def interpolate_at(grid: DataFrame, samples: DataFrame, by: list[str], *, t: str
 
     `valid` is true when the two samples lie within `max_gap`; at the last sample its own step counts. Grid and sample times are unique per owner.
     """
+    ordered = sized(samples, by, **ordered)
     cell = F.struct(F.col(sample_t).cast("double").alias("t"), F.col("_back").alias("back"),
                     *[F.col(v).cast("double").alias(v) for v in values])
     stepped = Ordered(samples, by, [sample_t], **ordered).around(

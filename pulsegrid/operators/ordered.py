@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.session import checkpointed
 
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = 4_000_000
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -24,14 +24,24 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
+def sized(df: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS, growth: int = 8, **given) -> dict:
+    """Measure the largest key once for a chain of steps whose keys grow at most `growth` times.
+
+    Returns the arguments for `Ordered`, so that later steps do not run the chain again to measure it.
+    """
+    if "bounded" in given:
+        return {"block_rows": block_rows, **given}
+    return {"block_rows": block_rows, "bounded": largest_group(df, keys) * growth <= block_rows}
+
+
 class Ordered:
     """Rows of `df` in the order `order` (column names, unique within a key) for every key."""
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], *,
-                 block_rows: int = BLOCK_ROWS, bounded: bool = False):
-        """`bounded=True` states that a key cannot exceed a block, so it is not measured."""
+                 block_rows: int = BLOCK_ROWS, bounded: bool | None = None):
+        """`bounded=True`: no key exceeds a block; `False`: some may; `None`: measure."""
         self.keys, self.order, self.block_rows = list(keys), list(order), block_rows
-        self.blocked = not bounded and largest_group(df, self.keys) > block_rows
+        self.blocked = largest_group(df, self.keys) > block_rows if bounded is None else not bounded
         self.df = self._cut(df) if self.blocked else df
 
     # -- plumbing ---------------------------------------------------------------------------------
@@ -157,7 +167,7 @@ def _merge(kind: str, local: Column, carried: Column) -> Column:
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[str, float]], *,
-                      block_rows: int = BLOCK_ROWS, bounded: bool = False) -> DataFrame:
+                      block_rows: int = BLOCK_ROWS, bounded: bool | None = None) -> DataFrame:
     """Exact order statistics per key; NULL values are ignored.
 
     `wanted` maps an output name to `(kind, p)`:
@@ -167,6 +177,8 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[s
     Equal values are counted first, so a key's rows never meet in one task; the positions then come
     from a running count over distinct values.
     """
+    if bounded is None and largest_group(df, keys) <= block_rows:
+        bounded = True  # distinct values cannot outnumber rows
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     seen = Ordered(counts, keys, [value], block_rows=block_rows, bounded=bounded).running(
         {"_upto": ("sum", F.col("_n"))}).rows

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid import constants as K
-from pulsegrid.operators.ordered import Ordered
+from pulsegrid.operators.ordered import Ordered, sized
 from pulsegrid.session import checkpointed
 
 KEY = ["user_id", "id"]
@@ -85,6 +85,7 @@ def apply_writes(current: DataFrame, heads: DataFrame, writes: DataFrame, **orde
         *KEY, "arrival", F.col("_new").cast("long").alias("version"), F.col("is_delete").alias("deleted"),
         F.when(F.col("is_delete"), 0).otherwise(F.col("bytes")).cast("long").alias("bytes"), "updated_at")
     accepted = number_changes(accepted, heads, ["arrival", "id"], **ordered)
+    by_record = sized(writes, KEY, **ordered)
 
     # what a refused write found: the newest accepted write before it, else the stored row
     mine = accepted.select(*KEY, "arrival", F.struct(F.col("version").alias("v"), F.col("deleted").alias("dead")).alias("_s"))
@@ -92,7 +93,7 @@ def apply_writes(current: DataFrame, heads: DataFrame, writes: DataFrame, **orde
     refused = writes.join(accepted.select(*KEY, "arrival"), [*KEY, "arrival"], "left_anti")
     both = mine.unionByName(base).unionByName(refused.select(*KEY, "arrival", "base_version", "is_delete", F.lit(True).alias("_asked")),
                                               allowMissingColumns=True)
-    seen = Ordered(both, KEY, ["arrival"], **ordered).running({"_cur": ("last", F.col("_s"))}).rows.filter("_asked")
+    seen = Ordered(both, KEY, ["arrival"], **by_record).running({"_cur": ("last", F.col("_s"))}).rows.filter("_asked")
     nothing = F.col("is_delete") & (F.col("_cur").isNull() | F.col("_cur.dead"))
     conflicts = seen.filter(~nothing).select(
         *KEY, "arrival", "base_version", F.coalesce("_cur.v", F.lit(0)).alias("current_version"))

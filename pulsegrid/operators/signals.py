@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pulsegrid import constants as K
 from pulsegrid.functions.scalar import norm
 from pulsegrid.operators.ordered import Ordered
+from pulsegrid.session import checkpointed
 
 
 def moving_average(df: DataFrame, owner: list[str], order: str, value: str, *, half: int, mask: Column | None = None,
@@ -342,6 +343,7 @@ def ecg_r_peaks(samples: DataFrame, owner: list[str], idx: str, value: str, *, f
         return pd.Series(out)
 
     f = d.select(*owner, "block", filtered("_l", "x", "_r").alias("x"))
+    f = checkpointed(f)  # read once for the polarity, once for the peaks
     flat = f.select(*owner, F.explode("x").alias("v")).withColumn("v", F.round("v", 6))
     q = grouped_quantiles(flat, owner, "v", {"_hi": ("linear", 0.995), "_lo": ("linear", 0.005)}, **ordered)
     signed = f.join(q, owner).withColumn("_flip", -F.col("_lo") > F.col("_hi"))

@@ -64,14 +64,12 @@ def label_over_span(labels: DataFrame, owner: list[str], *, idx: str, fs: float,
                           min_share=0.0, keep=(0, 1, 2, 3, 4, 5, 6, 7))
 
 
-def count_windows(df: DataFrame, owner: list[str], order: list[str], *, size: int, step: int,
-                  block_rows: int | None = None) -> DataFrame:
+def count_windows(df: DataFrame, owner: list[str], order: list[str], *, size: int, step: int, **ordered) -> DataFrame:
     """Windows of `size` consecutive rows every `step` rows; the window starting at n - size is left out.
 
     Adds `win` (window number) and `pos` (0-based row position). Group by owner and `win` afterwards.
     """
-    extra = {} if block_rows is None else {"block_rows": block_rows}
-    rows = Ordered(df, owner, order, **extra).number("_pos").rows.withColumn("pos", F.col("_pos") - 1).drop("_pos")
+    rows = Ordered(df, owner, order, **ordered).number("_pos").rows.withColumn("pos", F.col("_pos") - 1).drop("_pos")
     sizes = df.groupBy(*owner).agg(F.count("*").alias("_n"))
     first = F.greatest(F.floor((F.col("pos") - size) / F.lit(float(step))) + 1, F.lit(0))
     last = F.floor(F.col("pos") / F.lit(float(step)))
@@ -80,9 +78,9 @@ def count_windows(df: DataFrame, owner: list[str], order: list[str], *, size: in
             .filter(F.col("win") * step < F.col("_n") - size).drop("_n"))
 
 
-def runs_of_rows(df: DataFrame, owner: list[str], t: str, *, step: int) -> DataFrame:
+def runs_of_rows(df: DataFrame, owner: list[str], t: str, *, step: int, **ordered) -> DataFrame:
     """Contiguous runs: a gap larger than `step` starts a new run (start, end, n per run)."""
-    o = Ordered(df, owner, [t]).around(1, 0, lambda w: {"_prev": F.lag(t).over(w)})
+    o = Ordered(df, owner, [t], **ordered).around(1, 0, lambda w: {"_prev": F.lag(t).over(w)})
     o = o.transform(lambda d: d.withColumn(
         "_new", F.when(F.col("_prev").isNull() | (F.col(t) - F.col("_prev") > step), 1).otherwise(0)))
     o = o.running({"run": ("sum", F.col("_new"))})
