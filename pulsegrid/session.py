@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,14 +25,13 @@ def build_session(app: str = "pulsegrid", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. A local session (tests) that
-    names none gets a scratch folder; a cluster session that names none is refused, because executors
-    could not read a folder on the driver's disk.
+    It is the one the cluster names in `spark.checkpoint.dir`. A local session (tests) that names none gets a
+    scratch folder; a cluster session that names none is refused, because executors could not read a folder on
+    the driver's disk.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,4 +40,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can read")
             folder = tempfile.mkdtemp(prefix="pulsegrid-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and read it back from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
