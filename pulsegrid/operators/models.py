@@ -371,7 +371,7 @@ def _fit_groups(rows: DataFrame, user: str, l2: float, ready_ba: float, ready_n:
                 break
         return beta, mu, sd
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names = K.PERSONAL_FEATURES[key[1]]
         x = np.array([[np.nan if v is None else v for v in r] for r in pdf["x"]], dtype=float)
         usable = [j for j in range(len(names)) if np.isfinite(x[:, j]).sum() >= max(2, 0.8 * len(x))]
