@@ -340,7 +340,7 @@ def read_questionnaire(spark: SparkSession, path: str) -> DataFrame:
         "file", line("Age").try_cast("double").alias("age"), line("Height (cm)").try_cast("double").alias("height_cm"),
         line("Weight (kg)").try_cast("double").alias("weight_kg"), F.lower(line("Gender")).alias("gender"), F.lower(line("Dominant hand")).alias("dominant_hand"),
         yes("Did you drink coffee today?").alias("coffee_today"), yes("Did you do any sports today?").alias("sports_today"),
-        yes("Are you a smoker?").alias("smoker"), yes("Do you feel ill today?").alias("ill_today"), F.coalesce(F.trim(notes), F.lit("")).alias("notes"))
+        yes("Are you a smoker?").alias("smoker"), yes("Do you feel ill today?").alias("ill_today"), F.coalesce(F.regexp_replace(notes, r"^\s+|\s+$", ""), F.lit("")).alias("notes"))
 
 
 def tidy_header(df: DataFrame, rename: dict[str, str] = {}) -> DataFrame:
@@ -432,8 +432,8 @@ def parse_frames(frames: DataFrame, payload: str = "payload") -> DataFrame:
     le = lambda at, w: sum((_u8(p, at + k) * (256 ** k) for k in range(1, w)), _u8(p, at))
     d = frames.filter(n >= 10).withColumn("_m", _u8(p, 0)).withColumn("_f", _u8(p, 9))
     d = d.withColumn("type", F.when((F.col("_m") == 0) & (F.col("_f") == 0), "ecg").when((F.col("_m") == 2) & (F.col("_f") <= 2), "acc")).filter("type IS NOT NULL")
-    # 56 bits hold two million years of nanoseconds after 2000; the top byte is zero for any real clock
-    d = d.withColumn("epoch_ms", F.lit(FRAME_EPOCH_MS) + F.floor(le(F.lit(1), 7) / F.lit(1_000_000)))
+    # nanoseconds after 2000 in eight bytes; a signed 64-bit number holds them for 292 years
+    d = d.withColumn("_ns", le(F.lit(1), 8)).withColumn("epoch_ms", F.lit(FRAME_EPOCH_MS) + F.expr("_ns div 1000000"))
     width = F.when(F.col("type") == "ecg", 3).otherwise(F.col("_f") + 1)
     per = F.when(F.col("type") == "ecg", 1).otherwise(3)
     d = d.withColumn("_w", width).withColumn("_n", (F.floor((n - 10) / (F.col("_w") * per)) * per).cast("int"))
@@ -444,7 +444,7 @@ def parse_frames(frames: DataFrame, payload: str = "payload") -> DataFrame:
                 .otherwise(_signed(le(at, 3), 24)))
 
     s = F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: sample(i.cast("long")).cast("long")))
-    return d.withColumn("samples", F.coalesce(s, F.expr("CAST(array() AS ARRAY<BIGINT>)"))).drop("_m", "_f", "_w", "_n")
+    return d.withColumn("samples", F.coalesce(s, F.expr("CAST(array() AS ARRAY<BIGINT>)"))).drop("_m", "_f", "_w", "_n", "_ns")
 
 
 def chest_motion(frames: DataFrame, keep: list[str]) -> DataFrame:
