@@ -76,10 +76,11 @@ def tumbling(rows: DataFrame, keys: list[str], ts: str, width: str, aggs: list[C
             .withColumn("win_start", F.col("w.start")).withColumn("win_end", F.col("w.end")).drop("w"))
 
 
-def hr_bins(beats: DataFrame, owner: str, ts: str, rr: str, hr: str, width: str = "5 seconds") -> DataFrame:
+def hr_bins(beats: DataFrame, owner: str, ts: str, rr: str, hr: str, width: str = "5 seconds", *,
+            watermark: str = RETENTION["beats"]) -> DataFrame:
     v = F.when(F.col(rr) > 0, 60000.0 / F.col(rr)).otherwise(F.col(hr))
     ok = beats.withColumn("_v", v).filter((F.col("_v") > 30) & (F.col("_v") < 220))
-    return tumbling(ok, [owner], ts, width, [F.avg("_v").alias("hr"), F.count("*").alias("n")])
+    return tumbling(ok, [owner], ts, width, [F.avg("_v").alias("hr"), F.count("*").alias("n")], watermark=watermark)
 
 
 def bounded_readings(beats: DataFrame, starts: DataFrame, owner: str = "owner", duration_s: int = 60, *, watermark: str = "2 minutes") -> DataFrame:
@@ -162,7 +163,7 @@ def connection_gaps(packets: DataFrame, device: str = "device", *, silent_ms: in
                 attempt += 1
                 out.append((key[0], last, "retry", attempt, contact, has_rr))
                 state.update((attempt, last, contact, has_rr))
-                state.setTimeoutDuration(retry_s[attempt - 1] * 1000)
+                state.setTimeoutDuration(int(retry_s[attempt - 1] * 1000))
             else:
                 out.append((key[0], last, "gone", attempt, contact, has_rr))
                 state.remove()
