@@ -150,10 +150,10 @@ SELECT subject, t_ms, CASE WHEN nbad = 0 THEN t_ms - pt END AS rr_ms FROM (
  SELECT b.subject, b.t_ms, b.pt, (SELECT count(*) FROM bad x WHERE x.subject = b.subject AND x.t_ms BETWEEN b.pt AND b.t_ms)
         AS nbad FROM (SELECT subject, t_ms, lag(t_ms) OVER (PARTITION BY subject ORDER BY t_ms) AS pt FROM bt) b
  WHERE pt IS NOT NULL) z""".join([f"WITH bt AS ({T.BEATS_SQL}), bad AS (SELECT subject, t_ms + 100 AS t_ms FROM bt "
-                                  "WHERE seq % 23 = 0) ", ""]))
+                                  "WHERE rr_ms < 300) ", ""]))
 def _(spark, sf):
     b = T.beats(spark, sf)
-    bad = b.filter("seq % 23 = 0").select("subject", (F.col("t_ms") + 100).alias("t_ms"), F.lit(True).alias("bad"))
+    bad = b.filter("rr_ms < 300").select("subject", (F.col("t_ms") + 100).alias("t_ms"), F.lit(True).alias("bad"))
     return B.break_markers(b.select("subject", "t_ms"), bad, ["subject"])
 
 

@@ -100,10 +100,9 @@ def _(spark, sf):
 
 
 @query("evaluation_below_chance", f"""
-SELECT array_to_string(list(owner ORDER BY owner), ',') AS owners FROM ({auc_sql('owner')}) a WHERE roc_auc < 0.5e0""")
+SELECT owner, round(roc_auc, 6) AS roc_auc FROM ({auc_sql('owner')}) a WHERE roc_auc < 0.5e0""")
 def _(spark, sf):
-    return E.below_chance(E.auc(T.scored(spark, sf), ["owner"], "y", "p"), "owner").select(
-        F.array_join(F.transform("owners", lambda o: o.cast("string")), ",").alias("owners"))
+    return E.below_chance(E.auc(T.scored(spark, sf), ["owner"], "y", "p"), "owner").select("owner", *r6("roc_auc"))
 
 
 @query("evaluation_validate_pairs", f"""

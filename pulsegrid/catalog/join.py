@@ -62,7 +62,7 @@ def _(spark, sf):
 
 
 @query("join_label_at_rate", f"""
-WITH s AS ({T.SAMPLES_SQL}), l AS (SELECT subject, idx AS label_idx, ax % 4 AS label FROM s WHERE idx % 1 = 0),
+WITH s AS ({T.SAMPLES_SQL}), l AS (SELECT subject, idx AS label_idx, ax % 4 AS label FROM s),
 e AS (SELECT subject, max(label_idx) AS last FROM l GROUP BY subject)
 SELECT x.subject, x.idx, l.label_idx, l.label FROM (
  SELECT s.subject, s.idx, least(CAST(floor((s.idx + 0.5e0) / 4e0 * 7e0) AS BIGINT), e.last) AS li
@@ -89,10 +89,10 @@ def _(spark, sf):
 @query("join_interval_bucketed", f"""
 WITH b AS ({T.BEATS_SQL})
 SELECT b.subject, b.t_ms, s.t_ms AS start_ms, b.rr_ms FROM b JOIN b s
-  ON s.subject = b.subject AND s.seq % 40 = 0 AND b.t_ms >= s.t_ms AND b.t_ms < s.t_ms + 12000""")
+  ON s.subject = b.subject AND s.rr_ms < 300 AND b.t_ms >= s.t_ms AND b.t_ms < s.t_ms + 12000""")
 def _(spark, sf):
     b = T.beats(spark, sf)
-    spans = b.filter("seq % 40 = 0").select("subject", F.col("t_ms").alias("start_ms"),
+    spans = b.filter("rr_ms < 300").select("subject", F.col("t_ms").alias("start_ms"),
                                             (F.col("t_ms") + 12000).alias("end_ms"))
     return J.bucketed_interval(b, spans, ["subject"], t="t_ms", start="start_ms", end="end_ms",
                                bucket=12000).select("subject", "t_ms", "start_ms", "rr_ms")
@@ -102,10 +102,10 @@ def _(spark, sf):
 WITH b AS ({T.BEATS_SQL})
 SELECT x.subject, x.t_ms, count(*) AS n_near, round(stddev_samp(s.rr_ms), 6) AS sd_near
 FROM b x JOIN b s ON s.subject = x.subject AND s.t_ms BETWEEN x.t_ms - 2000 AND x.t_ms + 2000
-WHERE x.seq % 5 = 0 GROUP BY x.subject, x.t_ms""")
+WHERE TRUE GROUP BY x.subject, x.t_ms""")
 def _(spark, sf):
     b = T.beats(spark, sf)
-    return J.near_stats(b.filter("seq % 5 = 0"), b, ["subject"], t="t_ms", sample_t="t_ms", value="rr_ms",
+    return J.near_stats(b, b, ["subject"], t="t_ms", sample_t="t_ms", value="rr_ms",
                         span=2000).select("subject", "t_ms", "n_near", *r6("sd_near"))
 
 

@@ -94,11 +94,11 @@ def _(spark, sf):
 
 
 @query("reading_what_if", f"""
-SELECT id, round({K.MODEL_INTERCEPT['hr']!r}e0 + {K.MODEL_COEF['hr_mean']!r}e0 * (CASE WHEN id % 6 = 0 THEN 90 ELSE hr_mean END - mean_hr_mean) / sd_hr_mean, 6) AS logit_hr
-FROM ({SCORED_SQL}) s WHERE n IS NOT NULL AND CASE WHEN id % 6 = 0 THEN 90 ELSE hr_mean END IS NOT NULL""")
+SELECT id, round({K.MODEL_INTERCEPT['hr']!r}e0 + {K.MODEL_COEF['hr_mean']!r}e0 * (CASE WHEN source = 'camera' THEN 90 ELSE hr_mean END - mean_hr_mean) / sd_hr_mean, 6) AS logit_hr
+FROM ({SCORED_SQL}) s WHERE n IS NOT NULL AND CASE WHEN source = 'camera' THEN 90 ELSE hr_mean END IS NOT NULL""")
 def _(spark, sf):
     r = R.readings(spark, sf)
-    edits = r.filter("id % 6 = 0").select("id", F.lit(90.0).alias("hr_mean"))
+    edits = r.filter("source = 'camera'").select("id", F.lit(90.0).alias("hr_mean"))
     stats = C.baselines(R.rest_readings(spark, sf), "user_id", ["hr_mean"])
     z = C.zscores(S.override(r, edits, ["id"], ["hr_mean"]), stats, ["user_id"], ["hr_mean"])
     return S.score_signals(z, signals=["hr"]).filter("logit_hr IS NOT NULL").select("id", *r6("logit_hr"))
@@ -198,12 +198,12 @@ def _(spark, sf):
 
 
 @query("note_user_documents", f"""
-SELECT user_id, count(*) AS n, max(length(tag)) AS longest FROM ({T.CHECKINS_SQL}) c GROUP BY user_id""")
+SELECT user_id, part, count(*) AS n, max(length(tag)) AS longest, min(id) AS first_id FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) - 1) // 50 AS part FROM ({T.CHECKINS_SQL}) c) x GROUP BY user_id, part""")
 def _(spark, sf):
     c = T.checkins(spark, sf)
-    docs = sinks.user_documents(c, "user_id", F.struct("created_at", "id"), ["id", "tag", "fused"])
+    docs = sinks.user_documents(c, "user_id", ["created_at", "id"], ["id", "tag", "fused"], part_rows=50)
     back = docs.withColumn("d", F.from_json("document", "array<struct<id: bigint, tag: string, fused: double>>"))
-    return back.select("user_id", F.size("d").cast("long").alias("n"), F.array_max(F.transform("d", lambda x: F.length(x["tag"]))).cast("long").alias("longest"))
+    return back.select("user_id", "part", F.get("d.id", 0).alias("first_id"), F.size("d").cast("long").alias("n"), F.array_max(F.transform("d", lambda x: F.length(x["tag"]))).cast("long").alias("longest"))
 
 
 @query("scalar_roundings", """
@@ -236,3 +236,30 @@ SELECT event_id AS id, CAST(date_trunc('week', ts) AS DATE) AS week, CAST(ts AS
 def _(spark, sf):
     t = F.col("ts").cast("timestamp")
     return T.table(spark, sf, "events").select(F.col("event_id").alias("id"), X.week_start(t).alias("week"), X.local_day(t).alias("day"), F.date_format("ts", "EEEE").alias("weekday"))
+
+
+@query("reading_taken_today", f"""
+SELECT user_id, count_if(CAST(started_at AS DATE) = DATE '2024-01-20') > 0 AS today FROM ({REST_SQL}) r GROUP BY user_id""")
+def _(spark, sf):
+    return S.baseline_taken_today(R.rest_readings(spark, sf), F.lit("2024-01-20 09:00:00").cast("timestamp"))
+
+
+@query("reading_recent_rows", f"""
+SELECT id FROM ({R.READINGS_SQL}) r JOIN (SELECT user_id, max(epoch_us(started_at) // 1000) AS e FROM ({R.READINGS_SQL}) q GROUP BY user_id) x USING (user_id)
+WHERE epoch_us(started_at) // 1000 >= e - 86400000""")
+def _(spark, sf):
+    return S.recent(R.readings(spark, sf).withColumn("t_ms", T.millis("started_at")), ["user_id"], "t_ms", 86_400).select("id")
+
+
+@query("reading_last_finished_window", """
+SELECT event_id AS id, CASE WHEN event_id % 400 >= 60 THEN (event_id % 400 - 60) // 15 * 15 END AS win FROM events""")
+def _(spark, sf):
+    e = T.table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("id"), S.last_finished_window(F.col("event_id") % 400).alias("win"))
+
+
+@query("note_window_documents")
+def _(spark, sf):
+    from pulsegrid.plans.flows import BEAT_FEATURES, beat_scores
+
+    return sinks.window_documents(beat_scores(spark, sf), "subject", BEAT_FEATURES)

@@ -44,13 +44,13 @@ def _(spark, sf):
 
 WRITES_SQL = f"""
 SELECT user_id, id, seq AS arrival, CAST(CASE WHEN seq % 3 = 0 THEN 0 WHEN seq % 3 = 1 THEN 2 ELSE 1 END AS BIGINT) AS base_version,
-       seq % 11 = 0 AS is_delete, bytes FROM ({T.RECORDS_SQL}) w WHERE seq % 2 = 0"""
-STORED_SQL = f"SELECT user_id, id, version, deleted FROM ({T.RECORD_TABLE_SQL}) t WHERE id % 3 <> 0"
+       seq % 11 = 0 AS is_delete, bytes FROM ({T.RECORDS_SQL}) w"""
+STORED_SQL = f"SELECT user_id, id, version, deleted FROM ({T.RECORD_TABLE_SQL}) t"
 
 
 def writes(spark, sf):
     m = F.col("seq") % 3
-    return T.record_changes(spark, sf).filter("seq % 2 = 0").select(
+    return T.record_changes(spark, sf).select(
         "user_id", "id", F.col("seq").alias("arrival"), F.when(m == 0, 0).when(m == 1, 2).otherwise(1).cast("long").alias("base_version"),
         (F.col("seq") % 11 == 0).alias("is_delete"), "bytes", F.col("edited_at").alias("updated_at"))
 
@@ -73,22 +73,22 @@ r AS (
 
 @query("record_writes_accepted", REPLAY_SQL + "SELECT user_id, id, arrival, v AS version, dead AS deleted FROM r WHERE took")
 def _(spark, sf):
-    stored = T.record_table(spark, sf).filter("id % 3 <> 0").withColumnRenamed("edited_at", "updated_at")
+    stored = T.record_table(spark, sf).withColumnRenamed("edited_at", "updated_at")
     _, accepted, _ = R.apply_writes(stored, heads(spark, sf), writes(spark, sf))
     return accepted.select("user_id", "id", "arrival", "version", "deleted")
 
 
 @query("record_writes_conflicts", REPLAY_SQL + "SELECT user_id, id, arrival, base_version, v AS current_version FROM r WHERE clash")
 def _(spark, sf):
-    stored = T.record_table(spark, sf).filter("id % 3 <> 0").withColumnRenamed("edited_at", "updated_at")
+    stored = T.record_table(spark, sf).withColumnRenamed("edited_at", "updated_at")
     _, _, conflicts = R.apply_writes(stored, heads(spark, sf), writes(spark, sf))
     return conflicts
 
 
 LOCAL_SQL = f"""
 SELECT user_id, id, (epoch_us(edited_at) // 1000) + (id % 5 - 2) * 40000000000 AS edit_ms, version - id % 2 AS version, id % 3 <> 0 AS dirty, id % 7 = 0 AND id % 3 <> 0 AS deleted
-FROM ({T.RECORD_TABLE_SQL}) t WHERE id % 4 <> 1"""
-REMOTE_SQL = f"SELECT user_id, id, (epoch_us(edited_at) // 1000) AS edit_ms, version, deleted, (epoch_us(edited_at) // 1000) + 60000 AS server_ms FROM ({T.RECORD_TABLE_SQL}) t WHERE id % 4 <> 2"
+FROM ({T.RECORD_TABLE_SQL}) t WHERE version >= 2"""
+REMOTE_SQL = f"SELECT user_id, id, (epoch_us(edited_at) // 1000) AS edit_ms, version, deleted, (epoch_us(edited_at) // 1000) + 60000 AS server_ms FROM ({T.RECORD_TABLE_SQL}) t WHERE edited_at >= TIMESTAMP '1996-01-01'"
 
 
 @query("record_reconcile", f"""
@@ -104,10 +104,10 @@ SELECT user_id, id, action, CASE action WHEN 'push' THEN rv WHEN 'create' THEN 0
 def _(spark, sf):
     t = T.record_table(spark, sf)
     ms = T.millis("edited_at")
-    local = t.filter("id % 4 <> 1").select(
+    local = t.filter("version >= 2").select(
         "user_id", "id", (ms + (F.col("id") % 5 - 2) * 40_000_000_000).alias("edit_ms"), (F.col("version") - F.col("id") % 2).alias("version"),
         (F.col("id") % 3 != 0).alias("dirty"), ((F.col("id") % 7 == 0) & (F.col("id") % 3 != 0)).alias("deleted"))
-    remote = t.filter("id % 4 <> 2").select("user_id", "id", ms.alias("edit_ms"), "version", "deleted", (ms + 60000).alias("server_ms"))
+    remote = t.filter("edited_at >= TIMESTAMP_NTZ '1996-01-01'").select("user_id", "id", ms.alias("edit_ms"), "version", "deleted", (ms + 60000).alias("server_ms"))
     return R.reconcile_lww(local, remote)
 
 
@@ -116,8 +116,8 @@ SELECT user_id, id, version FROM ({LOCAL_SQL}) l WHERE dirty OR version = 0 OR E
  SELECT 1 FROM ({REMOTE_SQL}) r WHERE r.user_id = l.user_id AND r.id = l.id AND NOT r.deleted)""")
 def _(spark, sf):
     t = T.record_table(spark, sf)
-    local = t.filter("id % 4 <> 1").select("user_id", "id", (F.col("version") - F.col("id") % 2).alias("version"), (F.col("id") % 3 != 0).alias("dirty"))
-    listing = t.filter("id % 4 <> 2 AND NOT deleted")
+    local = t.filter("version >= 2").select("user_id", "id", (F.col("version") - F.col("id") % 2).alias("version"), (F.col("id") % 3 != 0).alias("dirty"))
+    listing = t.filter("edited_at >= TIMESTAMP_NTZ '1996-01-01' AND NOT deleted")
     return R.drop_unseen(local, listing).select("user_id", "id", "version")
 
 

@@ -99,16 +99,16 @@ def _(spark, sf):
 
 
 @query("session_assembled_phases", f"""
-WITH s AS (SELECT session, seq, t_ms, CASE (seq // 40) % 3 WHEN 0 THEN 'rest' WHEN 1 THEN 'challenge' ELSE 'recovery' END AS phase, 'step' || seq % 7 AS kind FROM ({BEATS_SQL}) b WHERE seq % 20 = 0 AND seq < 400),
+WITH s AS (SELECT session, seq, t_ms, CASE (seq // 40) % 3 WHEN 0 THEN 'rest' WHEN 1 THEN 'challenge' ELSE 'recovery' END AS phase, 'step' || seq % 7 AS kind FROM ({BEATS_SQL}) b),
 n AS (SELECT s.*, coalesce(lead(t_ms) OVER (PARTITION BY session ORDER BY seq), 900000) AS e FROM s)
-SELECT session, phase, min(t_ms) AS start_ms, max(e) AS end_ms, array_to_string(list(kind ORDER BY seq), ',') AS kinds FROM n GROUP BY session, phase""")
+SELECT session, phase, min(t_ms) AS start_ms, max(e) AS end_ms, count(*) AS n_steps, min_by(kind, seq) AS first_kind FROM n GROUP BY session, phase""")
 def _(spark, sf):
-    b = session_beats(spark, sf).filter("seq % 20 = 0 AND seq < 400")
+    b = session_beats(spark, sf)
     k = F.floor(F.col("seq") / F.lit(40)) % 3
     steps = b.select("session", "seq", F.col("t_ms").alias("start_ms"), F.when(k == 0, "rest").when(k == 1, "challenge").otherwise("recovery").alias("phase"),
                      F.concat(F.lit("step"), (F.col("seq") % 7).cast("string")).alias("kind"))
     stops = starts(spark, sf).select("session", F.lit(900000).cast("long").alias("stop_ms"))
-    return S.assemble_phases(steps, stops).withColumn("kinds", F.array_join("kinds", ","))
+    return S.assemble_phases(steps, stops)
 
 
 @query("session_points_in_phases", f"""

@@ -74,20 +74,22 @@ def _(spark, sf):
 
 
 def frames(spark, sf):
-    """The samples as 60 Hz colour frames of a fingertip, one reading per subject."""
+    """The samples as 60 Hz colour frames of a fingertip, one reading per subject and ten seconds."""
     s = T.samples(spark, sf)
+    reading = F.concat_ws("-", F.col("subject"), F.floor(F.col("idx") / F.lit(600.0)))
     beat = F.sin(F.col("idx") / 60.0 * F.lit(2 * math.pi) * 1.2)
     return s.select(
-        F.col("subject").alias("reading"), (F.col("idx") * 1000 / 60.0).alias("t_ms"), (180 + beat * 2 + F.col("temp") * 0.1).alias("r"),
+        reading.alias("reading"), (F.col("idx") * 1000 / 60.0).alias("t_ms"), (180 + beat * 2 + F.col("temp") * 0.1).alias("r"),
         (60 + beat * 0.5 + F.col("ax") * 0.01).alias("g"), (40 + F.col("ay") * 0.02).alias("b"))
 
 
 @query("signal_pulse_reading")
 def _(spark, sf):
     f = frames(spark, sf)
-    m = T.samples(spark, sf).filter("idx % 6 = 0").select(F.col("subject").alias("reading"), (F.col("idx") * 1000 / 60.0).alias("t_ms"), (F.col("az") / 200.0).alias("a"))
-    readings = f.select("reading").distinct().withColumn("torch", F.col("reading") % 2 == 0)
-    return P.measure(f, readings, m, duration_s=11).select("reading", *r6("hr_mean", "rmssd", "snr_db", "motion_frac"), "quality", "why")
+    reading = F.concat_ws("-", F.col("subject"), F.floor(F.col("idx") / F.lit(600.0)))
+    m = T.samples(spark, sf).select(reading.alias("reading"), (F.col("idx") * 1000 / 60.0).alias("t_ms"), (F.col("az") / 200.0).alias("a"))
+    readings = f.select("reading").distinct().withColumn("torch", F.crc32("reading") % 2 == 0)
+    return P.measure(f, readings, m, duration_s=10).select("reading", *r6("hr_mean", "rmssd", "snr_db", "motion_frac"), "quality", "why")
 
 
 @query("signal_optical_shares", f"""

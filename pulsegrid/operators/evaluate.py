@@ -121,9 +121,8 @@ def owner_condition_counts(df: DataFrame, owner: str, condition: str, labels: di
 
 
 def below_chance(metrics: DataFrame, owner: str, by: list[str] = []) -> DataFrame:
-    """Owners whose AUC is under 0.5, sorted, as one array per group (one entry per owner)."""
-    return (metrics.filter("roc_auc < 0.5").groupBy(*by)
-            .agg(F.array_sort(F.collect_list(F.col(owner))).alias("owners")))
+    """Owners whose AUC is under 0.5, sorted."""
+    return metrics.filter("roc_auc < 0.5").select(*by, owner, "roc_auc").orderBy(*by, owner)
 
 
 def validate_pairs(df: DataFrame, owner: str, condition: str, device: str, reference: str, valid: str,

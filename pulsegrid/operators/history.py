@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalar import relative_day, signed, week_start
+from pulsegrid.operators.records import newest_n
 
 
 def day_scores(checkins: DataFrame, user: str = "user_id") -> DataFrame:
@@ -76,16 +77,18 @@ def tag_counts(checkins: DataFrame, by: list[str] = ["user_id"]) -> DataFrame:
 
 
 def tag_suggestions(checkins: DataFrame, chosen: DataFrame, defaults: list[str], user: str = "user_id", n: int = 10) -> DataFrame:
-    """Up to n tags: own ones by recency, then the defaults, without those already chosen.
+    """Up to n tags: own ones by recency, then the defaults, without those already chosen (user, chosen array).
 
-    Recency is one row per (user, tag) before anything is collected.
+    Recency is one row per (user, tag); chosen tags go first, then only the n newest are put together.
     """
     own = checkins.groupBy(user, "tag").agg(F.max("created_at").alias("_t"))
-    top = own.groupBy(user).agg(F.transform(
+    free = own.join(chosen.select(user, F.explode("chosen").alias("tag")), [user, "tag"], "left_anti")
+    top = newest_n(free, [user], ["_t", "tag"], n).groupBy(user).agg(F.transform(
         F.sort_array(F.collect_list(F.struct("_t", "tag")), asc=False), lambda x: x["tag"]).alias("_own"))
-    pool = F.array_distinct(F.concat("_own", F.array(*[F.lit(d) for d in defaults])))
-    return (top.join(chosen, user, "left").select(
-        user, F.slice(F.array_except(pool, F.coalesce("chosen", F.array().cast("array<string>"))), 1, n).alias("tags")))
+    none = F.array().cast("array<string>")
+    d = own.select(user).distinct().join(top, user, "left").join(chosen, user, "left")
+    pool = F.array_distinct(F.concat(F.coalesce("_own", none), F.array(*[F.lit(t) for t in defaults])))
+    return d.select(user, F.slice(F.array_except(pool, F.coalesce("chosen", none)), 1, n).alias("tags"))
 
 
 def filtered(checkins: DataFrame, *, tag: str | None = None, day: Column | None = None, month: Column | None = None,

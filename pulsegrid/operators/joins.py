@@ -110,13 +110,29 @@ def bucketed_interval(points: DataFrame, spans: DataFrame, by: list[str], *, t:
 
 
 def near_stats(ticks: DataFrame, samples: DataFrame, by: list[str], *, t: str, sample_t: str, value: str,
-               span: int) -> DataFrame:
-    """Count and SD of the samples within +-span of every tick: bucket pairs, then one aggregate."""
-    b = F.lit(float(2 * span))
-    tk = ticks.select(*by, F.col(t).alias("_tick")).distinct().withColumn("_b", F.explode(F.array_distinct(F.array(
-        F.floor((F.col("_tick") - span) / b), F.floor((F.col("_tick") + span) / b)))))
-    sm = samples.select(*by, F.col(sample_t).alias("_st"), F.col(value).alias("_v"),
-                        F.floor(F.col(sample_t) / b).alias("_b"))
-    hit = tk.join(sm, [*by, "_b"]).filter(F.col("_st").between(F.col("_tick") - span, F.col("_tick") + span))
-    return (hit.groupBy(*by, "_tick").agg(F.count("_v").alias("n_near"), F.stddev_samp("_v").alias("sd_near"))
-            .withColumnRenamed("_tick", t))
+               span: float, **ordered) -> DataFrame:
+    """Count and SD of the samples within +-span of every tick.
+
+    Running counts, sums and squares of the samples are read at both ends of each tick's interval and
+    subtracted, so no (tick, sample) pairs are made. Values are centred on the owner's mean first to keep the
+    squares small.
+    """
+    ordered = sized(samples, by, **ordered)
+    mean = samples.groupBy(*by).agg(F.avg(value).alias("_mean"))
+    v = F.col(value) - F.col("_mean")
+    s = samples.filter(F.col(value).isNotNull()).join(mean, by).select(
+        *by, F.col(sample_t).cast("double").alias("_t"), F.lit(1).alias("_side"), v.alias("_v"))
+    tick = ticks.select(*by, F.col(t).alias("_tick")).distinct()
+    ends = tick.select(*by, "_tick", F.inline(F.array(
+        F.struct((F.col("_tick") - span).cast("double").alias("_t"), F.lit(0).alias("_side")),
+        F.struct((F.col("_tick") + span).cast("double").alias("_t"), F.lit(2).alias("_side")))))
+    both = s.withColumn("_id", F.monotonically_increasing_id()).unionByName(
+        ends.withColumn("_id", F.lit(0).cast("long")), allowMissingColumns=True)
+    o = Ordered(both, by, ["_t", "_side", "_id"], **ordered).running({
+        "_n": ("sum", F.when(F.col("_side") == 1, 1).otherwise(0)), "_s": ("sum", F.coalesce("_v", F.lit(0.0))),
+        "_q": ("sum", F.coalesce(F.col("_v") * F.col("_v"), F.lit(0.0)))})
+    at = lambda c: F.max(F.when(F.col("_side") == 2, F.col(c))) - F.max(F.when(F.col("_side") == 0, F.col(c)))
+    d = o.rows.filter("_side <> 1").groupBy(*by, "_tick").agg(at("_n").alias("n_near"), at("_s").alias("_s"), at("_q").alias("_q"))
+    var = (F.col("_q") - F.col("_s") * F.col("_s") / F.col("n_near")) / (F.col("n_near") - 1)
+    return d.filter("n_near > 0").select(*by, F.col("_tick").alias(t), "n_near",
+                                         F.when(F.col("n_near") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sd_near"))

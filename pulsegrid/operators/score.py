@@ -164,3 +164,26 @@ def model_table(spark) -> DataFrame:
     """The published models as a table of nine rows."""
     rows = [(s, f, K.MODEL_COEF[f], K.MODEL_INTERCEPT[s]) for s in K.SIGNALS for f in K.SIGNAL_FEATURES[s]]
     return spark.createDataFrame(rows, "signal string, feature string, coef double, intercept double")
+
+
+def parity(df: DataFrame, p: str, expected: str, by: list[str] = [], tolerance: float = 1e-6) -> DataFrame:
+    """Largest difference from reference probabilities, per group."""
+    return (df.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.abs(F.col(p) - F.col(expected))).alias("max_diff"))
+            .withColumn("ok", F.col("max_diff") < tolerance))
+
+
+def baseline_taken_today(readings: DataFrame, now: Column, user: str = "user_id", started: str = "started_at") -> DataFrame:
+    """Per user, whether one of the resting readings is from today."""
+    return readings.groupBy(user).agg(F.max((F.to_date(started) == F.to_date(now)).cast("int")).cast("boolean").alias("today"))
+
+
+def last_finished_window(t_s: Column, window_s: int = K.WINDOW_S, stride_s: int = K.STRIDE_S) -> Column:
+    """Start of the newest window that has ended by `t_s`; NULL before the first one ends."""
+    k = F.floor((t_s - window_s) / F.lit(float(stride_s)))
+    return F.when(k >= 0, k * stride_s)
+
+
+def recent(df: DataFrame, owner: list[str], t_ms: str, seconds: float) -> DataFrame:
+    """Rows of the last seconds before each owner's newest row."""
+    newest = df.groupBy(*owner).agg(F.max(t_ms).alias("_end"))
+    return df.join(newest, owner).filter(F.col(t_ms) >= F.col("_end") - seconds * 1000).drop("_end")

@@ -135,13 +135,14 @@ def labelled_runs(runs: DataFrame, activity: str | None = None) -> DataFrame:
 def assemble_phases(steps: DataFrame, stops: DataFrame, **ordered) -> DataFrame:
     """Phases from a step log. steps: session, seq, phase, kind, start_ms; stops: session, stop_ms.
 
-    A step ends where the next one starts; the last one ends at the stop. A phase has a handful of steps.
+    A step ends where the next one starts; the last one ends at the stop. The steps of a phase stay rows of
+    the log, found by (session, phase).
     """
     o = Ordered(steps, S, ["seq"], **ordered).around(0, 1, lambda w: {"_next": F.lead("start_ms").over(w)})
     s = o.rows.join(stops, S, "left").withColumn("end_ms", F.coalesce("_next", "stop_ms"))
     return s.groupBy(*S, "phase").agg(
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
-        F.transform(F.sort_array(F.collect_list(F.struct("seq", "kind"))), lambda x: x["kind"]).alias("kinds"))
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_steps"),
+        F.min_by("kind", "seq").alias("first_kind"))
 
 
 def probe_changes(runs: DataFrame) -> DataFrame:

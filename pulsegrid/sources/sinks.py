@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid import constants as K
 from pulsegrid.functions.scalar import round_even, round_significant
 from pulsegrid.functions.text import feeling_word, level
+from pulsegrid.operators.ordered import Ordered
 
 CHECKIN_COLUMNS = ["date", "time", "score", "level", "hr_score", "hrv_score", "heart_rate_bpm", "rmssd_ms", "sdnn_ms",
                    "signal_quality", "source", "feeling", "tags", "note"]
@@ -39,13 +40,14 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "appe
     df.write.mode(mode).partitionBy(*by).parquet(path)
 
 
-def user_documents(rows: DataFrame, user: str, order: Column, fields: list[str], name: str = "document") -> DataFrame:
-    """One JSON document per user with its rows in order, for documents a single person downloads.
+def user_documents(rows: DataFrame, user: str, order: list[str], fields: list[str], part_rows: int = 10_000, **ordered) -> DataFrame:
+    """JSON documents of a user's rows in order: (user, part, document), each part of at most `part_rows` rows.
 
-    For whole tables write the rows (`export_rows`): a document holds all rows of its user.
+    Most users have one part; a user with very many rows has more of them instead of one huge document.
     """
-    cells = F.sort_array(F.collect_list(F.struct(order.alias("_o"), F.struct(*fields).alias("_r"))))
-    return rows.groupBy(user).agg(F.to_json(F.transform(cells, lambda c: c["_r"])).alias(name))
+    d = Ordered(rows, [user], order, **ordered).number("_n").rows.withColumn("part", F.floor((F.col("_n") - 1) / F.lit(float(part_rows))))
+    cells = F.sort_array(F.collect_list(F.struct(F.col("_n"), F.struct(*fields).alias("_r"))))
+    return d.groupBy(user, "part").agg(F.to_json(F.transform(cells, lambda c: c["_r"])).alias("document"))
 
 
 def export_rows(records: DataFrame, user: str = "user_id") -> DataFrame:

@@ -182,3 +182,28 @@ def test_feature_table_roundtrip(spark, tmp_path):
 def test_owner_order(spark):
     d = spark.createDataFrame([("S10",), ("S2",), ("S13",)], "s string")
     assert [r[0] for r in sinks.owner_order(d, "s").collect()] == ["S2", "S10", "S13"]
+
+
+def test_result_documents(spark):
+    from pulsegrid import constants as K
+    from pulsegrid.operators import score as S
+
+    coefs = S.model_table(spark).withColumn("sd_floor", F.lit(1.0)).withColumn("rank", F.when(F.col("feature") == "rmssd", 0).otherwise(1))
+    metrics = spark.createDataFrame([("hr", 0.81254999)], "signal string, balanced_accuracy double")
+    docs = {r["signal"]: json.loads(r["document"]) for r in sinks.model_constants(coefs, metrics).collect()}
+    assert docs["hr"]["loso"]["balanced_accuracy"] == 0.8125 and [f["name"] for f in docs["hrv"]["features"]] == ["rmssd", "sdnn"]
+    assert docs["eda"]["intercept"] == K.MODEL_INTERCEPT["eda"]
+    m = spark.createDataFrame([("S2", 10, 4, 0.5, 0.4, None)], "owner string, n long, n_pos long, balanced_accuracy double, macro_f1 double, roc_auc double")
+    assert sinks.metric_rows(m, "rest5", "hr:lr").first()["n_stress"] == 4
+    rows = spark.createDataFrame([(1, i) for i in range(25)], "user_id long, i long")
+    parts = as_dicts(sinks.user_documents(rows, "user_id", ["i"], ["i"], part_rows=10), "part")
+    assert [len(json.loads(p["document"])) for p in parts] == [10, 10, 5] and json.loads(parts[1]["document"])[0] == {"i": 10}
+
+
+def test_score_helpers(spark):
+    from pulsegrid.operators import score as S
+
+    d = spark.createDataFrame([("hr", 0.5, 0.5 + 5e-7), ("hrv", 0.5, 0.6)], "signal string, p double, expected double")
+    assert [r["ok"] for r in as_dicts(S.parity(d, "p", "expected", ["signal"]), "signal")] == [True, False]
+    t = spark.createDataFrame([(59.0,), (60.0,), (74.9,), (75.0,)], "t double")
+    assert [r[0] for r in t.select(S.last_finished_window(F.col("t"))).collect()] == [None, 0, 0, 15]
