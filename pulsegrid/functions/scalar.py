@@ -63,9 +63,8 @@ def parabolic_offset(left: Column, peak: Column, right: Column) -> Column:
     return F.when(bend == 0, F.lit(0.0)).otherwise(clip(F.try_divide((left - right) * 0.5, bend), -0.5, 0.5))
 
 
-def middle(values: Column) -> Column:
-    """Median of an array of numbers; NULL when empty."""
-    ordered = F.array_sort(values)
+def middle(ordered: Column) -> Column:
+    """Median of a sorted array of numbers; NULL when empty."""
     n = F.size(ordered)
     half = F.floor(n / F.lit(2)).cast("int")
     low = F.get(ordered, F.greatest(half - 1, F.lit(0)))
@@ -75,7 +74,7 @@ def middle(values: Column) -> Column:
 
 def upper_middle(values: Column) -> Column:
     """Element n // 2 of the sorted array."""
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     return F.get(ordered, F.floor(F.size(ordered) / F.lit(2)).cast("int"))
 
 

@@ -17,6 +17,7 @@ from pulsegrid import constants as K
 from pulsegrid.functions.scalar import norm, round_up
 from pulsegrid.operators.joins import asof_nearest, interpolate_at, uniform_grid
 from pulsegrid.operators.ordered import Ordered, grouped_quantiles, sized
+from pulsegrid.session import checkpointed
 
 PAUSE_MS = 2000
 LONGEST_HOLD_MS = 1500
@@ -345,6 +346,7 @@ def tremor_metrics(samples: DataFrame, **ordered) -> DataFrame:
     d = d.withColumns({f"_{a}": F.col(a) - (F.col(f"_h{a}") - F.coalesce(f"_l{a}", F.lit(0.0)))
                        / (F.col("_hi") - F.col("_lo")) for a in axes})
     d = d.withColumns({"_mag": norm(F.col("_x"), F.col("_y"), F.col("_z")), "_sig": F.col("_x") + F.col("_y") + F.col("_z")})
+    d = checkpointed(d.select(*RUN, "_i", "_fs", "_sig", "_mag"))  # read by the spectrum, the mean and the percentile
     freqs = F.transform(F.sequence(F.lit(0), F.lit(52)), lambda k: k * 0.25 + 2.0)
     f = d.select(*RUN, "_i", "_fs", "_sig", F.explode(F.filter(freqs, lambda x: x <= F.col("_fs") / 2 - 0.5)).alias("_f"))
     angle = F.lit(2 * math.pi) * F.col("_f") * (F.col("_i") - 1) / F.col("_fs")

@@ -33,9 +33,9 @@ def clean_rr(df: DataFrame, key: list[str], order: list[str], rr: str = "rr_ms",
 
     flagged = df.withColumn("_in", in_range(F.col(rr)))
     o = Ordered(flagged, [*key, "_in"], order, **ordered).around(neighbours, neighbours, look)
-    med = middle(F.col("_near"))
-    ok = (F.size("_near") < 2) | (F.abs(F.col(rr) - med) <= med * relative)
-    return o.rows.withColumn("kept", F.col("_in") & ok).drop("_near", "_in")
+    ranked = o.rows.withColumn("_near", F.sort_array("_near")).withColumn("_med", middle(F.col("_near")))
+    ok = (F.size("_near") < 2) | (F.abs(F.col(rr) - F.col("_med")) <= F.col("_med") * relative)
+    return ranked.withColumn("kept", F.col("_in") & ok).drop("_near", "_med", "_in")
 
 
 def successive(df: DataFrame, key: list[str], order: list[str], rr: str, **ordered) -> DataFrame:
