@@ -17,12 +17,12 @@ def beat_window_features(beats: DataFrame) -> DataFrame:
     return B.window_features(beats, ["subject"])
 
 
-def beat_scores(spark: SparkSession, sf: str, stage: str = "scores") -> DataFrame:
+def beat_scores(spark: SparkSession, sf: str, stage: str = "scores", subjects: int = 15) -> DataFrame:
     """Windows of beat features, calibrated on the subject's first rest windows, scored and fused.
 
     `stage='reference'` stops after the reference windows are marked.
     """
-    beats = T.beats(spark, sf)
+    beats = T.beats(spark, sf, subjects)
     feats = beat_window_features(beats)
     labels = W.majority_label(W.assign_windows(beats, "t_ms"), ["subject", "win_start"], "cond")
     labelled = feats.join(labels, ["subject", "win_start"])

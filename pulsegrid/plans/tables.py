@@ -34,12 +34,12 @@ SELECT subject, seq, rr_ms, t_ms, 1 + CAST(floor(t_ms / 90000e0) AS BIGINT) % 3
 """
 
 
-def beats(spark: SparkSession, sf: str) -> DataFrame:
-    """subject, seq, rr_ms, t_ms, cond: events as consecutive beat intervals of 15 subjects."""
+def beats(spark: SparkSession, sf: str, subjects: int = 15) -> DataFrame:
+    """subject, seq, rr_ms, t_ms, cond: all events as consecutive beat intervals of some subjects."""
     rr = F.when(F.col("event_id") % 37 == 0, 250).otherwise(
         700 + F.floor(F.round(F.col("value") * 100) / 50.0)).cast("long")
     ev = table(spark, sf, "events").select(
-        (F.col("user_id") % 15).alias("subject"), "ts", "event_id", rr.alias("rr_ms"))
+        (F.col("user_id") % subjects).alias("subject"), "ts", "event_id", rr.alias("rr_ms"))
     rows = Ordered(ev, ["subject"], ["ts", "event_id"]).number("seq").running({"t_ms": ("sum", F.col("rr_ms"))})
     return rows.rows.select("subject", "seq", "rr_ms", "t_ms",
                             (1 + F.floor(F.col("t_ms") / 90000.0) % 3).alias("cond"))
