@@ -37,6 +37,20 @@ def _(spark, sf):
     return S.local_maxima(T.samples(spark, sf), ["subject"], "idx", "eda").filter("is_peak").select("subject", "idx")
 
 
+MEAN_W, SLOPE_W = S.tonic_weights()
+
+
+def dot_sql(weights):
+    return f"sum(eda * ([{', '.join(f'{float(w)!r}e0' if 'e' not in repr(float(w)) else repr(float(w)) for w in weights)}])[idx - win + 1])"
+
+
+@query("signal_tonic_level", f"""
+SELECT subject, win, round({dot_sql(MEAN_W)}, 6) AS eda_tonic, round({dot_sql(SLOPE_W)}, 6) AS eda_slope FROM ({WIN_SQL}) w GROUP BY subject, win HAVING count(*) = 240""")
+def _(spark, sf):
+    w = S.window_arrays(T.samples(spark, sf), ["subject"], "idx", ["eda"], fs=4)
+    return S.tonic_features(w).select("subject", "win", *r6("eda_tonic", "eda_slope"))
+
+
 @query("signal_skin_conductance")
 def _(spark, sf):
     w = S.window_arrays(T.samples(spark, sf), ["subject"], "idx", ["eda"], fs=4)

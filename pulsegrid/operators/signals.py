@@ -250,6 +250,25 @@ def eda_features(df: DataFrame, column: str = "eda", *, fs: float = K.EDA_HZ, wi
     return df.withColumn("_f", kernel(F.col(column))).select("*", *[F.nanvl(F.col(f"_f.{c}"), F.lit(None)).alias(c) for c in names]).drop("_f")
 
 
+def tonic_weights(n: int = 240, fs: float = K.EDA_HZ) -> tuple[np.ndarray, np.ndarray]:
+    """Weights that turn a window of n samples into its tonic mean and slope per minute: both filters are linear in
+    the samples, so their effect on each unit sample gives the weights."""
+    rows = zero_phase(TONIC, zero_phase(SMOOTH, np.eye(n), pad=9), pad=9)
+    t = np.arange(n) / fs / 60
+    t = t - t.mean()
+    return rows.mean(axis=1), rows @ (t / (t @ t))
+
+
+def tonic_features(df: DataFrame, column: str = "eda", *, n: int = 240, fs: float = K.EDA_HZ) -> DataFrame:
+    """Tonic mean and slope of full windows as two weighted sums, without Python in the tasks."""
+    def dot(w: np.ndarray) -> Column:
+        weights = F.array(*[F.lit(float(x)) for x in w])
+        return F.aggregate(F.zip_with(F.col(column), weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+    mean, slope = tonic_weights(n, fs)
+    return df.withColumn("eda_tonic", dot(mean)).withColumn("eda_slope", dot(slope))
+
+
 PULSE_BAND = butterworth(3, 0.7, 3.5, K.PULSE_HZ)
 
 

@@ -53,17 +53,21 @@ FEATURES = "hr_mean double, rmssd double, sdnn double, n_beats long, n_clean lon
 FEATURE_NAMES = [f.split()[0] for f in FEATURES.split(", ")]
 
 
-def stream_windows(beats: DataFrame, owner: str = "owner", ts: str = "ts", rr: str = "rr_ms", *, watermark: str = RETENTION["beats"],
-                   window_s: int = K.WINDOW_S, stride_s: int = K.STRIDE_S) -> DataFrame:
-    """Sliding-window features of a beat stream. Order inside a window is restored before cleaning."""
+def _feature_kernel(duration_s: float):
+    """Features of an array of (t, v) rows; order is restored inside."""
     @F.pandas_udf(FEATURES)
     def kernel(rows: pd.Series) -> pd.DataFrame:
-        out = []
-        for r in rows:
-            out.append(rr_features(np.array([x["t"] for x in r]), np.array([x["v"] for x in r], float), window_s))
+        out = [rr_features(np.array([x["t"] for x in r]), np.array([x["v"] for x in r], float), duration_s) for r in rows]
         return pd.DataFrame(out, columns=FEATURE_NAMES).astype(
             {c: "float64" for c in ("hr_mean", "rmssd", "sdnn", "coverage", "rejected")})
 
+    return kernel
+
+
+def stream_windows(beats: DataFrame, owner: str = "owner", ts: str = "ts", rr: str = "rr_ms", *, watermark: str = RETENTION["beats"],
+                   window_s: int = K.WINDOW_S, stride_s: int = K.STRIDE_S) -> DataFrame:
+    """Sliding-window features of a beat stream. Order inside a window is restored before cleaning."""
+    kernel = _feature_kernel(window_s)
     w = (beats.withWatermark(ts, watermark).groupBy(owner, F.window(ts, f"{window_s} seconds", f"{stride_s} seconds").alias("w"))
          .agg(F.collect_list(F.struct(F.unix_micros(ts).alias("t"), F.col(rr).cast("double").alias("v"))).alias("_rows")))
     return w.select(owner, F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"), kernel("_rows").alias("f")).select(
@@ -86,7 +90,7 @@ def hr_bins(beats: DataFrame, owner: str, ts: str, rr: str, hr: str, width: str
 def bounded_readings(beats: DataFrame, starts: DataFrame, owner: str = "owner", duration_s: int = 60, *, watermark: str = "2 minutes") -> DataFrame:
     """Beats that belong to a reading: within `duration_s` of its start event, by an interval join of two streams.
 
-    starts: owner, start_ts; beats: owner, ts, rr_ms. Group the result by (owner, start_ts) for one row per reading.
+    starts: owner, start_ts; beats: owner, ts, rr_ms. `readings` makes one row per reading of this.
     """
     b = beats.withWatermark("ts", watermark).alias("b")
     s = starts.withWatermark("start_ts", watermark).alias("s")
@@ -95,6 +99,14 @@ def bounded_readings(beats: DataFrame, starts: DataFrame, owner: str = "owner",
     return b.join(s, on).select(F.col(f"s.{owner}").alias(owner), "s.start_ts", "b.ts", "b.rr_ms")
 
 
+def readings(beats: DataFrame, starts: DataFrame, owner: str = "owner", duration_s: int = 60, *, watermark: str = "2 minutes") -> DataFrame:
+    """One row of features per reading, once the watermark has passed its start and its beats."""
+    j = bounded_readings(beats, starts, owner, duration_s, watermark=watermark)
+    g = j.groupBy(owner, "start_ts").agg(
+        F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.col("rr_ms").cast("double").alias("v"))).alias("_rows"))
+    return g.select(owner, "start_ts", _feature_kernel(duration_s)("_rows").alias("f")).select(owner, "start_ts", "f.*")
+
+
 # -- keyed state --------------------------------------------------------------------------------------
 
 def _rows(batches: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:

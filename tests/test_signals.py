@@ -146,3 +146,11 @@ def test_no_interval_spans_a_gap(spark):
     masked = P.motion_mask(P.resample(f))
     rr = [r["rr_ms"] for r in as_dicts(P.beat_intervals(P.waves(masked), masked), "k")]
     assert None in rr and max(x for x in rr if x) < 1.3 * 60000 / 70
+
+
+def test_tonic_weights_equal_the_filters(spark):
+    rng = np.random.default_rng(2)
+    d = spark.createDataFrame([(i, (2 + np.cumsum(rng.normal(0, 0.02, 240))).tolist()) for i in range(5)], "k int, eda array<double>")
+    a, b = as_dicts(S.tonic_features(d), "k"), as_dicts(S.eda_features(d), "k")
+    for x, y in zip(a, b):
+        assert x["eda_tonic"] == pytest.approx(y["eda_tonic"], abs=1e-9) and x["eda_slope"] == pytest.approx(y["eda_slope"], abs=1e-9)

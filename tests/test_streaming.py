@@ -145,3 +145,14 @@ def test_micro_batch_scoring(spark, tmp_path):
                         lambda b, n: seen.extend(b.collect()), str(tmp_path / "c"), every=None)
     q.awaitTermination()
     assert sorted((r["signal"], r["score"]) for r in seen) == [("hr", 20.0), ("temp", 30.0)]
+
+
+def test_one_row_per_reading(spark, tmp_path):
+    b = spark.createDataFrame([("a", T0 + timedelta(seconds=i), 1000.0) for i in range(600)], "owner string, ts timestamp, rr_ms double")
+    s = spark.createDataFrame([("a", T0 + timedelta(seconds=x)) for x in (20, 300, 590)], "owner string, start_ts timestamp")
+    b.coalesce(1).write.parquet(str(tmp_path / "b"))
+    s.coalesce(1).write.parquet(str(tmp_path / "s"))
+    r = L.readings(spark.readStream.schema(b.schema).parquet(str(tmp_path / "b")), spark.readStream.schema(s.schema).parquet(str(tmp_path / "s")), watermark="10 seconds")
+    out = as_dicts(L.run_once(r, new_folder(spark, "t")), "start_ts")
+    assert [x["start_ts"] for x in out] == [T0 + timedelta(seconds=20), T0 + timedelta(seconds=300)]
+    assert out[0]["n_beats"] == 60 and out[0]["hr_mean"] == 60
