@@ -9,6 +9,7 @@ from pulsegrid import constants as K
 from pulsegrid.functions.scalar import middle, round_up
 from pulsegrid.operators.ordered import Ordered, grouped_quantiles, sized
 from pulsegrid.operators.windows import assign_windows, complete_windows
+from pulsegrid.session import checkpointed
 
 
 def beat_times(df: DataFrame, owner: list[str], order: list[str], rr: str, t0: Column | None = None,
@@ -47,15 +48,16 @@ def successive(df: DataFrame, key: list[str], order: list[str], rr: str, **order
 
 def beat_features(df: DataFrame, key: list[str], order: list[str], rr: str = "rr_ms", *,
                   duration_s: float | None = K.WINDOW_S, bounded: bool = True, gated: bool = True,
-                  **ordered) -> DataFrame:
+                  fits: bool | None = None, **ordered) -> DataFrame:
     """Features of live or imported intervals per key.
 
     bounded=True is for keys that contain one window: an end time in milliseconds cannot repeat within an
     owner, so a 60 s window has at most 60 000 intervals. Whole-history keys use bounded=False, where order
-    statistics come from value counts. `duration_s=None` takes the sum of the intervals as duration.
+    statistics come from value counts; `fits` tells whether every key is known to fit a block. `duration_s=None` takes the sum of the intervals as duration.
     """
     part = df.repartition(*[F.col(k) for k in key]) if bounded else df
-    step = {"bounded": True} if bounded else sized(df, key, growth=1, **ordered)
+    known = {} if fits is None else {"bounded": fits}
+    step = {"bounded": True} if bounded else sized(df, key, growth=1, **known, **ordered)
     kept = clean_rr(part, key, order, rr, **step)
     pairs = successive(kept, key, order, rr, **step)
     clean = F.when(F.col("kept"), F.col(rr).cast("double"))
@@ -129,12 +131,12 @@ def resting_hr(windows: DataFrame, owner: list[str], hr: str = "hr_mean", **orde
 
 
 def resting_hr_from_beats(beats: DataFrame, owner: list[str], t: str = "t_ms", rr: str = "rr_ms") -> DataFrame:
-    """Resting heart rate from windows, else the heart rate of the whole series."""
-    from_windows = resting_hr(window_features(beats, owner, t, rr), owner)
-    whole = beat_features(beats, owner, [t], rr, duration_s=None, bounded=False).select(
-        *owner, round_up(F.col("hr_mean"), 1).alias("_whole"))
-    return (whole.join(from_windows, owner, "left")
-            .select(*owner, F.coalesce("resting_hr", "_whole").alias("resting_hr")))
+    """Resting heart rate from windows; owners without a usable window get the heart rate of their whole series."""
+    step = sized(beats, owner, growth=1)
+    found = checkpointed(resting_hr(window_features(beats, owner, t, rr), owner, **step))  # one row per owner
+    rest = beats.join(found.select(*owner), owner, "left_anti")
+    whole = beat_features(rest, owner, [t], rr, duration_s=None, bounded=False, fits=step["bounded"])
+    return found.unionByName(whole.select(*owner, round_up(F.col("hr_mean"), 1).alias("resting_hr")))
 
 
 # -- training rules (seconds) -------------------------------------------------------------------------

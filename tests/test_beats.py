@@ -139,3 +139,10 @@ def test_break_markers(spark):
     bad = spark.createDataFrame([("a", 1700, True), ("a", 3200, True)], "owner string, t_ms long, bad boolean")
     r = as_dicts(B.break_markers(beats, bad, OWNER), "t_ms")
     assert [x["rr_ms"] for x in r] == [800, 800, None, None]
+
+
+def test_resting_hr_falls_back_to_the_series(spark):
+    long = B.beat_times(series(spark, [1000] * 200, "long"), OWNER, ["seq"], "rr_ms")
+    short = B.beat_times(series(spark, [800] * 20, "short"), OWNER, ["seq"], "rr_ms")
+    d = long.unionByName(short).withColumn("t_ms", F.col("t_ms").cast("long"))
+    assert [(r["owner"], r["resting_hr"]) for r in as_dicts(B.resting_hr_from_beats(d, OWNER), "owner")] == [("long", 60.0), ("short", 75.0)]
