@@ -457,7 +457,7 @@ def train_large(rows: DataFrame, user: str, key, l2: float, ready_ba: float, rea
         z = F.get("b", 0)
         for j, c in enumerate(cols):
             z = z + F.get("b", j + 1) * F.col(c)
-        got = (scaled.join(F.broadcast(coefs), "session").withColumn("p", (z >= 0).cast("int"))  # one row per session
+        got = (scaled.join(coefs, "session").withColumn("p", (z >= 0).cast("int"))
                .groupBy("y").agg(F.sum((F.col("p") == F.col("y")).cast("long")).alias("h"), F.count("*").alias("n")).collect())
         for r in got:
             hits[int(r["y"])] = [r["h"], r["n"]]
