@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, secrets, spots
-from pulsegrid.llm.base import table
+from pulsegrid.llm import bpe, chat, language, mixing, quality, secrets, spots, transducer
+from pulsegrid.llm.base import id_remainder, table
 from pulsegrid.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,51 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", spots.printed(F.col("own")).alias("fingerprint"), spots.printed(F.col("other")).alias("edited_fingerprint"),
         spots.likeness(F.col("own"), F.col("other")).alias("near_edited"), spots.likeness(F.col("own"), F.col("next")).alias("near_next"),
         spots.length_part(F.col("own")).alias("length_part"))
+
+
+@query("op3_mixing_sources")
+def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False)))
+    model = language.fit(docs, ~F.col("held_out"))
+    return language.identify(docs, model, ["doc_id", "held_out"])
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    return quality.fit(docs, table(spark, sf_dir, "labels"), id_remainder("doc_id", 5) != 0)
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False)))
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir), ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file of the token queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_bpe_encoding")
+def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def encoded(docs: DataFrame, keep: list[str]) -> DataFrame:
+    path = tokenizer_path()
+    ids = bpe.encode(docs, path, keep).select(
+        *keep, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+    return bpe.decode(ids, path, [*keep, "n_tokens", "ids_sha256"], digest=True).withColumnRenamed("decoded", "decoded_sha256")
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = transducer.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+    return n.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
