@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, chat, language, mixing, quality, secrets, spots, transducer
+from pulsegrid.llm import bpe, chat, language, mixing, neardup, neighbours, quality, secrets, spots, transducer
 from pulsegrid.llm.base import id_remainder, table
 from pulsegrid.session import new_folder
 
@@ -121,3 +121,13 @@ def encoded(docs: DataFrame, keep: list[str]) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = transducer.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
     return n.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query("op7_minhash_near_dedup")
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+@query("op6_approximate_neighbours")
+def op6_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
