@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.session import new_folder
@@ -31,3 +31,18 @@ def id_remainder(doc_id: Column | str, modulus: int) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_tag(text: str = "text") -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def join_tagged(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of `docs` whose (id, tag) stands in `chosen` (doc_id, tag, and more columns, which are added as they are), with
+    `_nth`, the number of a row among equal ones, from 1."""
+    extra = [c for c in chosen.columns if c not in ("doc_id", "tag")]
+    c = chosen.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), *extra)
+    j = docs.withColumn("_own", text_tag(text)).join(c, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tag")))
+    nth = F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("_tag"))
+    return j.withColumn("_nth", nth).drop("_id", "_tag", "_own")

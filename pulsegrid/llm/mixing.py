@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.base import SPACE, written
+from pulsegrid.llm.base import SPACE, join_tagged, text_tag, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -31,8 +31,8 @@ WORD = "[^" + SPACE[1:]
 
 
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size in words."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+    """doc_id, tag (of the text), source, size in words."""
+    return docs.select(F.col(doc_id).alias("doc_id"), text_tag(text).alias("tag"), F.col(source).alias("source"),
                        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
@@ -122,7 +122,7 @@ def _parts(count: int) -> list[int]:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", *, seed: int = 17,
         weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, share: float = 1.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken = copies * size; one row per row of `docs`."""
+    """doc_id, tag, source, size, source_size, target, copies, taken = copies * size; one row per row of `docs`."""
     sized = written(sizes(docs, doc_id, text, source), "sizes")
     goal = written(targets(sized, weights, most, share), "targets")
     per_size = sized.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -146,10 +146,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ranges = counted.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("range").alias("_range"),
                             F.coalesce(F.sum("here").over(before), F.lit(0)).alias("earlier"))
     d = d.join(ranges, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("range") == F.col("_range")), "left")
-    place = F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("h", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("h", "doc_id", "tag"))
     d = d.withColumn("place", F.coalesce(F.col("earlier"), F.lit(0)) + place)
     copies = F.when(F.col("ranges").isNull(), 0).otherwise(F.col("copies") + (F.col("place") <= F.col("extra")).cast("int"))
     g = goal.select(F.col("source").alias("_source"), "source_size", "target")
-    return (d.select("doc_id", "source", "size", copies.alias("copies")).join(g, F.col("source").eqNullSafe(F.col("_source")))
-            .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
+    return (d.select("doc_id", "tag", "source", "size", copies.alias("copies")).join(g, F.col("source").eqNullSafe(F.col("_source")))
+            .select("doc_id", "tag", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
 
+
+
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **given) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it."""
+    taken = mix(docs, doc_id, text, source, **given).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
+    j = join_tagged(docs, taken.filter(F.element_at("_copies", 1) > 0), doc_id, text).withColumn("_times", F.element_at("_copies", F.col("_nth")))
+    return j.filter("_times > 0").withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copies", "_nth")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.base import written
+from pulsegrid.llm.base import join_tagged, text_tag, written
 
 SHINGLE = 5
 ROWS, BANDS = 5, 24
@@ -148,7 +148,7 @@ def _content(text: str, h: np.ndarray, count: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, content (16 bytes, equal for equal multisets), sign (two bytes per component; empty without words), bands."""
+    """doc_id, tag (of the text), content (16 bytes, equal for equal multisets), sign (two bytes per component; empty without words), bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -169,12 +169,12 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                     content.append(_content(t, h[lo:hi], count[lo:hi]))
                     sign.append(short[i].tobytes() if lo < hi else b"")
                     bands.append(key[i].view(np.int64) if lo < hi else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(sign, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                                             ["doc_id", "content", "sign", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(content, pa.binary()), pa.array(sign, pa.binary()),
+                                              pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "tag", "content", "sign", "bands"])
 
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), text_tag(text).alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, content binary, sign binary, bands array<long>")
+    return d.mapInArrow(run, f"doc_id {kind}, tag long, content binary, sign binary, bands array<long>")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -282,7 +282,7 @@ def _untested(bucket: DataFrame, found: DataFrame, signs: DataFrame) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """doc_id, class_id (the smallest id of its class), class_size (rows), content; one row per row of `docs`."""
+    """doc_id, tag, class_id (the smallest id of its class), class_size (rows); one row per row of `docs`."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     all_ = written(sketch(texts), "sketch")
     members = written(all_.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("sign").alias("sign"),
@@ -299,4 +299,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     root = members.select("content", "first", "rows").join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     classes = root.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("rows").alias("class_size"))
     named = root.select("content", "root").join(classes, "root").select("content", "class_id", "class_size")
-    return all_.select("doc_id", "content").join(named, "content").select("doc_id", "class_id", "class_size", "content")
+    return all_.select("doc_id", "tag", "content").join(named, "content").select("doc_id", "tag", "class_id", "class_size")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    """The row of `docs` that stands for each class: that of the smallest id; of rows of that id that of the smallest tag."""
+    seen = near_duplicates(docs, doc_id, text, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    stay = seen.groupBy(F.col("doc_id")).agg(F.min("tag").alias("tag"))
+    return join_tagged(docs, stay, doc_id, text).filter("_nth = 1").drop("_nth")

@@ -110,11 +110,13 @@ def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-def encoded(docs: DataFrame, keep: list[str]) -> DataFrame:
+def encoded(docs: DataFrame, keep: list[str], ids: bool = False) -> DataFrame:
+    """`keep`, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
     path = tokenizer_path()
-    ids = bpe.encode(docs, path, keep).select(
+    coded = bpe.encode(docs, path, keep).select(
         *keep, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
-    return bpe.decode(ids, path, [*keep, "n_tokens", "ids_sha256"], digest=True).withColumnRenamed("decoded", "decoded_sha256")
+    kept = [*keep, "n_tokens", "ids_sha256", *(["ids"] if ids else [])]
+    return bpe.decode(coded, path, kept, digest=True).withColumnRenamed("decoded", "decoded_sha256")
 
 
 @query("op8_token_counts")

@@ -96,11 +96,16 @@ def scan(versions: DataFrame, ledger: str, path: str = "doc_id", text: str = "te
     return paths
 
 
+def _current(spark: SparkSession, ledger: str, rules: list[Rule]) -> DataFrame:
+    """Findings of the rules in their versions."""
+    current = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
+    return _ledger(spark, ledger, "findings", FINDINGS).filter(F.array_contains(current, F.struct("rule", "version"))).distinct()
+
+
 def findings_of(paths: DataFrame, ledger: str, rules: list[Rule] = RULES) -> DataFrame:
     """Per row of `paths`: path, blob, spans = its findings (start, k = place of the rule in `rules`, rule, end) in order."""
     spark = paths.sparkSession
-    current = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
-    f = _ledger(spark, ledger, "findings", FINDINGS).filter(F.array_contains(current, F.struct("rule", "version"))).distinct()
+    f = _current(spark, ledger, rules)
     k = F.array_position(F.lit([r.kind for r in rules]), F.col("rule")).cast("int")
     per_blob = f.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", k.alias("k"), "rule", "end"))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,k:int,rule:string,end:bigint>>")
@@ -112,16 +117,21 @@ def named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["rule"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with every found span replaced by a mark; overlapping spans share one."""
-    merged = F.aggregate(
-        spans, F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (s["start"] < F.element_at(done, -1)["end"]),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(
-                F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))
-        ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
-    edges = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), merged)
-    kept = F.transform(edges, lambda e, i: F.substr(
-        text, (e["end"] + 1).cast("int"), F.coalesce(F.get(merged, i)["start"], F.length(text).cast("long")).cast("int") - e["end"].cast("int")))
-    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(kept, mark))
+def masks(ledger: str, spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
+    """blob and cuts, the parts (start, end) of every blob that findings cover, in order and apart from one another."""
+    f = _current(spark, ledger, rules)
+    order = Window.partitionBy("blob").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    f = f.withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("start")).cast("int"))
+    f = f.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = f.groupBy("blob", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return parts.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+
+
+def redact(text: Column, cuts: Column, mark: str = "[secret]") -> Column:
+    """The text with every cut replaced by a mark."""
+    size = F.length(text).cast("long")
+    kept = F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.substr(
+        text, (F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0)) + 1).cast("int"),
+        (F.coalesce(F.get(cuts, i)["start"], size) - F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0))).cast("int")))
+    return F.array_join(kept, mark)
