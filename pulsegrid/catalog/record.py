@@ -149,16 +149,24 @@ def _(spark, sf):
     return R.usage(T.record_table(spark, sf))
 
 
+# a fold over the writes of each user: what each accepted record holds is a map that the next write reads
 @query("record_admission", f"""
-WITH w AS (SELECT user_id, id + 1000 * seq AS id, seq AS arrival, bytes FROM ({T.RECORDS_SQL}) r),
-s AS (SELECT user_id, count(*) AS n0, sum(bytes) AS b0 FROM ({T.RECORD_TABLE_SQL}) t WHERE NOT deleted GROUP BY user_id),
-a AS (SELECT w.*, coalesce(n0, 0) + sum(CASE WHEN bytes <= 60000 THEN 1 ELSE 0 END) OVER o AS n,
-             coalesce(b0, 0) + sum(CASE WHEN bytes <= 60000 THEN bytes ELSE 0 END) OVER o AS b
-      FROM w LEFT JOIN s USING (user_id) WINDOW o AS (PARTITION BY user_id ORDER BY arrival))
-SELECT user_id, id, arrival, bytes, CASE WHEN bytes > 60000 THEN 'too_large' WHEN n > 300 THEN 'records' WHEN b > 5242880 THEN 'bytes' END AS reason FROM a""")
-def _(spark, sf):
-    w = T.record_changes(spark, sf).select("user_id", (F.col("id") + 1000 * F.col("seq")).alias("id"), F.col("seq").alias("arrival"), "bytes")
-    return R.admit(w, T.record_table(spark, sf), max_records=300, max_record=60000)
+WITH RECURSIVE w AS (SELECT user_id, id, seq AS arrival, bytes, row_number() OVER (PARTITION BY user_id ORDER BY seq, id) AS i FROM ({T.RECORDS_SQL}) r),
+s AS (SELECT user_id, map_from_entries(list({{'k': id, 'v': bytes}})) AS m FROM ({T.RECORD_TABLE_SQL}) t WHERE NOT deleted GROUP BY user_id),
+f AS (
+  SELECT u.user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS arrival, CAST(NULL AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS reason,
+         coalesce(s.m, MAP {{}}::MAP(BIGINT, BIGINT)) AS m FROM (SELECT DISTINCT user_id FROM w) u LEFT JOIN s USING (user_id)
+  UNION ALL
+  SELECT user_id, i, id, arrival, bytes, reason,
+         CASE WHEN reason IS NULL THEN map_from_entries(list_append(o, {{'k': id, 'v': bytes}})) ELSE m END FROM (
+    SELECT *, CASE WHEN bytes > 60000 THEN 'too_large' WHEN len(o) >= 280 THEN 'records'
+                   WHEN coalesce(list_sum(list_transform(o, lambda e: e.v)), 0) + bytes > 5242880 THEN 'bytes' END AS reason FROM (
+      SELECT w.*, f.m, list_transform(list_filter(map_entries(f.m), lambda e: e.key <> w.id), lambda e: {{'k': e.key, 'v': e.value}}) AS o
+      FROM f JOIN w ON w.user_id = f.user_id AND w.i = f.i + 1) x) y)
+SELECT user_id, id, arrival, bytes, reason FROM f WHERE i > 0""")
+def _(spark, sf):
+    w = T.record_changes(spark, sf).select("user_id", "id", F.col("seq").alias("arrival"), "bytes")
+    return R.admit(w, T.record_table(spark, sf), max_records=280, max_record=60000)
 
 
 @query("record_hourly_counts", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog import query
+from pulsegrid.plans import tables as T
 from pulsegrid.session import new_folder
 from pulsegrid.streaming import live as L
 
@@ -47,8 +48,23 @@ def _(spark, sf):
     return spark.read.parquet(f"{folder}/table/version={last}").select("user_id", F.col("seq").alias("id"), "event_type")
 
 
-@query("stream_display_trace")
+FRAMES_SQL = f"""
+SELECT concat_ws('-', subject, CAST(floor(idx / 600e0) AS BIGINT)) AS reading, idx * 1000 / 60e0 AS t_ms, 180 + sin(idx / 60e0 * 2 * pi() * 1.2e0) * 2 + temp * 0.1e0 AS r
+FROM ({T.SAMPLES_SQL}) s"""
+
+
+@query("stream_display_trace", f"""
+WITH RECURSIVE f AS (SELECT reading, t_ms, r, row_number() OVER (PARTITION BY reading ORDER BY t_ms) AS i FROM ({FRAMES_SQL}) x),
+z AS (
+  SELECT reading, i, t_ms, -r AS slow, 0e0 AS fast FROM f WHERE i = 1
+  UNION ALL
+  SELECT reading, i, t_ms, s1, f0 + (x - s1 - f0) * (1 - exp(-dt / 0.07e0)) FROM (
+    SELECT *, s0 + (x - s0) * (1 - exp(-dt / 1.2e0)) AS s1 FROM (
+      SELECT f.reading, f.i, f.t_ms, -f.r AS x, least(0.2e0, (f.t_ms - z.t_ms) / 1000) AS dt,
+             CASE WHEN abs(-f.r - z.slow) > 25 THEN -f.r ELSE z.slow END AS s0, CASE WHEN abs(-f.r - z.slow) > 25 THEN 0e0 ELSE z.fast END AS f0
+      FROM z JOIN f ON f.reading = z.reading AND f.i = z.i + 1) a) b)
+SELECT reading, round(t_ms, 3) AS t_ms, round(fast, 4) + 0e0 AS v FROM z""")
 def _(spark, sf):
     from pulsegrid.catalog.signal import frames
 
-    return L.trace(frames(spark, sf)).select("reading", F.round("t_ms", 3).alias("t_ms"), F.round("v", 6).alias("v"))
+    return L.trace(frames(spark, sf)).select("reading", F.round("t_ms", 3).alias("t_ms"), (F.round("v", 4) + F.lit(0.0)).alias("v"))

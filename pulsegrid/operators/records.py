@@ -6,8 +6,12 @@ number; heads(user_id, seq, pruned_seq).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pulsegrid import constants as K
 from pulsegrid.operators.ordered import Ordered, sized
@@ -182,23 +186,38 @@ def usage(records: DataFrame) -> DataFrame:
 
 
 def admit(writes: DataFrame, current: DataFrame, *, max_records: int = K.MAX_RECORDS, max_bytes: int = K.MAX_USER_BYTES,
-          max_record: int = K.MAX_RECORD_BYTES, **ordered) -> DataFrame:
+          max_record: int = K.MAX_RECORD_BYTES) -> DataFrame:
     """Quota check of writes in arrival order; `reason` is NULL when a write fits.
 
-    Counts the stored live rows plus the writes of the batch that came before, without the record itself.
+    A write is held against the user's other live rows: stored ones and writes accepted before it, each record once. A
+    refused write uses nothing. Users are dealt to tasks and their writes streamed in order; what a task remembers is one
+    user's written ids, of which at most `max_records` are accepted, so a user may have any number of writes.
     """
     live = current.filter(~F.col("deleted")).select(*KEY, F.col("bytes").alias("_own"))
     d = (writes.join(usage(current).withColumnsRenamed({"n_records": "_n0", "bytes": "_b0"}), "user_id", "left")
-         .join(live, KEY, "left"))
-    size_ok = F.col("bytes") <= max_record
-    d = d.withColumn("_new", F.when(size_ok & F.col("_own").isNull(), 1).otherwise(0)).withColumn(
-        "_add", F.when(size_ok, F.col("bytes") - F.coalesce("_own", F.lit(0))).otherwise(0))
-    o = Ordered(d, ["user_id"], ["arrival", "id"], **ordered).running(
-        {"_rn": ("sum", F.col("_new")), "_rb": ("sum", F.col("_add"))})
-    n = F.coalesce("_n0", F.lit(0)) + F.col("_rn")
-    b = F.coalesce("_b0", F.lit(0)) + F.col("_rb")
-    reason = F.when(~size_ok, "too_large").when(n > max_records, "records").when(b > max_bytes, "bytes")
-    return o.rows.withColumn("reason", reason).drop("_n0", "_b0", "_own", "_new", "_add", "_rn", "_rb")
+         .join(live, KEY, "left").fillna(0, ["_n0", "_b0"]))
+    names = [*writes.columns, "reason"]
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, held, n, total = None, {}, 0, 0
+        for frame in frames:
+            reasons = []
+            for row in frame[["user_id", "id", "bytes", "_own", "_n0", "_b0"]].itertuples(index=False):
+                if row[0] != user:
+                    user, held, n, total = row[0], {}, int(row[4]), int(row[5])
+                size = int(row[2])
+                old = held[row[1]] if row[1] in held else None if pd.isna(row[3]) else int(row[3])
+                others, rest = (n, total) if old is None else (n - 1, total - old)
+                reason = ("too_large" if size > max_record else "records" if others >= max_records
+                          else "bytes" if rest + size > max_bytes else None)
+                if reason is None:
+                    held[row[1]], n, total = size, others + 1, rest + size
+                reasons.append(reason)
+            frame["reason"] = pd.Series(reasons, index=frame.index, dtype=object)
+            yield frame[names]
+
+    schema = StructType([*writes.schema.fields, StructField("reason", StringType())])
+    return d.repartition("user_id").sortWithinPartitions("user_id", "arrival", "id").mapInPandas(fold, schema)
 
 
 def hourly_counts(events: DataFrame, key: list[str], ts: str, limit: int) -> DataFrame:

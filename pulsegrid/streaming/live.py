@@ -13,12 +13,13 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid import constants as K
+from pulsegrid.session import checkpointed
 
 # how long rows are kept for late arrivals, per kind of live data
 RETENTION = {"beats": "20 minutes", "frames": "90 seconds", "acceleration": "5 minutes"}
@@ -222,55 +223,90 @@ def held_back_beats(detections: DataFrame, key: str = "reading", *, apart_ms: fl
         step, f"{key} {key_type}, t_ms double, rr_ms double, hr double", "last double, recent array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def ema_step(slow: float, fast: float, last: float, t: float, r: float) -> tuple[float, float]:
-    """One frame of the display trace: a slow average removes the level, a fast one smooths; a step of more than
-    25 starts over."""
-    dt = min(0.2, (t - last) / 1000) if math.isfinite(last) else 1 / 30
-    x = -r
-    if not math.isfinite(slow) or abs(x - slow) > 25:
-        slow, fast = x, 0.0
-    slow += (x - slow) * (1 - math.exp(-dt / 1.2))
-    fast += (x - slow - fast) * (1 - math.exp(-dt / 0.07))
-    return slow, fast
+# display trace: seconds over which the level and the smoothed wave forget, the longest gap that counts, the gap of a first
+# frame, and the step that starts anew (fixed values)
+LEVEL_S, WAVE_S, GAP_S, FIRST_S, RESTART = 1.2, 0.07, 0.2, 1 / 30, 25
+TRACE_STATE = "level double, wave double, last double"
+
+
+def follow(state: tuple | None, t: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Wave of every frame after `state` = (level, wave, last), and the state after the last frame.
+
+    Level and wave decay towards their targets by the time since the frame before. Only where the signal leaves the level
+    by more than `RESTART` does the past end.
+    """
+    level, wave, last = state or (math.nan, 0.0, math.nan)
+    gaps = np.minimum(np.diff(t, prepend=last) / 1000, GAP_S)
+    gaps[~np.isfinite(gaps)] = FIRST_S
+    keep_level, keep_wave = np.exp(-gaps / LEVEL_S).tolist(), np.exp(-gaps / WAVE_S).tolist()
+    out = []
+    for x, a, b in zip((-r).tolist(), keep_level, keep_wave):
+        if not abs(x - level) <= RESTART:
+            level, wave = x, 0.0
+        level = x - (x - level) * a
+        target = x - level
+        wave = target - (target - wave) * b
+        out.append(wave)
+    return np.array(out), (level, wave, float(t[-1]) if len(t) else last)
 
 
 def live_trace(frames: DataFrame, key: str = "reading") -> DataFrame:
     """Display trace of a frame stream (reading, t_ms, r)."""
     def step(k, batches, state):
-        slow, fast, last = state.get if state.exists else (math.nan, 0.0, math.nan)
-        out = []
-        for row in _rows(batches, "t_ms").itertuples():
-            slow, fast = ema_step(slow, fast, last, row.t_ms, row.r)
-            last = float(row.t_ms)
-            out.append((k[0], last, fast))
-        state.update((slow, fast, last))
-        yield pd.DataFrame(out, columns=[key, "t_ms", "v"])
+        rows = _rows(batches, "t_ms")
+        t = rows["t_ms"].to_numpy(float)
+        v, after = follow(tuple(state.get) if state.exists else None, t, rows["r"].to_numpy(float))
+        state.update(after)
+        yield pd.DataFrame({key: [k[0]] * len(t), "t_ms": t, "v": v})
 
     key_type = frames.schema[key].dataType.simpleString()
-    return frames.groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, t_ms double, v double", "slow double, fast double, last double",
+    return frames.groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, t_ms double, v double", TRACE_STATE,
                                                       "append", GroupStateTimeout.NoTimeout)
 
 
-def trace(frames: DataFrame, key: str = "reading", chunk_ms: int = 60_000, warm_ms: int = 20_000) -> DataFrame:
-    """The same trace over stored frames. The averages forget within seconds, so a long reading is cut into chunks
-    that start `warm_ms` early (e^(-20/1.2) is under 1e-7); a reading of up to `chunk_ms` is exact."""
-    start = frames.groupBy(key).agg(F.min("t_ms").alias("_t0"))
-    d = frames.join(start, key).withColumn("_own", F.floor((F.col("t_ms") - F.col("_t0")) / F.lit(float(chunk_ms))))
-    late = (F.col("t_ms") - F.col("_t0")) % chunk_ms >= chunk_ms - warm_ms
-    d = d.withColumn("_home", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_ms")
-        slow, fast, last = math.nan, 0.0, math.nan
-        v = np.empty(len(pdf))
-        for i, (t, r) in enumerate(zip(pdf["t_ms"], pdf["r"])):
-            slow, fast = ema_step(slow, fast, last, t, r)
-            last, v[i] = t, fast
-        out = pd.DataFrame({key: pdf[key], "t_ms": pdf["t_ms"].astype(float), "v": v})
-        return out[(pdf["_own"] == pdf["_home"]).to_numpy()]
+def trace(frames: DataFrame, key: str = "reading", chunk_ms: int = 60_000) -> DataFrame:
+    """The same trace over stored frames, equal for every length and chunk size.
 
-    key_type = frames.schema[key].dataType.simpleString()
-    return d.select(key, "t_ms", "r", "_own", "_home").groupBy(key, "_home").applyInPandas(fold, f"{key} {key_type}, t_ms double, v double")
+    A reading is cut into chunks of `chunk_ms`. First every chunk is followed from nothing; then, as long as some chunk's
+    start differs from what its predecessor ended with, those chunks are followed again from there. The averages forget
+    within seconds, so few rounds are needed, but the end does not depend on it.
+    """
+    kind = frames.schema[key].dataType.simpleString()
+    start = frames.groupBy(key).agg(F.min("t_ms").alias("_t0"))
+    d = checkpointed(frames.join(start, key).select(
+        key, F.col("t_ms").cast("double").alias("t_ms"), F.col("r").cast("double").alias("r"), F.floor((F.col("t_ms") - F.col("_t0")) / F.lit(float(chunk_ms))).alias("_chunk")))
+    before = Window.partitionBy(key).orderBy("_chunk")
+
+    def run(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, tuple]:
+        pdf = pdf.sort_values("t_ms", kind="stable")
+        first = pdf[["level", "wave", "last"]].iloc[0]
+        v, after = follow(None if pd.isna(first["last"]) else tuple(first), pdf["t_ms"].to_numpy(), pdf["r"].to_numpy())
+        return pdf, v, after
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, after = run(pdf)
+        return pd.DataFrame([[pdf[key].iloc[0], pdf["_chunk"].iloc[0], *after]], columns=[key, "_chunk", "level", "wave", "last"])
+
+    def waves(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, v, _ = run(pdf)
+        return pd.DataFrame({key: pdf[key], "t_ms": pdf["t_ms"], "v": v})
+
+    none = [F.lit(None).cast("double").alias(c) for c in ("level", "wave", "last")]
+    chunks = d.groupBy(key, "_chunk").agg(F.count("*").alias("_n"))
+    used = checkpointed(chunks.select(key, "_chunk", *none))
+    if not chunks.filter("_chunk > 0").isEmpty():
+        todo, done = used, None
+        while not todo.isEmpty():
+            new = d.join(todo, [key, "_chunk"]).groupBy(key, "_chunk").applyInPandas(ends, f"{key} {kind}, _chunk long, {TRACE_STATE}")
+            done = checkpointed(new if done is None else done.join(new, [key, "_chunk"], "left_anti").unionByName(new))
+            ended = F.struct("level", "wave", "last")
+            starts = done.select(key, "_chunk", F.lag(ended).over(before).alias("_s")).select(key, "_chunk", "_s.*")
+            old = used.withColumnsRenamed({"level": "_a", "wave": "_b", "last": "_c"})
+            todo = checkpointed(starts.join(old, [key, "_chunk"]).filter(
+                ~(F.col("level").eqNullSafe(F.col("_a")) & F.col("wave").eqNullSafe(F.col("_b")) & F.col("last").eqNullSafe(F.col("_c")))
+            ).select(key, "_chunk", "level", "wave", "last"))
+            used = checkpointed(used.join(todo, [key, "_chunk"], "left_anti").unionByName(todo))
+    return d.join(used, [key, "_chunk"]).groupBy(key, "_chunk").applyInPandas(waves, f"{key} {kind}, t_ms double, v double")
 
 
 def phase_intervals(events: DataFrame, session: str = "session") -> DataFrame:

@@ -115,6 +115,29 @@ def test_admission(spark):
     assert [x["reason"] for x in r] == [None, None, None, "too_large", "records"]
 
 
+def test_refused_writes_use_nothing(spark):
+    w = spark.createDataFrame([(1, i, n, b) for n, (i, b) in enumerate([("x", 60), ("y", 50), ("z", 30), ("x", 60)])], "user_id long, id string, arrival long, bytes long")
+    r = as_dicts(R.admit(w, table(spark, []), max_records=3, max_bytes=100), "arrival")
+    assert [x["reason"] for x in r] == [None, "bytes", None, None]
+
+
+def test_admission_against_replay(spark):
+    import random
+    rng = random.Random(3)
+    cur = [(i, n, rng.random() < 0.3, rng.randint(1, 30), 1) for n, i in enumerate("abcdef")]
+    rows = [(rng.choice([1, 2]), rng.choice("abcdefghij"), n, rng.randint(1, 60)) for n in range(300)]
+    state, want = {1: {i: b for i, _, d, b, _ in cur if not d}, 2: {}}, []
+    for u, i, _, b in rows:
+        rest = {k: v for k, v in state[u].items() if k != i}
+        why = "too_large" if b > 55 else "records" if len(rest) >= 5 else "bytes" if sum(rest.values()) + b > 120 else None
+        if why is None:
+            state[u] = rest | {i: b}
+        want.append(why)
+    w = spark.createDataFrame(rows, "user_id long, id string, arrival long, bytes long")
+    got = as_dicts(R.admit(w, table(spark, cur), max_records=5, max_bytes=120, max_record=55), "arrival")
+    assert [x["reason"] for x in got] == want and len(set(want)) == 4
+
+
 def test_hourly_admission(spark):
     d = spark.createDataFrame([("k", i, datetime(2024, 1, 1, 10 + i // 3)) for i in range(6)], "key string, id long, ts timestamp")
     assert R.admit_hourly(d, ["key"], "ts", "id", 2).count() == 4

@@ -94,8 +94,38 @@ def test_trace_batch_equals_stream(spark, tmp_path):
     got = run_state(spark, tmp_path, rows, schema, L.live_trace, lambda r: len(r) == 600)
     want = as_dicts(L.trace(spark.createDataFrame(rows, schema)), "t_ms")
     assert [r["v"] for r in got] == pytest.approx([r["v"] for r in want])
-    cut = as_dicts(L.trace(spark.createDataFrame(rows, schema), chunk_ms=15_000, warm_ms=14_000), "t_ms")
-    assert [r["v"] for r in cut] == pytest.approx([r["v"] for r in want], abs=1e-3)
+
+
+def whole_trace(t, r):
+    """The trace by its definition, frame by frame."""
+    import math
+    out, slow, fast, last = [], None, 0.0, None
+    for now, x in zip(t, (-v for v in r)):
+        dt = 1 / 30 if last is None else min(0.2, (now - last) / 1000)
+        if slow is None or abs(x - slow) > 25:
+            slow, fast = x, 0.0
+        slow += (x - slow) * (1 - math.exp(-dt / 1.2))
+        fast += (x - slow - fast) * (1 - math.exp(-dt / 0.07))
+        last = now
+        out.append(fast)
+    return out
+
+
+def test_trace_of_long_readings_is_exact(spark):
+    import math
+    import random
+    rng = random.Random(1)
+    t = [i * 1000 / 60 for i in range(9000)]
+    waves = {f"slope{k}": [5000 - x / 1000 * k for x in t] for k in (18, 20.83, 21, 21.5, 22)}
+    waves |= {f"zigzag{p}": [40 + 180 * abs((x / 1000 % p) / p * 2 - 1) for x in t] for p in (15.0, 16.6, 17.0, 17.3, 18.1)}
+    waves |= {"noise": [200 + rng.gauss(0, 9) for _ in t], "sine": [130 + 24.9 * math.sin(x / 300) for x in t]}
+    df = spark.createDataFrame([(k, a, b) for k, w in waves.items() for a, b in zip(t, w)], "reading string, t_ms double, r double").repartition(4)
+    for chunk in (60_000, 25_000):
+        got = {}
+        for r in L.trace(df, chunk_ms=chunk).collect():
+            got.setdefault(r["reading"], []).append((r["t_ms"], r["v"]))
+        for k, w in waves.items():
+            assert [v for _, v in sorted(got[k])] == pytest.approx(whole_trace(t, w), abs=1e-9)
 
 
 def test_phase_intervals(spark, tmp_path):
