@@ -96,16 +96,16 @@ def _(spark, sf):
 
 
 BREATH = f"""
-WITH b AS (SELECT *, t_ms / 1000e0 AS s, CASE WHEN rr_ms > 0 THEN 60000e0 / rr_ms ELSE hr END AS h, 40 + run % 30 AS done FROM ({T.BREATH_SQL}) z),
+WITH b AS (SELECT *, t_ms / 1000e0 AS s, CASE WHEN rr_ms > 0 THEN 60000e0 / rr_ms ELSE hr END AS h, 50 AS done FROM ({T.BREATH_SQL}) z),
 i AS (SELECT * FROM b WHERE t_ms <= done * 1000), v AS (SELECT * FROM i WHERE h > 30 AND h < 220),
 w AS (SELECT run, CAST(floor(s / 10e0) AS BIGINT) AS breath, max(h) - min(h) AS swing FROM v WHERE (floor(s / 10e0) + 1) * 10 <= done GROUP BY ALL HAVING count(*) >= 4)"""
 
 
 @query("activity_breathing", BREATH + f""",
 n AS (SELECT run, count(*) AS n FROM i GROUP BY run), e AS (SELECT run, avg(h) FILTER (WHERE s < 30) AS a, avg(h) FILTER (WHERE s > done - 30) AS b FROM v GROUP BY run), r AS (SELECT run, avg(swing) AS rsa FROM w GROUP BY run)
-SELECT u.run, CAST(floor((40 + u.run % 30) / 10e0) AS BIGINT) AS breaths, {up('least(1e0, (40 + u.run % 30) / 60e0) * 100', 0)} AS completed_pct, CASE WHEN n >= 5 THEN {up('a')} END AS hr_start,
+SELECT u.run, 5 AS breaths, {up('50 / 60e0 * 100', 0)} AS completed_pct, CASE WHEN n >= 5 THEN {up('a')} END AS hr_start,
  CASE WHEN n >= 5 THEN {up('b')} END AS hr_end, CASE WHEN n >= 5 THEN {up('b - a')} END AS hr_change, CASE WHEN n >= 5 THEN {up('rsa')} END AS rsa_bpm
-FROM (SELECT DISTINCT user_id AS run FROM events) u LEFT JOIN n USING (run) LEFT JOIN e USING (run) LEFT JOIN r USING (run)""")
+FROM (SELECT DISTINCT run FROM b) u LEFT JOIN n USING (run) LEFT JOIN e USING (run) LEFT JOIN r USING (run)""")
 def _(spark, sf):
     return A.breathing_metrics(*T.breathing(spark, sf))
 

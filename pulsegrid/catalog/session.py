@@ -1,4 +1,5 @@
-"""Sessions over the beat view: phases of 180 s rest, 240 s challenge and 180 s recovery."""
+"""Sessions over the beat view: every subject's beats cut into sessions of 600 s, each with phases of 180 s rest, 240 s
+challenge and 180 s recovery. Time counts from the start of the session."""
 
 from __future__ import annotations
 
@@ -13,10 +14,10 @@ from pulsegrid.plans import activity_tables as A
 from pulsegrid.plans import tables as T
 
 BEATS_SQL = f"""
-SELECT subject AS session, seq, t_ms, CASE WHEN seq % 9 = 0 THEN NULL WHEN t_ms >= 180000 AND t_ms < 420000 THEN rr_ms * 4 // 5 ELSE rr_ms END AS rr_ms,
-       60 + seq % 20 AS hr FROM ({T.BEATS_SQL}) b"""
-PHASES_SQL = """
-SELECT DISTINCT user_id % 15 AS session, phase, a AS start_ms, b AS end_ms FROM events,
+SELECT session, seq, t_ms, CASE WHEN seq % 9 = 0 THEN NULL WHEN t_ms >= 180000 AND t_ms < 420000 THEN rr_ms * 4 // 5 ELSE rr_ms END AS rr_ms, 60 + seq % 20 AS hr
+FROM (SELECT subject * 1000000 + t_ms // 600000 AS session, seq, t_ms % 600000 AS t_ms, rr_ms FROM ({T.BEATS_SQL}) b) s"""
+PHASES_SQL = f"""
+SELECT session, phase, a AS start_ms, b AS end_ms FROM (SELECT DISTINCT session FROM ({BEATS_SQL}) b) s,
  (VALUES ('rest', 0, 180000), ('challenge', 180000, 420000), ('recovery', 420000, 600000)) v(phase, a, b)"""
 SERIES_SQL = f"""
 SELECT session, CAST(floor(t_ms / 5000e0) AS BIGINT) * 5 + 2.5e0 AS t, {up('avg(h)')} AS hr FROM (
@@ -26,13 +27,15 @@ SELECT session, CAST(floor(t_ms / 5000e0) AS BIGINT) * 5 + 2.5e0 AS t, {up('avg(
 def session_beats(spark, sf):
     t = F.col("t_ms")
     rr = F.when(F.col("seq") % 9 == 0, None).when((t >= 180000) & (t < 420000), F.floor(F.col("rr_ms") * 4 / F.lit(5))).otherwise(F.col("rr_ms"))
-    return T.beats(spark, sf).select(F.col("subject").alias("session"), "seq", "t_ms", rr.cast("long").alias("rr_ms"), (60 + F.col("seq") % 20).alias("hr"))
+    session = F.col("subject") * 1000000 + F.floor(t / F.lit(600000.0))
+    b = T.beats(spark, sf).select(session.alias("session"), "seq", (t % 600000).alias("t_ms"), "rr_ms")
+    return b.select("session", "seq", "t_ms", rr.cast("long").alias("rr_ms"), (60 + F.col("seq") % 20).alias("hr"))
 
 
 def phases(spark, sf):
     cells = F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(a).alias("start_ms"), F.lit(b).alias("end_ms"))
                       for p, a, b in (("rest", 0, 180000), ("challenge", 180000, 420000), ("recovery", 420000, 600000))])
-    return T.table(spark, sf, "events").select((F.col("user_id") % 15).alias("session")).distinct().select("session", F.inline(cells))
+    return session_beats(spark, sf).select("session").distinct().select("session", F.inline(cells))
 
 
 def starts(spark, sf):
@@ -65,9 +68,9 @@ h AS (SELECT session, {up('min(t) - 420', 0)} AS half FROM r JOIN b USING (sessi
 """
 
 
-@query("session_summary_numbers", SUMMARY_SQL + """
+@query("session_summary_numbers", SUMMARY_SQL + f"""
 SELECT u.session, rest_hr, challenge_hr, hr_rise, half AS recovery_half_time_s, recovery_end_hr
-FROM (SELECT DISTINCT user_id % 15 AS session FROM events) u LEFT JOIN b USING (session) LEFT JOIN h USING (session)""")
+FROM (SELECT DISTINCT session FROM ({BEATS_SQL}) b) u LEFT JOIN b USING (session) LEFT JOIN h USING (session)""")
 def _(spark, sf):
     return S.summary_numbers(S.hr_series(session_beats(spark, sf), starts(spark, sf)), phases(spark, sf))
 
@@ -144,7 +147,7 @@ def _(spark, sf):
 
 
 @query("session_summary_text", SUMMARY_SQL + f"""
-, i AS (SELECT DISTINCT user_id % 15 AS session, CASE WHEN user_id % 15 % 4 = 0 THEN NULL ELSE 'Strap' END AS device, user_id % 15 % 5 = 0 AS aborted FROM events),
+, i AS (SELECT DISTINCT session, CASE WHEN session % 4 = 0 THEN NULL ELSE 'Strap' END AS device, session % 5 = 0 AS aborted FROM ({BEATS_SQL}) b),
 x AS (SELECT i.*, CASE WHEN session % 4 = 0 THEN NULL ELSE rest_hr END AS rest_hr, CASE WHEN session % 4 = 0 THEN NULL ELSE challenge_hr END AS challenge_hr, CASE WHEN session % 4 = 0 THEN NULL ELSE hr_rise END AS hr_rise, half, recovery_end_hr FROM i LEFT JOIN b USING (session) LEFT JOIN h USING (session))
 SELECT session, concat_ws(' ',
  CASE WHEN hr_rise IS NULL AND device IS NULL THEN 'No heart-rate device was connected, so only the activities were measured.' WHEN hr_rise IS NULL THEN 'Too few beats came through from ' || device || ' to compare the phases.'

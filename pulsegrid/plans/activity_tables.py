@@ -114,18 +114,20 @@ def sums(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- body ---------------------------------------------------------------------------------------------
 
+# a user's beats as one paced run after another, stopped after 50 of 60 seconds; time counts from the start of the run
 BREATH_SQL = f"""
-SELECT run, sum(rr) OVER (PARTITION BY run ORDER BY seq) AS t_ms, CASE WHEN e % 9 = 0 THEN NULL ELSE rr END AS rr_ms, 60 + e % 20 AS hr FROM (
- SELECT run, seq, e, 700 + CAST(floor(v * 3) AS BIGINT) AS rr FROM ({BASE_SQL}) b) c"""
+SELECT user_id * 1000000 + t // 50000 AS run, t % 50000 AS t_ms, rr_ms, hr FROM (
+ SELECT run AS user_id, CAST(sum(rr) OVER (PARTITION BY run ORDER BY seq) AS BIGINT) AS t, CASE WHEN e % 9 = 0 THEN NULL ELSE rr END AS rr_ms, 60 + e % 20 AS hr FROM (
+  SELECT run, seq, e, 700 + CAST(floor(v * 3) AS BIGINT) AS rr FROM ({BASE_SQL}) b) c) d"""
 
 
 def breathing(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    e = F.col("e")
+    e, part = F.col("e"), F.floor(F.col("t_ms") / F.lit(50000.0))
     d = base(spark, sf).withColumn("rr", 700 + F.floor(F.col("v") * 3))
     beats = (Ordered(d, ["run"], ["seq"]).running({"t_ms": ("sum", F.col("rr"))}).rows
-             .select("run", "t_ms", F.when(e % 9 != 0, F.col("rr")).alias("rr_ms"), (60 + e % 20).alias("hr")))
+             .select((F.col("run") * 1000000 + part).alias("run"), "t_ms", F.when(e % 9 != 0, F.col("rr")).alias("rr_ms"), (60 + e % 20).alias("hr")))
     runs = beats.select("run").distinct().select(
-        "run", F.lit(0).cast("long").alias("started_ms"), F.lit(60).alias("duration_s"), (40 + F.col("run") % 30).alias("completed_s"))
+        "run", (F.col("run") % 1000000 * 50000).alias("started_ms"), F.lit(60).alias("duration_s"), F.lit(50).alias("completed_s"))
     return beats, runs
 
 

@@ -22,3 +22,12 @@ def test_sql_keys_and_columns():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, text in sql.items():
         assert con.sql(text).columns, name
+
+
+def test_every_beat_is_in_a_phase_at_every_size(spark):
+    from pulsegrid.catalog import all_queries
+
+    run = all_queries()["session_points_in_phases"].run
+    for folder in (SF, SF.replace("0.001", "0.1")):
+        beats = spark.read.parquet(f"{folder}/events.parquet").count()
+        assert run(spark, folder).groupBy().sum("n").first()[0] == beats
