@@ -129,10 +129,9 @@ def _(spark, sf):
     return M.score_personal(M.train_personal(runs), runs).select("user_id", "run", "y", *r6("score"))
 
 
-@query("model_holdout_split")
+@query("model_holdout_split", f"SELECT id, y, CAST('0x' || substr(md5('0:' || y || ':' || id), 1, 8) AS BIGINT) % 10000 < 2000 AS is_test FROM ({T.SCORED_SQL}) s")
 def _(spark, sf):
-    d = M.holdout(T.scored(spark, sf), "y", F.col("id"))
-    return d.groupBy("y", "is_test").agg(F.count("*").alias("n"))
+    return M.holdout(T.scored(spark, sf), "y", F.col("id")).select("id", "y", "is_test")
 
 
 @query("model_table_scores", f"""

@@ -221,14 +221,18 @@ def _(spark, sf):
     return T.table(spark, sf, "customer").select("c_custkey", X.key_of(F.col("c_name")).alias("key"))
 
 
-@query("scalar_sealed_roundtrip", "SELECT c_custkey, c_name AS opened FROM customer")
+# opened again, 12 bytes of IV and 16 of tag longer, sealed differently for another record, and closed to it
+@query("scalar_sealed_roundtrip", """
+SELECT c_custkey, c_name AS opened, strlen(c_name) + 28 AS sealed_bytes, false AS same_elsewhere, false AS opens_elsewhere FROM customer""")
 def _(spark, sf):
     c = T.table(spark, sf, "customer")
     key, kind = F.unhex(F.lit("000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f")), F.lit("checkin")
-    rid = F.col("c_custkey").cast("string")
+    rid, other = F.col("c_custkey").cast("string"), (F.col("c_custkey") + 1).cast("string")
     iv = F.unhex(F.substring(F.sha2(rid, 256), 1, 24))
-    sealed = c.withColumn("s", X.seal(F.col("c_name"), key, iv, rid, kind))
-    return sealed.select("c_custkey", X.unseal(F.col("s"), key, rid, kind).cast("string").alias("opened"))
+    sealed = c.withColumns({"s": X.seal(F.col("c_name"), key, iv, rid, kind), "o": X.seal(F.col("c_name"), key, iv, other, kind)})
+    wrong = F.try_aes_decrypt("s", key, F.lit("GCM"), F.lit("DEFAULT"), F.concat_ws("|", other, kind))
+    return sealed.select("c_custkey", X.unseal(F.col("s"), key, rid, kind).cast("string").alias("opened"), F.octet_length("s").alias("sealed_bytes"),
+                         (F.col("s") == F.col("o")).alias("same_elsewhere"), wrong.isNotNull().alias("opens_elsewhere"))
 
 
 @query("scalar_dates", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog import query
+from pulsegrid.catalog.beat import features_sql
 from pulsegrid.plans import tables as T
 from pulsegrid.session import new_folder
 from pulsegrid.streaming import live as L
@@ -29,13 +30,19 @@ def _(spark, sf):
     return out.select("event_type", F.col("win_start").cast("timestamp_ntz").alias("win_start"), "n", F.round("value", 6).alias("value"))
 
 
+SLIDING_SQL = """
+SELECT user_id % 15 AS owner, epoch_us(ts) AS t_us, event_id, 700 + value AS rr_ms,
+       unnest(range(CAST(floor((epoch_us(ts) - 3600000000) / 900000000e0) AS BIGINT) + 1, CAST(floor(epoch_us(ts) / 900000000e0) AS BIGINT) + 1)) * 900000000 AS s FROM events"""
+
+
 @query("stream_sliding_windows", f"""
-WITH w AS (SELECT user_id % 15 AS owner, value, unnest(range(CAST(floor((epoch_us(ts) - 3600000000) / 900000000e0) AS BIGINT) + 1, CAST(floor(epoch_us(ts) / 900000000e0) AS BIGINT) + 1)) * 900000000 AS s FROM events)
-SELECT owner, make_timestamp(s) AS win_start, count(*) AS n FROM w WHERE make_timestamp(s) + INTERVAL 1 HOUR <= {CLOSED} GROUP BY owner, s""")
+SELECT owner, make_timestamp(s) AS win_start, n_beats AS n, n_clean, round(rejected, 6) AS rejected, round(hr_mean, 6) AS hr_mean
+FROM ({features_sql(SLIDING_SQL, 'owner, s', 't_us', 'owner, s, t_us', '3600')}) f WHERE make_timestamp(s) + INTERVAL 1 HOUR <= {CLOSED}""")
 def _(spark, sf):
     b = events(spark, sf).select((F.col("user_id") % 15).alias("owner"), "ts", (700 + F.col("value")).alias("rr_ms"))
     out = L.run_once(L.stream_windows(b, window_s=3600, stride_s=900), new_folder(spark, "sliding"))
-    return out.select("owner", F.col("win_start").cast("timestamp_ntz").alias("win_start"), F.col("n_beats").alias("n"))
+    return out.select("owner", F.col("win_start").cast("timestamp_ntz").alias("win_start"), F.col("n_beats").alias("n"), "n_clean",
+                      *[F.round(c, 6).alias(c) for c in ("rejected", "hr_mean")])
 
 
 @query("stream_latest_changes", "SELECT user_id, max(event_id) AS id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")

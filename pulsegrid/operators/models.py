@@ -309,8 +309,9 @@ def fit_trees(df: DataFrame, y: str, features: list[str], *, rounds: int = 150,
 
 
 def holdout(df: DataFrame, y: str, key: Column, share: float = 0.2, seed: int = 0) -> DataFrame:
-    """Deterministic stratified split: the row's hash decides within its class; adds `is_test`."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(y), key), F.lit(10_000))
+    """Deterministic stratified split: the MD5 of seed, class and key, read in hex, decides; adds `is_test`."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.col(y).cast("string"), key.cast("string"))
+    bucket = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % 10_000
     return df.withColumn("is_test", bucket < int(share * 10_000))
 
 
@@ -320,17 +321,24 @@ def _newton_step(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(h, g, rcond=None)[0]
 
 
+def _spread(mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """Standard deviation to scale by; 1 for values that are equal but for rounding."""
+    return np.where(var > 1e-12 * (1 + mean ** 2), np.sqrt(np.maximum(var, 0)), 1.0)
+
+
 def train_personal(runs: DataFrame, *, l2: float = 1.0, ready_ba: float = 0.7, ready_n: int = 6, user: str = "user_id",
                    session: str = "session", small: int = 200_000) -> DataFrame:
     """One model per (user, activity) from labelled runs (columns y, activity, session, metrics).
 
     Features present in at least 80 % of the runs (and twice) are used, rows need all of them and both classes.
     Models are checked leaving one session out. Runs are first reduced to sessions' rows with their feature
-    array; a group of up to `small` rows is fitted in one task, larger groups by `train_large`.
+    array. `small` says where a group is fitted, not how: up to so many rows in one task, beyond by `train_large` with the
+    same rules, scale and solver. Values that are not finite count as missing.
     """
     from pulsegrid.operators.sessions import personal_rows
 
-    rows = personal_rows(runs).select(user, "activity", F.col(session).cast("string").alias("session"), "y", "x").filter("x IS NOT NULL")
+    finite = F.transform("x", lambda v: F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v))
+    rows = personal_rows(runs).select(user, "activity", F.col(session).cast("string").alias("session"), "y", finite.alias("x")).filter("x IS NOT NULL")
     sizes = rows.groupBy(user, "activity").agg(F.count("*").alias("_n"))
     top = sizes.agg(F.max("_n")).first()[0] or 0
     if top <= small:
@@ -357,8 +365,8 @@ def _fit_groups(rows: DataFrame, user: str, l2: float, ready_ba: float, ready_n:
     user_type = rows.schema[user].dataType.simpleString()
 
     def newton(x, y):
-        mu, sd = x.mean(axis=0), x.std(axis=0)
-        sd = np.where(sd > 0, sd, 1.0)
+        mu = x.mean(axis=0)
+        sd = _spread(mu, x.var(axis=0))
         z = np.column_stack([np.ones(len(x)), (x - mu) / sd])
         beta = np.zeros(z.shape[1])
         ridge = np.diag(np.r_[0.0, np.full(z.shape[1] - 1, l2)])
@@ -429,7 +437,7 @@ def train_large(rows: DataFrame, user: str, key, l2: float, ready_ba: float, rea
     keep_n = np.array([n.sum() - (n[i] if i >= 0 else 0) for i in fits])
     mu = np.array([s.sum(0) - (s[i] if i >= 0 else 0) for i in fits]) / keep_n[:, None]
     var = np.array([q.sum(0) - (q[i] if i >= 0 else 0) for i in fits]) / keep_n[:, None] - mu ** 2
-    sd = np.where(var > 1e-18, np.sqrt(np.maximum(var, 0)), 1.0)
+    sd = _spread(mu, var)
     # work on inputs scaled once for all fits; the fit's own scale enters through its penalty matrix
     m0, s0 = mu[-1], sd[-1]
     scaled = data.select("session", "y", *[((F.col(c) - float(m0[j])) / float(s0[j])).alias(c) for j, c in enumerate(cols)])
@@ -446,7 +454,8 @@ def train_large(rows: DataFrame, user: str, key, l2: float, ready_ba: float, rea
         hess[:, iu[0], iu[1]] = t[:, d:]
         hess[:, iu[1], iu[0]] = t[:, d:]
         full = np.column_stack([np.zeros(len(fits)), pen])
-        step = np.linalg.solve(hess + full[:, :, None] * np.eye(d)[None], (grad + full * beta)[:, :, None])[:, :, 0]
+        whole = hess + full[:, :, None] * np.eye(d)[None]
+        step = np.array([_newton_step(h, g) for h, g in zip(whole, grad + full * beta)])
         beta -= step
         if np.abs(step).max() < 1e-8:
             break
