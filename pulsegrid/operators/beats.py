@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import constants as K
 from pulsegrid.functions.scalar import middle, round_up
-from pulsegrid.operators.ordered import Ordered, grouped_quantiles, sized
+from pulsegrid.operators.ordered import Ordered, grouped_quantiles, sized, sized_together
 from pulsegrid.operators.windows import assign_windows, complete_windows
 from pulsegrid.session import checkpointed
 
@@ -220,7 +220,7 @@ def rolling_rr_hr(df: DataFrame, owner: list[str], t: str, rr: str, *, span_ms:
 def break_markers(beats: DataFrame, samples: DataFrame, owner: list[str], *, t: str = "t_ms", bad: str = "bad",
                   rr: str = "rr_ms", **ordered) -> DataFrame:
     """Drop intervals that span a bad sample: prefix sums of `bad`, compared at the two beats."""
-    ordered = sized(samples, owner, **ordered)
+    ordered = sized_together([samples, beats], owner, **ordered)
     both = (samples.select(*owner, F.col(t), F.lit(0).alias("_side"), F.col(bad).cast("int").alias("_bad"))
             .unionByName(beats.select(*owner, F.col(t), F.lit(1).alias("_side"), F.lit(0).alias("_bad"))))
     upto = Ordered(both, owner, [t, "_side"], **ordered).running({"_upto": ("sum", F.col("_bad"))}).rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.ordered import Ordered, sized
+from pulsegrid.operators.ordered import Ordered, sized_together
 
 
 def _merged(left: DataFrame, right: DataFrame, by: list[str], t: str, right_t: str, values: list[str],
@@ -53,7 +53,7 @@ def interpolate_at(grid: DataFrame, samples: DataFrame, by: list[str], *, t: str
 
     `valid` is true when the two samples lie within `max_gap`; at the last sample its own step counts. Grid and sample times are unique per owner.
     """
-    ordered = sized(samples, by, **ordered)
+    ordered = sized_together([samples, grid], by, **ordered)
     cell = F.struct(F.col(sample_t).cast("double").alias("t"), F.col("_back").alias("back"),
                     *[F.col(v).cast("double").alias(v) for v in values])
     stepped = Ordered(samples, by, [sample_t], **ordered).around(
@@ -117,7 +117,7 @@ def near_stats(ticks: DataFrame, samples: DataFrame, by: list[str], *, t: str, s
     subtracted, so no (tick, sample) pairs are made. Values are centred on the owner's mean first to keep the
     squares small.
     """
-    ordered = sized(samples, by, **ordered)
+    ordered = sized_together([samples, ticks, ticks], by, **ordered)
     mean = samples.groupBy(*by).agg(F.avg(value).alias("_mean"))
     v = F.col(value) - F.col("_mean")
     s = samples.filter(F.col(value).isNotNull()).join(mean, by).select(

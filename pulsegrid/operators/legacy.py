@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalar import round_up, tanh_score  # noqa: F401
 from pulsegrid.operators.joins import asof_nearest, earliest_of_time
-from pulsegrid.operators.ordered import Ordered, grouped_quantiles, sized
+from pulsegrid.operators.ordered import Ordered, grouped_quantiles, sized, sized_together
 from pulsegrid.operators.windows import count_windows
 
 
@@ -20,7 +20,7 @@ def typing_mouse_windows(keys: DataFrame, moves: DataFrame, labels: DataFrame, o
     A window needs two presses and two moves; its label is the one nearest to its start. The window that would
     start at the last edge is left out.
     """
-    ordered = sized(keys, owner, **ordered)
+    ordered = sized_together([keys, labels], owner, **ordered)
     k = keys.groupBy(*owner).agg(F.min("press_ms").alias("_k0"), F.max("press_ms").alias("_k1"))
     m = moves.groupBy(*owner).agg(F.min("t_ms").alias("_m0"), F.max("t_ms").alias("_m1"))
     ends = (k.join(m, owner).withColumn("_t0", F.greatest("_k0", "_m0"))

@@ -34,6 +34,13 @@ def sized(df: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS, growth:
     return {"block_rows": block_rows, "bounded": largest_group(df, keys) * growth <= block_rows}
 
 
+def sized_together(parts: list[DataFrame], keys: list[str], block_rows: int = BLOCK_ROWS, growth: int = 8, **given) -> dict:
+    """As `sized` for rows that are merged: a key holds at most its largest groups of all parts together."""
+    if "bounded" in given:
+        return {"block_rows": block_rows, **given}
+    return {"block_rows": block_rows, "bounded": sum(largest_group(p, keys) for p in parts) * growth <= block_rows}
+
+
 class Ordered:
     """Rows of `df` in the order `order` (column names, unique within a key) for every key."""
 

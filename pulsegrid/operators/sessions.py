@@ -54,9 +54,11 @@ def rmssd_series(beats: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def trailing_mean(series: DataFrame, key: list[str], t_ms: str, value: str, span_ms: int, name: str) -> DataFrame:
-    """Mean over (t - span, t]. For binned series: a session has one point per bin, so a key is small."""
-    w = Window.partitionBy(*key).orderBy(t_ms).rangeBetween(-(span_ms - 1), Window.currentRow)
-    return series.withColumn(name, F.avg(value).over(w))
+    """Mean over (t - span, t]. A key is cut into span-long chunks, each of which borrows the one before it."""
+    lent = (series.withColumn("_own", F.floor(F.col(t_ms) / F.lit(float(span_ms))))
+            .withColumn("_home", F.explode(F.array(F.col("_own"), F.col("_own") + 1))))
+    w = Window.partitionBy(*key, "_home").orderBy(t_ms).rangeBetween(-(span_ms - 1), Window.currentRow)
+    return lent.withColumn(name, F.avg(value).over(w)).filter("_own = _home").drop("_own", "_home")
 
 
 def summary_numbers(series: DataFrame, phases: DataFrame) -> DataFrame:
