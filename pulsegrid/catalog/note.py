@@ -140,6 +140,40 @@ def _(spark, sf):
     return d.select("id", value.alias("value"), vs.alias("vs_rest"))
 
 
+def whole_sql(x):
+    return f"CAST(CAST(floor(abs(round({x}, 9)) + 0.5e0) AS BIGINT) AS VARCHAR)"
+
+
+def signed_sql(x):
+    t = f"printf('%.2f', abs({x}))"
+    return f"CASE WHEN CAST({t} AS DOUBLE) = 0 THEN {t} WHEN {x} < 0 THEN '−' || {t} ELSE '+' || {t} END"
+
+
+def line_end_sql(s):
+    x = f"(2 / (1 + exp(-l_{s})) - 1)"
+    return (f"': ' || CASE WHEN {x} >= 0.6e0 THEN 'a strong push towards stress' WHEN {x} >= 0.2e0 THEN 'a push towards stress' WHEN {x} > -0.2e0 THEN 'close to neutral' "
+            f"ELSE 'reads as calm' END || '{' (weak signal).' if s in K.WEAK_SIGNALS else '.'}'")
+
+
+HR_GAP, EDA_GAP, RESPONSES = "(hr_mean - mean_hr_mean)", "(eda_tonic - mean_eda_tonic)", "CAST(floor(scr_count + 0.5e0) AS BIGINT)"
+
+
+@query("note_signal_lines", f"""
+SELECT id,
+ coalesce(CASE WHEN l_hr IS NOT NULL THEN 'Heart rate ' || {whole_sql('hr_mean')} || ' bpm, ' || CASE WHEN abs({HR_GAP}) < 1.5e0 THEN 'about your resting level'
+   ELSE {whole_sql(HR_GAP)} || CASE WHEN {HR_GAP} > 0 THEN ' above' ELSE ' below' END || ' rest' END || {line_end_sql('hr')} END,
+  'Heart rate: too few clean beats in this window, so the pen is lifted.') AS hr_line,
+ coalesce(CASE WHEN l_hrv IS NOT NULL THEN 'RMSSD ' || {whole_sql('rmssd')} || ' ms against ' || {whole_sql('mean_rmssd')} || ' at rest' || {line_end_sql('hrv')} END,
+  'Heart-rate variability: too few clean beats in this window, so the pen is lifted.') AS hrv_line,
+ coalesce(CASE WHEN l_eda IS NOT NULL THEN 'Skin conductance ' || CASE WHEN abs({EDA_GAP}) < 0.1e0 THEN 'near its resting level' ELSE {signed_sql(EDA_GAP)} || ' µS from rest' END || ', ' || {RESPONSES}
+   || CASE WHEN {RESPONSES} = 1 THEN ' response a minute' ELSE ' responses a minute' END || {line_end_sql('eda')} END, 'Skin conductance: no reading in this window.') AS eda_line,
+ coalesce(CASE WHEN l_temp IS NOT NULL THEN 'Hand temperature ' || CASE WHEN abs(temp_slope) < 0.02e0 THEN 'steady' WHEN temp_slope < 0 THEN 'cooling' ELSE 'warming' END || ' ('
+   || {signed_sql('temp_slope')} || ' °C/min)' || {line_end_sql('temp')} END, 'Skin temperature: no reading in this window.') AS temp_line
+FROM ({SCORED_SQL}) s""")
+def _(spark, sf):
+    return R.scored_checkins(spark, sf).select("id", *[W.signal_line(s).alias(f"{s}_line") for s in ("hr", "hrv", "eda", "temp")])
+
+
 @query("note_texts")
 def _(spark, sf):
     d = R.scored_checkins(spark, sf)
