@@ -9,15 +9,16 @@ its signature still holds.
 
 Steps. Texts of equal shingle multisets are one member. Members that share a band form a bucket. Every bucket is linked
 through its smallest member: pairs whose signatures agree enough are verified exactly on the multisets. Members of a bucket
-that are still in different components may be alike without being like the smallest one; they are split further by their
-rarest shingles inside the bucket (of n, all but ceil(0.8 n) - 1, of which every pair that reaches 0.8 shares one), and pairs
-across components that meet there are verified too. Components of the verified links are the classes.
+that are still in different components may be alike without being like the smallest one; they are looked up again by the rarest
+components of their signatures (all but `LIKELY` - 1, of which two that agree in `LIKELY` components share one), and pairs
+across components that meet there are verified too. Components of the verified links are the classes. Multisets whose sizes
+are too far apart to reach 0.8 are no pair anywhere.
 
 Bounds: a bucket never meets in one task: its smallest member comes from an aggregate, links from joins. Pairs inside one
 component are not made. Signatures and members live in written tables below the shared folder.
 
 The chance that banding misses a pair of exactly 0.8 is (1 - 0.8^5)^24, under 1 in 10,000; above 0.85 it is under 1 in
-500,000. The signature test in front of the verification misses far fewer.
+500,000. The signature test in front of the verification misses about 1 in 30,000 of those at exactly 0.8.
 
 Defined cases: NULL text is empty; texts without a word are alike only if they are equal; texts of fewer than five words
 are one shingle; repeated rows are copies; ties are settled by the smallest id; an empty table gives no rows; other columns
@@ -33,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,10 +44,11 @@ SHINGLE = 5
 ROWS, BANDS = 5, 24
 SIZE = ROWS * BANDS
 LEAST = 0.8
-LIKELY = SIZE * 3 // 5   # agreeing components from which a pair is verified; 72 of 120, where 96 are expected at 0.8
+LIKELY = SIZE * 13 // 20  # agreeing components from which a pair is verified; 78 of 120, where 96 are expected at 0.8
 WORD = re.compile(r"\w+")
-MOST_WORDS = 500_000
-PIECE = 1 << 20     # signs handled at a time
+MOST_WORDS = 150_000
+PIECE = 1 << 19     # signs handled at a time
+SLICE = 1000        # rows taken out of a batch at a time
 
 U = np.uint64
 
@@ -129,15 +131,17 @@ def folded(least: np.ndarray) -> np.ndarray:
         return mix(least.view(np.uint64))
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= PIECE:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of about PIECE signs together, with their texts; a longer text stands alone or last."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            texts, start, size = batch.column("text").to_pylist(), 0, 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size >= PIECE or i == len(texts) - 1:
+                    yield batch.slice(start, i + 1 - start), texts[start:i + 1]
+                    start, size = i + 1, 0
 
 
 def _content(text: str, h: np.ndarray, count: np.ndarray) -> bytes:
@@ -148,33 +152,31 @@ def _content(text: str, h: np.ndarray, count: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tag (of the text), content (16 bytes, equal for equal multisets), sign (two bytes per component; empty without words), bands."""
+    """doc_id, tag (of the text), content (16 bytes, equal for equal multisets), size, sign (two bytes per component; empty without words), bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            content, sign, bands = [], [], []
-            for a, b in _runs(texts):
-                part = texts[a:b]
-                own, h, count = shingles(part)
-                least = signatures(own, h, count, len(part))
-                value = folded(least)
-                short = (value & U(0xFFFF)).astype("<u2")
-                with np.errstate(over="ignore"):
-                    key = np.zeros((len(part), BANDS), np.uint64)
-                    for j in range(ROWS):
-                        key = mix(key * U(31) + value.reshape(len(part), BANDS, ROWS)[:, :, j] + np.arange(BANDS, dtype=np.uint64))
-                edges = np.searchsorted(own, np.arange(len(part) + 1))
-                for i, t in enumerate(part):
-                    lo, hi = edges[i], edges[i + 1]
-                    content.append(_content(t, h[lo:hi], count[lo:hi]))
-                    sign.append(short[i].tobytes() if lo < hi else b"")
-                    bands.append(key[i].view(np.int64) if lo < hi else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(content, pa.binary()), pa.array(sign, pa.binary()),
-                                              pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "tag", "content", "sign", "bands"])
+        for batch, part in _runs(batches):
+            content, size, sign, bands = [], [], [], []
+            own, h, count = shingles(part)
+            value = folded(signatures(own, h, count, len(part)))
+            short = (value & U(0xFFFF)).astype("<u2")
+            with np.errstate(over="ignore"):
+                key = np.zeros((len(part), BANDS), np.uint64)
+                for j in range(ROWS):
+                    key = mix(key * U(31) + value.reshape(len(part), BANDS, ROWS)[:, :, j] + np.arange(BANDS, dtype=np.uint64))
+            edges = np.searchsorted(own, np.arange(len(part) + 1))
+            for i, t in enumerate(part):
+                lo, hi = edges[i], edges[i + 1]
+                content.append(_content(t, h[lo:hi], count[lo:hi]))
+                size.append(int(count[lo:hi].sum()))
+                sign.append(short[i].tobytes() if lo < hi else b"")
+                bands.append(key[i].view(np.int64) if lo < hi else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("tag"), pa.array(content, pa.binary()), pa.array(size, pa.int64()), pa.array(sign, pa.binary()),
+                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "tag", "content", "size", "sign", "bands"])
 
     d = docs.select(F.col(doc_id).alias("doc_id"), text_tag(text).alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, tag long, content binary, sign binary, bands array<long>")
+    return d.mapInArrow(run, f"doc_id {kind}, tag long, content binary, size long, sign binary, bands array<long>")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -203,25 +205,27 @@ def exact(x: pd.Series, y: pd.Series) -> pd.Series:
 def bags(texts: DataFrame) -> DataFrame:
     """content and bag, the packed sorted multiset of shingles, of every row of `texts` (text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_, content, bag = batch.column("text").to_pylist(), [], []
-            for a, b in _runs(all_):
-                own, h, count = shingles(all_[a:b])
-                edges = np.searchsorted(own, np.arange(b - a + 1))
-                for i in range(b - a):
-                    part = slice(edges[i], edges[i + 1])
-                    content.append(_content(all_[a + i], h[part], count[part]))
-                    bag.append(np.repeat(h[part], count[part]).tobytes())
+        for _, part in _runs(batches):
+            own, h, count = shingles(part)
+            edges = np.searchsorted(own, np.arange(len(part) + 1))
+            cuts = [slice(a, b) for a, b in zip(edges, edges[1:])]
+            content = [_content(t, h[c], count[c]) for t, c in zip(part, cuts)]
+            bag = [np.repeat(h[c], count[c]).tobytes() for c in cuts]
             yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(bag, pa.binary())], ["content", "bag"])
 
     return texts.select("text").mapInArrow(run, "content binary, bag binary")
 
 
-def likely(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of contents whose signatures agree enough. signs: content, sign."""
-    p = (pairs.join(signs.select(F.col("content").alias("a"), F.col("sign").alias("sa")), "a")
-         .join(signs.select(F.col("content").alias("b"), F.col("sign").alias("sb")), "b"))
-    return written(p.filter(agreeing("sa", "sb") >= LIKELY).select("a", "b"), "likely")
+def near_size(x: Column, y: Column, least: float) -> Column:
+    """Sizes of multisets that can reach `least`."""
+    return F.least(x, y) >= F.greatest(x, y) * F.lit(least - 1e-9)
+
+
+def likely(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of contents whose sizes and signatures allow `least`. signs: content, size, sign."""
+    p = (pairs.join(signs.select(F.col("content").alias("a"), F.col("size").alias("na"), F.col("sign").alias("sa")), "a")
+         .join(signs.select(F.col("content").alias("b"), F.col("size").alias("nb"), F.col("sign").alias("sb")), "b"))
+    return written(p.filter(near_size(F.col("na"), F.col("nb"), least)).filter(agreeing("sa", "sb") >= LIKELY).select("a", "b"), "likely")
 
 
 def verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -258,26 +262,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _untested(bucket: DataFrame, found: DataFrame, signs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket, stand in different components, and may agree in `LIKELY` components.
+def _untested(bucket: DataFrame, found: DataFrame, signs: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different components that may agree in `LIKELY` places, of members that share a bucket with another
+    component without being its smallest member.
 
-    Of the SIZE (place, value) pairs of a signature all but LIKELY - 1 are looked up, the rarest of the bucket first: two
-    signatures that agree in LIKELY places share one of them. Where many members of one component share a value, only
-    the others are paired with them.
+    Of the (place, value) pairs of a signature all but LIKELY - 1 are looked up, the rarest first: two signatures that
+    agree in LIKELY places share one of them. What a large component shares within itself is not paired: where its members
+    have a value in common, only the others are paired with them.
     """
     b = bucket.filter((F.col("n") > 2) & (F.col("a") != F.col("b"))).select("band", "key", "b")
     b = b.join(found.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     mixed = b.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("band", "key")
-    rows = b.join(mixed, ["band", "key"]).join(signs.select(F.col("content").alias("b"), "sign"), "b")
+    open_ = b.join(mixed, ["band", "key"]).select("b", "root").distinct().join(signs.withColumnRenamed("content", "b"), "b")
     token = F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda j: F.hash(j, F.substr(F.col("sign"), j * 2 + 1, F.lit(2))))
-    t = written(rows.select("band", "key", "b", "root", F.explode(token).alias("token")), "tokens")
-    by = ["band", "key", "token"]
-    per_root = t.groupBy(*by, "root").agg(F.count("*").alias("here"))
-    per_token = per_root.groupBy(*by).agg(F.sum("here").alias("all"), F.max(F.struct("here", "root"))["root"].alias("most"), F.count("*").alias("roots"))
-    ranked = t.join(per_token, by).withColumn("place", F.row_number().over(Window.partitionBy("band", "key", "b").orderBy("all", "token")))
-    looked = ranked.filter((F.col("place") <= SIZE - LIKELY + 1) & (F.col("roots") > 1))
-    few = looked.filter("root != most").select(*by, F.col("b").alias("p"), F.col("root").alias("rp"))
-    pairs = few.join(looked.select(*by, F.col("b").alias("q"), F.col("root").alias("rq")), by).filter("rp != rq")
+    t = written(open_.select("b", "root", "size", F.explode(token).alias("token")), "tokens")
+    per_root = t.groupBy("token", "root").agg(F.count("*").alias("here"))
+    per_token = per_root.groupBy("token").agg(F.sum("here").alias("all"), F.max(F.struct("here", "root"))["root"].alias("most"), F.count("*").alias("roots"))
+    ranked = t.join(per_token, "token").withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy("all", "token")))
+    looked = written(ranked.filter((F.col("place") <= SIZE - LIKELY + 1) & (F.col("roots") > 1)).select("token", "b", "root", "size", "most"), "looked")
+    few = looked.filter("root != most").select("token", F.col("b").alias("p"), F.col("root").alias("rp"), F.col("size").alias("np"))
+    both = few.join(looked.select("token", F.col("b").alias("q"), F.col("root").alias("rq"), F.col("size").alias("nq"), (F.col("root") == F.col("most")).alias("large")), "token")
+    pairs = both.filter((F.col("rp") != F.col("rq")) & (F.col("large") | (F.col("p") < F.col("q"))) & near_size(F.col("np"), F.col("nq"), least))
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
@@ -285,15 +290,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, tag, class_id (the smallest id of its class), class_size (rows); one row per row of `docs`."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     all_ = written(sketch(texts), "sketch")
-    members = written(all_.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("sign").alias("sign"),
+    members = written(all_.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("sign").alias("sign"),
                                                   F.first("bands").alias("bands")), "members")
-    signs = members.filter("octet_length(sign) > 0").select("content", "sign")
+    signs = members.filter("octet_length(sign) > 0").select("content", "size", "sign")
     rows = members.select("content", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("content").alias("a")).filter("n > 1")
     bucket = written(rows.join(shared, ["band", "key"]).select("band", "key", "n", "a", F.col("content").alias("b")), "buckets")
-    links = verified(likely(bucket.filter("a != b").select("a", "b").distinct(), signs), members, texts, least)
+    links = verified(likely(bucket.filter("a != b").select("a", "b").distinct(), signs, least), members, texts, least)
     found = components(links)
-    more = likely(_untested(bucket, found, signs), signs)
+    more = likely(_untested(bucket, found, signs, least), signs, least)
     if not more.isEmpty():
         found = components(links.unionByName(verified(more, members, texts, least)))
     root = members.select("content", "first", "rows").join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
