@@ -50,7 +50,26 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
 
 
-@query("op5_secret_scans")
+# the three kinds, with the group that counts and its least length (fixed values)
+KINDS_SQL = [("assign", """((?i:password|passwd|secret|token|api_?key))["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+             ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)]
+
+
+def _pieces_sql(k: int, kind: str, pattern: str, group: int, least: int) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, {least} AS least, list_transform(string_split_regex(t, {p}), lambda x: length(x)) AS gaps,
+ list_transform(regexp_extract_all(t, {p}), lambda x: length(x)) AS sizes, list_transform(regexp_extract_all(t, {p}, {group}), lambda x: length(x)) AS counted FROM d"""
+
+
+@query("op5_secret_scans", sql=f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(_pieces_sql(i + 1, *x) for i, x in enumerate(KINDS_SQL))}),
+h AS (SELECT doc_id, k, kind, least, unnest(gaps[1:len(sizes)]) AS gap, unnest(sizes) AS size, unnest(counted) AS counted, unnest(range(len(sizes))) AS i FROM m),
+e AS (SELECT *, sum(gap + size) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM h),
+s AS (SELECT doc_id, count(*) FILTER (WHERE k = 1) AS a, count(*) FILTER (WHERE k = 2) AS b, count(*) FILTER (WHERE k = 3) AS c,
+ string_agg(kind || ':' || (stop - size)::BIGINT || ':' || stop::BIGINT, ',' ORDER BY stop - size, k) AS spans FROM e WHERE counted >= least GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (doc_id)""")
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = new_folder(spark, "ledger")
     paths = secrets.scan(table(spark, sf_dir, "documents"), ledger)
@@ -107,16 +126,7 @@ def tokenizer_path() -> str:
 
 @query("op2_bpe_encoding")
 def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "documents"), ["doc_id"])
-
-
-def encoded(docs: DataFrame, keep: list[str], ids: bool = False) -> DataFrame:
-    """`keep`, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
-    path = tokenizer_path()
-    coded = bpe.encode(docs, path, keep).select(
-        *keep, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
-    kept = [*keep, "n_tokens", "ids_sha256", *(["ids"] if ids else [])]
-    return bpe.decode(coded, path, kept, digest=True).withColumnRenamed("decoded", "decoded_sha256")
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"], ids=False, digests=True)
 
 
 @query("op8_token_counts")
