@@ -30,11 +30,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 CHUNK = 1 << 15
-MOST_STATES = 150_000
+MOST_STATES = 250_000
 MOST_WORDS = 400_000
 MOST_PAIRS = 400_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = " \t\n\x0b\x0c\r"
+# letters whose lower case is one letter of their own and which no tokenizer here splits from one another
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(i) for i in range(0xDF, 0x100) if i != 0xF7)
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
 class State:
@@ -58,40 +61,49 @@ class Transducer(dict):
         self.vocab = set(model["vocab"])
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {p: i for i, p in enumerate(pairs)}
+        self.made_of = {a + b: (a, b) for a, b in pairs}
+        if len(self.made_of) < len(pairs):
+            raise ValueError("a token is merged in two ways")
+        self.edges: tuple[dict, dict] = ({}, {})
         bare = [t[:-len(self.end)] if self.end and t.endswith(self.end) else t for t in self.vocab]
         self.begins = {t[:i] for t in bare for i in range(1, len(t))}
         special = sorted((t["content"] for t in told["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.neighbours: dict[tuple[str, str], bool] = {}
+        # letters as the byte alphabet spells them, for words that need no further look
+        self.spelt = {ord(c): self.split(c)[0] for c in LETTERS}
+        self.points: dict[str, int] = {"": 0}
         self.restart()
 
     def restart(self) -> None:
         self.start = State("", ((0, None, 0),))
         self.states = {("", self.start.open): self.start}
 
-    def symbols(self, token: str) -> list[str]:
-        if self.end and token.endswith(self.end):
-            bare = token[:-len(self.end)]
-            return [*bare[:-1], bare[-1] + self.end]
-        return list(token)
-
-    def merged(self, parts: list[str]) -> list[str]:
-        """Merge by rank, leftmost first."""
-        while len(parts) > 1:
-            ranked = [(self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:]))]
-            best, i = min(ranked)
-            if best == 1 << 60:
-                break
-            parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2:]]
-        return parts
+    def edge(self, token: str, right: bool) -> list[tuple[str, float]]:
+        """The parts that stand at one edge of a token while it is merged, from the whole down to one symbol, each with the
+        rank of the merge that takes it up."""
+        known = self.edges[right].get(token)
+        if known is None:
+            known, part, taken = [], token, float("inf")
+            while part is not None:
+                known.append((part, taken))
+                pair = self.made_of.get(part)
+                part, taken = (pair[right], self.rank[pair]) if pair else (None, taken)
+            self.edges[right][token] = known
+        return known
 
     def fits(self, left: str, right: str) -> bool:
+        """Whether two tokens stay side by side: no merge across their border comes before those inside them. Of equal
+        merges the one further left comes first. A part is older than every merge that takes it up."""
         pair = (left, right)
         known = self.neighbours.get(pair)
         if known is None:
             if len(self.neighbours) >= MOST_PAIRS:
                 self.neighbours.clear()
-            known = self.neighbours[pair] = self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
+            rank = self.rank.get
+            known = self.neighbours[pair] = not any(
+                m is not None and m < taken_a and m <= taken_b
+                for a, taken_a in self.edge(left, True) for b, taken_b in self.edge(right, False) for m in (rank((a, b)),))
         return known
 
     def compile(self, state: State, symbol: str) -> tuple[State, int]:
@@ -123,14 +135,30 @@ class Transducer(dict):
             total += change
         return total
 
-    def plain(self, text: str) -> int:
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of a text in the byte alphabet."""
         clean = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
-        return sum(self.run(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(clean) if p)
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(clean) if p]
+
+    def plain(self, text: str) -> int:
+        return sum(map(self.run, self.split(text)))
+
+    def simple(self, letters: str, points: str) -> int:
+        """Tokens of a word of plain letters with points behind it."""
+        n = self.points.get(points)
+        if n is None:
+            n = self.plain(points)
+            if len(self.points) < MOST_WORDS:
+                self.points[points] = n
+        return n + self.run(letters.lower().translate(self.spelt))
 
     def __missing__(self, word: str) -> int:
         if len(self) >= MOST_WORDS:
             self.clear()
-        if self.special is not None and "<" in word:
+        easy = PLAIN.fullmatch(word)
+        if easy:
+            n = self.simple(easy[1], easy[2])
+        elif self.special is not None and "<" in word:
             ends = [0, *[x for m in self.special.finditer(word) for x in m.span()], len(word)]
             n = len(ends) // 2 - 1 + sum(self.plain(word[a:b]) for a, b in zip(ends[::2], ends[1::2]) if a < b)
         else:
