@@ -89,7 +89,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """doc_id, text, next_text: the text of the next row by ascending id; after the last the first."""
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = shuffle_width(spark)
+    n = 4 * shuffle_width(spark)     # several ranges per task even out
     # one number per range goes to the driver
     cuts = d.select(F.percentile_approx("doc_id", F.lit([i / n for i in range(1, n)] or [0.5]), F.lit(100 * n))).first()[0] or []
     d = d.withColumn("bucket", range_bucket(F.col("doc_id"), sorted(set(cuts))))
