@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import mixing, neardup, quality, secrets
+from pulsegrid.llm import bpe, mixing, neardup, quality, secrets
 from pulsegrid.llm.base import table, written
-from pulsegrid.llm.queries import encoded, quality_model
+from pulsegrid.llm.queries import quality_model, tokenizer_path
 from pulsegrid.session import new_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -49,8 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids_sha256, decoded_sha256 and the ids of every row."""
-    return encoded(docs, ["doc_id", "source"], ids=True)
+    """doc_id, source, ids, n_tokens, ids_sha256 and decoded_sha256 (of the ids decoded again) of every row."""
+    return bpe.encode(docs, tokenizer_path(), ["doc_id", "source"], digests=True)
 
 
 STAGES = [("quality", keep_quality), ("near_dedup", keep_one_of_each), ("secrets", mask_secrets), ("mixing", mix_sources), ("encoding", encode_texts)]

@@ -1,7 +1,8 @@
 """Byte-pair encoding and decoding over a table of distinct words.
 
 A word is a run of signs without white space; the tokenizers this is for never let a token span white space, so the ids of
-a text are the ids of its words in order. Every distinct word is encoded once:
+a text are the ids of its words in order. A word of plain letters is taken in lower case and without the points behind it,
+which such a tokenizer encodes on their own. Every distinct word is encoded once:
 
 * the most frequent words of a bounded sample (`HOT_WORDS`) are encoded first and broadcast; they cover most positions,
 * all other words go, as (word, document, number), to the task of their word, where a run of equal words is encoded once;
@@ -11,7 +12,7 @@ So neither a frequent word nor a long tail of rare ones meets in one place. Deco
 table, which is as long as the vocabulary.
 
 Bounds: the broadcast has at most `HOT_WORDS` words of at most `HOT_LENGTH` signs; which words it holds changes the work,
-never the result. Texts are encoded whole; only their packed ids are shuffled.
+never the result. A worker remembers up to `MEMO` written forms. Texts are encoded whole; what is shuffled of them are packed word numbers.
 
 Defined cases: NULL text is empty and has no ids; documents are told apart by id and a 64-bit hash of their text, so repeated
 ids and repeated rows are right; special tokens inside a text are found as the library finds them; an empty table gives no
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +34,18 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.base import SPACE
 
 HOT_WORDS = 1 << 19
 HOT_LENGTH = 40
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 15_000
+RARE = bytes(4)
+MEMO = 100_000
+ROWS = 1000     # rows handled at a time
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 _made: dict[int, Tokenizer] = {}
 
@@ -47,14 +54,71 @@ def _library(spec: str) -> Tokenizer:
     """One per worker."""
     key = hash(spec)
     if key not in _made:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # tasks are the threads here
         _made.clear()
         _made[key] = Tokenizer.from_str(spec)
     return _made[key]
 
 
-def _encoded(spec: str, words: list[str]) -> list[bytes]:
-    """Packed ids of distinct words."""
-    return [np.array(e.ids, "<u4").tobytes() for e in _library(spec).encode_batch_fast(words, add_special_tokens=False)]
+def _encoded(spec: str, words: list[str], kind: str) -> list[bytes]:
+    """Ids of distinct words as bytes of `kind`."""
+    return [np.array(e.ids, kind).tobytes() for e in _library(spec).encode_batch_fast(words, add_special_tokens=False)]
+
+
+def units(word: str) -> tuple[str, str]:
+    """The word that is encoded for a written form, and the points encoded behind it."""
+    m = PLAIN.fullmatch(word)
+    return (m[1].lower(), m[2]) if m else (word, "")
+
+
+class Known:
+    """Codes of written forms by the broadcast words: the number of the word from 1, 0 for a rare one, 4 bytes each; a word
+    with points behind it has two."""
+
+    def __init__(self, hot: list[str]):
+        self.number = {w: (i + 1).to_bytes(4, "little") for i, w in enumerate(hot)}
+        self.forms, self.room = dict(self.number), MEMO
+
+    def codes(self, text: str) -> tuple[bytes, list[str]]:
+        """Codes of a text, and its rare words in order."""
+        forms = WORD.findall(text)
+        parts = list(map(self.forms.get, forms))
+        rare = []
+        for i in [i for i, p in enumerate(parts) if p is None]:
+            word, points = units(forms[i])
+            behind = self.number.get(points) if points else b""
+            if behind is None:
+                word, behind = forms[i], b""
+            own = self.number.get(word)
+            if own is None:
+                rare.append(word)
+                parts[i] = RARE + behind
+            else:
+                parts[i] = own + behind
+                if self.room:
+                    self.room -= 1
+                    self.forms[forms[i]] = parts[i]
+        return b"".join(parts), rare
+
+
+def pack(codes: bytes) -> bytes:
+    """Compressed codes: seven bits a byte, so that frequent words, whose numbers are small, take one or two."""
+    c = np.frombuffer(codes, "<u4")
+    wide = np.stack([c & 127 | (c > 127) * 128, c >> 7 & 127 | (c > 16383) * 128, c >> 14], 1).astype(np.uint8)
+    return zstandard.compress(wide[np.stack([c >= 0, c > 127, c > 16383], 1)].tobytes(), 3)
+
+
+def unpack(packed: bytes) -> list[int]:
+    b = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    last = np.flatnonzero(b < 128)
+    first = np.r_[0, last[:-1] + 1].astype(np.int64)
+    low = (b & 127).astype(np.int64)
+    code = low[first[:len(last)]]
+    for k in (1, 2):
+        at = first[:len(last)] + k
+        more = at <= last
+        code[more] |= low[at[more]] << 7 * k
+    return code.tolist()
 
 
 def check_tokenizer(spec: str) -> None:
@@ -75,112 +139,145 @@ def pieces(spec: str) -> list[str]:
     return out
 
 
-def hot_words(docs: DataFrame, text: str, spec, n: int = HOT_WORDS, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
+def hot_words(docs: DataFrame, text: str, spec, kind: str, n: int = HOT_WORDS, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[bytes]]:
     """The most frequent words of about `sample_rows` documents, with their ids."""
     share = min(1.0, sample_rows / max(1, docs.count()))
     picked = docs.filter(F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 31) - 1)) < F.lit(int(share * (1 << 31))))
-    words = picked.select(F.explode(F.split(text, SPACE)).alias("word")).filter((F.col("word") != "") & (F.length("word") <= HOT_LENGTH))
-    top = words.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(n).select("word")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = Counter()
+            for x in batch.column(0).to_pylist():
+                n.update(WORD.findall(x))
+            out = Counter()
+            for form, k in n.items():
+                for word in units(form):
+                    if 0 < len(word) <= HOT_LENGTH:
+                        out[word] += k
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["word", "n"])
+
+    words = picked.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = words.orderBy(F.col("n").desc(), "word").limit(n).select("word")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(_encoded(spec.value, words), pa.binary())], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(_encoded(spec.value, words, kind), pa.binary())], ["word", "ids"])
 
     got = top.repartition(8).mapInArrow(encode, "word string, ids binary").toArrow()
-    return dict(zip(got.column("word").to_pylist(), got.column("ids").to_pylist()))
+    return got.column("word").to_pylist(), got.column("ids").to_pylist()
 
 
 def _tag(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    """32 bits of a hash of the text."""
+    return (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 32) - (1 << 31)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
 
 
 def encode(docs: DataFrame, tokenizer: str, keep: list[str], doc_id: str = "doc_id", text: str = "text", *,
-           hot: int = HOT_WORDS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Columns `keep` and ids (binary, little-endian unsigned 32 bits) of every row.
+           hot: int = HOT_WORDS, sample_rows: int = SAMPLE_ROWS, ids: bool = True, digests: bool = False) -> DataFrame:
+    """Columns `keep` and ids (binary, little-endian unsigned 32 bits) of every row; with `digests` also n_tokens, ids_sha256
+    and decoded_sha256, made where the ids are. Without `ids` these are not moved.
 
     `tokenizer`: path of a tokenizer file on the driver; its content is broadcast.
     """
     with open(tokenizer, encoding="utf-8") as f:
         text_of = f.read()
     check_tokenizer(text_of)
+    if hot >= 1 << 21:
+        raise ValueError("word numbers are packed in 21 bits")
     sc = docs.sparkSession.sparkContext
-    spec = sc.broadcast(text_of)
-    d = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.xxhash64(F.col(doc_id)).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    spec, names_of_ids = sc.broadcast(text_of), pieces(text_of)
+    kind = "<u2" if len(names_of_ids) <= 1 << 16 else "<u4"
+    whole_number = isinstance(docs.schema[doc_id].dataType, T.IntegralType)
+    own = F.coalesce(F.col(doc_id).cast("long") if whole_number else F.xxhash64(F.col(doc_id)), F.xxhash64(F.col(text)))
+    d = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], own.alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     names = [f"_k{i}" for i in range(len(keep))]
-    table = sc.broadcast(hot_words(d, "_text", spec, hot, sample_rows))
+    words, coded = hot_words(d, "_text", spec, kind, hot, sample_rows)
+    words, coded = sc.broadcast(words), sc.broadcast(coded)
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
-        for batch in batches:
+        known = Known(words.value)
+        for batch in _slices(batches):
             word, row, tag, at = [], [], [], []
             for i, x in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist()):
-                rare = [w for w in WORD.findall(x) if w not in known]
+                rare = known.codes(x)[1]
                 word += rare
                 row += [i] * len(rare)
                 tag += [_tag(x)] * len(rare)
                 at += range(len(rare))
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(row, pa.int64()), pa.array(tag, pa.int64()), pa.array(at, pa.int32())],
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(row, pa.int64()), pa.array(tag, pa.int32()), pa.array(at, pa.int32())],
                                              ["word", "id", "tag", "at"])
 
     def rare_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ids = None, b""
         for batch in batches:
             runs = batch.column("word").to_pylist()
-            new = [w for w, v in zip(runs, [last, *runs]) if w != v]
-            coded = iter(_encoded(spec.value, new))
+            coded = iter(_encoded(spec.value, [w for w, v in zip(runs, [last, *runs]) if w != v], kind))
             out = []
-            for w in runs:
+            for w, at in zip(runs, batch.column("at").to_pylist()):
                 if w != last:
                     last, ids = w, next(coded)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), batch.column("at"), pa.array(out, pa.binary())], ["id", "tag", "at", "ids"])
+                out.append(at.to_bytes(4, "little") + ids)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(out, pa.binary())], ["id", "tag", "fill"])
 
-    rare = (d.select("_id", "_text").mapInArrow(missing, "word string, id long, tag long, at int")
-            .repartition("word").sortWithinPartitions("word").mapInArrow(rare_ids, "id long, tag long, at int, ids binary"))
-    fills = rare.groupBy("id", "tag").agg(F.collect_list(F.struct("at", "ids")).alias("fills"))
+    rare = (d.select("_id", "_text").mapInArrow(missing, "word string, id long, tag int, at int")
+            .repartition("word").sortWithinPartitions("word").mapInArrow(rare_ids, "id long, tag int, fill binary"))
+    fills = rare.groupBy("id", "tag").agg(F.collect_list("fill").alias("fills"))
 
-    def known_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pack = table.value, zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            packed, holes, tag = [], [], []
-            for x in batch.column("_text").to_pylist():
-                parts = [known.get(w) for w in WORD.findall(x)]
-                sizes = np.fromiter((len(p) if p is not None else -1 for p in parts), np.int64, len(parts))
-                open_ = np.flatnonzero(sizes < 0)
-                before = np.cumsum(np.maximum(sizes, 0))
-                holes.append(before[open_].astype(np.int32))
-                packed.append(pack.compress(b"".join(filter(None, parts))))
-                tag.append(_tag(x))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names) + 1], pa.array(tag, pa.int64()), pa.array(packed, pa.binary()), pa.array(holes, pa.list_(pa.int32()))],
-                                             [*names, "_id", "_tag", "_packed", "_holes"])
+    def known_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(words.value)
+        for batch in _slices(batches):
+            texts = batch.column("_text").to_pylist()
+            packed = [pack(known.codes(x)[0]) for x in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names) + 1], pa.array(map(_tag, texts), pa.int32()), pa.array(packed, pa.binary())],
+                                             [*names, "_id", "_tag", "_packed"])
+
+    added = "ids binary" + ", n_tokens long, ids_sha256 string, decoded_sha256 string" * digests
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        ids_of = [None, *coded.value]
+        for batch in _slices(batches):
             out = []
-            for packed, holes, fills in zip(*(batch.column(c).to_pylist() for c in ("_packed", "_holes", "fills"))):
-                ids = unpack.decompress(packed)
-                if holes:
-                    given = {f["at"]: f["ids"] for f in fills or ()}
-                    if len(given) != len(holes):
-                        raise ValueError("ids of some words did not come back")
-                    cuts = [0, *holes, len(ids)]
-                    parts = [ids[:holes[0]]]
-                    for i in range(len(holes)):
-                        parts += (given[i], ids[cuts[i + 1]:cuts[i + 2]])
-                    ids = b"".join(parts)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], pa.array(out, pa.binary())], [*names, "ids"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*names).schema)
-    first = d.mapInArrow(known_ids, f"{kinds}, _id long, _tag long, _packed binary, _holes array<int>")
-    whole = first.join(fills, (F.col("_id") == F.col("id")) & (F.col("_tag") == F.col("tag")), "left").select(*names, "_packed", "_holes", "fills")
-    return whole.mapInArrow(joined, f"{kinds}, ids binary").select(*[F.col(a).alias(b) for a, b in zip(names, keep)], "ids")
-
-
-def decode(rows: DataFrame, tokenizer: str, keep: list[str], digest: bool = False) -> DataFrame:
-    """Columns `keep` and decoded, the text of `ids`; with `digest` its SHA-256 in hex instead."""
+            for packed, fills in zip(*(batch.column(c).to_pylist() for c in ("_packed", "fills"))):
+                parts = list(map(ids_of.__getitem__, unpack(packed)))
+                holes = [i for i, p in enumerate(parts) if p is None]
+                given = {int.from_bytes(f[:4], "little"): f[4:] for f in fills or ()}
+                if len(given) != len(holes):
+                    raise ValueError("ids of some words did not come back")
+                for k, i in enumerate(holes):
+                    parts[i] = given[k]
+                out.append(np.frombuffer(b"".join(parts), kind).astype("<u4").tobytes())
+            columns = [pa.array(out, pa.binary())]
+            if digests:
+                columns += [pa.array([len(b) // 4 for b in out], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in out], pa.string()),
+                            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts_of(out, names_of_ids)], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], *columns], [*names, *[c.split()[0] for c in added.split(", ")]])
+
+    def packed_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in joined(batches):
+            yield batch.drop_columns(["ids"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.select(*names).schema)
+    first = d.mapInArrow(known_codes, f"{kinds}_id long, _tag int, _packed binary")
+    whole = first.join(fills, (F.col("_id") == F.col("id")) & (F.col("_tag") == F.col("tag")), "left").select(*names, "_packed", "fills")
+    done = whole.mapInArrow(joined, kinds + added) if ids else whole.mapInArrow(packed_only, kinds + added.partition(", ")[2])
+    return done.select(*[F.col(a).alias(b) for a, b in zip(names, keep)], *[c for c in done.columns if c not in names])
+
+
+def texts_of(ids: list[bytes], table: list[str]) -> Iterator[str]:
+    """Decoded texts: the pieces of the ids, by the id-to-piece table."""
+    for packed in ids:
+        yield " ".join(map(table.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+
+def decode(rows: DataFrame, tokenizer: str, keep: list[str]) -> DataFrame:
+    """Columns `keep` and decoded, the text of `ids`."""
     with open(tokenizer, encoding="utf-8") as f:
         text_of = f.read()
     check_tokenizer(text_of)
@@ -189,12 +286,9 @@ def decode(rows: DataFrame, tokenizer: str, keep: list[str], digest: bool = Fals
     names = [f"_k{i}" for i in range(len(keep))]
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = table.value.__getitem__
-        for batch in batches:
-            texts = [" ".join(map(piece, np.frombuffer(b, "<u4").tolist())) for b in batch.column("_ids").to_pylist()]
-            if digest:
-                texts = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts]
+        for batch in _slices(batches):
+            texts = list(texts_of(batch.column("_ids").to_pylist(), table.value))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*names, "decoded"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*names).schema)
-    return d.mapInArrow(back, f"{kinds}, decoded string").select(*[F.col(a).alias(b) for a, b in zip(names, keep)], "decoded")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.select(*names).schema)
+    return d.mapInArrow(back, f"{kinds}decoded string").select(*[F.col(a).alias(b) for a, b in zip(names, keep)], "decoded")
