@@ -22,7 +22,8 @@ The chance that banding misses a pair of exactly 0.8 is (1 - 0.8^5)^24, under 1
 
 Defined cases: NULL text is empty; texts without a word are alike only if they are equal; texts of fewer than five words
 are one shingle; repeated rows are copies; ties are settled by the smallest id; an empty table gives no rows; other columns
-are not read. NULL ids are dropped by nobody: they are one id.
+are not read. Rows without id or of one repeated id take part like others: classes of unlike texts may then have the same
+class_id and are told apart by class_key. A NULL id comes after all others, so class_id is NULL only if no row has an id.
 """
 
 from __future__ import annotations
@@ -287,7 +288,8 @@ def _untested(bucket: DataFrame, found: DataFrame, signs: DataFrame, least: floa
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """doc_id, tag, class_id (the smallest id of its class), class_size (rows); one row per row of `docs`."""
+    """doc_id, tag, class_key (16 bytes in hex, another one for every class), class_id (the smallest id of its class), class_size
+    (rows); one row per row of `docs`."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     all_ = written(sketch(texts), "sketch")
     members = written(all_.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("sign").alias("sign"),
@@ -303,12 +305,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         found = components(links.unionByName(verified(more, members, texts, least)))
     root = members.select("content", "first", "rows").join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     classes = root.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("rows").alias("class_size"))
-    named = root.select("content", "root").join(classes, "root").select("content", "class_id", "class_size")
-    return all_.select("doc_id", "tag", "content").join(named, "content").select("doc_id", "tag", "class_id", "class_size")
+    named = root.select("content", "root").join(classes, "root").select("content", F.lower(F.hex("root")).alias("class_key"), "class_id", "class_size")
+    return all_.select("doc_id", "tag", "content").join(named, "content").select("doc_id", "tag", "class_key", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """The row of `docs` that stands for each class: that of the smallest id; of rows of that id that of the smallest tag."""
     seen = near_duplicates(docs, doc_id, text, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stay = seen.groupBy(F.col("doc_id")).agg(F.min("tag").alias("tag"))
+    stay = seen.groupBy("class_key", "doc_id").agg(F.min("tag").alias("tag")).drop("class_key")
     return join_tagged(docs, stay, doc_id, text).filter("_nth = 1").drop("_nth")

@@ -137,7 +137,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_minhash_near_dedup")
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "class_key")
 
 
 @query("op6_approximate_neighbours")

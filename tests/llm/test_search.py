@@ -114,6 +114,19 @@ def test_one_row_of_each_class_stays(spark):
     assert neardup.keep_one(df.limit(0)).count() == 0
 
 
+def test_unlike_texts_without_id_or_of_one_id_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (9, texts[3] + " more"), (None, texts[2]), (None, texts[4]), (7, texts[4]), (None, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4]), (None, texts[5])]
+    assert Counter((r["doc_id"], r["text"]) for r in neardup.keep_one(df).collect()) == Counter(kept)
+    got = neardup.near_duplicates(df).collect()
+    size = Counter(r["class_key"] for r in got)
+    assert len(got) == len(rows) and sorted(size.values()) == [1, 1, 2, 2, 2, 2] and all(r["class_size"] == size[r["class_key"]] for r in got)
+    ids = {r["class_key"]: r["class_id"] for r in got}
+    assert Counter(ids.values()) == Counter(d for d, _ in kept)
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(150, 151), (151, 150), (200, 200)]
     got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
