@@ -2,7 +2,8 @@
 
 A text becomes its letters in lower case with one separator wherever other signs stood, and its n-grams of one to three
 signs are hashed to `BUCKETS` numbers. Fitting adds up n-gram counts per language over a bounded seeded sample of labelled
-rows (`fit_rows`); the smoothed log-probabilities form one matrix of buckets by languages, which is broadcast. Scoring adds
+rows: of `fit_rows` rows every language gives the same number, or all it has if they are fewer, whose rest goes to the others.
+Priors come from all labelled rows; a language without an n-gram in the sample is not predicted. The smoothed log-probabilities form one matrix of buckets by languages, which is broadcast. Scoring adds
 matrix rows per text in numpy.
 
 Bounds: the matrix has BUCKETS x languages cells of four bytes and at most `MOST_LANGUAGES` languages (more raise an error,
@@ -100,19 +101,33 @@ class Model:
         return ([self.labels[b] if s else "und" for b, s in zip(best, some)], np.where(some, score, 0.0).tolist())
 
 
+def level(counts: list[int], rows: int) -> float:
+    """The number of rows of each language, or all of a smaller one, that makes `rows` together; at least 1."""
+    left = float(rows)
+    for i, n in enumerate(sorted(counts)):
+        if n * (len(counts) - i) > left:
+            return max(1.0, left / (len(counts) - i))
+        left -= n
+    return float(max(counts, default=1))
+
+
 def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", *,
         fit_rows: int = 60_000, smoothing: float = 0.5, seed: int = 3) -> Model:
-    """A model of the rows for which `learn` holds, from about `fit_rows` of them at most, chosen by a hash of the id."""
+    """A model of the rows for which `learn` holds, from about `fit_rows` of them at most, drawn per language (`level`) by a
+    hash of the id, or of the text where the id is NULL."""
     spark = docs.sparkSession
-    d = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.lit(seed)).bitwiseAND(F.lit((1 << 31) - 1)).alias("h"))
-    labelled = docs.filter(learn & F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()
+    rows = docs.filter(learn & F.col(lang).isNotNull())
+    own = F.xxhash64(F.col(doc_id), F.lit(seed), F.when(F.col(doc_id).isNull(), F.col(text)))
+    d = rows.filter(F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), own.bitwiseAND(F.lit((1 << 31) - 1)).alias("h"))
+    labelled = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), F.count(F.col(text)).alias("texts")).limit(MOST_LANGUAGES + 1).collect()
     if len(labelled) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    labels = sorted(r["lang"] for r in labelled)
+    labelled = sorted((r for r in labelled if r["texts"]), key=lambda r: r["lang"])
+    labels = [r["lang"] for r in labelled]
     if not labels:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    share = min(1.0, fit_rows / sum(r["count"] for r in labelled))
+    each = level([r["texts"] for r in labelled], fit_rows)
+    below = F.create_map(*[F.lit(x) for r in labelled for x in (r["lang"], int(min(1.0, each / r["texts"]) * (1 << 31)))])
     number = {v: i for i, v in enumerate(labels)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,14 +140,16 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
 
-    sample = d.filter(F.col("h") < F.lit(int(share * (1 << 31)) if share < 1 else 1 << 31)).select("lang", "text")
+    sample = d.filter(F.col("h") < F.element_at(below, F.col("lang"))).select("lang", "text")
     counted = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     got = counted.toPandas()                     # at most one row per cell of the matrix
     cells = np.zeros(len(labels) * BUCKETS)
     cells[got["cell"].to_numpy(np.int64)] = got["n"]
-    cells = cells.reshape(len(labels), BUCKETS) + smoothing
-    prior = np.array([r["count"] for r in sorted(labelled, key=lambda r: r["lang"])], float)
-    return Model(labels, np.log(cells / cells.sum(1, keepdims=True)).T.astype(np.float32).copy(), np.log(prior / prior.sum()))
+    cells = cells.reshape(len(labels), BUCKETS)
+    seen = cells.any(1)
+    cells = cells[seen] + smoothing
+    prior = np.array([r["n"] for r in labelled], float)[seen]
+    return Model([v for v, s in zip(labels, seen) if s], np.log(cells / cells.sum(1, keepdims=True)).T.astype(np.float32).copy(), np.log(prior / prior.sum()))
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

@@ -77,6 +77,16 @@ def test_language_defined_cases(spark):
     assert language.identify(df.limit(0), none, ["doc_id"]).count() == 0
 
 
+def test_rare_languages_are_sampled(spark):
+    rows = [(i, "hello you there" if i % 2 else "hallo du da", "en" if i % 2 else "de") for i in range(4000)]
+    rows += [(5000 + i, "привет мир", "ru") for i in range(20)] + [(None, "γεια σου", "el")] * 3 + [(6000, None, "xx"), (6001, "12 !", "yy")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), fit_rows=100)
+    assert model.labels == ["de", "el", "en", "ru"]
+    assert model.score(["мир", "γεια", "you there", "du da"])[0] == ["ru", "el", "en", "de"]
+    assert np.exp(model.prior) == pytest.approx(np.array([2000, 3, 2000, 20]) / 4023)
+    assert language.level([2000, 20, 3, 2000], 100) == 38.5 and language.level([5, 3], 100) == 5 and language.level([9, 9], 1) == 1
+
+
 def test_quality_on_held_out_rows(spark):
     want = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{SF}/labels.parquet'").fetchall())
     got = QUERIES["op10_quality_classifier"](spark, SF).collect()
