@@ -38,11 +38,17 @@ def text_tag(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def join_tagged(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join_tagged(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str | None = None) -> DataFrame:
     """Rows of `docs` whose (id, tag) stands in `chosen` (doc_id, tag, and more columns, which are added as they are), with
-    `_nth`, the number of a row among equal ones, from 1."""
-    extra = [c for c in chosen.columns if c not in ("doc_id", "tag")]
-    c = chosen.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), *extra)
-    j = docs.withColumn("_own", text_tag(text)).join(c, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tag")))
-    nth = F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("_tag"))
-    return j.withColumn("_nth", nth).drop("_id", "_tag", "_own")
+    `_nth`, the number of a row among equal ones, from 1. With the name of a column `source`, rows are equal only if they
+    agree in it too, and `chosen` has it as source."""
+    key = ["doc_id", "tag"] + ["source"] * (source is not None)
+    extra = [c for c in chosen.columns if c not in key]
+    c = chosen.select(*[F.col(k).alias("_" + k.removeprefix("doc_")) for k in key], *extra)
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tag"))
+    if source is not None:
+        same = same & F.col(source).eqNullSafe(F.col("_source"))
+    j = docs.withColumn("_own", text_tag(text)).join(c, same)
+    mine = ["_id", "_tag"] + ["_source"] * (source is not None)
+    nth = F.row_number().over(Window.partitionBy(*mine).orderBy("_tag"))
+    return j.withColumn("_nth", nth).drop(*mine, "_own")

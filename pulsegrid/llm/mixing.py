@@ -9,7 +9,8 @@ already taken. The counts per size are then turned into documents by a seeded ha
 
 Bounds: the fit of one source reads one row per distinct size, never one per document; its bit sets are as long as a few of
 its longest documents. The seeded choice cuts every (source, size) group into hash ranges of about `RANGE_ROWS` documents,
-of which only the last one taken in part is ranked, so no group of equal documents lands in one task.
+of which only the last one taken in part is ranked, so no group of equal documents lands in one task. All other rows,
+those of size 0 too, get their copies without a sort.
 
 Defined cases: NULL or empty text has size 0 and is not taken; a NULL source is a source, last in order; equal rows are
 equal candidates, each taken on its own; ties of the hash are ordered by id; an empty table gives no rows; a source of size 0
@@ -19,7 +20,7 @@ has target 0; other columns are not read.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.base import SPACE, join_tagged, text_tag, written
@@ -120,6 +121,17 @@ def _parts(count: int) -> list[int]:
     return out
 
 
+def in_part() -> Column:
+    """Whether a row's range, which holds `here` rows, is taken in part: `open` more are wanted from it on."""
+    return (F.col("open") > 0) & (F.col("open") < F.col("here"))
+
+
+def ranked(d: DataFrame) -> DataFrame:
+    """Rows of the ranges taken in part, one range per (source, size), with their copies."""
+    place = F.row_number().over(Window.partitionBy("source", "size").orderBy("h", "doc_id", "tag"))
+    return d.filter(in_part()).select("doc_id", "tag", "source", "size", (F.col("copies") + (place <= F.col("open")).cast("int")).alias("copies"))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", *, seed: int = 17,
         weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, share: float = 1.0) -> DataFrame:
     """doc_id, tag, source, size, source_size, target, copies, taken = copies * size; one row per row of `docs`."""
@@ -139,24 +151,24 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     # hash ranges of a (source, size) group, in order, until the wanted number is reached
     key = F.xxhash64(F.col("doc_id"), F.lit(seed)).bitwiseAND(F.lit((1 << 31) - 1))
     f = fitted.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", "extra", F.ceil(F.col("n") / RANGE_ROWS).alias("ranges"))
-    d = sized.withColumn("h", key).join(f, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")), "left")
+    d = sized.filter("size > 0").withColumn("h", key).join(f, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
     d = d.withColumn("range", F.floor(F.col("h") * F.col("ranges") / F.lit(float(1 << 31)))).drop("_source", "_size")
-    counted = d.filter("ranges IS NOT NULL").groupBy("source", "size", "range").agg(F.count("*").alias("here"))
+    counted = d.groupBy("source", "size", "range").agg(F.count("*").alias("here"))
     before = Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = counted.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("range").alias("_range"),
+    ranges = counted.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("range").alias("_range"), "here",
                             F.coalesce(F.sum("here").over(before), F.lit(0)).alias("earlier"))
-    d = d.join(ranges, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("range") == F.col("_range")), "left")
-    place = F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("h", "doc_id", "tag"))
-    d = d.withColumn("place", F.coalesce(F.col("earlier"), F.lit(0)) + place)
-    copies = F.when(F.col("ranges").isNull(), 0).otherwise(F.col("copies") + (F.col("place") <= F.col("extra")).cast("int"))
+    d = written(d.join(ranges, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("range") == F.col("_range")))
+                .select("doc_id", "tag", "source", "size", "h", "copies", (F.col("extra") - F.col("earlier")).alias("open"), "here"), "ranged")
+    dealt = sized.filter("size = 0").withColumn("copies", F.lit(0)).unionByName(
+        d.filter(~in_part()).select("doc_id", "tag", "source", "size", (F.col("copies") + (F.col("open") > 0).cast("int")).alias("copies"))).unionByName(ranked(d))
     g = goal.select(F.col("source").alias("_source"), "source_size", "target")
-    return (d.select("doc_id", "tag", "source", "size", copies.alias("copies")).join(g, F.col("source").eqNullSafe(F.col("_source")))
+    return (dealt.join(g, F.col("source").eqNullSafe(F.col("_source")))
             .select("doc_id", "tag", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
 
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **given) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it."""
-    taken = mix(docs, doc_id, text, source, **given).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
-    j = join_tagged(docs, taken.filter(F.element_at("_copies", 1) > 0), doc_id, text).withColumn("_times", F.element_at("_copies", F.col("_nth")))
+    taken = mix(docs, doc_id, text, source, **given).groupBy("doc_id", "tag", "source").agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
+    j = join_tagged(docs, taken.filter(F.element_at("_copies", 1) > 0), doc_id, text, source).withColumn("_times", F.element_at("_copies", F.col("_nth")))
     return j.filter("_times > 0").withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copies", "_nth")

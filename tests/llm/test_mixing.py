@@ -85,6 +85,22 @@ def test_repeated_rows_stand_as_often_as_taken(spark):
     assert stood == +taken and mixing.repeated(df).columns == df.columns
 
 
+def test_equal_rows_of_different_sources_keep_their_copies(spark):
+    rows = [(i, "a b c", s) for i in range(20) for s in ("s", "t", None)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, SCHEMA).coalesce(1)
+        taken = Counter()
+        for r in mixing.mix(df).collect():
+            taken[r["doc_id"], r["source"]] += r["copies"]
+        assert Counter((r["doc_id"], r["source"]) for r in mixing.repeated(df).collect()) == +taken
+
+
+def test_only_ranges_taken_in_part_are_ranked(spark):
+    d = spark.createDataFrame([(i, i, "s", 3, i, 1, n, 4) for n in (-2, 0, 3, 4, 9) for i in range(4)],
+                              "doc_id long, tag long, source string, size long, h long, copies int, open long, here long")
+    assert sorted((r["doc_id"], r["copies"]) for r in mixing.ranked(d).collect()) == [(0, 2), (1, 2), (2, 2), (3, 1)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(df).count() == 0 and mixing.repeated(df).count() == 0
