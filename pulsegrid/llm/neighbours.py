@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by largest inner product: balanced posting lists behind a graph of centroids.
 
-Fitting: centroids are k-means means of a bounded sample (`fit_rows`); a cluster of more than twice the mean size is split
-again, so that lists are balanced. Indexing: every vector goes to the list of its nearest centroid and, if it is near a
+Fitting: centroids are k-means means of a bounded sample (`fit_rows`); after the rounds a cluster of more than twice the mean
+size in the sample is split in two until none is left (`split_full`), so that lists are balanced; this adds centroids. Indexing: every vector goes to the list of its nearest centroid and, if it is near a
 boundary, to others whose distance is at most `1 + replicate` times as long. Searching: a query walks the graph of centroids
 (every centroid knows its nearest ones and some far ones) and reads the lists within a ratio of the distance of the nearest,
 but lists of at least `least` vectors together. The ratio is measured, not guessed: on `PROBES` vectors of the sample it is the
@@ -14,7 +14,7 @@ Equal vectors are one entry with their smallest `top + 1` ids, which is all that
 blocks of `BLOCK` entries and the queries of a list too, so a task holds one block of each; every pair of blocks returns the
 best per query only.
 
-Bounds: the graph, `most_lists` centroids, is all that is broadcast, with the sizes of the lists.
+Bounds: the graph, `most_lists` centroids and those that splitting adds, is all that is broadcast, with the sizes of the lists.
 
 Defined cases: vectors that are NULL, zero, of another length than most, or hold NULL or non-finite components take no part;
 ties go to the smaller id; repeated rows of one id count once; NULL ids take no part; fewer candidates than asked are all
@@ -119,6 +119,32 @@ def measured_ratio(g: Graph, v: np.ndarray, lifted: np.ndarray, top: int, replic
     return float(np.quantile(reach, cover)) * (1 + 1e-9)
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The number of the nearest row of c, for every row of x."""
+    return np.concatenate([((x[a:a + 4096] ** 2).sum(1)[:, None] - 2 * x[a:a + 4096] @ c.T + (c ** 2).sum(1)).argmin(1) for a in range(0, len(x), 4096)])
+
+
+def split_full(x: np.ndarray, c: np.ndarray, most: float) -> np.ndarray:
+    """Centres of which none is the nearest of more than `most` rows of x, which are distinct.
+
+    A centre of more gives way to the means of the halves of its rows along their widest direction. Rows that rounding cannot
+    tell apart do not split, so the rounds are limited.
+    """
+    for _ in range(64):
+        own = nearest(x, c)
+        full = np.flatnonzero(np.bincount(own, minlength=len(c)) > most)
+        if not len(full):
+            break
+        halves = []
+        for k in full:
+            rows = x[own == k]
+            off = rows - rows.mean(0)
+            along = np.argsort(off @ np.linalg.eigh(off.T @ off)[1][:, -1], kind="stable")
+            halves += [rows[along[:len(rows) // 2]].mean(0), rows[along[len(rows) // 2:]].mean(0)]
+        c = np.vstack([np.delete(c, full, axis=0), *halves])
+    return c
+
+
 def fit_centres(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     """Balanced k-means means of the rows of x."""
     rng = np.random.default_rng(seed)
@@ -126,7 +152,7 @@ def fit_centres(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 5) -> n
     lists = max(1, min(lists, len(x)))
     c = x[rng.choice(len(x), lists, replace=False)].copy()
     for _ in range(rounds):
-        own = np.concatenate([((x[a:a + 4096] ** 2).sum(1)[:, None] - 2 * x[a:a + 4096] @ c.T + (c ** 2).sum(1)).argmin(1) for a in range(0, len(x), 4096)])
+        own = nearest(x, c)
         n = np.bincount(own, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, own, x)
@@ -136,7 +162,7 @@ def fit_centres(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 5) -> n
             full = n.argmax()
             c[small] = x[rng.choice(np.flatnonzero(own == full))]
             n[full] //= 2
-    return c
+    return split_full(x, c, 2 * len(x) / lists)
 
 
 def clean(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:

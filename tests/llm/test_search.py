@@ -164,6 +164,14 @@ def test_neighbours_recall_and_scores(spark):
     assert hit / (20 * len(want)) > 0.9
 
 
+def test_no_list_is_above_twice_the_mean():
+    rng = np.random.default_rng(4)
+    x = np.exp(2 * rng.normal(size=(4000, 4)))
+    c = neighbours.fit_centres(x, 40)
+    n = np.bincount(((x[:, None, :] - c) ** 2).sum(2).argmin(1), minlength=len(c))
+    assert n.max() <= 2 * len(x) / 40 and 40 <= len(c) < 100
+
+
 def test_few_and_bad_vectors_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(0, 70)] + [(100, [2.0, 1.0]), (101, [0.0, 0.0]), (102, None), (103, [nan, 1.0]), (104, [inf, 1.0]), (105, [None, 1.0]), (None, [1.0, 1.0]),
