@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, chat, language, lexical, mixing, neardup, neighbours, quality, secrets, spelling, spots, transducer
+from pulsegrid.llm import bpe, chat, language, lexical, mixing, neardup, neighbours, quality, secrets, spelling, spots, transducer, warc
 from pulsegrid.llm.base import id_remainder, table
 from pulsegrid.session import new_folder
 
@@ -165,3 +165,13 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 QUALIFY rank <= 10""")
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_warc", sql="""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS nth,
+  max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+q AS (SELECT *, octet_length(encode(html)) AS size, octet_length(encode(html)) >= 1000 AND nth > 1 AS again FROM p)
+SELECT page_id, size::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN last END AS refers_to FROM q""")
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
