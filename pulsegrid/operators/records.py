@@ -11,10 +11,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from pulsegrid import constants as K
-from pulsegrid.operators.ordered import Ordered, sized
+from pulsegrid.operators.ordered import BLOCK_ROWS, Ordered, sized
 from pulsegrid.session import checkpointed
 
 KEY = ["user_id", "id"]
@@ -55,41 +55,76 @@ def changes_since(records: DataFrame, heads: DataFrame, cursors: DataFrame, page
             .drop("_k", "_last", "head", "pruned_seq", "since"))
 
 
+def _followers(current: DataFrame, writes: DataFrame, open_deletes: bool, by_record: dict) -> DataFrame:
+    """One row per write with a base, and per record with `by` -1 for its stored row: v, the version once that write is in;
+    `to`, the next write with a base that is accepted then; `via`, a delete without base that comes in between."""
+    based = writes.filter("base_version IS NOT NULL AND NOT (is_delete AND base_version <= 0)")
+    events = based.select(*KEY, F.col("base_version").alias("ver"), F.col("arrival").alias("at"), F.col("arrival").alias("by"),
+                          F.col("arrival").alias("_any"), F.when(~F.col("is_delete"), F.col("arrival")).alias("_put"))
+
+    def next_event(nodes: DataFrame) -> DataFrame:
+        """Adds `any` and `put`: the first write (that is no delete) based on `ver` later than `at`."""
+        o = Ordered(nodes.unionByName(events, allowMissingColumns=True), [*KEY, "ver"], ["at", "by"], **by_record)
+        o = o.running({"any": ("last", F.col("_any")), "put": ("last", F.col("_put"))}, reverse=True, current=False)
+        return o.rows.filter("_any IS NULL").drop("_any", "_put")
+
+    stored = current.select(*KEY, F.col("version").cast("long").alias("v"), F.col("deleted").alias("dead"))
+    begin = writes.select(*KEY).distinct().join(stored, KEY, "left").select(
+        *KEY, F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("dead", F.lit(True)).alias("dead"), F.lit(-1).cast("long").alias("by"))
+    nodes = begin.unionByName(based.select(*KEY, (F.col("base_version") + 1).alias("v"), F.col("is_delete").alias("dead"), F.col("arrival").alias("by")))
+    n = next_event(nodes.withColumn("ver", F.col("v")).withColumn("at", F.col("by")))
+    n = n.withColumn("to", F.when(F.col("dead"), F.col("put")).otherwise(F.col("any"))).select(*KEY, "by", "v", "dead", "to")
+    if not open_deletes:
+        return n.withColumn("via", F.lit(None).cast("long")).drop("dead")
+    unbased = writes.filter("base_version IS NULL AND is_delete").select(*KEY, F.col("arrival").alias("by"), F.col("arrival").alias("_drop"))
+    o = Ordered(n.unionByName(unbased, allowMissingColumns=True), KEY, ["by"], **by_record)
+    n = o.running({"via": ("last", F.col("_drop"))}, reverse=True, current=False).rows.filter("_drop IS NULL").drop("_drop")
+    goes = ~F.col("dead") & (F.col("v") > 0) & F.coalesce(F.col("to").isNull() | (F.col("via") < F.col("to")), F.lit(False))
+    n = n.withColumn("via", F.when(goes, F.col("via"))).drop("dead")
+    # after the delete only a write on its version follows
+    again = next_event(n.filter("via IS NOT NULL").withColumn("ver", F.col("v") + 1).withColumn("at", F.col("via")))
+    return n.filter("via IS NULL").unionByName(again.withColumn("to", F.col("put")).select(*n.columns))
+
+
+def _reached(edges: DataFrame, longest: int) -> DataFrame:
+    """user_id, id, arrival, version of the writes that the stored rows (`by` -1) lead to. longest: most steps of a path."""
+    aimed = edges.filter("to IS NOT NULL").select(*KEY, F.col("to").alias("by")).distinct()     # what nothing leads to is left out
+    first = edges.filter("by = -1").unionByName(edges.filter("by <> -1").join(aimed, [*KEY, "by"], "left_semi"))
+    t = first.select(*KEY, "by", "v", "via", F.col("to").alias("jump"), (F.col("by") == -1).alias("hit"))
+    for _ in range(longest.bit_length()):
+        t = checkpointed(t)
+        onward = t.filter("jump IS NOT NULL").select(*KEY, F.col("by").alias("jump"), F.col("jump").alias("_next"))
+        reached = t.filter("hit AND jump IS NOT NULL").select(*KEY, F.col("jump").alias("by"), F.lit(True).alias("_hit"))
+        t = (t.join(onward, [*KEY, "jump"], "left").join(reached, [*KEY, "by"], "left")
+             .select(*KEY, "by", "v", "via", F.col("_next").alias("jump"), (F.col("hit") | F.coalesce("_hit", F.lit(False))).alias("hit")))
+    t = checkpointed(t).filter("hit")
+    return t.filter("by <> -1").select(*KEY, F.col("by").alias("arrival"), F.col("v").alias("version")).unionByName(
+        t.filter("via IS NOT NULL").select(*KEY, F.col("via").alias("arrival"), (F.col("v") + 1).alias("version")))
+
+
 def apply_writes(current: DataFrame, heads: DataFrame, writes: DataFrame, **ordered) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Optimistic writes and deletes: (new records, accepted, conflicts).
 
-    writes: user_id, id, arrival, base_version, is_delete, bytes, updated_at; arrivals are unique per user.
+    writes: user_id, id, arrival, base_version, is_delete, bytes, updated_at; arrivals are not negative and unique per user.
     A write fits when its base version is the record's version (0: no such record); a delete needs a live
-    record and may leave the base out. The first fitting write by arrival wins. Only writes that build on
-    another write of the same batch need a further round, on just the records written in the round before,
-    so there are as many rounds as the longest such chain. Deletes that find nothing to delete are no
+    record and may leave the base out. The first fitting write by arrival wins. Deletes that find nothing to delete are no
     conflicts.
+
+    If a write with a base is accepted, its version is known, and so is the write that follows it: the first later one with
+    that base. Which writes are accepted is then which ones the stored row leads to along these pointers. Doubling the
+    pointers finds that in as many rounds as the number of different bases of a record has bits.
     """
-    state = current.select(*KEY, F.col("version").alias("_v"), F.col("deleted").alias("_dead"), F.lit(-1).cast("long").alias("_at"))
-    rounds = []
-    how = "left"
-    while True:
-        w = writes.join(state, KEY, how)
-        v, last = F.coalesce("_v", F.lit(0)), F.coalesce("_at", F.lit(-1))
-        fits = F.when(F.col("is_delete"), (v > 0) & ~F.col("_dead") & (F.coalesce("base_version", v) == v)).otherwise(
-            F.col("base_version") == v)
-        ok = w.filter((F.col("arrival") > last) & fits).withColumn("_new", v + 1)
-        won = (ok.groupBy(*KEY).agg(F.min_by(F.struct("arrival", "_new", "is_delete", "bytes", "updated_at"), "arrival").alias("_w"))
-               .select(*KEY, "_w.*"))
-        won = checkpointed(won)
-        if won.isEmpty():
-            break
-        rounds.append(won)
-        state = won.select(*KEY, F.col("_new").alias("_v"), F.col("is_delete").alias("_dead"), F.col("arrival").alias("_at"))
-        how = "inner"
-    accepted = won
-    for r in rounds:
-        accepted = accepted.unionByName(r)
-    accepted = accepted.select(
-        *KEY, "arrival", F.col("_new").cast("long").alias("version"), F.col("is_delete").alias("deleted"),
+    shape = writes.groupBy(*KEY, "base_version").agg(F.count("*").alias("n"), F.count_if("is_delete").alias("d")).groupBy(*KEY).agg(
+        F.sum("n").alias("rows"), F.count("base_version").alias("bases"), F.sum(F.when(F.col("base_version").isNull(), F.col("d"))).alias("open"))
+    rows, bases, open_deletes = shape.agg(F.max("rows"), F.max("bases"), F.sum("open")).first()
+    block_rows = ordered.get("block_rows", BLOCK_ROWS)
+    by_record = {"block_rows": block_rows, "bounded": ordered.get("bounded", 3 * (rows or 0) <= block_rows)}
+    edges = checkpointed(_followers(current, writes, bool(open_deletes), by_record))
+    took = _reached(edges, bases or 0)
+    accepted = writes.join(took, [*KEY, "arrival"]).select(
+        *KEY, "arrival", F.col("version").cast("long").alias("version"), F.col("is_delete").alias("deleted"),
         F.when(F.col("is_delete"), 0).otherwise(F.col("bytes")).cast("long").alias("bytes"), "updated_at")
     accepted = number_changes(accepted, heads, ["arrival", "id"], **ordered)
-    by_record = sized(writes, KEY, **ordered)
 
     # what a refused write found: the newest accepted write before it, else the stored row
     mine = accepted.select(*KEY, "arrival", F.struct(F.col("version").alias("v"), F.col("deleted").alias("dead")).alias("_s"))
@@ -186,38 +221,100 @@ def usage(records: DataFrame) -> DataFrame:
 
 
 def admit(writes: DataFrame, current: DataFrame, *, max_records: int = K.MAX_RECORDS, max_bytes: int = K.MAX_USER_BYTES,
-          max_record: int = K.MAX_RECORD_BYTES) -> DataFrame:
+          max_record: int = K.MAX_RECORD_BYTES, block_writes: int = 100_000, **ordered) -> DataFrame:
     """Quota check of writes in arrival order; `reason` is NULL when a write fits.
 
     A write is held against the user's other live rows: stored ones and writes accepted before it, each record once. A
-    refused write uses nothing. Users are dealt to tasks and their writes streamed in order; what a task remembers is one
-    user's written ids, of which at most `max_records` are accepted, so a user may have any number of writes.
+    refused write uses nothing.
+
+    First it is guessed that every write that is not too large is accepted; running sums say whether all fit then. For most
+    users they do, and that is the result. From a user's first misfit on, the writes are folded one by one, in blocks of
+    `block_writes` that start from a guessed state (the usage and the held sizes that the blocks before would leave); blocks
+    whose guess turns out wrong are folded again until none is. The first blocks are right from the start, so
+    there are at most as many rounds as blocks, and a user who stays below the limits has none.
     """
     live = current.filter(~F.col("deleted")).select(*KEY, F.col("bytes").alias("_own"))
     d = (writes.join(usage(current).withColumnsRenamed({"n_records": "_n0", "bytes": "_b0"}), "user_id", "left")
-         .join(live, KEY, "left").fillna(0, ["_n0", "_b0"]))
-    names = [*writes.columns, "reason"]
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, held, n, total = None, {}, 0, 0
+         .join(live, KEY, "left").fillna(0, ["_n0", "_b0"]).withColumn("_fits", F.col("bytes") <= max_record))
+    size = sized(writes, ["user_id"], **ordered)
+    if size["bounded"]:
+        d = d.repartition("user_id")        # both windows below find their rows together
+    d = Ordered(d, KEY, ["arrival"], **size).running({"_held": ("last", F.when(F.col("_fits"), F.col("bytes")))}, current=False).rows
+    d = d.withColumn("_old", F.coalesce("_held", "_own")).drop("_held", "_own")
+    more = F.when(F.col("_fits"), F.col("_old").isNull().cast("long")).otherwise(0)
+    grows = F.when(F.col("_fits"), F.col("bytes") - F.coalesce("_old", F.lit(0))).otherwise(0)
+    o = Ordered(d, ["user_id"], ["arrival", "id"], **size).running({"_n": ("sum", more), "_b": ("sum", grows)}, current=False)
+    d = o.rows.withColumn("_n", F.col("_n0") + F.coalesce("_n", F.lit(0))).withColumn("_b", F.col("_b0") + F.coalesce("_b", F.lit(0))).drop("_n0", "_b0")
+    known = F.col("_old").isNotNull().cast("long")
+    over = F.col("_fits") & ((F.col("_n") - known >= max_records) | (F.col("_b") - F.coalesce("_old", F.lit(0)) + F.col("bytes") > max_bytes))
+    d = checkpointed(d.withColumn("_over", over))
+    misfit = d.filter("_over").groupBy("user_id").agg(F.min_by(F.struct("arrival", "id", "_n", "_b"), F.struct("arrival", "id")).alias("_first"))
+    d = d.join(misfit, "user_id", "left")
+    late = F.col("_first").isNotNull() & (F.struct("arrival", "id") >= F.struct("_first.arrival", "_first.id"))
+    reason = F.when(~F.col("_fits"), "too_large")
+    settled = d.filter(~F.coalesce(late, F.lit(False))).select(*writes.columns, reason.alias("reason"))
+    rest = d.filter(late).withColumns({"_sn": F.col("_first._n"), "_sb": F.col("_first._b")}).drop("_first", "_n", "_b")
+    folded = _fold_blocks(rest, max_records, max_bytes, max_record, block_writes, size)
+    return settled if folded is None else settled.unionByName(folded.select(*writes.columns, "reason"))
+
+
+def _fold_blocks(rows: DataFrame, max_records: int, max_bytes: int, max_record: int, block_writes: int, size: dict) -> DataFrame | None:
+    """Writes from a user's first misfit on, with `reason`; None if there are none. _sn, _sb: records and bytes in use before the
+    first of them; _old: the size its record held before, if all writes between were accepted; _over: the guess."""
+    o = Ordered(rows, ["user_id"], ["arrival", "id"], **size).number("_k")
+    rows = o.rows.withColumn("_block", F.floor((F.col("_k") - 1) / block_writes).cast("long"))
+    first = Window.partitionBy(*KEY).orderBy("_k")
+    begun = F.row_number().over(first) == 1
+    rows = checkpointed(rows.withColumn("_begun", begun).withColumn("reason", F.when(F.col("_over"), "bytes").when(~F.col("_fits"), "too_large")))
+    last = rows.agg(F.max("_block")).first()[0]
+    if last is None:
+        return None
+    before = None
+    while True:
+        # what every block would find, given the decisions so far
+        held = (rows.groupBy(*KEY, "_block").agg(F.max(F.when(F.col("_begun"), F.col("_old"))).alias("_stored"), F.max_by("bytes", F.when(F.col("reason").isNull(), F.col("_k"))).alias("_kept")))
+        earlier = Window.partitionBy(*KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        upto = Window.partitionBy(*KEY).orderBy("_block")
+        held = held.withColumn("_stored", F.last("_stored", ignorenulls=True).over(upto)).withColumn("_found", F.coalesce(F.last("_kept", ignorenulls=True).over(earlier), "_stored"))
+        left = F.coalesce("_kept", "_found")
+        held = checkpointed(held.select(*KEY, "_block", "_found", (left.isNotNull().cast("long") - F.col("_found").isNotNull().cast("long")).alias("_dn"),
+                                        (F.coalesce(left, F.lit(0)) - F.coalesce("_found", F.lit(0))).alias("_db")))
+        so_far = Window.partitionBy("user_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        starts = held.groupBy("user_id", "_block").agg(F.sum("_dn").alias("_dn"), F.sum("_db").alias("_db"), F.bit_xor(F.xxhash64("id", F.coalesce("_found", F.lit(-1)))).alias("_sign"))
+        starts = checkpointed(starts.select("user_id", "_block", "_sign", F.coalesce(F.sum("_dn").over(so_far), F.lit(0)).alias("_dn"), F.coalesce(F.sum("_db").over(so_far), F.lit(0)).alias("_db")))
+        todo = starts if before is None else starts.join(before, ["user_id", "_block", "_sign", "_dn", "_db"], "left_anti")
+        if before is not None and todo.isEmpty():
+            return rows
+        named = rows.columns
+        again = rows.join(todo.select("user_id", "_block", "_dn", "_db"), ["user_id", "_block"]).join(held.select(*KEY, "_block", "_found"), [*KEY, "_block"])
+        done = _fold(again, named, rows.schema, max_records, max_bytes, max_record)
+        if last == 0:       # one block a user, which starts from what is known
+            return done
+        same = rows.join(todo.select("user_id", "_block"), ["user_id", "_block"], "left_anti").select(*named)
+        rows, before = checkpointed(done.unionByName(same)), starts
+
+
+def _fold(rows: DataFrame, names: list[str], schema: StructType, max_records: int, max_bytes: int, max_record: int) -> DataFrame:
+    """Decide the writes of every (user, block) in order; `_found` is what a record held before the block."""
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, n, total = None, {}, 0, 0
         for frame in frames:
             reasons = []
-            for row in frame[["user_id", "id", "bytes", "_own", "_n0", "_b0"]].itertuples(index=False):
-                if row[0] != user:
-                    user, held, n, total = row[0], {}, int(row[4]), int(row[5])
-                size = int(row[2])
-                old = held[row[1]] if row[1] in held else None if pd.isna(row[3]) else int(row[3])
+            columns = [frame[c].tolist() for c in ("user_id", "_block", "id", "bytes", "_sn", "_sb", "_dn", "_db")]
+            found = [None if x is None or x != x else int(x) for x in frame["_found"].tolist()]
+            for (user, block, record, size, sn, sb, dn, db), old in zip(zip(*columns), found):
+                if (user, block) != at:
+                    at, held, n, total = (user, block), {}, sn + dn, sb + db
+                old = held.get(record, old)
                 others, rest = (n, total) if old is None else (n - 1, total - old)
-                reason = ("too_large" if size > max_record else "records" if others >= max_records
-                          else "bytes" if rest + size > max_bytes else None)
+                reason = "too_large" if size > max_record else "records" if others >= max_records else "bytes" if rest + size > max_bytes else None
                 if reason is None:
-                    held[row[1]], n, total = size, others + 1, rest + size
+                    held[record], n, total = size, others + 1, rest + size
                 reasons.append(reason)
             frame["reason"] = pd.Series(reasons, index=frame.index, dtype=object)
             yield frame[names]
 
-    schema = StructType([*writes.schema.fields, StructField("reason", StringType())])
-    return d.repartition("user_id").sortWithinPartitions("user_id", "arrival", "id").mapInPandas(fold, schema)
+    return rows.repartition("user_id", "_block").sortWithinPartitions("user_id", "_block", "_k").mapInPandas(decide, schema)
 
 
 def hourly_counts(events: DataFrame, key: list[str], ts: str, limit: int) -> DataFrame:

@@ -78,6 +78,41 @@ def test_writes_match_a_replay(spark):
     assert [r["arrival"] for r in as_dicts(con, "arrival")] == clash
 
 
+def test_a_chain_of_a_thousand_versions_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 1000, []
+    kept = R.checkpointed
+    monkeypatch.setattr(R, "checkpointed", lambda df: rounds.append(1) or kept(df))
+    rows = [("a", i, i, False) for i in range(n)] + [("b", n + i, 0, False) for i in range(50)]
+    table_, acc, con = R.apply_writes(table(spark, []), heads(spark, 0), write(spark, rows))
+    got = as_dicts(acc, "arrival")
+    assert [(r["arrival"], r["version"]) for r in got] == [(i, i + 1) for i in range(n)] + [(n, 1)]
+    assert con.count() == 49 and len(rounds) <= 12
+    assert {r["id"]: r["version"] for r in as_dicts(table_)} == {"a": n, "b": 1}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_deletes_without_base_between_versions(spark, seed):
+    import random
+    rng = random.Random(seed)
+    rows = [(rng.choice("abc"), a, None if rng.random() < 0.4 else rng.randint(0, 6), rng.random() < 0.5) for a in range(120)]
+    _, acc, con = R.apply_writes(table(spark, [("a", 1, False, 5, 1)]), heads(spark, 1), write(spark, rows))
+    state, took, clash = {"a": (1, False)}, [], []
+    for i, arr, b, d in rows:
+        v, dead = state.get(i, (0, True))
+        if (v > 0 and not dead and b in (None, v)) if d else b == v:
+            state[i] = (v + 1, d)
+            took.append((arr, v + 1))
+        elif not (d and dead):
+            clash.append(arr)
+    assert [(r["arrival"], r["version"]) for r in as_dicts(acc, "arrival")] == took
+    assert [r["arrival"] for r in as_dicts(con, "arrival")] == clash
+
+
+def test_no_writes(spark):
+    table_, acc, con = R.apply_writes(table(spark, [("a", 1, False, 5, 1)]), heads(spark, 1), write(spark, []))
+    assert (table_.count(), acc.count(), con.count()) == (1, 0, 0)
+
+
 LOCAL = "user_id long, id string, edit_ms long, version long, dirty boolean, deleted boolean"
 REMOTE = "user_id long, id string, edit_ms long, version long, deleted boolean, server_ms long"
 
@@ -121,7 +156,8 @@ def test_refused_writes_use_nothing(spark):
     assert [x["reason"] for x in r] == [None, "bytes", None, None]
 
 
-def test_admission_against_replay(spark):
+@pytest.mark.parametrize("block", [100_000, 64, 20])
+def test_admission_against_replay(spark, block):
     import random
     rng = random.Random(3)
     cur = [(i, n, rng.random() < 0.3, rng.randint(1, 30), 1) for n, i in enumerate("abcdef")]
@@ -134,10 +170,19 @@ def test_admission_against_replay(spark):
             state[u] = rest | {i: b}
         want.append(why)
     w = spark.createDataFrame(rows, "user_id long, id string, arrival long, bytes long")
-    got = as_dicts(R.admit(w, table(spark, cur), max_records=5, max_bytes=120, max_record=55), "arrival")
+    got = as_dicts(R.admit(w, table(spark, cur), max_records=5, max_bytes=120, max_record=55, block_writes=block), "arrival")
     assert [x["reason"] for x in got] == want and len(set(want)) == 4
 
 
+def test_admission_of_one_user_in_blocks(spark):
+    """Users below the limits are never folded, whatever the windows' block."""
+    rows = [(1, f"r{n % 40}", n, 1 + n % 7) for n in range(200)] + [(2, f"q{n}", n, 50) for n in range(4)]
+    w = spark.createDataFrame(rows, "user_id long, id string, arrival long, bytes long")
+    for opts in ({}, {"block_rows": 16, "bounded": False}):
+        got = as_dicts(R.admit(w, table(spark, []), max_records=40, max_bytes=10_000, max_record=49, **opts), "user_id", "arrival")
+        assert [x["reason"] for x in got] == [None] * 200 + ["too_large"] * 4
+
+
 def test_hourly_admission(spark):
     d = spark.createDataFrame([("k", i, datetime(2024, 1, 1, 10 + i // 3)) for i in range(6)], "key string, id long, ts timestamp")
     assert R.admit_hourly(d, ["key"], "ts", "id", 2).count() == 4
