@@ -9,16 +9,17 @@ its signature still holds.
 
 Steps. Texts of equal shingle multisets are one member. Members that share a band form a bucket. Every bucket is linked
 through its smallest member: pairs whose signatures agree enough are verified exactly on the multisets. Members of a bucket
-that are still in different components may be alike without being like the smallest one; they are looked up again by the rarest
-components of their signatures (all but `LIKELY` - 1, of which two that agree in `LIKELY` components share one), and pairs
-across components that meet there are verified too. Components of the verified links are the classes. Multisets whose sizes
-are too far apart to reach 0.8 are no pair anywhere.
+that are still in different components may be alike without being like the smallest one; they are joined with one another by an
+exact prefix filter: their shingles are put in order, the rarest first, and two that reach 0.8 share one of their first few,
+with enough shingles left behind it in both (see `_prefixes`). Pairs across components that pass are verified too. Components of the
+verified links are the classes. Multisets whose sizes are too far apart to reach 0.8 are no pair anywhere.
 
 Bounds: a bucket never meets in one task: its smallest member comes from an aggregate, links from joins. Pairs inside one
-component are not made. Signatures and members live in written tables below the shared folder.
+component are not made. The order needs no exact counts: shingles are counted in `CELLS` cells, which are what is broadcast.
+Signatures, members and prefixes live in written tables below the shared folder.
 
 The chance that banding misses a pair of exactly 0.8 is (1 - 0.8^5)^24, under 1 in 10,000; above 0.85 it is under 1 in
-500,000. The signature test in front of the verification misses about 1 in 30,000 of those at exactly 0.8.
+500,000. The signature test of the first look misses about 1 in 30,000 of those at exactly 0.8; the second look misses none.
 
 Defined cases: NULL text is empty; texts without a word are alike only if they are equal; texts of fewer than five words
 are one shingle; repeated rows are copies; ties are settled by the smallest id; an empty table gives no rows; other columns
@@ -28,6 +29,7 @@ class_id and are told apart by class_key. A NULL id comes after all others, so c
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -35,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +52,8 @@ WORD = re.compile(r"\w+")
 MOST_WORDS = 150_000
 PIECE = 1 << 19     # signs handled at a time
 SLICE = 1000        # rows taken out of a batch at a time
+CELL_BITS = 20
+CELLS = 1 << CELL_BITS
 
 U = np.uint64
 
@@ -229,11 +233,15 @@ def likely(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
     return written(p.filter(near_size(F.col("na"), F.col("nb"), least)).filter(agreeing("sa", "sb") >= LIKELY).select("a", "b"), "likely")
 
 
-def verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b, likeness): pairs whose multisets reach `least`. members: content, first; texts: doc_id, text."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct().join(members.select("content", "first"), "content")
-    chosen = texts.join(wanted.select("first").distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    bag = written(bags(chosen).dropDuplicates(["content"]), "bags")
+def bags_of(wanted: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """content and bag of the members in `wanted` (content, distinct). members: content, first; texts: doc_id, text."""
+    first = wanted.join(members.select("content", "first"), "content").select("first").distinct().hint("shuffle_hash")
+    chosen = texts.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    return written(bags(chosen).dropDuplicates(["content"]), "bags")
+
+
+def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
+    """Links (a, b, likeness): pairs whose multisets reach `least`. bag: content, bag."""
     full = (pairs.join(bag.select(F.col("content").alias("a"), F.col("bag").alias("ba")), "a")
             .join(bag.select(F.col("content").alias("b"), F.col("bag").alias("bb")), "b"))
     return written(full.select("a", "b", exact("ba", "bb").alias("likeness")).filter(F.col("likeness") >= least - 1e-12), "links")
@@ -263,28 +271,84 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _untested(bucket: DataFrame, found: DataFrame, signs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different components that may agree in `LIKELY` places, of members that share a bucket with another
-    component without being its smallest member.
-
-    Of the (place, value) pairs of a signature all but LIKELY - 1 are looked up, the rarest first: two signatures that
-    agree in LIKELY places share one of them. What a large component shares within itself is not paired: where its members
-    have a value in common, only the others are paired with them.
-    """
+def _still_open(bucket: DataFrame, found: DataFrame) -> DataFrame:
+    """content and root of the members that share a bucket with another component without being its smallest member."""
     b = bucket.filter((F.col("n") > 2) & (F.col("a") != F.col("b"))).select("band", "key", "b")
     b = b.join(found.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     mixed = b.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("band", "key")
-    open_ = b.join(mixed, ["band", "key"]).select("b", "root").distinct().join(signs.withColumnRenamed("content", "b"), "b")
-    token = F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda j: F.hash(j, F.substr(F.col("sign"), j * 2 + 1, F.lit(2))))
-    t = written(open_.select("b", "root", "size", F.explode(token).alias("token")), "tokens")
-    per_root = t.groupBy("token", "root").agg(F.count("*").alias("here"))
-    per_token = per_root.groupBy("token").agg(F.sum("here").alias("all"), F.max(F.struct("here", "root"))["root"].alias("most"), F.count("*").alias("roots"))
-    ranked = t.join(per_token, "token").withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy("all", "token")))
-    looked = written(ranked.filter((F.col("place") <= SIZE - LIKELY + 1) & (F.col("roots") > 1)).select("token", "b", "root", "size", "most"), "looked")
-    few = looked.filter("root != most").select("token", F.col("b").alias("p"), F.col("root").alias("rp"), F.col("size").alias("np"))
-    both = few.join(looked.select("token", F.col("b").alias("q"), F.col("root").alias("rq"), F.col("size").alias("nq"), (F.col("root") == F.col("most")).alias("large")), "token")
-    pairs = both.filter((F.col("rp") != F.col("rq")) & (F.col("large") | (F.col("p") < F.col("q"))) & near_size(F.col("np"), F.col("nq"), least))
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    return b.join(mixed, ["band", "key"]).select(F.col("b").alias("content"), "root").distinct()
+
+
+def tokens(bag: bytes) -> np.ndarray:
+    """One value for every shingle of a packed multiset, also for every time it stands again."""
+    h = np.frombuffer(bag, np.uint64)
+    nth = np.arange(len(h)) - np.searchsorted(h, h)
+    with np.errstate(over="ignore"):
+        return np.where(nth > 0, mix(h + mix(nth.astype(np.uint64))), h)
+
+
+def _frequencies(bag: DataFrame) -> np.ndarray:
+    """How often the tokens of all bags fall into each of `CELLS` cells, by their upper bits."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for x in batch.column("bag").to_pylist():
+                np.add.at(n, _cell(tokens(x)), 1)
+        at = np.flatnonzero(n)
+        for k in range(0, len(at), 10_000):
+            part = at[k:k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["cell", "n"])
+
+    t = bag.select("bag").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[t.column("cell").to_numpy()] = t.column("n").to_numpy()
+    return out
+
+
+def _cell(token: np.ndarray) -> np.ndarray:
+    return (mix(token) >> U(64 - CELL_BITS)).astype(np.int64)
+
+
+def _prefixes(open_: DataFrame, least: float) -> DataFrame:
+    """token, place (from 0), content, root, size and `short` of the tokens by which a member must be found, rarest first.
+
+    Two multisets of n <= m tokens reach `least` = t only if they share t m and t (n + m) / (1 + t) tokens, at least 2 t n / (1 + t).
+    In any common order of tokens the first shared one is therefore among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller
+    one (`short`) and among the first m - ceil(t m) + 1 of the larger one. open_: content, root, bag."""
+    known = open_.sparkSession.sparkContext.broadcast(_frequencies(open_).astype(np.int32))     # CELLS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 100):
+                batch = whole.slice(k, 100)
+                row, token, place, size, short = [], [], [], [], []
+                for i, x in enumerate(batch.column("bag").to_pylist()):
+                    t = tokens(x)
+                    n = len(t)
+                    t = t[np.lexsort((t, known.value[_cell(t)]))][:n - math.ceil(least * n - 1e-9) + 1]
+                    row.append(np.full(len(t), i))
+                    token.append(t.view(np.int64))
+                    place.append(np.arange(len(t)))
+                    size.append(np.full(len(t), n))
+                    short.append(np.arange(len(t)) < n - math.ceil(2 * least * n / (1 + least) - 1e-9) + 1)
+                rows = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(token)), pa.array(np.concatenate(place)), batch.column("content").take(rows), batch.column("root").take(rows),
+                     pa.array(np.concatenate(size)), pa.array(np.concatenate(short))], ["token", "place", "content", "root", "size", "short"])
+
+    return open_.select("content", "root", "bag").mapInArrow(run, "token long, place long, content binary, root binary, size long, short boolean")
+
+
+def _untested(open_: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of open members of different components that can reach `least`: no such pair is left out. What has too few
+    tokens behind a shared one is no pair; nothing is paired inside a component."""
+    p = written(_prefixes(open_, least), "prefixes")
+    x, y = (p.select("token", *[F.col(c).alias(k + c) for c in ("place", "content", "root", "size", "short")]) for k in "xy")
+    left = lambda k: F.col(k + "size") - F.col(k + "place")  # noqa: E731  tokens from the shared one on
+    fits = ((F.struct("xsize", "xcontent") < F.struct("ysize", "ycontent")) & (F.col("xroot") != F.col("yroot")) & near_size(F.col("xsize"), F.col("ysize"), least)
+            & (F.least(left("x"), left("y")) >= (F.col("xsize") + F.col("ysize")) * F.lit(least / (1 + least) - 1e-9)))
+    both = x.filter("xshort").join(y, "token").filter(fits)
+    return both.select(F.least("xcontent", "ycontent").alias("a"), F.greatest("xcontent", "ycontent").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -298,11 +362,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = members.select("content", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("content").alias("a")).filter("n > 1")
     bucket = written(rows.join(shared, ["band", "key"]).select("band", "key", "n", "a", F.col("content").alias("b")), "buckets")
-    links = verified(likely(bucket.filter("a != b").select("a", "b").distinct(), signs, least), members, texts, least)
+    pairs = likely(bucket.filter("a != b").select("a", "b").distinct(), signs, least)
+    links = verified(pairs, bags_of(pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct(), members, texts), least)
     found = components(links)
-    more = likely(_untested(bucket, found, signs, least), signs, least)
-    if not more.isEmpty():
-        found = components(links.unionByName(verified(more, members, texts, least)))
+    open_ = written(_still_open(bucket, found), "open")
+    if not open_.isEmpty():
+        bag = bags_of(open_.select("content"), members, texts)
+        found = components(links.unionByName(verified(_untested(open_.join(bag, "content"), least), bag, least)))
     root = members.select("content", "first", "rows").join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     classes = root.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("rows").alias("class_size"))
     named = root.select("content", "root").join(classes, "root").select("content", F.lower(F.hex("root")).alias("class_key"), "class_id", "class_size")

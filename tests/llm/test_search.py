@@ -94,15 +94,36 @@ def test_classes_against_brute_force(spark):
 def test_pairs_that_stars_do_not_test_are_found(spark):
     """Members of a bucket that are like each other but not like its smallest member."""
     bucket = spark.createDataFrame([(0, 1, 4, b"a", x) for x in (b"a", b"b", b"c", b"d")], "band int, key long, n long, a binary, b binary")
-    rng = np.random.default_rng(3)
-    one = rng.integers(0, 1 << 16, neardup.SIZE).astype("<u2")
-    two = one.copy()
-    two[:20] = rng.integers(0, 1 << 16, 20)
-    other = rng.integers(0, 1 << 16, neardup.SIZE).astype("<u2")
-    signs = spark.createDataFrame([(b"a", 50, bytearray(other.tobytes())), (b"b", 50, bytearray(one.tobytes())), (b"c", 50, bytearray(two.tobytes())),
-                                   (b"d", 50, bytearray(rng.integers(0, 1 << 16, neardup.SIZE).astype("<u2").tobytes()))], "content binary, size long, sign binary")
     none = spark.createDataFrame([], "node binary, root binary")
-    assert [(bytes(r["a"]), bytes(r["b"])) for r in neardup._untested(bucket, none, signs, 0.8).collect()] == [(b"b", b"c")]
+    assert sorted(bytes(r["content"]) for r in neardup._still_open(bucket, none).collect()) == [b"b", b"c", b"d"]
+    joined = spark.createDataFrame([(x, b"r") for x in (b"a", b"b", b"c", b"d")], "node binary, root binary")
+    assert neardup._still_open(bucket, joined).count() == 0
+
+
+def packed(words):
+    return bytearray(np.sort(np.array(words, np.uint64)).tobytes())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_second_look_finds_every_pair_and_little_else(spark, seed):
+    """A group of copies of one text just around the threshold, pieces that stand several times, and sizes from 1 to 300."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(1, 1 << 60, 100).astype(np.uint64)
+    bags = []
+    for _ in range(150):
+        w = base.copy()
+        at = rng.choice(100, rng.integers(6, 12), replace=False)
+        w[at] = rng.integers(1, 1 << 60, len(at))
+        bags.append(w)
+    bags += [np.repeat(rng.integers(1, 1 << 60, 3).astype(np.uint64), k) for k in ((5, 5, 5), (1, 0, 0))]
+    bags += [np.repeat(np.uint64(7), k) for k in (1, 2, 4, 5, 9, 10, 12, 100, 124, 125, 126)] + [base[:80], base[:79], np.r_[base, base[:25]]]
+    rows = [(bytes([i // 256, i % 256]), bytes([i // 256, i % 256]) if i % 10 else b"x", packed(b)) for i, b in enumerate(bags)]
+    open_ = spark.createDataFrame(rows, "content binary, root binary, bag binary").repartition(3)
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in neardup._untested(open_, 0.8).collect()}
+    counts = [Counter(b.tolist()) for b in bags]
+    want = {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i + 1, len(rows))
+            if rows[i][1] != rows[j][1] and likeness(counts[i], counts[j]) >= 0.8}
+    assert want and want <= got and len(got) < len(rows) ** 2 / 4
 
 
 def test_one_row_of_each_class_stays(spark):
