@@ -54,6 +54,7 @@ PIECE = 1 << 19     # signs handled at a time
 SLICE = 1000        # rows taken out of a batch at a time
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
+PARITIES = 512      # bits that a member carries to tell how many shingles it does not share
 
 U = np.uint64
 
@@ -310,43 +311,51 @@ def _cell(token: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(open_: DataFrame, least: float) -> DataFrame:
-    """token, place (from 0), content, root, size and `short` of the tokens by which a member must be found, rarest first.
+    """token, place (from 0), content, root, size, `short` and the parities of the tokens by which a member must be found, rarest first.
 
     Two multisets of n <= m tokens reach `least` = t only if they share t m and t (n + m) / (1 + t) tokens, at least 2 t n / (1 + t).
     In any common order of tokens the first shared one is therefore among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller
-    one (`short`) and among the first m - ceil(t m) + 1 of the larger one. open_: content, root, bag."""
+    one (`short`) and among the first m - ceil(t m) + 1 of the larger one. The parities q0, q1, ... of the counts in `PARITIES` cells differ
+    in at most as many places as there are tokens that only one of them has. open_: content, root, bag."""
+    words = PARITIES // 64
     known = open_.sparkSession.sparkContext.broadcast(_frequencies(open_).astype(np.int32))     # CELLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 100):
                 batch = whole.slice(k, 100)
-                row, token, place, size, short = [], [], [], [], []
+                row, token, place, size, short, parity = [], [], [], [], [], []
                 for i, x in enumerate(batch.column("bag").to_pylist()):
                     t = tokens(x)
                     n = len(t)
+                    parity.append(np.packbits((np.bincount((mix(t ^ U(0x5851F42D4C957F2D)) & U(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64))
                     t = t[np.lexsort((t, known.value[_cell(t)]))][:n - math.ceil(least * n - 1e-9) + 1]
                     row.append(np.full(len(t), i))
                     token.append(t.view(np.int64))
                     place.append(np.arange(len(t)))
                     size.append(np.full(len(t), n))
                     short.append(np.arange(len(t)) < n - math.ceil(2 * least * n / (1 + least) - 1e-9) + 1)
-                rows = pa.array(np.concatenate(row))
+                at = np.concatenate(row)
+                rows, bits = pa.array(at), np.stack(parity)[at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(token)), pa.array(np.concatenate(place)), batch.column("content").take(rows), batch.column("root").take(rows),
-                     pa.array(np.concatenate(size)), pa.array(np.concatenate(short))], ["token", "place", "content", "root", "size", "short"])
+                     pa.array(np.concatenate(size)), pa.array(np.concatenate(short)), *[pa.array(bits[:, k]) for k in range(words)]],
+                    ["token", "place", "content", "root", "size", "short", *[f"q{k}" for k in range(words)]])
 
-    return open_.select("content", "root", "bag").mapInArrow(run, "token long, place long, content binary, root binary, size long, short boolean")
+    kinds = "".join(f", q{k} long" for k in range(words))
+    return open_.select("content", "root", "bag").mapInArrow(run, f"token long, place long, content binary, root binary, size long, short boolean{kinds}")
 
 
 def _untested(open_: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of open members of different components that can reach `least`: no such pair is left out. What has too few
-    tokens behind a shared one is no pair; nothing is paired inside a component."""
+    tokens behind a shared one, or too many that the other lacks, is no pair; nothing is paired inside a component."""
     p = written(_prefixes(open_, least), "prefixes")
-    x, y = (p.select("token", *[F.col(c).alias(k + c) for c in ("place", "content", "root", "size", "short")]) for k in "xy")
+    x, y = (p.select("token", *[F.col(c).alias(k + c) for c in p.columns[1:]]) for k in "xy")
     left = lambda k: F.col(k + "size") - F.col(k + "place")  # noqa: E731  tokens from the shared one on
+    apart = sum((F.bit_count(F.col(f"xq{k}").bitwiseXOR(F.col(f"yq{k}"))) for k in range(1, PARITIES // 64)), F.bit_count(F.col("xq0").bitwiseXOR(F.col("yq0"))))
     fits = ((F.struct("xsize", "xcontent") < F.struct("ysize", "ycontent")) & (F.col("xroot") != F.col("yroot")) & near_size(F.col("xsize"), F.col("ysize"), least)
-            & (F.least(left("x"), left("y")) >= (F.col("xsize") + F.col("ysize")) * F.lit(least / (1 + least) - 1e-9)))
+            & (F.least(left("x"), left("y")) >= (F.col("xsize") + F.col("ysize")) * F.lit(least / (1 + least) - 1e-9))
+            & (apart <= (F.col("xsize") + F.col("ysize")) * F.lit((1 - least) / (1 + least) + 1e-9)))
     both = x.filter("xshort").join(y, "token").filter(fits)
     return both.select(F.least("xcontent", "ycontent").alias("a"), F.greatest("xcontent", "ycontent").alias("b")).distinct()
 
