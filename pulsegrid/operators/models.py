@@ -1,14 +1,11 @@
 """Logistic models: population fits, leave-one-owner-out with a nested penalty search, personal models.
 
-All fits of one kind run at the same time: coefficients of every fit are one small matrix that goes to the
-tasks, each Arrow batch returns its share of every gradient and Hessian, Spark adds the shares, and the
-driver solves systems of at most a dozen unknowns. Rows are never gathered or copied per fold.
+All fits of one kind run at the same time (`operators.newton`): rows in blocks meet fits in tiles, shares of gradients and Hessians are
+added by fit, and neither rows nor fits are gathered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -17,90 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid import constants as K
-from pulsegrid.functions.scalar import round_up, sigmoid, to_score
-
-# coefficients sent to the tasks stay under this many numbers; more fits are done in several passes
-MAX_SENT = 2_000_000
-STEPS = 60
-TOLERANCE = 1e-8
-
-
-def _sig(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -700, 700)))
-
-
-def _shares(df: DataFrame, features: list[str], y: str, group: str, beta: np.ndarray, left_out: np.ndarray,
-            weights: np.ndarray, names: list) -> np.ndarray:
-    """Sums over rows of gradient and upper Hessian for every fit.
-
-    A row of owner g counts in fit k unless g is one of the fit's left-out owners; its weight is the fit's
-    class weight.
-    """
-    d = len(features) + 1
-    iu = np.triu_indices(d)
-    index = {n: i for i, n in enumerate(names)}
-    sc = df.sparkSession.sparkContext
-    sent = sc.broadcast((beta, left_out, weights, index))
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b, out, w, idx = sent.value
-        total = np.zeros((b.shape[0], d + len(iu[0])))
-        for pdf in batches:
-            x = np.column_stack([np.ones(len(pdf)), pdf[features].to_numpy(float)])
-            yy = pdf[y].to_numpy(float)
-            g = pdf[group].map(idx).to_numpy()
-            for chunk in range(0, len(yy), 4096):
-                xs, ys, gs = x[chunk:chunk + 4096], yy[chunk:chunk + 4096], g[chunk:chunk + 4096]
-                p = _sig(xs @ b.T)
-                use = np.ones_like(p)
-                for col in range(out.shape[1]):
-                    use *= gs[:, None] != out[None, :, col]
-                use *= np.where(ys[:, None] == 1, w[None, :, 1], w[None, :, 0])
-                err = use * (p - ys[:, None])
-                total[:, :d] += err.T @ xs
-                curve = use * np.maximum(p * (1 - p), 1e-9)
-                total[:, d:] += curve.T @ (xs[:, iu[0]] * xs[:, iu[1]])
-        yield pd.DataFrame({"k": np.repeat(np.arange(total.shape[0]), total.shape[1]),
-                            "c": np.tile(np.arange(total.shape[1]), total.shape[0]), "v": total.ravel()})
-
-    rows = (df.select(*features, y, group).mapInPandas(part, "k int, c int, v double")
-            .groupBy("k", "c").agg(F.sum("v").alias("v")).collect())  # one number per fit and cell
-    sent.unpersist()
-    out = np.zeros((beta.shape[0], d + len(iu[0])))
-    for r in rows:
-        out[r["k"], r["c"]] = r["v"]
-    return out
-
-
-def fit_many(df: DataFrame, features: list[str], y: str, group: str, names: list, left_out: np.ndarray,
-             weights: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-    """Newton steps for all fits at once; returns (fits, 1 + features), intercept first and not penalised."""
-    d = len(features) + 1
-    n_fits = len(left_out)
-    block = max(1, MAX_SENT // (d * 4))
-    if n_fits > block:
-        return np.vstack([fit_many(df, features, y, group, names, left_out[i:i + block], weights[i:i + block],
-                                   penalty[i:i + block]) for i in range(0, n_fits, block)])
-    beta = np.zeros((n_fits, d))
-    active = np.arange(n_fits)
-    iu = np.triu_indices(d)
-    for _ in range(STEPS):
-        s = _shares(df, features, y, group, beta[active], left_out[active], weights[active], names)
-        grad, hess = s[:, :d].copy(), np.zeros((len(active), d, d))
-        hess[:, iu[0], iu[1]] = s[:, d:]
-        hess[:, iu[1], iu[0]] = s[:, d:]
-        pen = penalty[active][:, None] * np.r_[0.0, np.ones(d - 1)][None, :]
-        grad += pen * beta[active]
-        hess += pen[:, :, None] * np.eye(d)[None]
-        hess += np.eye(d)[None] * 1e-12
-        step = np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
-        # a long step is shortened so that the quadratic model stays valid
-        size = np.abs(step).max(axis=1, keepdims=True)
-        beta[active] -= step * np.minimum(1.0, 20.0 / np.maximum(size, 1e-12))
-        active = active[(size[:, 0] >= TOLERANCE)]
-        if not len(active):
-            break
-    return beta
+from pulsegrid.functions.scalar import sigmoid, to_score
+from pulsegrid.operators import newton
+from pulsegrid.session import checkpointed
 
 
 def _owner_counts(df: DataFrame, group: str, y: str) -> pd.DataFrame:
@@ -114,38 +30,6 @@ def _balanced(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
         return np.column_stack([np.where(n0 > 0, n / (2 * n0), 0.0), np.where(n1 > 0, n / (2 * n1), 0.0)])
 
 
-def _losses(df: DataFrame, features: list[str], y: str, group: str, names: list, beta: np.ndarray, outer: np.ndarray,
-            inner: np.ndarray) -> dict[int, float]:
-    """Sum of log losses per fit over its inner held-out owner, for both classes: {fit: (l0, l1)}."""
-    index = {n: i for i, n in enumerate(names)}
-    sc = df.sparkSession.sparkContext
-    sent = sc.broadcast((beta, inner, index))
-
-    def part(batches):
-        b, held, idx = sent.value
-        total = np.zeros((len(b), 2))
-        for pdf in batches:
-            x = np.column_stack([np.ones(len(pdf)), pdf[features].to_numpy(float)])
-            yy = pdf[y].to_numpy(float)
-            g = pdf[group].map(idx).to_numpy()
-            for who in np.unique(g):
-                fits = np.flatnonzero(held == who)
-                rows = g == who
-                p = np.clip(_sig(x[rows] @ b[fits].T), K.P_CLIP, 1 - K.P_CLIP)
-                ys = yy[rows]
-                total[fits, 0] += -np.log(1 - p[ys == 0]).sum(axis=0)
-                total[fits, 1] += -np.log(p[ys == 1]).sum(axis=0)
-        yield pd.DataFrame({"k": np.repeat(np.arange(len(b)), 2), "c": np.tile([0, 1], len(b)), "v": total.ravel()})
-
-    rows = (df.select(*features, y, group).mapInPandas(part, "k int, c int, v double")
-            .groupBy("k", "c").agg(F.sum("v").alias("v")).collect())
-    sent.unpersist()
-    out = np.zeros((len(beta), 2))
-    for r in rows:
-        out[r["k"], r["c"]] = r["v"]
-    return out
-
-
 class NestedResult:
     """Chosen penalty and coefficients per held-out owner; `inner_beta[(k, i)]` saw neither owner k nor i."""
 
@@ -158,42 +42,81 @@ class NestedResult:
         return spark.createDataFrame(rows, "fold string, feature string, coef double, intercept double, c double")
 
 
-def loo_cv(df: DataFrame, owner: str, y: str, features: list[str], *, grid: list[float] = K.C_GRID, inner: bool = True) -> NestedResult:
-    """Leave-one-owner-out; for every held-out owner the penalty is chosen by an inner leave-one-owner-out over
-    the others (class-balanced log loss of the pooled held-out probabilities, first minimum wins).
+def _numbered(df: DataFrame, owner: str, names: list) -> DataFrame:
+    """With `who`, the place of the owner in `names`."""
+    from pyspark.sql.types import LongType, StructField, StructType
 
-    For evaluation sets of up to some hundreds of owners: the number of fits is about owners² x penalties.
-    Rows with a missing feature are left out.
+    schema = StructType([StructField("_owner", df.schema[owner].dataType), StructField("who", LongType())])
+    known = df.sparkSession.createDataFrame([(n.item() if hasattr(n, "item") else n, i) for i, n in enumerate(names)], schema)
+    return df.join(known, df[owner].eqNullSafe(known["_owner"])).drop("_owner")
+
+
+def loo_cv_all(df: DataFrame, owner: str, y: str, signals: dict[str, list[str]], *, grid: list[float] = K.C_GRID, inner: bool = True) -> dict[str, NestedResult]:
+    """Leave-one-owner-out for every signal (name: its features); for every held-out owner the penalty is chosen by an inner
+    leave-one-owner-out over the others (class-balanced log loss of the pooled held-out probabilities, first minimum wins).
+
+    For evaluation sets of up to some hundreds of owners: the number of fits is about owners² x penalties x signals. The fits of all
+    signals run together. Rows with a missing feature of a signal are left out of it.
     """
-    rows = df.dropna(subset=features).select(owner, y, *features)
-    counts = _owner_counts(rows, owner, y)
-    names = list(counts[owner])
-    n0, n1 = counts["n0"].to_numpy(float), counts["n1"].to_numpy(float)
-    m = len(names)
-    chosen = np.full(m, grid[0] if len(grid) == 1 else np.nan)
-    inner_beta = {}
+    spark = df.sparkSession
+    per_signal, counts = None, {}
+    for s, feats in signals.items():
+        rows = df.dropna(subset=feats)
+        counts[s] = _owner_counts(rows, owner, y)
+        part = _numbered(rows, owner, list(counts[s][owner])).select(
+            F.lit(s).alias("_key"), "who", F.col(y).alias("y"), F.array(*[F.col(f).cast("double") for f in feats]).alias("x"))
+        per_signal = part if per_signal is None else per_signal.unionByName(part)
+    blocks = newton.Blocks(per_signal)
+    kinds = "_key string, fit long, out array<long>, w array<double>, pen array<double>"
+
+    def run(cells: list[tuple]) -> dict:
+        """cells: (signal, fit, left-out owners, class weights, penalty)."""
+        told = [(s, k, [int(v) for v in out], [float(v) for v in w], [float(c)] * len(signals[s])) for s, k, out, w, c in cells]
+        got = newton.fit(blocks, spark.createDataFrame(told, kinds)).collect()     # a few numbers per fit
+        return {(r["_key"], r["fit"]): (np.array(r["beta"]), np.array(r["held"])) for r in got}
+
+    n = {s: (c["n0"].to_numpy(float), c["n1"].to_numpy(float)) for s, c in counts.items()}
+    chosen = {s: np.full(len(c), grid[0] if len(grid) == 1 else np.nan) for s, c in counts.items()}
+    inner_beta: dict = {s: {} for s in signals}
     if inner and len(grid) > 1:
-        cells = [(o, i, c) for o in range(m) for c in range(len(grid)) for i in range(m) if i != o
-                 and n0.sum() - n0[o] - n0[i] > 0 and n1.sum() - n1[o] - n1[i] > 0]
-        o, i, c = (np.array(v) for v in zip(*cells))
-        w = _balanced(n0.sum() - n0[o] - n0[i], n1.sum() - n1[o] - n1[i])
-        beta = fit_many(rows, features, y, owner, names, np.column_stack([o, i]), w, 1.0 / np.array(grid)[c])
-        loss = _losses(rows, features, y, owner, names, beta, o, i)
-        for k in range(m):
-            per_c = []
-            for ci in range(len(grid)):
-                sel = (o == k) & (c == ci)
-                held = i[sel]
-                l0, l1 = loss[sel, 0].sum() / max(n0[held].sum(), 1e-9), loss[sel, 1].sum() / max(n1[held].sum(), 1e-9)
-                per_c.append((l0 + l1) / 2)
-            best = int(np.argmin(per_c))
-            chosen[k] = grid[best]
-            for f in np.flatnonzero((o == k) & (c == best)):
-                inner_beta[(k, i[f])] = beta[f]
-    ks = np.arange(m)
-    w = _balanced(n0.sum() - n0, n1.sum() - n1)
-    beta = fit_many(rows, features, y, owner, names, np.column_stack([ks]), w, 1.0 / chosen)
-    return NestedResult(names, chosen, beta, inner_beta, features)
+        cells, of = [], {}
+        for s, (n0, n1) in n.items():
+            m = len(n0)
+            for o in range(m):
+                for i in range(m):
+                    a, b = n0.sum() - n0[o] - n0[i], n1.sum() - n1[o] - n1[i]
+                    if i == o or a <= 0 or b <= 0:
+                        continue
+                    w = _balanced(np.array([a]), np.array([b]))[0]
+                    for c, value in enumerate(grid):
+                        of[s, (o * m + i) * len(grid) + c] = (o, i, c)
+                        cells.append((s, (o * m + i) * len(grid) + c, (o, i), w, 1.0 / value))
+        fitted = run(cells)
+        loss = {s: np.zeros((len(n0), len(grid), 4)) for s, (n0, _) in n.items()}
+        for key, (beta, held) in fitted.items():
+            o, _, c = of[key]
+            loss[key[0]][o, c] += held[[0, 1, 4, 5]]
+        for s in signals:
+            t = loss[s]
+            score = (t[:, :, 0] / np.maximum(t[:, :, 2], 1e-9) + t[:, :, 1] / np.maximum(t[:, :, 3], 1e-9)) / 2
+            best = score.argmin(1)
+            chosen[s] = np.array(grid)[best]
+            for key, (beta, _) in fitted.items():
+                o, i, c = of[key]
+                if key[0] == s and c == best[o]:
+                    inner_beta[s][(o, i)] = beta
+    outer = []
+    for s, (n0, n1) in n.items():
+        w = _balanced(n0.sum() - n0, n1.sum() - n1)
+        outer += [(s, k, (k,), w[k], 1.0 / chosen[s][k]) for k in range(len(n0))]
+    fitted = run(outer)
+    return {s: NestedResult(list(counts[s][owner]), chosen[s], np.array([fitted[s, k][0] for k in range(len(counts[s]))]).reshape(len(counts[s]), -1), inner_beta[s], feats)
+            for s, feats in signals.items()}
+
+
+def loo_cv(df: DataFrame, owner: str, y: str, features: list[str], *, grid: list[float] = K.C_GRID, inner: bool = True) -> NestedResult:
+    """`loo_cv_all` of one signal."""
+    return loo_cv_all(df, owner, y, {"": features}, grid=grid, inner=inner)[""]
 
 
 def held_out_scores(df: DataFrame, owner: str, result: NestedResult, name: str = "p") -> DataFrame:
@@ -207,68 +130,32 @@ def held_out_scores(df: DataFrame, owner: str, result: NestedResult, name: str =
 def stacked_scores(df: DataFrame, owner: str, y: str, results: dict[str, NestedResult]) -> DataFrame:
     """Stacked fusion: a logistic model (C = 1) on inner held-out probabilities of each signal, missing = 0.5.
 
-    For the fold that leaves out owner k, a row of owner i gets its inputs from the models that saw neither.
-    The inputs of all folds are computed inside the tasks from the inner coefficients, so there is one pass
-    per Newton step for all folds together.
+    For the fold that leaves out owner k, a row of owner i gets its inputs from the models that saw neither. Every fold carries
+    these coefficients (one row per owner) with its fit, and its inputs are computed inside the tasks, so that no row is
+    copied per fold.
     """
     spark = df.sparkSession
     names = sorted({n for r in results.values() for n in r.names})
     index = {n: i for i, n in enumerate(names)}
     m, signals = len(names), list(results)
-    inner = []
-    for r in results.values():
-        b = np.full((m, m, len(r.features) + 1), np.nan)
-        for (o, i), v in r.inner_beta.items():
-            b[index[r.names[o]], index[r.names[i]]] = v
-        inner.append(b)
     feats = [r.features for r in results.values()]
-    columns = sorted({f for fs in feats for f in fs})
+    ends = np.cumsum([0, *map(len, feats)]).tolist()
+    stages = list(zip(ends, ends[1:]))
+    first = np.full((m, m, sum(len(f) + 1 for f in feats)), np.nan)      # fold, owner of the row, coefficients of all signals
+    at = 0
+    for r, f in zip(results.values(), feats):
+        for (o, i), v in r.inner_beta.items():
+            first[index[r.names[o]], index[r.names[i]], at:at + len(f) + 1] = v
+        at += len(f) + 1
     counts = _owner_counts(df, owner, y).set_index(owner).reindex(names).fillna(0)
     n0, n1 = counts["n0"].to_numpy(float), counts["n1"].to_numpy(float)
     weights = _balanced(n0.sum() - n0, n1.sum() - n1)
-    d = len(signals) + 1
-    beta = np.zeros((m, d))
-
-    def shares(now: np.ndarray) -> np.ndarray:
-        sent = spark.sparkContext.broadcast((now, inner, weights, index))
-
-        def part(batches):
-            b, coefs, w, idx = sent.value
-            total = np.zeros((m, d + d * d))
-            for pdf in batches:
-                g = pdf[owner].map(idx).to_numpy()
-                yy = pdf[y].to_numpy(float)
-                for a in range(0, len(yy), 2048):
-                    gs, ys = g[a:a + 2048], yy[a:a + 2048]
-                    xs = np.ones((m, len(ys), d))
-                    for s, fs in enumerate(feats):
-                        raw = np.column_stack([np.ones(len(ys)), pdf[fs].to_numpy(float)[a:a + 2048]])
-                        z = np.einsum("knd,nd->kn", coefs[s][:, gs, :], raw)
-                        xs[:, :, s + 1] = np.where(np.isfinite(z), _sig(z), 0.5)
-                    p = _sig(np.einsum("knd,kd->kn", xs, b))
-                    use = (gs[None, :] != np.arange(m)[:, None]) * np.where(ys[None, :] == 1, w[:, 1:], w[:, :1])
-                    total[:, :d] += np.einsum("kn,knd->kd", use * (p - ys[None, :]), xs)
-                    curve = use * np.maximum(p * (1 - p), 1e-9)
-                    total[:, d:] += np.einsum("kn,knd,kne->kde", curve, xs, xs).reshape(m, d * d)
-            yield pd.DataFrame({"k": np.repeat(np.arange(m), total.shape[1]),
-                                "c": np.tile(np.arange(total.shape[1]), m), "v": total.ravel()})
-
-        got = (df.select(owner, y, *columns).mapInPandas(part, "k int, c int, v double")
-               .groupBy("k", "c").agg(F.sum("v").alias("v")).collect())
-        sent.unpersist()
-        out = np.zeros((m, d + d * d))
-        for r in got:
-            out[r["k"], r["c"]] = r["v"]
-        return out
-
-    ridge = np.diag(np.r_[0.0, np.ones(d - 1)])
-    for _ in range(STEPS):
-        t = shares(beta)
-        step = np.linalg.solve(t[:, d:].reshape(m, d, d) + ridge, (t[:, :d] + beta @ ridge)[:, :, None])[:, :, 0]
-        beta -= step
-        if np.abs(step).max() < TOLERANCE:
-            break
-    coefs = _owner_arrays(df, owner, [(n, beta[i]) for i, n in enumerate(names)])
+    rows = _numbered(df, owner, names).select(
+        F.lit("").alias("_key"), "who", F.col(y).alias("y"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for f in feats for c in f]).alias("x"))
+    told = [("", k, [k], [float(v) for v in weights[k]], [1.0] * len(signals), [None if np.isnan(v) else float(v) for v in first[k].ravel()]) for k in range(m)]
+    fits = spark.createDataFrame(told, "_key string, fit long, out array<long>, w array<double>, pen array<double>, first array<double>")
+    beta = {r["fit"]: r["beta"] for r in newton.fit(newton.Blocks(rows), fits, stages=stages).collect()}    # one row per owner
+    coefs = _owner_arrays(df, owner, [(n, beta[i]) for i, n in enumerate(names) if i in beta])
     out = df
     for s, r in results.items():
         out = held_out_scores(out, owner, r, f"_q_{s}")
@@ -317,162 +204,72 @@ def holdout(df: DataFrame, y: str, key: Column, share: float = 0.2, seed: int =
 
 # -- personal models ----------------------------------------------------------------------------------
 
-def _newton_step(h: np.ndarray, g: np.ndarray) -> np.ndarray:
-    return np.linalg.lstsq(h, g, rcond=None)[0]
-
-
-def _spread(mean: np.ndarray, var: np.ndarray) -> np.ndarray:
-    """Standard deviation to scale by; 1 for values that are equal but for rounding."""
-    return np.where(var > 1e-12 * (1 + mean ** 2), np.sqrt(np.maximum(var, 0)), 1.0)
+PERSONAL_INPUTS = max(len(f) for f in K.PERSONAL_FEATURES.values())
 
 
 def train_personal(runs: DataFrame, *, l2: float = 1.0, ready_ba: float = 0.7, ready_n: int = 6, user: str = "user_id",
-                   session: str = "session", small: int = 200_000) -> DataFrame:
+                   session: str = "session", block_rows: int = newton.BLOCK_ROWS) -> DataFrame:
     """One model per (user, activity) from labelled runs (columns y, activity, session, metrics).
 
     Features present in at least 80 % of the runs (and twice) are used, rows need all of them and both classes.
-    Models are checked leaving one session out. Runs are first reduced to sessions' rows with their feature
-    array. `small` says where a group is fitted, not how: up to so many rows in one task, beyond by `train_large` with the
-    same rules, scale and solver. Values that are not finite count as missing.
+    Models are checked leaving one session out; every fit scales its inputs by its own rows. Values that are not finite count as missing.
+
+    Coefficients are a table keyed by (user, activity, left-out session); see `operators.newton`. Scales come from sums per session, so
+    that "all but one session" is a difference. Inputs are scaled once per (user, activity); the scale of a fit enters through its penalty.
     """
     from pulsegrid.operators.sessions import personal_rows
 
+    j_all = range(PERSONAL_INPUTS)
     finite = F.transform("x", lambda v: F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v))
-    rows = personal_rows(runs).select(user, "activity", F.col(session).cast("string").alias("session"), "y", finite.alias("x")).filter("x IS NOT NULL")
-    sizes = rows.groupBy(user, "activity").agg(F.count("*").alias("_n"))
-    top = sizes.agg(F.max("_n")).first()[0] or 0
-    if top <= small:
-        return _fit_groups(rows, user, l2, ready_ba, ready_n)
-    big = sizes.filter(F.col("_n") > small).select(user, "activity")
-    out = _fit_groups(rows.join(big, [user, "activity"], "left_anti"), user, l2, ready_ba, ready_n)
-    for key in big.collect():  # at most rows / small groups
-        part = rows.filter(F.col(user).eqNullSafe(F.lit(key[0])) & (F.col("activity") == key[1]))
-        out = out.unionByName(train_large(part, user, key, l2, ready_ba, ready_n))
-    return out
-
-
-PERSONAL_SCHEMA = "activity string, features array<string>, coef array<double>, intercept double, balanced_accuracy double, n_held_out long, ready boolean"
-
-
-def _result(activity, feats, beta, mu, sd, ba, n, ready_ba, ready_n):
-    coef = beta[1:] / sd
-    ba = float(np.floor(ba * 1000 + 0.5) / 1000) if np.isfinite(ba) else 0.0
-    return dict(activity=activity, features=feats, coef=[float(c) for c in coef], intercept=float(beta[0] - (beta[1:] * mu / sd).sum()),
-                balanced_accuracy=ba, n_held_out=int(n), ready=bool(n >= ready_n and ba >= ready_ba))
-
-
-def _fit_groups(rows: DataFrame, user: str, l2: float, ready_ba: float, ready_n: int) -> DataFrame:
-    user_type = rows.schema[user].dataType.simpleString()
-
-    def newton(x, y):
-        mu = x.mean(axis=0)
-        sd = _spread(mu, x.var(axis=0))
-        z = np.column_stack([np.ones(len(x)), (x - mu) / sd])
-        beta = np.zeros(z.shape[1])
-        ridge = np.diag(np.r_[0.0, np.full(z.shape[1] - 1, l2)])
-        for _ in range(50):
-            p = _sig(z @ beta)
-            w = np.maximum(p * (1 - p), 1e-9)
-            step = _newton_step(z.T @ (z * w[:, None]) + ridge, z.T @ (p - y) + ridge @ beta)
-            beta = beta - step
-            if np.abs(step).max() < 1e-8:
-                break
-        return beta, mu, sd
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names = K.PERSONAL_FEATURES[key[1]]
-        x = np.array([[np.nan if v is None else v for v in r] for r in pdf["x"]], dtype=float)
-        usable = [j for j in range(len(names)) if np.isfinite(x[:, j]).sum() >= max(2, 0.8 * len(x))]
-        if not usable:
-            return pd.DataFrame()
-        x = x[:, usable]
-        ok = np.isfinite(x).all(axis=1)
-        x, y, s = x[ok], pdf["y"].to_numpy(float)[ok], pdf["session"].to_numpy()[ok]
-        if len(set(y)) < 2:
-            return pd.DataFrame()
-        hit = np.zeros((2, 2))
-        for one in sorted(set(s)):
-            tr = s != one
-            if len(set(y[tr])) < 2:
-                continue
-            beta, mu, sd = newton(x[tr], y[tr])
-            p = _sig(beta[0] + ((x[~tr] - mu) / sd) @ beta[1:])
-            for cls in (0, 1):
-                mine = y[~tr] == cls
-                hit[cls] += [(((p >= 0.5) == cls) & mine).sum(), mine.sum()]
-        n = hit[:, 1].sum()
-        ba = (hit[:, 0] / hit[:, 1]).mean() if (hit[:, 1] > 0).all() else np.nan
-        beta, mu, sd = newton(x, y)
-        return pd.DataFrame([{user: key[0], **_result(key[1], [names[j] for j in usable], beta, mu, sd, ba, n, ready_ba, ready_n)}])
-
-    return rows.groupBy(user, "activity").applyInPandas(fit, f"{user} {user_type}, {PERSONAL_SCHEMA}")
-
-
-def train_large(rows: DataFrame, user: str, key, l2: float, ready_ba: float, ready_n: int) -> DataFrame:
-    """The same model for one (user, activity) whose rows do not fit a task: every Newton step is a sum over
-    the rows, with one fit per left-out session and one with none left out."""
-    spark = rows.sparkSession
-    names = K.PERSONAL_FEATURES[key[1]]
-    flat = rows.select("session", "y", *[F.get("x", j).alias(f"x{j}") for j in range(len(names))])
-    have = flat.agg(F.count("*").alias("n"), *[F.count(f"x{j}").alias(f"x{j}") for j in range(len(names))]).first()
-    usable = [j for j in range(len(names)) if have[f"x{j}"] >= max(2, 0.8 * have["n"])]
-    schema = f"{user} {rows.schema[user].dataType.simpleString()}, {PERSONAL_SCHEMA}"
-    empty = spark.createDataFrame([], schema)
-    if not usable:
-        return empty
-    cols = [f"x{j}" for j in usable]
-    data = flat.dropna(subset=cols)
-    # moments per session: scale and class counts of "all but one session" are differences of sums
-    mom = (data.groupBy("session").agg(
-        F.count("*").alias("n"), F.sum(F.col("y").cast("double")).alias("n1"),
-        *[F.sum(c).alias(f"s_{c}") for c in cols], *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in cols])
-        .orderBy("session").toPandas())  # one row per session of one person
-    n, n1 = mom["n"].to_numpy(float), mom["n1"].to_numpy(float)
-    if n1.sum() == 0 or n1.sum() == n.sum():
-        return empty
-    s, q = mom[[f"s_{c}" for c in cols]].to_numpy(float), mom[[f"q_{c}" for c in cols]].to_numpy(float)
-    sessions = list(mom["session"])
-    out_of = [i for i in range(len(sessions)) if 0 < n1.sum() - n1[i] < n.sum() - n[i]]
-    fits = out_of + [-1]
-    keep_n = np.array([n.sum() - (n[i] if i >= 0 else 0) for i in fits])
-    mu = np.array([s.sum(0) - (s[i] if i >= 0 else 0) for i in fits]) / keep_n[:, None]
-    var = np.array([q.sum(0) - (q[i] if i >= 0 else 0) for i in fits]) / keep_n[:, None] - mu ** 2
-    sd = _spread(mu, var)
-    # work on inputs scaled once for all fits; the fit's own scale enters through its penalty matrix
-    m0, s0 = mu[-1], sd[-1]
-    scaled = data.select("session", "y", *[((F.col(c) - float(m0[j])) / float(s0[j])).alias(c) for j, c in enumerate(cols)])
-    d = len(cols) + 1
-    iu = np.triu_indices(d)
-    beta = np.zeros((len(fits), d))
-    held = np.array([[i] for i in fits])
-    ones = np.ones((len(fits), 2))
-    ratio = s0[None, :] / sd                     # own-scale weight = scaled weight / ratio
-    pen = l2 / ratio ** 2
-    for _ in range(50):
-        t = _shares(scaled, cols, "y", "session", beta, held, ones, sessions)
-        grad, hess = t[:, :d], np.zeros((len(fits), d, d))
-        hess[:, iu[0], iu[1]] = t[:, d:]
-        hess[:, iu[1], iu[0]] = t[:, d:]
-        full = np.column_stack([np.zeros(len(fits)), pen])
-        whole = hess + full[:, :, None] * np.eye(d)[None]
-        step = np.array([_newton_step(h, g) for h, g in zip(whole, grad + full * beta)])
-        beta -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    b_session = {sessions[i]: [float(v) for v in beta[k]] for k, i in enumerate(fits) if i >= 0}
-    hits = np.zeros((2, 2))
-    if b_session:
-        coefs = spark.createDataFrame(list(b_session.items()), "session string, b array<double>")
-        z = F.get("b", 0)
-        for j, c in enumerate(cols):
-            z = z + F.get("b", j + 1) * F.col(c)
-        got = (scaled.join(coefs, "session").withColumn("p", (z >= 0).cast("int"))
-               .groupBy("y").agg(F.sum((F.col("p") == F.col("y")).cast("long")).alias("h"), F.count("*").alias("n")).collect())
-        for r in got:
-            hits[int(r["y"])] = [r["h"], r["n"]]
-    ba = (hits[:, 0] / hits[:, 1]).mean() if (hits[:, 1] > 0).all() else np.nan
-    row = _result(key[1], [names[j] for j in usable], beta[-1], m0, s0, ba, hits[:, 1].sum(), ready_ba, ready_n)
-    return spark.createDataFrame([{user: key[0], **row}], schema)
+    rows = personal_rows(runs).select(F.struct(F.col(user), F.col("activity")).alias("_key"), F.col(session).cast("string").alias("session"), "y", finite.alias("x")).filter("x IS NOT NULL")
+    have = rows.groupBy("_key").agg(F.count("*").alias("_n"), *[F.count(F.get("x", F.lit(j))).alias(f"_h{j}") for j in j_all])
+    used = F.filter(F.array(*[F.when(F.col(f"_h{j}") >= F.greatest(F.lit(2.0), F.lit(0.8) * F.col("_n")), F.lit(j)) for j in j_all]), lambda j: j.isNotNull())
+    data = rows.join(have.select("_key", used.alias("used")).filter(F.size("used") > 0), "_key")
+    data = data.withColumn("x", F.transform("used", lambda j: F.get("x", j))).filter(F.forall("x", lambda v: v.isNotNull()))
+    data = checkpointed(data)
+
+    # count, positives, sums and squares of every session, and of all of them
+    cells = [("n", F.lit(1.0)), ("p", F.col("y").cast("double")), *[(f"s{j}", F.get("x", F.lit(j))) for j in j_all], *[(f"q{j}", F.get("x", F.lit(j)) ** 2) for j in j_all]]
+    per_session = data.groupBy("_key", "session").agg(F.first("used").alias("used"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in cells])
+    per_session = checkpointed(per_session.withColumn("who", F.monotonically_increasing_id()))
+    total = per_session.groupBy("_key").agg(F.first("used").alias("used"), *[F.sum(n).alias(f"t_{n}") for n, _ in cells])
+    total = total.filter((F.col("t_p") > 0) & (F.col("t_p") < F.col("t_n")))
+
+    def scale(n: Column, s: list[Column], q: list[Column]) -> Column:
+        """(mean, standard deviation) of every input; 1 where values are equal but for rounding."""
+        def one(j: int) -> Column:
+            mean = s[j] / n
+            var = q[j] / n - mean * mean
+            return F.struct(mean.alias("m"), F.when(var > 1e-12 * (1 + mean * mean), F.sqrt(var)).otherwise(1.0).alias("d"))
+        return F.slice(F.array(*[one(j) for j in j_all]), F.lit(1), F.size("used"))
+
+    total = checkpointed(total.withColumn("all", scale(F.col("t_n"), [F.col(f"t_s{j}") for j in j_all], [F.col(f"t_q{j}") for j in j_all])))
+    ready = (data.drop("used").join(total.select("_key", "all"), "_key")
+             .join(per_session.select(F.col("_key").alias("_k"), F.col("session").alias("_s"), "who"), (F.col("_key") == F.col("_k")) & F.col("session").eqNullSafe(F.col("_s"))))
+    scaled = ready.select("_key", "who", "y", F.zip_with("x", "all", lambda v, a: (v - a["m"]) / a["d"]).alias("x"))
+
+    rest = lambda n: F.col(f"t_{n}") - F.col(n)
+    without = per_session.drop("used").join(total, "_key").filter((rest("p") > 0) & (rest("p") < rest("n")))
+    own = scale(rest("n"), [rest(f"s{j}") for j in j_all], [rest(f"q{j}") for j in j_all])
+    one = F.array(F.lit(1.0), F.lit(1.0))
+    penalty = F.zip_with("own", "all", lambda o, a: F.lit(float(l2)) * (o["d"] / a["d"]) ** 2)
+    fits = without.withColumn("own", own).select("_key", F.col("who").alias("fit"), F.array("who").alias("out"), one.alias("w"), penalty.alias("pen"))
+    fits = fits.unionByName(total.select("_key", F.lit(-1).cast("long").alias("fit"), F.array().cast("array<bigint>").alias("out"), one.alias("w"),
+                                         F.transform("all", lambda a: F.lit(float(l2))).alias("pen")))
+    got = checkpointed(newton.fit(newton.Blocks(scaled, block_rows), fits, steps=50))
+
+    checked = got.filter("fit >= 0").groupBy("_key").agg(*[F.sum(F.get("held", F.lit(i))).alias(f"c{i}") for i in range(2, 6)])
+    share = (F.col("c2") / F.col("c4") + F.col("c3") / F.col("c5")) / 2
+    m = got.filter("fit = -1").join(total.select("_key", "used", "all"), "_key").join(checked, "_key", "left")
+    names = F.create_map(*[c for a, f in K.PERSONAL_FEATURES.items() for c in (F.lit(a), F.array(*map(F.lit, f)))])
+    coef = F.zip_with(F.slice("beta", F.lit(2), F.size("all")), "all", lambda b, a: b / a["d"])
+    m = m.withColumn("coef", coef).withColumn("balanced_accuracy", F.when((F.col("c4") > 0) & (F.col("c5") > 0), F.floor(share * 1000 + 0.5) / 1000).otherwise(0.0))
+    m = m.withColumn("n_held_out", F.coalesce(F.col("c4") + F.col("c5"), F.lit(0.0)).cast("long"))
+    shift = F.aggregate(F.zip_with("coef", "all", lambda c, a: c * a["m"]), F.lit(0.0), lambda s, v: s + v)
+    return m.select(F.col(f"_key.{user}").alias(user), F.col("_key.activity").alias("activity"),
+                    F.transform("used", lambda j: F.get(F.element_at(names, F.col("_key.activity")), j)).alias("features"), "coef",
+                    (F.get("beta", F.lit(0)) - shift).alias("intercept"), F.col("balanced_accuracy").cast("double").alias("balanced_accuracy"), "n_held_out",
+                    ((F.col("n_held_out") >= ready_n) & (F.col("balanced_accuracy") >= ready_ba)).alias("ready"))
 
 
 def score_personal(models: DataFrame, runs: DataFrame, user: str = "user_id") -> DataFrame:

@@ -130,12 +130,55 @@ def test_personal_models_find_nothing_in_noise(spark):
 def test_large_groups_give_the_same_model(spark):
     runs = labelled(spark, 2, 1.0, seed=4)
     small = as_dicts(M.train_personal(runs), "user_id")
-    large = as_dicts(M.train_personal(runs, small=5), "user_id")
+    large = as_dicts(M.train_personal(runs, block_rows=5), "user_id")
     for a, b in zip(small, large):
         assert a["balanced_accuracy"] == b["balanced_accuracy"] and a["n_held_out"] == b["n_held_out"]
         assert a["coef"] == pytest.approx(b["coef"], abs=1e-6) and a["intercept"] == pytest.approx(b["intercept"], abs=1e-5)
 
 
+def test_personal_gradient_is_zero(spark):
+    """At the coefficients the penalised gradient over the person's own scaled rows vanishes; in one block and in many."""
+    runs = labelled(spark, 3, 0.7, sessions=5, seed=9)
+    names = K.PERSONAL_FEATURES["stroop"]
+    for opts in ({}, {"block_rows": 7}):
+        for m in as_dicts(M.train_personal(runs, l2=2.0, **opts)):
+            mine = [r for r in runs.collect() if r["user_id"] == m["user_id"]]
+            x, y = np.array([[r["metrics"][f] for f in names] for r in mine]), np.array([r["y"] for r in mine], float)
+            p = 1 / (1 + np.exp(-(m["intercept"] + x @ m["coef"])))
+            z = (x - x.mean(0)) / x.std(0)
+            assert np.abs((p - y).sum()) < 1e-6 and np.abs(z.T @ (p - y) + 2.0 * np.array(m["coef"]) * x.std(0)).max() < 1e-6
+
+
+def test_personal_models_of_odd_groups(spark):
+    rows = [(None, "s", "stroop", n % 2, {"rtIncongruentMs": float(n), "interferenceMs": 1.0, "errorRate": float("nan")}) for n in range(8)]
+    rows += [(7, None, "stroop", n % 2, {"rtIncongruentMs": float(n * n), "interferenceMs": float(n)}) for n in range(6)]
+    rows += [(8, "s", "unheard-of", 1, {"x": 1.0})]
+    runs = spark.createDataFrame(rows, "user_id long, session string, activity string, y int, metrics map<string, double>")
+    got = {r["user_id"]: r for r in as_dicts(M.train_personal(runs))}
+    assert set(got) == {None, 7} and got[None]["features"] == ["rtIncongruentMs", "interferenceMs"] and got[None]["coef"][1] == 0
+    assert all(g["n_held_out"] == 0 and not g["ready"] and g["balanced_accuracy"] == 0 for g in got.values())
+    assert as_dicts(M.train_personal(runs.limit(0))) == []
+
+
+def test_fits_do_not_depend_on_blocks_and_tiles(spark, data, monkeypatch):
+    from pulsegrid.operators import newton as N
+    d = spark.createDataFrame(data, "subject string, y int, a double, b double").repartition(3)
+    grid = [0.1, 1.0]
+    one = M.loo_cv_all(d, "subject", "y", {"both": ["a", "b"], "a": ["a"]}, grid=grid)
+    whole = N.Blocks
+    monkeypatch.setattr(N, "Blocks", lambda rows: whole(rows, 40))
+    monkeypatch.setattr(N, "TILE_FITS", 7)
+    monkeypatch.setattr(N, "FITS", 3)
+    monkeypatch.setattr(N, "ROWS", 11)
+    many = M.loo_cv_all(d, "subject", "y", {"both": ["a", "b"], "a": ["a"]}, grid=grid)
+    for s in one:
+        assert (one[s].c == many[s].c).all() and one[s].beta == pytest.approx(many[s].beta, abs=1e-7)
+        assert one[s].inner_beta.keys() == many[s].inner_beta.keys()
+        assert all(one[s].inner_beta[k] == pytest.approx(many[s].inner_beta[k], abs=1e-7) for k in one[s].inner_beta)
+    a, b = ({(r["subject"], r["a"]): r["stacked_p"] for r in M.stacked_scores(d, "subject", "y", many).collect()} for _ in range(2))
+    assert a == pytest.approx(b, abs=1e-9)
+
+
 def test_personal_model_needs_both_classes_and_features(spark):
     runs = labelled(spark, 1, 1.0)
     assert as_dicts(M.train_personal(runs.filter("y = 0"))) == []
