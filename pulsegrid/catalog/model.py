@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid import constants as K
 from pulsegrid.catalog import query
 from pulsegrid.catalog.activity import up
-from pulsegrid.catalog.beat import r6
+from pulsegrid.catalog.beat import REF_SQL, STATS_SQL, r6
 from pulsegrid.operators import calibrate as C
 from pulsegrid.operators import evaluate as E
 from pulsegrid.operators import models as M
@@ -32,8 +32,8 @@ SIGNALS = {"hr": ["z_hr_mean"], "hrv": ["z_rmssd", "z_sdnn"]}
 @query("model_nested_loo_scores")
 def _(spark, sf):
     z = training_windows(spark, sf)
-    for s, feats in SIGNALS.items():
-        z = M.held_out_scores(z, "subject", M.loo_cv(z, "subject", "y", feats), f"p_{s}")
+    for s, result in M.loo_cv_all(z, "subject", "y", SIGNALS).items():
+        z = M.held_out_scores(z, "subject", result, f"p_{s}")
     return z.select("subject", "win_start", "y", *r6("p_hr", "p_hrv"))
 
 
@@ -41,8 +41,8 @@ def _(spark, sf):
 def _(spark, sf):
     z = training_windows(spark, sf)
     out = None
-    for s, feats in SIGNALS.items():
-        p = M.held_out_scores(z, "subject", M.loo_cv(z, "subject", "y", feats), "p")
+    for s, result in M.loo_cv_all(z, "subject", "y", SIGNALS).items():
+        p = M.held_out_scores(z, "subject", result, "p")
         m = E.summarise(E.binary_metrics(p, ["subject"], "y", "p"), []).withColumn("signal", F.lit(s))
         out = m if out is None else out.unionByName(m)
     return out.select("signal", "metric", *r6("mean", "sd"), "n_owners")
@@ -59,8 +59,8 @@ def _(spark, sf):
 def _(spark, sf):
     z = training_windows(spark, sf)
     out = None
-    for feats in SIGNALS.values():
-        c = M.loo_cv(z, "subject", "y", feats).coefficients(spark).withColumn("feature", F.regexp_replace("feature", "^z_", ""))
+    for result in M.loo_cv_all(z, "subject", "y", SIGNALS).values():
+        c = result.coefficients(spark).withColumn("feature", F.regexp_replace("feature", "^z_", ""))
         out = c if out is None else out.unionByName(c)
     return E.sign_agreement(out, []).select("feature", *r6("sign_match"), "n_folds")
 
@@ -69,9 +69,10 @@ def _(spark, sf):
 def _(spark, sf):
     z = training_windows(spark, sf)
     out = None
-    for feats in (["z_rmssd", "z_sdnn"], ["z_rmssd"], ["z_sdnn"]):
-        p = M.held_out_scores(z, "subject", M.loo_cv(z, "subject", "y", feats), "p")
-        m = E.summarise(E.binary_metrics(p, ["subject"], "y", "p"), []).withColumn("features", F.lit("+".join(feats)))
+    sets = {"+".join(feats): feats for feats in (["z_rmssd", "z_sdnn"], ["z_rmssd"], ["z_sdnn"])}
+    for name, result in M.loo_cv_all(z, "subject", "y", sets).items():
+        p = M.held_out_scores(z, "subject", result, "p")
+        m = E.summarise(E.binary_metrics(p, ["subject"], "y", "p"), []).withColumn("features", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out.select("features", "metric", *r6("mean", "sd"), "n_owners")
 
@@ -79,7 +80,7 @@ def _(spark, sf):
 @query("model_stacked_fusion")
 def _(spark, sf):
     z = training_windows(spark, sf)
-    results = {s: M.loo_cv(z, "subject", "y", feats) for s, feats in SIGNALS.items()}
+    results = M.loo_cv_all(z, "subject", "y", SIGNALS)
     return M.stacked_scores(z, "subject", "y", results).select("subject", "win_start", "y", *r6("stacked_p"))
 
 
@@ -123,6 +124,62 @@ def _personal(spark, sf):
     return M.train_personal(_runs(spark, sf))
 
 
+# what can be told without fitting: who gets a model, from which features and rows, and that nothing is left to improve
+@query("model_personal_gradients", f"""
+WITH r AS (SELECT user_id, session, run, CASE WHEN phase = 'challenge' THEN 1 ELSE 0 END AS y FROM ({A.RUNS_SQL}) x WHERE completed AND phase IN ('rest', 'challenge')),
+f AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE run % 11 <> 0) AS h FROM r GROUP BY user_id),
+u AS (SELECT user_id, CASE WHEN n >= 2 THEN 3 ELSE 0 END + CASE WHEN h >= greatest(2, 0.8e0 * n) THEN 1 ELSE 0 END AS used FROM f),
+d AS (SELECT r.*, used FROM r JOIN u USING (user_id) WHERE used > 0 AND (used = 3 OR run % 11 <> 0)),
+t AS (SELECT user_id, any_value(used) AS used, count(*) AS n, sum(y) AS p FROM d GROUP BY user_id HAVING sum(y) > 0 AND sum(y) < count(*)),
+s AS (SELECT user_id, session, count(*) AS n, sum(y) AS p FROM d GROUP BY user_id, session),
+e AS (SELECT user_id, sum(s.n) AS n_held_out FROM s JOIN t USING (user_id) WHERE t.p - s.p > 0 AND t.p - s.p < t.n - s.n GROUP BY user_id)
+SELECT user_id, 'typing' AS activity, 'interKeyMeanMs,interKeyCv,errorRate' || CASE WHEN used = 4 THEN ',corrections' ELSE '' END AS features,
+       n AS n_rows, coalesce(n_held_out, 0)::BIGINT AS n_held_out, 0e0 AS gradient FROM t LEFT JOIN e USING (user_id)""")
+def _(spark, sf):
+    runs = checkpointed(_runs(spark, sf))
+    m = M.train_personal(runs, l2=1.0)
+    key = ["user_id", "activity"]
+    x = F.transform("features", lambda f: F.try_element_at("metrics", f))
+    d = runs.join(m, key).withColumn("x", x).filter(F.forall("x", lambda v: v.isNotNull()))
+    off = F.col("y") - 1 / (1 + F.exp(-F.aggregate(F.zip_with("coef", "x", lambda c, v: c * v), F.col("intercept"), lambda s, v: s + v)))
+    d = d.withColumn("off", off)
+    cells = d.select(*key, "features", "n_held_out", "off", F.posexplode(F.arrays_zip("x", "coef")).alias("j", "c"))
+    per = cells.groupBy(*key, "features", "n_held_out", "j").agg(
+        F.count("*").alias("n_rows"), F.sum("off").alias("g0"), F.sum(F.col("off") * F.col("c.x")).alias("g"), F.avg("c.x").alias("m"),
+        F.stddev_pop("c.x").alias("sd"), F.max("c.coef").alias("coef"))
+    slope = (F.col("g") - F.col("m") * F.col("g0")) / F.col("sd") - F.col("coef") * F.col("sd")
+    return per.groupBy(*key, "features", "n_held_out").agg(F.max("n_rows").alias("n_rows"), F.round(F.max(F.greatest(F.abs("g0"), F.abs(slope))), 4).alias("gradient")).select(
+        *key, F.array_join("features", ",").alias("features"), "n_rows", "n_held_out", "gradient")
+
+
+@query("model_fold_gradients", f"""
+WITH ref AS ({REF_SQL}), st AS ({STATS_SQL}),
+z AS (SELECT r.subject, max(h.mean) IS NOT NULL AND max(r.hr_mean) IS NOT NULL AS hr, count(v.mean) = 2 AND max(r.rmssd) IS NOT NULL AND max(r.sdnn) IS NOT NULL AS hrv
+      FROM ref r LEFT JOIN st h ON h.subject = r.subject AND h.feature = 'hr_mean' LEFT JOIN st v ON v.subject = r.subject AND v.feature IN ('rmssd', 'sdnn')
+      WHERE NOT r.is_ref GROUP BY r.subject, r.win_start),
+s AS (SELECT 'hr' AS signal, subject FROM z WHERE hr UNION ALL SELECT 'hrv', subject FROM z WHERE hrv),
+n AS (SELECT signal, subject AS fold, count(*) AS n FROM s GROUP BY ALL)
+SELECT signal, CAST(fold AS VARCHAR) AS fold, (SELECT count(*) FROM s WHERE s.signal = n.signal) - n AS n_rows, 0e0 AS gradient FROM n""")
+def _(spark, sf):
+    z = training_windows(spark, sf)
+    out = None
+    for s, result in M.loo_cv_all(z, "subject", "y", SIGNALS).items():
+        feats = SIGNALS[s]
+        c = result.coefficients(spark).groupBy("fold").agg(F.first("c").alias("c"), F.first("intercept").alias("b0"), F.map_from_entries(F.collect_list(F.struct("feature", "coef"))).alias("b"))
+        folds = [r.asDict() for r in c.collect()]       # one row an owner
+        told = F.array(*[F.struct(F.lit(f["fold"]).alias("fold"), F.lit(f["c"]).alias("c"), F.lit(f["b0"]).alias("b0"), F.array(*[F.lit(f["b"][x]) for x in feats]).alias("b")) for f in folds])
+        d = z.dropna(subset=feats).select("subject", "y", F.array(*feats).alias("x"), F.explode(told).alias("f")).filter(F.col("subject").cast("string") != F.col("f.fold"))
+        off = F.col("y") - 1 / (1 + F.exp(-F.aggregate(F.zip_with("f.b", "x", lambda b, v: b * v), F.col("f.b0"), lambda a, v: a + v)))
+        d = d.withColumn("off", off)
+        per = d.groupBy("f.fold").agg(F.count("*").alias("n_rows"), F.first("f").alias("f"), *[F.count_if(F.col("y") == k).alias(f"n{k}") for k in (0, 1)], *[
+            F.sum(F.when(F.col("y") == k, F.col("off") * (1.0 if j < 0 else F.get("x", F.lit(j))))).alias(f"g{k}_{j}") for k in (0, 1) for j in range(-1, len(feats))])
+        slope = [F.abs(F.col("n_rows") / 2.0 * (F.col(f"g0_{j}") / F.col("n0") + F.col(f"g1_{j}") / F.col("n1")) - (F.lit(0.0) if j < 0 else F.get("f.b", F.lit(j)) / F.col("f.c")))
+                 for j in range(-1, len(feats))]
+        part = per.select(F.lit(s).alias("signal"), "fold", "n_rows", F.round(F.greatest(*slope), 4).alias("gradient"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("model_personal_scores")
 def _(spark, sf):
     runs = _runs(spark, sf)
