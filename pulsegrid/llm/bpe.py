@@ -169,8 +169,8 @@ def hot_words(docs: DataFrame, text: str, spec, kind: str, n: int = HOT_WORDS, s
 
 
 def _tag(text: str) -> int:
-    """32 bits of a hash of the text."""
-    return (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 32) - (1 << 31)
+    """A hash of the text in 64 bits."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +207,12 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], doc_id: str = "doc_
             word, row, tag, at = [], [], [], []
             for i, x in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist()):
                 rare = known.codes(x)[1]
-                word += rare
-                row += [i] * len(rare)
-                tag += [_tag(x)] * len(rare)
-                at += range(len(rare))
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(row, pa.int64()), pa.array(tag, pa.int32()), pa.array(at, pa.int32())],
+                if rare:
+                    word += rare
+                    row += [i] * len(rare)
+                    tag += [_tag(x)] * len(rare)
+                    at += range(len(rare))
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(row, pa.int64()), pa.array(tag, pa.int64()), pa.array(at, pa.int32())],
                                              ["word", "id", "tag", "at"])
 
     def rare_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +227,8 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], doc_id: str = "doc_
                 out.append(at.to_bytes(4, "little") + ids)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(out, pa.binary())], ["id", "tag", "fill"])
 
-    rare = (d.select("_id", "_text").mapInArrow(missing, "word string, id long, tag int, at int")
-            .repartition("word").sortWithinPartitions("word").mapInArrow(rare_ids, "id long, tag int, fill binary"))
+    rare = (d.select("_id", "_text").mapInArrow(missing, "word string, id long, tag long, at int")
+            .repartition("word").sortWithinPartitions("word").mapInArrow(rare_ids, "id long, tag long, fill binary"))
     fills = rare.groupBy("id", "tag").agg(F.collect_list("fill").alias("fills"))
 
     def known_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +236,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], doc_id: str = "doc_
         for batch in _slices(batches):
             texts = batch.column("_text").to_pylist()
             packed = [pack(known.codes(x)[0]) for x in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names) + 1], pa.array(map(_tag, texts), pa.int32()), pa.array(packed, pa.binary())],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names) + 1], pa.array(map(_tag, texts), pa.int64()), pa.array(packed, pa.binary())],
                                              [*names, "_id", "_tag", "_packed"])
 
     added = "ids binary" + ", n_tokens long, ids_sha256 string, decoded_sha256 string" * digests
@@ -264,7 +265,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], doc_id: str = "doc_
             yield batch.drop_columns(["ids"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.select(*names).schema)
-    first = d.mapInArrow(known_codes, f"{kinds}_id long, _tag int, _packed binary")
+    first = d.mapInArrow(known_codes, f"{kinds}_id long, _tag long, _packed binary")
     whole = first.join(fills, (F.col("_id") == F.col("id")) & (F.col("_tag") == F.col("tag")), "left").select(*names, "_packed", "fills")
     done = whole.mapInArrow(joined, kinds + added) if ids else whole.mapInArrow(packed_only, kinds + added.partition(", ")[2])
     return done.select(*[F.col(a).alias(b) for a, b in zip(names, keep)], *[c for c in done.columns if c not in names])
