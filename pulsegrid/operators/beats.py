@@ -96,6 +96,44 @@ def beat_features(df: DataFrame, key: list[str], order: list[str], rr: str = "rr
         "hr_valid", "hrv_valid")
 
 
+def array_features(rows: Column, duration_s: float) -> Column:
+    """hr_mean, rmssd, sdnn, n_beats, n_clean, coverage, rejected of one window that is an array of structs (t, v): the rules of
+    `clean_rr` and `beat_features` for rows that are together already, as in the state of a stream."""
+    k = K.RR_NEIGHBOURS
+    placed = F.transform(F.array_sort(rows), lambda r, i: F.struct(i.alias("i"), r["v"].alias("v")))
+    ranged = F.filter(placed, lambda r: in_range(r["v"]))
+
+    def judged(all_: Column) -> Column:
+        def one(r: Column, i: Column) -> Column:
+            near = F.concat(F.slice(all_, F.greatest(i - k + 1, F.lit(1)), F.least(i, F.lit(k))), F.slice(all_, i + 2, F.lit(k)))
+            med = middle(F.sort_array(F.transform(near, lambda x: x["v"])))
+            return F.struct(r["i"].alias("i"), r["v"].alias("v"), ((F.size(near) < 2) | (F.abs(r["v"] - med) <= med * K.RR_MAX_DEVIATION)).alias("kept"))
+        return F.filter(F.transform(all_, one), lambda r: r["kept"])
+
+    def mean(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda s, v: s + v, lambda s: F.try_divide(s, F.size(values)))
+
+    def told(clean: Column, n: Column) -> Column:
+        values = F.transform(clean, lambda r: r["v"])
+        steps = F.zip_with(F.slice(clean, F.lit(2), F.greatest(F.size(clean) - 1, F.lit(0))), F.slice(clean, F.lit(1), F.greatest(F.size(clean) - 1, F.lit(0))),
+                           lambda b, a: F.when(b["i"] == a["i"] + 1, b["v"] - a["v"]))
+        steps = F.filter(steps, lambda d: d.isNotNull())
+        enough = F.size(clean) >= 3
+        share = F.least(F.size(clean) / (F.lit(duration_s * 1000.0) / middle(F.sort_array(values))), F.lit(1.5))
+        coverage = F.when(enough, share).otherwise(0.0)
+        hrv = enough & (coverage >= K.HRV_COVERAGE) & (F.size(steps) >= K.HRV_PAIRS)
+        m = mean(values)
+        spread = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / (F.size(values) - 1))
+        return F.struct(
+            F.when(enough & (coverage >= K.HR_COVERAGE), 60000 / m).alias("hr_mean"), F.when(hrv, F.sqrt(mean(F.transform(steps, lambda d: d * d)))).alias("rmssd"),
+            F.when(hrv, spread).alias("sdnn"), n.cast("long").alias("n_beats"), F.size(clean).cast("long").alias("n_clean"), coverage.alias("coverage"),
+            F.when(n > 0, (n - F.size(clean)) / n).otherwise(0.0).alias("rejected"))
+
+    # named once each: an array that is used in many places would be built again in each of them
+    named = F.transform(F.array(ranged), judged)
+    return F.get(F.transform(named, lambda clean: told(clean, F.size(rows))), 0)
+
+
 def beat_quality(df: DataFrame) -> DataFrame:
     """good / fair / poor with a plain reason."""
     share = F.concat(round_up(F.col("rejected") * 100).cast("int").cast("string"),

@@ -9,7 +9,9 @@ from conftest import as_dicts
 from pulsegrid.operators import beats as B
 from pulsegrid.operators.windows import assign_windows
 from pulsegrid.session import new_folder
+from pulsegrid import constants as K
 from pulsegrid.streaming import live as L
+from pulsegrid.streaming import replay as P
 
 T0 = datetime(2024, 3, 1, 8)
 
@@ -72,19 +74,149 @@ def run_state(spark, tmp_path, rows, schema, op, want):
         q.stop()
 
 
-def test_quality_is_emitted_on_change(spark, tmp_path):
-    rows = [("s", i * 800, 800.0, True) for i in range(60)] + [("s", 48000 + i * 800, 800.0, False) for i in range(3)]
-    op = lambda s: L.live_quality(s, silent_ms=60_000)
-    got = run_state(spark, tmp_path, rows, "device string, t_ms long, rr_ms double, contact boolean", op, lambda r: len(r) >= 3)
-    seen = [r["quality"] for r in sorted(got, key=lambda r: r["t_ms"])]
-    assert seen[0] == "poor" and "good" in seen and seen[-1] == "poor"
-    assert all(a != b for a, b in zip(seen, seen[1:]))
+FAR = 10 ** 10      # a row that moves the watermark past all others
+
+
+def replayed(spark, tmp_path, rows, schema, op, key, files=1):
+    """Rows through an event-time operator, in some files taken one by one; sorted output."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    t = names.index("now_ms") if "now_ms" in names else names.index("t_ms")
+    end = tuple("~" if n == key else FAR if k == t else None for k, n in enumerate(names))
+    folder = new_folder(spark, "replay")
+    for k in range(files):      # by time, so that no row is late
+        part = sorted(rows, key=lambda r: r[t])[k * len(rows) // files:(k + 1) * len(rows) // files] + [end] * (k == files - 1)
+        random.Random(k).shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    with P.with_rocks(spark):
+        out = L.run_once(op(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)), new_folder(spark, "t"))
+    return sorted((tuple(r) for r in out.collect()), key=str)
+
+
+PACKETS = "device string, t_ms long, rr_ms double, contact boolean, battery long"
+
+
+def packets(seed=1):
+    rng, rows = random.Random(seed), []
+    for d in "ab":
+        t = 0
+        for n in range(90):
+            t += rng.choice([800, 820, 790, 1700, 300]) if rng.random() < 0.9 else rng.choice([4000, 4001, 5000, 9000, 60_000])
+            rows.append((d, t, None if rng.random() < 0.1 else float(rng.choice([800, 810, 790, 1500, 250])), rng.choice([True, True, True, True, None, False]),
+                         rng.choice([None, None, 90, 80])))
+    return rows
+
+
+def slow_quality(rows, trailing=20_000, silent=4000):
+    """The rule of the feature, one packet at a time over stored intervals."""
+    from statistics import median
+    out = []
+    for d in sorted({r[0] for r in rows}):
+        shown, mine = "", sorted((r for r in rows if r[0] == d), key=lambda r: (r[1], r[2] is not None, r[2] or 0))
+        for i, (_, t, rr, contact, _) in enumerate(mine):
+            if i and t - mine[i - 1][1] > silent and shown != "poor":
+                shown = "poor"
+                out.append((d, mine[i - 1][1] + silent, "poor"))
+            seen = [r[2] for r in mine[:i + 1] if r[1] > t - trailing and r[2] is not None and r[3] is not False]
+            usual = [x for x in seen if 300 <= x <= 2000]
+            clean = []
+            for j, x in enumerate(usual):
+                near = usual[max(0, j - K.RR_NEIGHBOURS):j] + usual[j + 1:j + 1 + K.RR_NEIGHBOURS]
+                if len(near) < 2 or abs(x - median(near)) <= K.RR_MAX_DEVIATION * median(near):
+                    clean.append(x)
+            if contact is False:
+                q = "poor"
+            elif not seen:
+                q = "fair"
+            elif len(clean) < 3:
+                q = "poor"
+            else:
+                cover, bad = len(clean) * median(clean) / trailing, 1 - len(clean) / len(seen)
+                q = "good" if cover >= 0.9 and bad <= 0.05 else "fair" if cover >= K.HRV_COVERAGE and bad <= 0.2 else "poor"
+            if q != shown:
+                shown = q
+                out.append((d, t, q))
+        if shown != "poor":
+            out.append((d, mine[-1][1] + silent, "poor"))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("files", [1, 7])
+def test_quality_is_emitted_on_change(spark, tmp_path, files):
+    rows = packets()
+    assert replayed(spark, tmp_path, rows, PACKETS, P.live_quality, "device", files) == slow_quality(rows)
+
+
+def test_quality_of_a_steady_strap(spark, tmp_path):
+    rows = [("s", i * 800, 800.0, True, None) for i in range(60)] + [("s", 48000 + i * 800, 800.0, False, None) for i in range(3)]
+    got = replayed(spark, tmp_path, rows, PACKETS, P.live_quality, "device")
+    seen = [r[2] for r in sorted(got, key=lambda r: r[1])]
+    assert seen == ["poor", "fair", "good", "poor"] or (seen[0] == "poor" and seen[-2:] == ["good", "poor"])
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_gaps(spark, tmp_path, files):
+    rows, want = packets(3), []
+    for d in "ab":
+        t = sorted(r[1] for r in rows if r[0] == d)
+        for a, b in zip(t, [*t[1:], FAR]):
+            due = [(a + 4000 + x, e, n) for x, e, n in ((0, "retry", 1), (1000, "retry", 2), (3000, "retry", 3), (7000, "retry", 4), (15000, "retry", 5), (31000, "gone", 5)) if a + 4000 + x < b]
+            want += [(d, *x) for x in due]
+            if due and b != FAR:
+                want.append((d, b, "back", min(len(due), 5)))
+    assert replayed(spark, tmp_path, rows, PACKETS, P.connection_gaps, "device", files) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("files", [1, 6])
+def test_device_state(spark, tmp_path, files):
+    rows, want = packets(5), []
+    for d in "ab":
+        has, battery, before = False, None, None
+        for _, t, rr, contact, level in sorted((r for r in rows if r[0] == d), key=lambda r: [(v is not None, v) for v in r[1:]]):
+            has, battery = has or rr is not None, battery if level is None else level
+            if (contact, has, battery) != before:
+                want.append((d, t, contact, has, battery))
+            before = (contact, has, battery)
+    assert replayed(spark, tmp_path, rows, PACKETS, P.device_state, "device", files) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_retention(spark, tmp_path, files):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), 2000 * (n + 1), rng.choice(["beats", "frames", "acceleration", "samples", "keystrokes", "other"])) for n in range(900)]
+    want = []
+    for d, t, kind in rows:
+        mine = sorted(x for e, x, k in rows if (e, k) == (d, kind) and x <= t)
+        mine = [x for x in mine if x >= t - P.KEEP_MS[kind]] if kind in P.KEEP_MS else mine[-P.KEEP_ROWS.get(kind, 1):]
+        want.append((d, t, kind, len(mine), mine[0]))
+    assert replayed(spark, tmp_path, rows, "device string, t_ms long, kind string", P.retained, "device", files) == sorted(want, key=str)
 
 
 def test_held_back_beats(spark, tmp_path):
-    rows = [("r", float(t), 10_000.0) for t in (0, 800, 900, 1600, 2400, 9700)]
-    got = run_state(spark, tmp_path, rows, "reading string, t_ms double, now_ms double", L.held_back_beats, lambda r: len(r) >= 3)
-    assert [(r["t_ms"], r["rr_ms"]) for r in got] == [(800, 800), (1600, 800), (2400, 800)] and got[-1]["hr"] == 75
+    rows = [("r", float(t), 10_000) for t in (0, 800, 900, 1600, 2400, 9700)]
+    got = sorted(replayed(spark, tmp_path, rows, "reading string, t_ms double, now_ms long", P.held_back_beats, "reading"), key=lambda r: r[1])
+    assert [(r[1], r[2]) for r in got] == [(800, 800), (1600, 800), (2400, 800)] and got[-1][3] == 75
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_beats_of_repeated_looks(spark, tmp_path, files):
+    rng = random.Random(8)
+    beats, t = [], 0.0
+    for _ in range(60):
+        t += rng.choice([700.0, 810.0, 240.0, 2500.0, 650.5])
+        beats.append(t)
+    looks = [(now, [b + rng.choice([0, 0, 20]) for b in beats if now - 6000 <= b <= now]) for now in range(1000, 50_000, 500)]
+    rows = [("r", b, now) for now, seen in looks for b in seen]
+    last, rates, want = -1e9, [], []
+    for _, b, now in sorted(rows, key=lambda r: (r[2], r[1])):
+        if b > last + 250 and b <= now - 350:
+            gap, last = b - last, b
+            if 300 <= gap <= 2000:
+                rates.append(60000 / gap)
+            if rates:
+                w = sorted(rates[-5:])
+                want.append(("r", b, gap if 300 <= gap <= 2000 else None, w[len(w) // 2]))
+    got = replayed(spark, tmp_path, rows, "reading string, t_ms double, now_ms long", P.held_back_beats, "reading", files)
+    assert len(want) > 30 and got == [(k, t, rr, pytest.approx(hr)) for k, t, rr, hr in sorted(want, key=str)]
 
 
 def test_trace_batch_equals_stream(spark, tmp_path):
@@ -128,18 +260,12 @@ def test_trace_of_long_readings_is_exact(spark):
             assert [v for _, v in sorted(got[k])] == pytest.approx(whole_trace(t, w), abs=1e-9)
 
 
-def test_phase_intervals(spark, tmp_path):
-    rows = [("s", 0, "rest"), ("s", 100, "rest"), ("s", 180, "challenge"), ("s", 300, "stop"), ("u", 0, "rest"), ("u", 50, "end")]
-    got = run_state(spark, tmp_path, rows, "session string, t_ms long, phase string", L.phase_intervals, lambda r: len(r) == 3)
-    got = sorted(got, key=lambda r: (r["session"], r["start_ms"]))
-    assert [(r["phase"], r["start_ms"], r["end_ms"], r["aborted"]) for r in got] == [("rest", 0, 180, False), ("challenge", 180, 300, True), ("rest", 0, 50, False)]
-
-
-def test_silence_gives_retry_markers(spark, tmp_path):
-    op = lambda s: L.connection_gaps(s, silent_ms=100, retry_s=(0.1, 0.2))
-    got = run_state(spark, tmp_path, [("s", 0, 800.0, True)], "device string, t_ms long, rr_ms double, contact boolean", op,
-                    lambda r: any(x["event"] == "gone" for x in r))
-    assert [r["event"] for r in got] == ["retry", "retry", "gone"]
+@pytest.mark.parametrize("files", [1, 3])
+def test_phase_intervals(spark, tmp_path, files):
+    rows = [("a", 1000, "rest"), ("a", 2000, "rest"), ("a", 61000, "challenge"), ("a", 180000, "end"), ("b", 5000, "rest"), ("b", 9000, "stop"), ("b", 20000, "rest"),
+            ("a", 400000, "rest"), ("a", 500000, "recovery")]
+    got = replayed(spark, tmp_path, rows, "session string, t_ms long, phase string", P.phase_intervals, "session", files)
+    assert got == [("a", "challenge", 61000, 180000, False), ("a", "rest", 1000, 61000, False), ("a", "rest", 400000, 500000, False), ("b", "rest", 5000, 9000, True)]
 
 
 def test_bounded_readings(spark, tmp_path):
