@@ -273,20 +273,27 @@ PULSE_BAND = butterworth(3, 0.7, 3.5, K.PULSE_HZ)
 
 
 def upstroke_times(x: np.ndarray, fs: int) -> np.ndarray:
-    """Beat times (samples) of one filtered pulse window: the steepest point before every peak."""
-    q75, q25 = np.percentile(x, [75, 25])
-    if not q75 - q25 > 0:
-        return np.array([])
-    peaks, _ = find_peaks(x, distance=int(K.IBI_LOW_S * fs), prominence=0.3 * (q75 - q25))
-    dx = np.gradient(x)
-    back = int(0.25 * fs)
-    at = np.array([max(0, p - back) + int(np.argmax(dx[max(0, p - back):p + 1])) for p in peaks], dtype=int)
-    inner = (at > 0) & (at < len(x) - 1)
-    shift = np.zeros(len(at))
-    u, v, w = dx[at[inner] - 1], dx[at[inner]], dx[at[inner] + 1]
-    bend = u - 2 * v + w
-    shift[inner] = np.clip(np.divide(0.5 * (u - w), bend, out=np.zeros_like(bend), where=bend != 0), -0.5, 0.5)
-    return at + shift
+    """Beat times (samples) of one filtered pulse window: where the wave rises fastest in the quarter second up to every peak, between
+    samples by a parabola through the slope there and on both sides."""
+    low, high = np.quantile(x, [0.25, 0.75])
+    if not high > low:
+        return np.zeros(0)
+    peaks = find_peaks(x, distance=int(K.IBI_LOW_S * fs), prominence=0.3 * (high - low))[0]
+    slope = np.gradient(x)
+    # one row per peak; what lies before the window is lower than any slope
+    lead = int(0.25 * fs)
+    rises = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(lead, -np.inf), slope]), lead + 1)[peaks]
+    steepest = peaks - lead + rises.argmax(axis=1)
+    return steepest + vertex(slope, steepest)
+
+
+def vertex(y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Offset of the extremum of the parabola through y at `at` and its neighbours, at most half a sample; 0 at the ends and where
+    the three lie on a line."""
+    around = np.pad(y, 1, mode="edge")[at[:, None] + np.arange(3)]
+    half_rise, bend = (around[:, 2] - around[:, 0]) / 2, around @ [1.0, -2.0, 1.0]
+    usable = (bend != 0) & (at > 0) & (at < len(y) - 1)
+    return np.where(usable, -half_rise / np.where(usable, bend, 1.0), 0.0).clip(-0.5, 0.5)
 
 
 def pulse_beats(df: DataFrame, column: str = "bvp", fs: int = K.PULSE_HZ, name: str = "beat_s") -> DataFrame:
