@@ -54,7 +54,7 @@ PIECE = 1 << 19     # signs handled at a time
 SLICE = 1000        # rows taken out of a batch at a time
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
-EARLY = 32
+RECENT = 32
 PARITIES = 512      # bits that a member carries to tell how many shingles it does not share
 
 U = np.uint64
@@ -317,8 +317,8 @@ def _prefixes(open_: DataFrame, least: float) -> DataFrame:
     Two multisets of n <= m tokens reach `least` = t only if they share t m and t (n + m) / (1 + t) tokens, at least 2 t n / (1 + t).
     In any common order of tokens the first shared one is therefore among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller
     one (`short`) and among the first m - ceil(t m) + 1 of the larger one. The parities q0, q1, ... of the counts in `PARITIES` cells differ
-    in at most as many places as there are tokens that only one of them has. `early` are the first `EARLY` tokens, by which a pair
-    comes once, for the first token that it shares. open_: content, root, bag."""
+    in at most as many places as there are tokens that only one of them has. `recent` are the `RECENT` tokens before it:
+    where two share one of those too, the pair has come already. open_: content, root, bag."""
     words = PARITIES // 64
     known = open_.sparkSession.sparkContext.broadcast(_frequencies(open_).astype(np.int32))     # CELLS numbers
 
@@ -326,7 +326,7 @@ def _prefixes(open_: DataFrame, least: float) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, 100):
                 batch = whole.slice(k, 100)
-                row, token, place, size, short, parity, early = [], [], [], [], [], [], []
+                row, token, place, size, short, parity, recent = [], [], [], [], [], [], []
                 for i, x in enumerate(batch.column("bag").to_pylist()):
                     t = tokens(x)
                     n = len(t)
@@ -334,19 +334,21 @@ def _prefixes(open_: DataFrame, least: float) -> DataFrame:
                     t = t[np.lexsort((t, known.value[_cell(t)]))][:n - math.ceil(least * n - 1e-9) + 1]
                     row.append(np.full(len(t), i))
                     token.append(t.view(np.int64))
-                    early.append(token[-1][:EARLY].tolist())
+                    back = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(RECENT, np.int64), token[-1]]), RECENT)[:len(t)]
+                    recent.append(back[np.arange(RECENT) >= RECENT - np.arange(len(t))[:, None]])
                     place.append(np.arange(len(t)))
                     size.append(np.full(len(t), n))
                     short.append(np.arange(len(t)) < n - math.ceil(2 * least * n / (1 + least) - 1e-9) + 1)
                 at = np.concatenate(row)
-                rows, bits = pa.array(at), np.stack(parity)[at]
+                rows, bits, places = pa.array(at), np.stack(parity)[at], np.concatenate(place)
+                ends = np.concatenate([[0], np.cumsum(np.minimum(places, RECENT))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(token)), pa.array(np.concatenate(place)), batch.column("content").take(rows), batch.column("root").take(rows),
-                     pa.array(np.concatenate(size)), pa.array(np.concatenate(short)), pa.array(early, pa.list_(pa.int64())).take(rows), *[pa.array(bits[:, k]) for k in range(words)]],
-                    ["token", "place", "content", "root", "size", "short", "early", *[f"q{k}" for k in range(words)]])
+                    [pa.array(np.concatenate(token)), pa.array(places), batch.column("content").take(rows), batch.column("root").take(rows),
+                     pa.array(np.concatenate(size)), pa.array(np.concatenate(short)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(recent))), *[pa.array(bits[:, k]) for k in range(words)]],
+                    ["token", "place", "content", "root", "size", "short", "recent", *[f"q{k}" for k in range(words)]])
 
     kinds = "".join(f", q{k} long" for k in range(words))
-    return open_.select("content", "root", "bag").mapInArrow(run, f"token long, place long, content binary, root binary, size long, short boolean, early array<long>{kinds}")
+    return open_.select("content", "root", "bag").mapInArrow(run, f"token long, place long, content binary, root binary, size long, short boolean, recent array<long>{kinds}")
 
 
 def _untested(open_: DataFrame, least: float) -> DataFrame:
@@ -355,12 +357,11 @@ def _untested(open_: DataFrame, least: float) -> DataFrame:
     p = written(_prefixes(open_, least), "prefixes")
     x, y = (p.select("token", *[F.col(c).alias(k + c) for c in p.columns[1:]]) for k in "xy")
     left = lambda k: F.col(k + "size") - F.col(k + "place")  # noqa: E731  tokens from the shared one on
-    before = lambda k: F.slice(f"{k}early", F.lit(1), F.col(f"{k}place").cast("int"))
     apart = sum((F.bit_count(F.col(f"xq{k}").bitwiseXOR(F.col(f"yq{k}"))) for k in range(1, PARITIES // 64)), F.bit_count(F.col("xq0").bitwiseXOR(F.col("yq0"))))
     fits = ((F.struct("xsize", "xcontent") < F.struct("ysize", "ycontent")) & (F.col("xroot") != F.col("yroot")) & near_size(F.col("xsize"), F.col("ysize"), least)
             & (F.least(left("x"), left("y")) >= (F.col("xsize") + F.col("ysize")) * F.lit(least / (1 + least) - 1e-9))
             & (apart <= (F.col("xsize") + F.col("ysize")) * F.lit((1 - least) / (1 + least) + 1e-9))
-            & ~F.arrays_overlap(before("x"), before("y")))
+            & ~F.arrays_overlap("xrecent", "yrecent"))
     both = x.filter("xshort").join(y, "token").filter(fits)
     return both.select(F.least("xcontent", "ycontent").alias("a"), F.greatest("xcontent", "ycontent").alias("b")).distinct()
 
