@@ -40,7 +40,7 @@ from tokenizers import Tokenizer
 
 HOT_WORDS = 1 << 19
 HOT_LENGTH = 40
-SAMPLE_ROWS = 15_000
+SAMPLE_ROWS = 24_000
 RARE = bytes(4)
 MEMO = 100_000
 ROWS = 1000     # rows handled at a time
