@@ -10,6 +10,7 @@ from pulsegrid.plans import tables as T
 from pulsegrid.session import new_folder
 from pulsegrid.streaming import live as L
 from pulsegrid.streaming import replay as P
+from pulsegrid.streaming import versioned as V
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -48,12 +49,13 @@ def _(spark, sf):
 
 @query("stream_latest_changes", "SELECT user_id, max(event_id) AS id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def _(spark, sf):
+    # the feed comes in four files, so the table is merged in four batches
     folder = new_folder(spark, "changes")
-    c = events(spark, sf).select("user_id", F.col("event_id").alias("seq"), "event_type")
-    q = L.merge_changes(c, f"{folder}/table", f"{folder}/checkpoint", key=["user_id"])
-    q.awaitTermination()
-    last = q.lastProgress["batchId"]
-    return spark.read.parquet(f"{folder}/table/version={last}").select("user_id", F.col("seq").alias("id"), "event_type")
+    feed = T.table(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), "event_type")
+    feed.repartitionByRange(4, "seq").write.parquet(f"{folder}/feed")
+    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
+    V.merge_changes(stream, f"{folder}/table", f"{folder}/checkpoint", key=["user_id"], buckets=16).awaitTermination()
+    return V.read_table(spark, f"{folder}/table", feed.schema, ["user_id"], "seq").select("user_id", F.col("seq").alias("id"), "event_type")
 
 
 FRAMES_SQL = f"""

@@ -175,21 +175,6 @@ def score_batches(rows: DataFrame, score: Callable[[DataFrame], DataFrame], sink
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
-def merge_changes(changes: DataFrame, folder: str, checkpoint: str, key: list[str] = ["user_id", "id"], order: str = "seq") -> StreamingQuery:
-    """Apply a change feed to a table: each batch writes the next version folder from the last one and the batch,
-    the newest change per key winning. A batch that is run again writes the same version again."""
-    from pulsegrid.operators.records import newest
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{folder}/version={number - 1}").unionByName(batch)
-        newest(rows, key, order).write.mode("overwrite").parquet(f"{folder}/version={number}")
-
-    return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def ingest_files(spark: SparkSession, kind: str, path: str, schema: str, sink: str, checkpoint: str, options: dict[str, str] = {}) -> StreamingQuery:
     """Take new export files of a drop folder once: text, csv or json into a parquet table, exactly once per file."""
     r = spark.readStream.format(kind).options(**options)

@@ -12,6 +12,7 @@ from pulsegrid.session import new_folder
 from pulsegrid import constants as K
 from pulsegrid.streaming import live as L
 from pulsegrid.streaming import replay as P
+from pulsegrid.streaming import versioned as V
 
 T0 = datetime(2024, 3, 1, 8)
 
@@ -278,13 +279,48 @@ def test_bounded_readings(spark, tmp_path):
     assert out.count() == 60 and out.agg(F.min("ts")).first()[0] == T0 + timedelta(seconds=20)
 
 
-def test_change_feed_merge_and_file_ingestion(spark, tmp_path):
-    schema = "user_id long, id string, seq long, v string"
+FEED = "user_id long, id string, seq long, v string"
+
+
+def test_change_feed_merge(spark, tmp_path):
     for n, rows in enumerate(([(1, "a", 1, "x"), (1, "b", 2, "y")], [(1, "a", 3, "z")])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        q = L.merge_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c"))
+        spark.createDataFrame(rows, FEED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = V.merge_changes(spark.readStream.schema(FEED).parquet(str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c"))
         q.awaitTermination()
-    assert [(r["id"], r["v"]) for r in as_dicts(spark.read.parquet(str(tmp_path / "t" / "version=1")), "id")] == [("a", "z"), ("b", "y")]
+    schema = spark.createDataFrame([], FEED).schema
+    table = V.read_table(spark, str(tmp_path / "t"), schema, ["user_id", "id"], "seq")
+    assert [(r["id"], r["v"]) for r in as_dicts(table, "id")] == [("a", "z"), ("b", "y")]
+    first = V.read_table(spark, str(tmp_path / "t"), schema, ["user_id", "id"], "seq", version=0)
+    assert [(r["id"], r["v"]) for r in as_dicts(first, "id")] == [("a", "x"), ("b", "y")]
+    assert V.read_table(spark, str(tmp_path / "none"), schema, ["user_id", "id"], "seq").count() == 0
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    """Every version equals the newest rows so far, also when a batch is run again; old data goes; a small batch writes little."""
+    rng = random.Random(6)
+    folder, key, state, seq = str(tmp_path / "t"), ["user_id", "id"], {}, 0
+    schema = spark.createDataFrame([], FEED).schema
+    size = lambda v: sum(p.stat().st_size for p in (tmp_path / "t" / "data" / f"version={v}").rglob("*.parquet"))
+    sizes = []
+    for n in range(7):
+        rows = []
+        for _ in range(3000 if n == 0 else 30 if n < 5 else 2500):
+            seq += 1
+            rows.append((rng.randrange(40), f"r{rng.randrange(100)}", seq, f"{rng.getrandbits(800):x}"))
+        for r in rows:
+            state[r[:2]] = r
+        batch = spark.createDataFrame(rows + rows[:5], schema)
+        for _ in range(2 if n in (2, 5) else 1):
+            V.merge_batch(batch, n, folder, key, "seq", buckets=8, keep=2)
+        sizes.append(size(n))
+        assert sorted(tuple(r) for r in V.read_table(spark, folder, schema, key, "seq").collect()) == sorted(state.values())
+    assert V.versions(spark, folder) == [5, 6] and all(s < sizes[0] / 4 for s in sizes[1:5])
+    named = {(p, b) for v in (5, 6) for b, p, _, _ in V.manifest(spark, folder, v)}
+    there = {(int(p.parent.name[8:]), int(p.name[7:])) for p in (tmp_path / "t" / "data").glob("version=*/bucket=*")}
+    assert there == named and max(len([e for e in V.manifest(spark, folder, 6) if e[0] == b]) for b in range(8)) <= 6
+
+
+def test_file_ingestion(spark, tmp_path):
     (tmp_path / "drop").mkdir()
     for n in range(2):
         (tmp_path / "drop" / f"{n}.csv").write_text("timestamp,rmssd\n2024-01-01T00:00:00,40\n")
