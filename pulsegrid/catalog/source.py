@@ -8,6 +8,7 @@ from pulsegrid.catalog import query
 from pulsegrid.catalog.activity import up
 from pulsegrid.catalog.beat import r6
 from pulsegrid.plans import tables as T
+from pulsegrid.session import new_folder
 from pulsegrid.sources import exports as X
 
 HR_SQL = "SELECT user_id % 15 AS owner, epoch_us(ts) // 1000 // 300 AS t_ms, 40 + value AS bpm FROM events"
@@ -47,13 +48,133 @@ def _(spark, sf):
                     X.short_utc_millis(F.date_format("ts", "MM/dd/yy HH:mm:ss")).alias("short_ms"), X.clock_seconds(F.date_format("ts", "h:mm:ss a")).alias("clock_s"))
 
 
+# -- exports written from the events and read back ----------------------------------------------------
+
+def export_files(rows, folder: str, name) -> str:
+    """Write text rows (folder columns `part`, order `n`, `line`) as one file per part, and give the files the names that `name`
+    makes of the part, as devices name them. The names go through the file system of the session's shared folder."""
+    spark = rows.sparkSession
+    # a part's lines in order; parts are spread over tasks
+    rows.repartition("part").sortWithinPartitions("part", "n").select("part", "line").write.partitionBy("part").text(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for d in fs.listStatus(path(folder)):
+        part = d.getPath().getName().partition("=")[2]
+        for f in fs.listStatus(d.getPath()) if d.isDirectory() else []:
+            fs.rename(f.getPath(), path(d.getPath(), name(part)))
+    return folder
+
+
+ROUTES = {"click": "heart_rate-2024-03-01.json", "view": "resting_heart_rate-2024-03-01.json", "error": "Heart Rate Variability Details - 2024-03-01.csv",
+          "purchase": "EDA.csv", "signup": "sleep-2024-03-01.json"}
+
+
 @query("source_file_routes", """
-SELECT kind, count(*) AS n FROM (SELECT CASE o_orderkey % 8 WHEN 0 THEN 'hr' WHEN 1 THEN 'resting' WHEN 2 THEN 'hrv-details' WHEN 3 THEN 'hrv-daily' WHEN 4 THEN 'EDA' WHEN 5 THEN 'IBI' END AS kind FROM orders) o GROUP BY kind""")
+SELECT kind, count(*) AS n_lines FROM (SELECT CASE event_type WHEN 'click' THEN 'hr' WHEN 'view' THEN 'resting' WHEN 'error' THEN 'hrv-details' WHEN 'purchase' THEN 'EDA' END AS kind
+ FROM events) e GROUP BY kind""")
+def _(spark, sf):
+    e = T.table(spark, sf, "events").select(F.col("event_type").alias("part"), F.col("event_id").alias("n"), F.col("event_id").cast("string").alias("line"))
+    folder = export_files(e, new_folder(spark, "routes"), ROUTES.__getitem__)
+    lines = spark.read.option("recursiveFileLookup", True).text(folder)
+    return lines.groupBy(X.file_kind(F.col("_metadata.file_path")).alias("kind")).agg(F.count("*").alias("n_lines"))
+
+
+# a session per user of fifteen: 4 Hz samples in the order of the events
+CHANNEL_SQL = "SELECT user_id % 15 AS session, row_number() OVER (PARTITION BY user_id % 15 ORDER BY event_id) - 1 AS idx, value AS v1, event_id % 7 = 0 AS gap FROM events"
+
+
+@query("source_channel_files", f"""
+SELECT session, 'EDA' AS channel, 1700000000000e0 + session * 60000 AS start_ms, 4e0 AS hz, idx, v1 FROM ({CHANNEL_SQL}) c""")
+def _(spark, sf):
+    e = T.table(spark, sf, "events").select((F.col("user_id") % 15).alias("part"), (F.col("event_id") + 2).alias("n"), F.concat(
+        F.col("value").cast("string"), F.when(F.col("event_id") % 7 == 0, "\n").otherwise("")).alias("line"))       # some empty lines
+    starts = e.select("part").distinct()
+    heads = starts.select("part", F.lit(0).cast("long").alias("n"), F.concat((F.lit(1_700_000_000) + F.col("part") * 60).cast("string"), F.lit(".0")).alias("line"))
+    rates = starts.select("part", F.lit(1).cast("long").alias("n"), F.lit("4.0").alias("line"))
+    folder = export_files(heads.unionByName(rates).unionByName(e), new_folder(spark, "channels"), lambda part: "EDA.csv")
+    c = X.read_channel(spark, f"{folder}/*/EDA.csv")
+    return c.select(F.regexp_extract("session", r"part=(\d+)$", 1).cast("long").alias("session"), "channel", "start_ms", "hz", "idx", "v1")
+
+
+@query("source_interval_files", """
+SELECT session, round(t_ms, 3) AS t_ms, round(rr_ms, 3) AS rr_ms FROM (
+ SELECT user_id % 15 AS session, (1700000000 + user_id % 15 * 60) * 1000e0 + event_id * 0.75e0 * 1000 AS t_ms, (700 + value) AS rr_ms, event_id FROM events) x WHERE event_id % 11 <> 0""")
+def _(spark, sf):
+    e = F.col("event_id")
+    text = F.concat((e * 0.75).cast("string"), F.lit(","), F.when(e % 11 == 0, "lost").otherwise(F.format_string("%.5f", (700 + F.col("value")) / 1000)))
+    d = T.table(spark, sf, "events").select((F.col("user_id") % 15).alias("part"), (e + 1).alias("n"), text.alias("line"))
+    heads = d.select("part").distinct().select("part", F.lit(0).cast("long").alias("n"), F.concat((F.lit(1_700_000_000) + F.col("part") * 60).cast("string"), F.lit(".0, IBI")).alias("line"))
+    folder = export_files(heads.unionByName(d), new_folder(spark, "intervals"), lambda part: "IBI.csv")
+    r = X.read_intervals(spark, f"{folder}/*/IBI.csv")
+    return r.select(F.regexp_extract("session", r"part=(\d+)$", 1).cast("long").alias("session"), F.round("t_ms", 3).alias("t_ms"), F.round("rr_ms", 3).alias("rr_ms"))
+
+
+@query("source_vitals_files", """
+WITH e AS (SELECT user_id % 40 AS patient, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS row, CASE WHEN event_id % 9 <> 0 THEN 90 + event_id % 10 END AS v FROM events)
+SELECT patient, row, CAST(v AS DOUBLE) AS value FROM e WHERE v IS NOT NULL AND patient % 4 <> 0 AND patient IN (SELECT patient FROM e WHERE v IS NOT NULL GROUP BY patient HAVING count(*) >= 60)""")
+def _(spark, sf):
+    e, p = F.col("event_id"), F.col("part")
+    v = F.when(e % 9 != 0, (90 + e % 10).cast("string")).otherwise("")
+    d = T.table(spark, sf, "events").select((F.col("user_id") % 40).alias("part"), e, v.alias("v")).select(
+        "part", (e + 1).alias("n"), F.when(p % 2 == 0, F.concat_ws(",", e.cast("string"), "v", F.lit("60"))).otherwise(F.concat_ws(",", "v", e.cast("string"))).alias("line"))
+    names = F.when(p % 4 == 0, "Time, HR, RESP").when(p % 2 == 0, "Time, SpO2, HR").otherwise("SpO2,Time")
+    heads = d.select("part").distinct().select("part", F.lit(0).cast("long").alias("n"), names.alias("line"))
+    folder = export_files(heads.unionByName(d), new_folder(spark, "vitals"), lambda part: f"p{part}_Numerics.csv")
+    out = X.read_vitals(spark, f"{folder}/*/*_Numerics.csv")
+    return out.select(F.regexp_extract("file", r"part=(\d+)/", 1).cast("long").alias("patient"), "row", "value")
+
+
+@query("source_health_export", f"""
+SELECT CASE event_id % 4 WHEN 0 THEN '{X.VARIABILITY}' WHEN 1 THEN '{X.RESTING}' ELSE '{X.HEART_RATE}' END AS type, epoch_us(ts) // 1000000 * 1000 + 8 * 3600000 AS t_ms,
+       epoch_us(ts) // 1000000 * 1000 + 8 * 3600000 + CASE WHEN event_id % 3 = 0 THEN 0 ELSE 60000 END AS end_ms, CAST(ts AS DATE) AS day, 'Watch ' || user_id % 3 AS device, value,
+       CASE WHEN event_id % 8 = 0 THEN 2 END AS n_beats FROM events WHERE event_type <> 'signup' AND event_id % 13 <> 0""")
+def _(spark, sf):
+    e = F.col("event_id")
+    text = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(" -0800"))
+    kind = F.when(F.col("event_type") == "signup", "HKQuantityTypeIdentifierStepCount").when(e % 4 == 0, X.VARIABILITY).when(e % 4 == 1, X.RESTING).otherwise(X.HEART_RATE)
+    beat = F.struct(F.lit("60").alias("_bpm"), F.lit("9:41:03.12 PM").alias("_time"))
+    rows = T.table(spark, sf, "events").select(
+        kind.alias("_type"), text(F.col("ts")).alias("_startDate"), F.when(e % 3 != 0, text(F.col("ts") + F.expr("INTERVAL 1 MINUTE"))).alias("_endDate"),
+        F.concat(F.lit("Watch "), (F.col("user_id") % 3).cast("string")).alias("_sourceName"), F.when(e % 13 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("_value"),
+        F.when(e % 8 == 0, F.struct(F.array(beat, beat).alias("InstantaneousBeatsPerMinute"))).alias("HeartRateVariabilityMetadataList"))
+    folder = new_folder(spark, "health")
+    rows.write.option("rootTag", "HealthData").option("rowTag", "Record").xml(folder)
+    return X.read_health_xml(spark, folder).select("type", "t_ms", "end_ms", "day", "device", "value", F.when(F.col("beats").isNotNull(), F.size("beats")).alias("n_beats"))
+
+
+@query("source_band_minutes", """
+WITH h AS (SELECT epoch_us(ts) // 1000000 * 1000 AS t_ms, CAST(40 + value AS DOUBLE) AS bpm, event_id % 6 AS c FROM events)
+SELECT t_ms, round(bpm, 6) AS bpm, CASE WHEN c < 4 THEN CAST(c AS DOUBLE) END AS confidence FROM h WHERE bpm BETWEEN 30 AND 220 AND c <> 0""")
+def _(spark, sf):
+    e = F.col("event_id")
+    cell = F.struct((40 + F.col("value")).alias("bpm"), F.when(e % 6 < 4, e % 6).alias("confidence"))
+    row = F.struct(F.date_format("ts", "MM/dd/yy HH:mm:ss").alias("dateTime"), cell.alias("value"))
+    day = T.table(spark, sf, "events").groupBy(F.to_date("ts").alias("part")).agg(F.to_json(F.collect_list(row)).alias("line"))     # one list a day, as the band writes it
+    folder = export_files(day.withColumn("n", F.lit(0)), new_folder(spark, "band"), lambda part: f"heart_rate-{part}.json")
+    return X.read_band_hr(spark, f"{folder}/*/heart_rate-*.json").select("t_ms", *r6("bpm"), "confidence")
+
+
+@query("source_band_tables", """
+WITH e AS (SELECT event_id, epoch_us(ts) // 1000000 * 1000 AS t_ms, CAST(ts AS DATE) AS day, value, event_id % 4 AS k FROM events)
+SELECT 'details' AS kind, t_ms, NULL::DATE AS day, round(value, 4) AS value, CASE WHEN k >= 3 THEN 'good' ELSE 'fair' END AS quality FROM e WHERE event_id % 10 <> 0 AND value > 0
+UNION ALL SELECT 'daily', NULL, day, floor(round(value, 4) * 10 + 0.5e0) / 10, 'rmssd' FROM e WHERE event_id % 10 <> 0 AND value > 0
+UNION ALL SELECT 'resting', NULL, day, floor(round(40 + value, 4) * 10 + 0.5e0) / 10, NULL FROM e""")
 def _(spark, sf):
-    names = ["heart_rate-2024-03-01.json", "resting_heart_rate-2024.json", "Heart Rate Variability Details - 2024.csv", "daily heart rate variability summary - 2024.csv",
-             "EDA.csv", "IBI.csv", "sleep-2024.json", "BVP.csv"]
-    path = F.concat(F.lit("/in/"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("o_orderkey") % 8 + 1).cast("int")))
-    return T.table(spark, sf, "orders").select(X.file_kind(path).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    e, v = F.col("event_id"), F.round("value", 4)
+    t = T.table(spark, sf, "events")
+    rows = t.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.when(e % 10 == 0, "n/a").otherwise(v.cast("string")).alias("rmssd"), ((e % 4) * 0.3).alias("coverage"))
+    folder = new_folder(spark, "tables")
+    rows.write.option("header", True).csv(f"{folder}/details")
+    rows.drop("coverage").write.option("header", True).csv(f"{folder}/daily")
+    cell = F.struct(F.date_format("ts", "MM/dd/yy").alias("date"), F.round(40 + F.col("value"), 4).alias("value"))
+    day = t.groupBy(F.to_date("ts").alias("part")).agg(F.to_json(F.collect_list(F.struct(F.lit("01/01/20 00:00:00").alias("dateTime"), cell.alias("value")))).alias("line"))
+    export_files(day.withColumn("n", F.lit(0)), f"{folder}/resting", lambda part: f"resting_heart_rate-{part}.json")
+    none = F.lit(None)
+    details = X.read_band_hrv(spark, f"{folder}/details").select(F.lit("details").alias("kind"), F.col("started_ms").alias("t_ms"), none.cast("date").alias("day"), F.col("rmssd").alias("value"), "quality")
+    daily = X.read_band_daily(spark, f"{folder}/daily").select(F.lit("daily").alias("kind"), none.cast("long").alias("t_ms"), "day", F.col("hrv").alias("value"), F.col("hrv_kind").alias("quality"))
+    rest = X.read_band_resting(spark, f"{folder}/resting/*/resting_heart_rate-*.json").select(
+        F.lit("resting").alias("kind"), none.cast("long").alias("t_ms"), "day", F.col("resting_hr").alias("value"), none.cast("string").alias("quality"))
+    return details.unionByName(daily).unionByName(rest)
 
 
 # a packet: flags (16-bit rate or not, contact, energy, intervals), rate, energy, one or two intervals

@@ -1,12 +1,12 @@
 """Readers for device exports. Every reader returns measurements, daily context or beats as DataFrames.
 
-Formats are read with Spark's own readers; files are spread over tasks by the reader. A channel file of a
-wristband session is one task's input (a session is hours of 4-64 Hz text), and sessions run side by side.
+Formats are read with Spark's own readers; files are spread over tasks by the reader. Text files whose line numbers mean
+something (channels, intervals, vitals) are read split by split with exact numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid import constants as K
@@ -26,7 +26,9 @@ FILE_KINDS = {
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    """The last part of a path; Spark's own paths have blanks and other signs percent-encoded."""
+    last = F.element_at(F.split(path, "/"), -1)
+    return F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last)
 
 
 def file_kind(path: Column) -> Column:
@@ -244,31 +246,49 @@ def band_measurements(hr: DataFrame, hrv: DataFrame | None = None, owner: list[s
 
 # -- wristband session --------------------------------------------------------------------------------
 
+def numbered_lines(spark: SparkSession, path: str, skip_empty: bool = False) -> DataFrame:
+    """(file, line, value): every line (that is not empty) of text files with its number in its file, from 0.
+
+    Large files are read by many tasks. A split's lines stand together in one task, so a line's place in its split is a difference
+    of running ids; what comes before the split are the counts of the file's earlier splits, one row a split.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+    raw = (text.filter("value <> ''") if skip_empty else text).withColumn("_id", F.monotonically_increasing_id())
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    splits = splits.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).select("file", "_block", "_shift")
+    return raw.join(splits, ["file", "_block"]).select("file", (F.col("_id") + F.col("_shift")).alias("line"), "value")
+
+
+def _session(file: Column) -> Column:
+    return F.regexp_replace(file, r"/[^/]+$", "")
+
+
+def _head(lines: DataFrame, n: int) -> DataFrame:
+    """The first cells of the first `n` lines of every file, as numbers: file, h0, h1, ..."""
+    first = F.split("value", ",")[0].try_cast("double")
+    return lines.filter(F.col("line") < n).groupBy("file").agg(*[F.max(F.when(F.col("line") == i, first)).alias(f"h{i}") for i in range(n)])
+
+
 def read_channel(spark: SparkSession, path: str) -> DataFrame:
     """Channel files: row 1 start time (s) per column, row 2 rate, then samples of 1 or 3 columns.
 
-    (file, device, channel, start_ms, hz, idx, v1, v2, v3).
+    (file, session, channel, start_ms, hz, idx, v1, v2, v3). Empty lines are passed over.
     """
-    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    lines = F.split("value", r"\r?\n")
-    head = raw.withColumn("_l", lines).filter(F.size("_l") >= 3).select(
-        "file", "_l", (F.split(F.get("_l", 0), ",")[0].try_cast("double") * 1000).alias("start_ms"), F.split(F.get("_l", 1), ",")[0].try_cast("double").alias("hz"))
-    body = head.filter("start_ms IS NOT NULL AND hz > 0").select(
-        "file", "start_ms", "hz", F.posexplode(F.filter(F.slice("_l", F.lit(3), F.size("_l")), lambda x: x != "")).alias("idx", "_line"))
-    cell = lambda i: F.get(F.split("_line", ","), i).try_cast("double")
-    name = file_name(F.col("file"))
-    return body.select("file", F.regexp_replace("file", r"/[^/]+$", "").alias("session"), F.regexp_replace(name, r"\.csv$", "").alias("channel"),
-                       "start_ms", "hz", F.col("idx").cast("long").alias("idx"), cell(0).alias("v1"), cell(1).alias("v2"), cell(2).alias("v3"))
+    lines = numbered_lines(spark, path, skip_empty=True)
+    head = _head(lines, 2).select("file", (F.col("h0") * 1000).alias("start_ms"), F.col("h1").alias("hz")).filter("start_ms IS NOT NULL AND hz > 0")
+    body = lines.filter("line >= 2").join(head, "file")
+    cell = lambda i: F.get(F.split("value", ","), i).try_cast("double")
+    return body.select("file", _session(F.col("file")).alias("session"), F.regexp_replace(file_name(F.col("file")), r"\.csv$", "").alias("channel"),
+                       "start_ms", "hz", (F.col("line") - 2).alias("idx"), cell(0).alias("v1"), cell(1).alias("v2"), cell(2).alias("v3"))
 
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     """Interval files to beat end times and intervals: (session, t_ms, rr_ms)."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    d = raw.select(F.regexp_replace("file", r"/[^/]+$", "").alias("session"),
-                   F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("_l"))
-    d = d.withColumn("_t0", F.split(F.get("_l", 0), ",")[0].try_cast("double") * 1000).select("session", "_t0", F.explode(F.slice("_l", F.lit(2), F.size("_l"))).alias("_line"))
-    o, v = F.get(F.split("_line", ","), 0).try_cast("double"), F.get(F.split("_line", ","), 1).try_cast("double")
-    return d.select("session", (F.col("_t0") + o * 1000).alias("t_ms"), (v * 1000).alias("rr_ms")).filter("t_ms IS NOT NULL AND rr_ms IS NOT NULL")
+    lines = numbered_lines(spark, path, skip_empty=True)
+    d = lines.filter("line > 0").join(_head(lines, 1), "file")
+    o, v = F.get(F.split("value", ","), 0).try_cast("double"), F.get(F.split("value", ","), 1).try_cast("double")
+    return d.select(_session(F.col("file")).alias("session"), (F.col("h0") * 1000 + o * 1000).alias("t_ms"), (v * 1000).alias("rr_ms")).filter("t_ms IS NOT NULL AND rr_ms IS NOT NULL")
 
 
 def wristband_measurements(channels: DataFrame, beats: DataFrame, device: Column | None = None) -> DataFrame:
@@ -365,15 +385,13 @@ def read_conditions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vitals(spark: SparkSession, path: str, column: str = "SpO2", least: int = 60) -> DataFrame:
-    """Vitals files that have the column and enough readings: (file, row, value). Headers may differ per file, so
-    every file's own header line gives the position."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"),
-                                       F.monotonically_increasing_id().alias("_row"))
-    w_first = raw.groupBy("file").agg(F.min_by("value", F.struct("_b", "_row")).alias("_head"), F.min(F.struct("_b", "_row")).alias("_h"))
-    names = F.transform(F.split("_head", ","), lambda c: F.trim(c))
-    at = F.array_position(names, column).cast("int")
-    d = raw.join(w_first.withColumn("_at", at).filter("_at > 0"), "file").filter(F.struct("_b", "_row") > F.col("_h"))
-    v = d.select("file", F.col("_row").alias("row"), F.get(F.split("value", ","), F.col("_at") - 1).try_cast("double").alias("value")).filter("value IS NOT NULL")
+    """Vitals files that have the column and enough readings: (file, row, value), rows numbered from 1 in the order of the file.
+    Headers may differ per file, so every file's own header line gives the position."""
+    lines = numbered_lines(spark, path)
+    names = F.transform(F.split("value", ","), lambda c: F.trim(c))
+    head = lines.filter("line = 0").select("file", F.array_position(names, column).cast("int").alias("_at")).filter("_at > 0")
+    cell = F.get(F.split("value", ","), F.col("_at") - 1).try_cast("double")
+    v = lines.filter("line > 0").join(head, "file").select("file", F.col("line").alias("row"), cell.alias("value")).filter("value IS NOT NULL")
     many = v.groupBy("file").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("file")
     return v.join(many, "file", "left_semi")
 

@@ -1,4 +1,5 @@
 import json
+import random
 import math
 from datetime import date
 
@@ -207,3 +208,29 @@ def test_score_helpers(spark):
     assert [r["ok"] for r in as_dicts(S.parity(d, "p", "expected", ["signal"]), "signal")] == [True, False]
     t = spark.createDataFrame([(59.0,), (60.0,), (74.9,), (75.0,)], "t double")
     assert [r[0] for r in t.select(S.last_finished_window(F.col("t"))).collect()] == [None, 0, 0, 15]
+
+
+def test_lines_of_split_files_have_exact_numbers(spark, tmp_path):
+    """Files of many splits, read by many tasks, with empty lines, both line ends and no line end at the end."""
+    rng = random.Random(2)
+    want = {}
+    for name, n, end in (("a.csv", 4000, "\n"), ("b.csv", 2500, "\r\n"), ("c.csv", 1, "\n"), ("d.csv", 900, "\n")):
+        rows = ["" if rng.random() < 0.05 else f"{i},{'x' * rng.randrange(60)}" for i in range(n)]
+        rows[-1] = "end"
+        (tmp_path / name).write_text(end.join(rows), newline="")
+        want[name] = rows
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        d = X.numbered_lines(spark, str(tmp_path / "*.csv"))
+        assert spark.read.text(str(tmp_path / "*.csv")).rdd.getNumPartitions() > 20
+        full = X.numbered_lines(spark, str(tmp_path / "*.csv"), skip_empty=True).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "value"))).alias("l")).collect()
+        got = {}
+        for r in d.collect():
+            got.setdefault(r["file"].rpartition("/")[2], {})[r["line"]] = r["value"]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {f: [rows[i] for i in range(len(rows))] for f, rows in got.items()} == want
+    assert {r["file"].rpartition("/")[2]: [tuple(x) for x in r["l"]] for r in full} == {f: list(enumerate(x for x in rows if x)) for f, rows in want.items()}
