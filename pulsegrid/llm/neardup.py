@@ -54,7 +54,7 @@ PIECE = 1 << 19     # signs handled at a time
 SLICE = 1000        # rows taken out of a batch at a time
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
-RECENT = 32
+RECENT = 8
 PARITIES = 512      # bits that a member carries to tell how many shingles it does not share
 
 U = np.uint64
