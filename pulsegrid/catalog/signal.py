@@ -78,7 +78,7 @@ def _(spark, sf):
 @query("signal_ecg_peaks")
 def _(spark, sf):
     e = pulse_wave(spark, sf).withColumn("ecg", F.pow(F.sin(F.col("idx") / 70.0 * math.pi), 16) * F.col("temp") - F.col("eda") * 0.01)
-    return S.ecg_r_peaks(e, ["subject"], "idx", "ecg", fs=70, block_s=5, halo_s=2)
+    return S.ecg_r_peaks(e, ["subject"], "idx", "ecg", fs=70, block_s=5)
 
 
 @query("signal_simple_beats")

@@ -339,51 +339,31 @@ def simple_beats(df: DataFrame, column: str, fs: int, *, above_mean: bool, name:
     return df.withColumn(name, kernel(F.col(column)))
 
 
-def ecg_r_peaks(samples: DataFrame, owner: list[str], idx: str, value: str, *, fs: int = 700, block_s: int = 10, halo_s: int = 2,
-                **ordered) -> DataFrame:
+def ecg_r_peaks(samples: DataFrame, owner: list[str], idx: str, value: str, *, fs: int = 700, block_s: int = 10, **ordered) -> DataFrame:
     """R-peak positions (sample index) of long ECG recordings.
 
-    Band-pass 5-20 Hz, polarity by the larger 99.5th percentile of the owner, height threshold per 10 s block,
-    peaks at least 0.3 s apart also across block edges. The recording is packed into blocks; each block is
-    filtered with `halo_s` seconds of its neighbours, enough for this band's impulse response to die out.
+    Band-pass 5-20 Hz over every recording as a whole (`filters.zero_phase_blocks`; a gap in the index ends a recording), polarity by the
+    larger 99.5th percentile of the owner, height threshold per 10 s block, peaks at least 0.3 s apart also across block edges.
     """
+    from pulsegrid.operators.filters import zero_phase_blocks
     from pulsegrid.operators.ordered import grouped_quantiles
 
-    size, halo = fs * block_s, fs * halo_s
-    blocks = (samples.groupBy(*owner, F.floor(F.col(idx) / F.lit(float(size))).alias("block"))
-              .agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))), lambda s: s["v"].cast("double")).alias("x")))
-    o = Ordered(blocks, owner, ["block"], **ordered).around(1, 1, lambda w: {
-        "_pre": F.when(F.lag("block").over(w) == F.col("block") - 1, F.lag("x").over(w)),
-        "_post": F.when(F.lead("block").over(w) == F.col("block") + 1, F.lead("x").over(w))})
-    empty = F.expr("CAST(array() AS ARRAY<DOUBLE>)")
-    tail = F.slice("_pre", F.greatest(F.size("_pre") - halo + 1, F.lit(1)), F.lit(halo))
-    d = o.rows.withColumn("_l", F.coalesce(tail, empty)).withColumn("_r", F.coalesce(F.slice("_post", 1, halo), empty))
-    band = butterworth(3, 5.0, 20.0, fs)
-
-    @F.pandas_udf("array<double>")
-    def filtered(left: pd.Series, mid: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for a, m, b in zip(left, mid, right):
-            x = np.concatenate([a, m, b]).astype(float)
-            out.append([] if len(x) <= 21 else zero_phase(band, x[None, :])[0][len(a):len(a) + len(m)].tolist())
-        return pd.Series(out)
-
-    f = d.select(*owner, "block", filtered("_l", "x", "_r").alias("x"))
+    f = zero_phase_blocks(samples, owner, idx, value, butterworth(3, 5.0, 20.0, fs), block=fs * block_s, **ordered)
     f = checkpointed(f)  # read once for the polarity, once for the peaks
     flat = f.select(*owner, F.explode("x").alias("v")).withColumn("v", F.round("v", 6))
     q = grouped_quantiles(flat, owner, "v", {"_hi": ("linear", 0.995), "_lo": ("linear", 0.005)}, **ordered)
     signed = f.join(q, owner).withColumn("_flip", -F.col("_lo") > F.col("_hi"))
 
     @F.pandas_udf("array<long>")
-    def peaks(arrays: pd.Series, flip: pd.Series, block: pd.Series) -> pd.Series:
+    def peaks(arrays: pd.Series, flip: pd.Series, start: pd.Series) -> pd.Series:
         out = []
-        for a, neg, b in zip(arrays, flip, block):
+        for a, neg, first in zip(arrays, flip, start):
             x = -np.asarray(a, float) if neg else np.asarray(a, float)
             p = [] if len(x) < fs else find_peaks(x, height=0.4 * np.percentile(x, 99.5), distance=int(0.3 * fs))[0]
-            out.append([int(v) + int(b) * size for v in p])
+            out.append([int(v) + int(first) for v in p])
         return pd.Series(out)
 
-    found = signed.select(*owner, F.explode(peaks("x", "_flip", "block")).alias("peak"))
+    found = signed.select(*owner, F.explode(peaks("x", "_flip", "start")).alias("peak"))
     return merge_detections(found, owner, "peak", int(0.3 * fs), **ordered)
 
 

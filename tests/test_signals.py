@@ -96,11 +96,35 @@ def test_ecg_peaks_across_blocks(spark):
     for b in beats:
         x += -1.0 * np.exp(-0.5 * ((np.arange(n) - b) / 1.2) ** 2)      # inverted lead
     d = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "o string, i long, v double")
-    got = [r["peak"] for r in as_dicts(S.ecg_r_peaks(d, ["o"], "i", "v", fs=fs, block_s=5, halo_s=2), "peak")]
+    got = [r["peak"] for r in as_dicts(S.ecg_r_peaks(d, ["o"], "i", "v", fs=fs, block_s=5), "peak")]
     inner = [b for b in beats if 70 < b < n - 70]
     assert all(min(abs(g - b) for g in got) <= 1 for b in inner) and all(b - a >= 21 for a, b in zip(got, got[1:]))
 
 
+@pytest.mark.parametrize("block,scan", [(60, 256), (137, 2), (1000, 256), (5000, 3)])
+def test_filter_in_blocks_equals_one_pass(spark, monkeypatch, block, scan):
+    """With a step, a gap in the numbers, a second owner, a run that is too short and a last block shorter than the extension."""
+    from pulsegrid.operators import filters as B
+    monkeypatch.setattr(B, "SCAN", scan)
+    rng = np.random.default_rng(7)
+    sections = S.butterworth(3, 5.0, 20.0, 250)
+    runs = {("a", 10): rng.normal(size=1000) + np.r_[np.zeros(400), np.full(600, 50.0)], ("a", 2000): np.cumsum(rng.normal(size=1203)), ("a", 9000): rng.normal(size=15),
+            ("b", 0): rng.normal(size=block * 2 + 3), ("b", 99_999): rng.normal(size=30)}
+    rows = [(o, first + i, float(v)) for (o, first), x in runs.items() for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "o string, i long, v double").repartition(4)
+    for opts in ({}, {"block_rows": 90, "bounded": False}):
+        got = {}
+        for r in B.zero_phase_blocks(d, ["o"], "i", "v", sections, block=block, **(opts if block == 60 else {})).collect():
+            got.setdefault(r["o"], {}).update({r["start"] + k: v for k, v in enumerate(r["x"])})
+        want = {}
+        for (o, first), x in runs.items():
+            if len(x) > 21:
+                want.setdefault(o, {}).update({first + k: v for k, v in enumerate(S.zero_phase(sections, x[None, :])[0])})
+        assert got.keys() == want.keys()
+        for o in want:
+            assert got[o].keys() == want[o].keys() and max(abs(got[o][k] - want[o][k]) for k in want[o]) < 1e-9
+
+
 def frames(bpm, fps=30, seconds=60, noise=0.05, burst=None, drop=None, seed=1):
     rng = np.random.default_rng(seed)
     t = np.arange(int(seconds * fps)) * 1000 / fps
