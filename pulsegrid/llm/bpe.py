@@ -14,8 +14,8 @@ table, which is as long as the vocabulary.
 Bounds: the broadcast has at most `HOT_WORDS` words of at most `HOT_LENGTH` signs; which words it holds changes the work,
 never the result. A worker remembers up to `MEMO` written forms. Texts are encoded whole; what is shuffled of them are packed word numbers.
 
-Defined cases: NULL text is empty and has no ids; documents are told apart by id and a 64-bit hash of their text, so repeated
-ids and repeated rows are right; special tokens inside a text are found as the library finds them; an empty table gives no
+Defined cases: NULL text is empty and has no ids; documents are told apart by id and, if any id stands more than once, a 64-bit hash of
+their text, so repeated ids and repeated rows are right; ties between equally frequent words go to the smaller one and change no result; special tokens inside a text are found as the library finds them; an empty table gives no
 rows; other columns are not read.
 """
 
@@ -40,7 +40,7 @@ from tokenizers import Tokenizer
 
 HOT_WORDS = 1 << 19
 HOT_LENGTH = 40
-SAMPLE_ROWS = 24_000
+SAMPLE_ROWS = 15_000
 RARE = bytes(4)
 MEMO = 100_000
 ROWS = 1000     # rows handled at a time
@@ -139,9 +139,9 @@ def pieces(spec: str) -> list[str]:
     return out
 
 
-def hot_words(docs: DataFrame, text: str, spec, kind: str, n: int = HOT_WORDS, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[bytes]]:
-    """The most frequent words of about `sample_rows` documents, with their ids."""
-    share = min(1.0, sample_rows / max(1, docs.count()))
+def hot_words(docs: DataFrame, rows: int, text: str, spec, kind: str, n: int = HOT_WORDS, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[bytes]]:
+    """The most frequent words of about `sample_rows` of the `rows` documents, with their ids."""
+    share = min(1.0, sample_rows / max(1, rows))
     picked = docs.filter(F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 31) - 1)) < F.lit(int(share * (1 << 31))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +173,10 @@ def _tag(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _no_tag(text: str) -> int:
+    return 0
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, ROWS):
@@ -198,7 +202,10 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], doc_id: str = "doc_
     own = F.coalesce(F.col(doc_id).cast("long") if whole_number else F.xxhash64(F.col(doc_id)), F.xxhash64(F.col(text)))
     d = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], own.alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     names = [f"_k{i}" for i in range(len(keep))]
-    words, coded = hot_words(d, "_text", spec, kind, hot, sample_rows)
+    rows, keys = d.agg(F.count("*"), F.count_distinct("_id")).first()
+    # an id that stands once needs no more to tell its document
+    tag_of = _tag if keys < rows else _no_tag
+    words, coded = hot_words(d, rows, "_text", spec, kind, hot, sample_rows)
     words, coded = sc.broadcast(words), sc.broadcast(coded)
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +217,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], doc_id: str = "doc_
                 if rare:
                     word += rare
                     row += [i] * len(rare)
-                    tag += [_tag(x)] * len(rare)
+                    tag += [tag_of(x)] * len(rare)
                     at += range(len(rare))
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(row, pa.int64()), pa.array(tag, pa.int64()), pa.array(at, pa.int32())],
                                              ["word", "id", "tag", "at"])
@@ -236,7 +243,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], doc_id: str = "doc_
         for batch in _slices(batches):
             texts = batch.column("_text").to_pylist()
             packed = [pack(known.codes(x)[0]) for x in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names) + 1], pa.array(map(_tag, texts), pa.int64()), pa.array(packed, pa.binary())],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names) + 1], pa.array(map(tag_of, texts), pa.int64()), pa.array(packed, pa.binary())],
                                              [*names, "_id", "_tag", "_packed"])
 
     added = "ids binary" + ", n_tokens long, ids_sha256 string, decoded_sha256 string" * digests
