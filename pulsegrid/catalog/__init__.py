@@ -9,7 +9,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FAMILIES = ["beat", "join", "evaluation", "activity", "session", "history", "record", "signal", "model",
-            "legacy", "note", "source", "stream"]
+            "legacy", "note", "source", "sink", "stream"]
 
 
 @dataclass(frozen=True)

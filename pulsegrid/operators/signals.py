@@ -269,6 +269,8 @@ def tonic_features(df: DataFrame, column: str = "eda", *, n: int = 240, fs: floa
     return df.withColumn("eda_tonic", dot(mean)).withColumn("eda_slope", dot(slope))
 
 
+# above these a figure counts as motion (fixed values)
+MOTION_LIMITS = {"z": float(K.MOTION_Z), "wrist": K.MOTION_WRIST_G, "chest": K.MOTION_CHEST_G, "camera": K.MOTION_SHARE}
 PULSE_BAND = butterworth(3, 0.7, 3.5, K.PULSE_HZ)
 
 
@@ -371,3 +373,12 @@ def merge_detections(found: DataFrame, owner: list[str], at: str, gap: int, **or
     """Union of block-wise detections: equal ones once, and none closer than `gap` to the one before."""
     o = Ordered(found.distinct(), owner, [at], **ordered).around(1, 0, lambda w: {"_prev": F.lag(at).over(w)})
     return o.rows.filter(F.col("_prev").isNull() | (F.col(at) - F.col("_prev") >= gap)).drop("_prev")
+
+
+def motion_flag(kind: Column, value: Column) -> Column:
+    """Whether a motion figure counts as moving: the calibrated deviation (`z`), the spread of the acceleration at the wrist or the
+    chest in g, or the share of spoilt camera samples. NULL for other kinds and missing figures."""
+    limit = F.lit(None).cast("double")
+    for name, least in MOTION_LIMITS.items():
+        limit = F.when(kind == name, F.lit(least)).otherwise(limit)
+    return value > limit

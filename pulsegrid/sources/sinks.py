@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pulsegrid import constants as K
 from pulsegrid.functions.scalar import round_even, round_significant
@@ -27,8 +30,9 @@ def checkin_rows(checkins: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header; quotes are doubled, fields are quoted where needed."""
-    df.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """CSV with a header; quotes are doubled, fields are quoted where needed, times keep their microseconds."""
+    w = df.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "")
+    w.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
 
 
 def read_features_csv(spark, path: str, schema: str) -> DataFrame:
@@ -40,6 +44,23 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "appe
     df.write.mode(mode).partitionBy(*by).parquet(path)
 
 
+IMPORT = ["import_id", "source", "file", "imported_at"]
+
+
+def write_import(rows: DataFrame, folder: str, import_id: str, source: str, file: str, imported_at: str) -> None:
+    """One import batch: its rows with import id, source, file and time (ISO text), below a folder whose name is made of these four.
+    The same import written again, also after a failure half-way, replaces itself; others are not touched."""
+    told = dict(zip(IMPORT, (import_id, source, file, imported_at)))
+    name = hashlib.sha256("\n".join(told.values()).encode()).hexdigest()[:32]
+    rows.withColumns({k: F.lit(v) for k, v in told.items()}).write.mode("overwrite").parquet(f"{folder}/batch={name}")
+
+
+def read_imports(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """Rows of all import batches of a folder. schema: of the rows that were given."""
+    whole = StructType([*schema.fields, *[StructField(c, StringType()) for c in IMPORT]])
+    return spark.read.schema(whole).parquet(folder).drop("batch").withColumn("imported_at", F.col("imported_at").cast("timestamp"))
+
+
 def user_documents(rows: DataFrame, user: str, order: list[str], fields: list[str], part_rows: int = 10_000, **ordered) -> DataFrame:
     """JSON documents of a user's rows in order: (user, part, document), each part of at most `part_rows` rows.
 

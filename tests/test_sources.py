@@ -234,3 +234,15 @@ def test_lines_of_split_files_have_exact_numbers(spark, tmp_path):
             spark.conf.set(k, v)
     assert {f: [rows[i] for i in range(len(rows))] for f, rows in got.items()} == want
     assert {r["file"].rpartition("/")[2]: [tuple(x) for x in r["l"]] for r in full} == {f: list(enumerate(x for x in rows if x)) for f, rows in want.items()}
+
+
+def test_an_import_written_twice_is_one_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 60.0), (2, 61.0)], "t long, hr double")
+    folder = str(tmp_path / "imports")
+    for _ in range(2):
+        sinks.write_import(rows, folder, "a", "import-apple", "export.zip", "2024-05-01T08:00:00")
+    sinks.write_import(rows.limit(1), folder, "b", "import-apple", "export.zip", "2024-05-01T08:00:00")
+    sinks.write_import(rows.limit(1), folder, "a", "import-apple", "export.zip", "2024-05-02T08:00:00")
+    got = sinks.read_imports(spark, folder, rows.schema)
+    assert got.columns == ["t", "hr", *sinks.IMPORT] and got.count() == 4
+    assert sorted(r["count"] for r in got.groupBy("import_id", "imported_at").count().collect()) == [1, 1, 2]
