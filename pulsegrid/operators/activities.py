@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pulsegrid import constants as K
 from pulsegrid.functions.scalar import norm, round_up
@@ -322,41 +323,55 @@ def breathing_metrics(beats: DataFrame, runs: DataFrame) -> DataFrame:
         F.when(enough, round_up(F.col("_rsa"), 1)).alias("rsa_bpm")))
 
 
+TREMOR_HZ = 2.0 + 0.25 * np.arange(53)
+TREMOR_CHUNK = 4096
+
+
+@F.pandas_udf(StructType([StructField(c, ArrayType(DoubleType())) for c in ("re", "im", "mag")]))
+def _tremor_chunk(x: pd.Series, y: pd.Series, z: pd.Series, first: pd.Series, low: pd.Series, high: pd.Series, n: pd.Series, half: pd.Series, fs: pd.Series) -> pd.DataFrame:
+    """Partial Fourier sums and magnitudes of the samples `low`..`high` of a run, less their moving average. The arrays begin with sample
+    `first` and hold as many neighbours as the average needs."""
+    out = []
+    for *axes, a, lo, hi, whole, w, rate in zip(x, y, z, first, low, high, n, half, fs):
+        i = np.arange(lo, min(hi, whole) + 1)
+        begin, end = np.maximum(i - w - 1, 0), np.minimum(i + w, whole)
+        sums = np.concatenate([np.zeros((1, 3)), np.cumsum(np.column_stack(axes), axis=0)])
+        still = (sums[end - a + 1] - sums[begin - a + 1]) / (end - begin)[:, None]
+        moved = np.column_stack(axes)[i - a] - still
+        angle = 2 * math.pi / rate * np.outer(i - 1, TREMOR_HZ[TREMOR_HZ <= rate / 2 - 0.5])
+        total = moved.sum(axis=1)
+        out.append(((total @ np.cos(angle)).tolist(), (total @ np.sin(angle)).tolist(), np.sqrt((moved ** 2).sum(axis=1)).tolist()))
+    return pd.DataFrame(out, columns=["re", "im", "mag"])
+
+
 def tremor_metrics(samples: DataFrame, **ordered) -> DataFrame:
     """Hand tremor from acceleration. samples: run, t_ms, x, y, z.
 
-    The high-pass width depends on each run's sample rate, so the moving average comes from running sums
-    looked up at two shifted positions. Spectrum sums use a fixed list of at most 53 frequencies and are
-    added up before the shuffle.
+    A run is cut into chunks of samples, each with the neighbours that its moving average (half a second, by the run's sample rate)
+    reaches. A chunk gives its share of the Fourier sums of at most 53 frequencies, which are added up by run, and its magnitudes.
     """
     ordered = sized(samples, RUN, **ordered)
-    axes = ["x", "y", "z"]
-    o = Ordered(samples, RUN, ["t_ms"], **ordered).number("_i").running(
-        {f"_c{a}": ("sum", F.col(a).cast("double")) for a in axes})
-    rate = samples.groupBy(*RUN).agg(
-        F.count("*").alias("_n"), ((F.max("t_ms") - F.min("t_ms")) / 1000.0).alias("_dur")).filter("_n >= 32")
-    rate = rate.withColumn("_fs", (F.col("_n") - 1) / F.col("_dur")).withColumn(
-        "_half", F.greatest(F.lit(1), round_up(F.col("_fs") * 0.25).cast("long")))
-    d = o.rows.join(rate, RUN).withColumns({
-        "_lo": F.greatest(F.col("_i") - F.col("_half") - 1, F.lit(0)), "_hi": F.least(F.col("_i") + F.col("_half"), F.col("_n"))})
-    at = o.rows.select(*RUN, F.col("_i").alias("_k"), *[F.col(f"_c{a}").alias(f"_s{a}") for a in axes])
-    hi = at.withColumnsRenamed({"_k": "_hi", **{f"_s{a}": f"_h{a}" for a in axes}})
-    lo = at.withColumnsRenamed({"_k": "_lo", **{f"_s{a}": f"_l{a}" for a in axes}})
-    d = d.join(hi, [*RUN, "_hi"]).join(lo, [*RUN, "_lo"], "left")
-    d = d.withColumns({f"_{a}": F.col(a) - (F.col(f"_h{a}") - F.coalesce(f"_l{a}", F.lit(0.0)))
-                       / (F.col("_hi") - F.col("_lo")) for a in axes})
-    d = d.withColumns({"_mag": norm(F.col("_x"), F.col("_y"), F.col("_z")), "_sig": F.col("_x") + F.col("_y") + F.col("_z")})
-    d = checkpointed(d.select(*RUN, "_i", "_fs", "_sig", "_mag"))  # read by the spectrum, the mean and the percentile
-    freqs = F.transform(F.sequence(F.lit(0), F.lit(52)), lambda k: k * 0.25 + 2.0)
-    f = d.select(*RUN, "_i", "_fs", "_sig", F.explode(F.filter(freqs, lambda x: x <= F.col("_fs") / 2 - 0.5)).alias("_f"))
-    angle = F.lit(2 * math.pi) * F.col("_f") * (F.col("_i") - 1) / F.col("_fs")
-    power = f.groupBy(*RUN, "_f").agg(F.sum(F.col("_sig") * F.cos(angle)).alias("_re"), F.sum(F.col("_sig") * F.sin(angle)).alias("_im"))
+    rate = samples.groupBy(*RUN).agg(F.count("*").alias("_n"), ((F.max("t_ms") - F.min("t_ms")) / 1000.0).alias("_dur")).filter("_n >= 32")
+    rate = rate.withColumn("_fs", (F.col("_n") - 1) / F.col("_dur")).withColumn("_half", F.greatest(F.lit(1), round_up(F.col("_fs") * 0.25).cast("long")))
+    rate = rate.withColumn("_size", F.greatest(F.lit(TREMOR_CHUNK).cast("long"), F.col("_half"))).drop("_dur")
+    numbered = Ordered(samples.select(*RUN, "t_ms", *[F.col(a).cast("double").alias(a) for a in "xyz"]), RUN, ["t_ms"], **ordered).number("_i").rows
+    own, at = F.floor((F.col("_i") - 1) / F.col("_size")), (F.col("_i") - 1) % F.col("_size")
+    homes = F.array(own, F.when((at < F.col("_half")) & (own > 0), own - 1), F.when(at >= F.col("_size") - F.col("_half"), own + 1))
+    placed = numbered.join(rate, RUN).select(*RUN, "_i", "x", "y", "z", F.explode(F.filter(homes, lambda h: h.isNotNull())).alias("_chunk"))
+    rows = placed.groupBy(*RUN, "_chunk").agg(F.sort_array(F.collect_list(F.struct("_i", "x", "y", "z"))).alias("_rows")).join(rate, RUN)
+    rows = rows.withColumn("_low", F.col("_chunk") * F.col("_size") + 1).filter(F.col("_low") <= F.col("_n"))
+    axis = lambda a: F.transform("_rows", lambda r: r[a])
+    told = _tremor_chunk(axis("x"), axis("y"), axis("z"), F.get("_rows", F.lit(0))["_i"], F.col("_low"), F.col("_low") + F.col("_size") - 1, F.col("_n"), F.col("_half"), F.col("_fs"))
+    d = checkpointed(rows.select(*RUN, "_fs", told.alias("_t")).select(*RUN, "_fs", "_t.*"))    # read by the spectrum, the mean and the percentile
+    shares = d.select(*RUN, F.posexplode(F.arrays_zip("re", "im")).alias("_k", "_s"))
+    power = shares.groupBy(*RUN, "_k").agg(F.sum("_s.re").alias("_re"), F.sum("_s.im").alias("_im")).withColumn("_f", F.col("_k") * 0.25 + 2.0)
     power = power.withColumn("_p", F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im"))
     spec = power.groupBy(*RUN).agg(
         F.max_by("_f", F.struct(F.col("_p"), -F.col("_f"))).alias("_peak"),
         F.try_divide(F.sum(F.when(F.col("_f").between(8, 12), F.col("_p")).otherwise(0.0)), F.sum("_p")).alias("_band"))
-    agg = d.groupBy(*RUN).agg(F.sqrt(F.avg(F.col("_mag") * F.col("_mag"))).alias("_rms"), F.max("_fs").alias("_fs"))
-    p95 = grouped_quantiles(d, RUN, "_mag", {"_p95": ("upper", 0.95)}, **ordered)
+    squares = F.aggregate("mag", F.lit(0.0), lambda t, m: t + m * m)
+    agg = d.groupBy(*RUN).agg(F.sqrt(F.sum(squares) / F.sum(F.size("mag"))).alias("_rms"), F.max("_fs").alias("_fs"))
+    p95 = grouped_quantiles(d.select(*RUN, F.explode("mag").alias("_mag")), RUN, "_mag", {"_p95": ("upper", 0.95)}, **ordered)
     return agg.join(spec, RUN, "left").join(p95, RUN).select(
         *RUN, round_up(F.col("_rms"), 3).alias("rms"), round_up(F.col("_p95"), 3).alias("p95"),
         round_up(F.col("_peak"), 2).alias("peak_hz"), round_up(F.col("_band"), 3).alias("band_share"),
