@@ -183,38 +183,27 @@ def clean_ibi(df: DataFrame, key: list[str], order: str, ibi: str) -> DataFrame:
     """Flag training intervals (seconds) to keep, one window per key (bounded by its length).
 
     Range first, then distance from the window's median, then neighbours that jump: of the two, the one
-    farther from the median goes (the later one on a tie). Each step only needs the previous interval, so
-    the last rule is a fold over the window's ordered intervals that holds back the newest flag.
+    farther from the median goes (the later one on a tie). An interval that went does not count as a neighbour.
+
+    Where a jump makes the later one go, whether it is one depends on the interval before being there still. In a row of such
+    intervals every second one is: the first goes, so the second has no neighbour and stays, and so on. All else is settled by the
+    neighbours alone, so the rule is a place in a row of intervals and no fold.
     """
     w = Window.partitionBy(*key)
+    line = w.orderBy(order)
     x = F.col(ibi)
     ranged = x.between(K.IBI_LOW_S, K.IBI_HIGH_S)
     part = df.repartition(*[F.col(k) for k in key]).withColumns({
         "_med": F.median(F.when(ranged, x)).over(w), "_enough": F.count(F.when(ranged, 1)).over(w) >= 3})
-    dev = F.abs(x - F.col("_med"))
-    near = ranged & (~F.col("_enough") | (dev <= F.col("_med") * K.IBI_MAX_FROM_MEDIAN))
-    rows = part.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(
-        F.col(order).alias("o"), x.alias("x"), dev.alias("dev"), near.alias("ok"),
-        F.col("_enough").alias("enough")))).alias("_rows"))
-
-    def step(state: Column, row: Column) -> Column:
-        last = state["last"]
-        jump = row["enough"] & row["ok"] & last["ok"] & (F.abs(row["x"] - last["x"]) > last["x"] * K.IBI_MAX_CHANGE)
-        later = row["dev"] >= last["dev"]
-        return F.struct(
-            F.concat(state["flags"], F.array(last["ok"] & ~(jump & ~later))).alias("flags"),
-            F.struct(row["x"].alias("x"), row["dev"].alias("dev"),
-                     (row["ok"] & ~(jump & later)).alias("ok")).alias("last"))
-
-    first = F.get("_rows", 0)
-    start = F.struct(
-        F.expr("CAST(array() AS ARRAY<BOOLEAN>)").alias("flags"),
-        F.struct(first["x"].alias("x"), first["dev"].alias("dev"), first["ok"].alias("ok")).alias("last"))
-    flags = F.aggregate(F.slice("_rows", F.lit(2), F.size("_rows")), start, step,
-                        lambda s: F.concat(s["flags"], F.array(s["last"]["ok"])))
-    pairs = F.arrays_zip(F.col("_rows").alias("row"), flags.alias("kept"))
-    return rows.select(*key, F.inline(pairs)).select(
-        *key, F.col("row.o").alias(order), F.col("row.x").alias(ibi), "kept")
+    part = part.withColumn("_dev", F.abs(x - F.col("_med"))).withColumn(
+        "_near", F.coalesce(ranged & (~F.col("_enough") | (F.col("_dev") <= F.col("_med") * K.IBI_MAX_FROM_MEDIAN)), F.lit(False)))
+    before = F.lag(ibi).over(line)
+    jump = F.col("_enough") & F.col("_near") & F.lag("_near", 1, False).over(line) & (F.abs(x - before) > before * K.IBI_MAX_CHANGE)
+    later = F.col("_dev") >= F.lag("_dev").over(line)
+    part = part.withColumns({"_i": F.row_number().over(line), "_later": F.coalesce(jump & later, F.lit(False)), "_earlier": F.coalesce(jump & ~later, F.lit(False))})
+    place = F.col("_i") - F.max(F.when(~F.col("_later"), F.col("_i"))).over(line)      # in a row of later ones, from 1; 0 outside
+    kept = F.col("_near") & (place % 2 == 0) & ~F.lead("_earlier", 1, False).over(line)
+    return part.select(*key, order, ibi, kept.alias("kept"))
 
 
 def training_features(df: DataFrame, key: list[str], order: str, ibi: str = "ibi_s",
