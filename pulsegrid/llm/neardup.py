@@ -34,12 +34,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pulsegrid.llm.base import join_tagged, text_tag, written
 
@@ -186,12 +184,14 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return d.mapInArrow(run, f"doc_id {kind}, tag long, content binary, size long, sign binary, bands array<long>")
 
 
-@F.pandas_udf(T.IntegerType())
-def agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
-    """Number of equal components of two signatures."""
-    u = np.frombuffer(b"".join(x), "<u2").reshape(len(x), SIZE)
-    v = np.frombuffer(b"".join(y), "<u2").reshape(len(y), SIZE)
-    return pd.Series((u == v).sum(1), dtype="int32")
+def agreeing(pairs: DataFrame, least: int) -> DataFrame:
+    """Rows (a, b) of `pairs` (a, b, sa, sb) whose signatures have at least `least` equal components."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, SIZE) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array((u == v).sum(1) >= least))
+
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -204,9 +204,15 @@ def overlap(a: bytes, b: bytes) -> float:
     return float(both / (len(x) + len(y) - both)) if len(x) + len(y) else 1.0
 
 
-@F.pandas_udf(T.DoubleType())
-def exact(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([overlap(p, q) for p, q in zip(x, y)], dtype="float64")
+def exact(pairs: DataFrame, least: float) -> DataFrame:
+    """a, b and likeness of `pairs` (a, b, ba, bb: packed multisets) that reach `least`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            likeness = np.array([overlap(x.as_py(), y.as_py()) for x, y in zip(batch.column("ba"), batch.column("bb"))], float)
+            found = likeness >= least - 1e-12
+            yield pa.RecordBatch.from_arrays([*batch.select(["a", "b"]).filter(pa.array(found)).columns, pa.array(likeness[found])], ["a", "b", "likeness"])
+
+    return pairs.select("a", "b", "ba", "bb").mapInArrow(run, "a binary, b binary, likeness double")
 
 
 def bags(texts: DataFrame) -> DataFrame:
@@ -232,7 +238,7 @@ def likely(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of contents whose sizes and signatures allow `least`. signs: content, size, sign."""
     p = (pairs.join(signs.select(F.col("content").alias("a"), F.col("size").alias("na"), F.col("sign").alias("sa")), "a")
          .join(signs.select(F.col("content").alias("b"), F.col("size").alias("nb"), F.col("sign").alias("sb")), "b"))
-    return written(p.filter(near_size(F.col("na"), F.col("nb"), least)).filter(agreeing("sa", "sb") >= LIKELY).select("a", "b"), "likely")
+    return written(agreeing(p.filter(near_size(F.col("na"), F.col("nb"), least)), LIKELY), "likely")
 
 
 def bags_of(wanted: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -246,7 +252,7 @@ def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
     """Links (a, b, likeness): pairs whose multisets reach `least`. bag: content, bag."""
     full = (pairs.join(bag.select(F.col("content").alias("a"), F.col("bag").alias("ba")), "a")
             .join(bag.select(F.col("content").alias("b"), F.col("bag").alias("bb")), "b"))
-    return written(full.select("a", "b", exact("ba", "bb").alias("likeness")).filter(F.col("likeness") >= least - 1e-12), "links")
+    return written(exact(full, least), "links")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
