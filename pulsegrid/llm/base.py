@@ -39,16 +39,16 @@ def text_tag(text: str = "text") -> Column:
 
 
 def join_tagged(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str | None = None) -> DataFrame:
-    """Rows of `docs` whose (id, tag) stands in `chosen` (doc_id, tag, and more columns, which are added as they are), with
-    `_nth`, the number of a row among equal ones, from 1. With the name of a column `source`, rows are equal only if they
-    agree in it too, and `chosen` has it as source."""
+    """`_row`, a row of `docs` as it is (whatever its columns are called), for every one whose (id, tag) stands in `chosen` (doc_id, tag, and
+    more columns, which are added), with `_nth`, the number of a row among equal ones, from 1. With the name of a column `source`, rows are
+    equal only if they agree in it too, and `chosen` has it as source."""
     key = ["doc_id", "tag"] + ["source"] * (source is not None)
     extra = [c for c in chosen.columns if c not in key]
-    c = chosen.select(*[F.col(k).alias("_" + k.removeprefix("doc_")) for k in key], *extra)
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tag"))
+    c = chosen.select(*[F.col(k).alias(f"_{k}") for k in key], *extra)
+    d = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").alias("_own_id"), text_tag(f"`{text}`").alias("_own_tag"),
+                    *[F.col(f"`{source}`").alias("_own_source")] * (source is not None))
+    same = F.col("_own_id").eqNullSafe(F.col("_doc_id")) & (F.col("_own_tag") == F.col("_tag"))
     if source is not None:
-        same = same & F.col(source).eqNullSafe(F.col("_source"))
-    j = docs.withColumn("_own", text_tag(text)).join(c, same)
-    mine = ["_id", "_tag"] + ["_source"] * (source is not None)
-    nth = F.row_number().over(Window.partitionBy(*mine).orderBy("_tag"))
-    return j.withColumn("_nth", nth).drop(*mine, "_own")
+        same = same & F.col("_own_source").eqNullSafe(F.col("_source"))
+    nth = F.row_number().over(Window.partitionBy(*[f"_{k}" for k in key]).orderBy("_tag"))
+    return d.join(c, same).withColumn("_nth", nth).select("_row", *extra, "_nth")

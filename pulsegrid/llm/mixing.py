@@ -149,7 +149,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     fitted = written(known.groupBy("source").applyInPandas(fit, "source string, size long, n long, copies int, extra long"), "fitted")
     # hash ranges of a (source, size) group, in order, until the wanted number is reached
-    key = F.xxhash64(F.col("doc_id"), F.lit(seed)).bitwiseAND(F.lit((1 << 31) - 1))
+    key = F.xxhash64(F.col("doc_id"), F.col("tag"), F.lit(seed)).bitwiseAND(F.lit((1 << 31) - 1))
     f = fitted.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", "extra", F.ceil(F.col("n") / RANGE_ROWS).alias("ranges"))
     d = sized.filter("size > 0").withColumn("h", key).join(f, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
     d = d.withColumn("range", F.floor(F.col("h") * F.col("ranges") / F.lit(float(1 << 31)))).drop("_source", "_size")
@@ -171,4 +171,4 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     """The rows of `docs`, each as often as the mix takes it."""
     taken = mix(docs, doc_id, text, source, **given).groupBy("doc_id", "tag", "source").agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
     j = join_tagged(docs, taken.filter(F.element_at("_copies", 1) > 0), doc_id, text, source).withColumn("_times", F.element_at("_copies", F.col("_nth")))
-    return j.filter("_times > 0").withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copies", "_nth")
+    return j.filter("_times > 0").withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

@@ -400,4 +400,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     """The row of `docs` that stands for each class: that of the smallest id; of rows of that id that of the smallest tag."""
     seen = near_duplicates(docs, doc_id, text, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     stay = seen.groupBy("class_key", "doc_id").agg(F.min("tag").alias("tag")).drop("class_key")
-    return join_tagged(docs, stay, doc_id, text).filter("_nth = 1").drop("_nth")
+    return join_tagged(docs, stay, doc_id, text).filter("_nth = 1").select("_row.*")

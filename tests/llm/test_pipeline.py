@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
+from pulsegrid.llm import mixing, neardup
 from pulsegrid.llm.base import written
 from pulsegrid.llm.queries import QUERIES
 from test_search import bag, likeness
@@ -104,3 +105,14 @@ def test_stages_take_empty_and_odd_tables(spark):
         assert stage(spark, odd.limit(0), SF).count() == 0
         got = stage(spark, odd, SF).count()
         assert 0 <= got <= 15 and (name != "secrets" or got == 5) and (name != "near_dedup" or got == 3)
+
+
+def test_rows_keep_columns_of_any_name(spark):
+    """Names that the operators use inside, and names with signs in them, come through as they are."""
+    names = ["_id", "_tag", "_own", "_nth", "_row", "_source", "_copies", "_times", "tag", "size", "a.b", "c d"]
+    rows = [(i % 40, f"text number {i % 40} of one and another kind", f"s{i % 3}", *[i] * len(names)) for i in range(60)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    one, many = neardup.keep_one(docs), mixing.repeated(docs)
+    assert one.columns == many.columns == docs.columns
+    assert len({r["doc_id"] for r in one.collect()}) == one.count() == 40
+    assert {tuple(r) for r in one.collect()} <= set(rows) and {tuple(r) for r in many.collect()} <= set(rows) and many.count() > 0
