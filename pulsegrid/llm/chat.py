@@ -12,7 +12,7 @@ event goes. The final messages are rendered with one marked turn each.
 
 Defined cases: NULL text or role is empty; a NULL kind is `message`; events of equal sequence number are ordered by kind,
 text and role; equal rows count as often as they occur; a NULL conversation id is a conversation; a message whose events
-are all gone is no turn; an empty log gives no rows. Columns beyond those named are not read, whatever their names.
+are all gone is no turn; long texts are rendered whole; an empty log gives no rows. Columns beyond those named are not read, whatever their names.
 
 Bounds: the fold streams over sorted rows, which spill. Only the rendered text of one conversation meets in one row, as
 its result has to; `turns` gives the same turns one per row.

@@ -13,7 +13,8 @@ of which only the last one taken in part is ranked, so no group of equal documen
 those of size 0 too, get their copies without a sort.
 
 Defined cases: NULL or empty text has size 0 and is not taken; a NULL source is a source, last in order; equal rows are
-equal candidates, each taken on its own; ties of the hash are ordered by id; an empty table gives no rows; a source of size 0
+equal candidates, each taken on its own; ties of the hash are ordered by id; long texts are counted whole, and a size of their own
+is one more row of the fit; an empty table gives no rows; a source of size 0
 has target 0; other columns are not read.
 """
 

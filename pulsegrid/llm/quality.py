@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and the length as metadata.
 
 Features of a text are its distinct words, hashed to `WORD_SLOTS` and scaled to unit length, and its structure statistics
 (length, word length, repeated words and word pairs, repeated lines, capitals, signs, digits, the share of the most frequent
@@ -11,7 +11,7 @@ whole.
 
 Defined cases: NULL text is empty and scored; rows whose label is NULL are not learned from; repeated labels count each time;
 without rows of both labels the score is the share of label 1 with one added to either side; an empty table gives no
-rows; other columns are not read.
+rows; equal texts have equal scores, and rows that tie stay as they are; other columns are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ eight hex digits each; likeness is the Jaccard index of two sets. A text without
 listed common words) has one signature of all its words, so that only texts of equal words are alike.
 
 Defined cases: NULL text is empty; the empty text has the signature of no words; equal texts have equal fingerprints;
-repeated ids are ordered by text, NULL ids come first; an empty table gives no rows; other columns are not read.
+repeated ids are ordered by text, NULL ids come first; long texts are read whole, with all their spots in one row; an empty table
+gives no rows; other columns are not read.
 
 `with_next` gives every row the text of the next id without a global window: ids are cut into ranges at approximate
 quantiles, every range gets a copy of the first row of the next one, and the window runs per range. `near_pairs` is the
