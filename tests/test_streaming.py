@@ -1,3 +1,4 @@
+import math
 import random
 import time
 from datetime import datetime, timedelta
@@ -348,3 +349,40 @@ def test_one_row_per_reading(spark, tmp_path):
     out = as_dicts(L.run_once(r, new_folder(spark, "t")), "start_ts")
     assert [x["start_ts"] for x in out] == [T0 + timedelta(seconds=20), T0 + timedelta(seconds=300)]
     assert out[0]["n_beats"] == 60 and out[0]["hr_mean"] == 60
+
+
+def test_spans_equal_their_intervals_one_by_one():
+    """Flags, counts and features of overlapping spans, also with copies, against each span by itself."""
+    import numpy as np
+    from statistics import median, stdev
+    from pulsegrid.streaming import spans as S
+
+    def kept(rr):
+        usual = [(i, x) for i, x in enumerate(rr) if 300 <= x <= 2000]
+        out = []
+        for j, (i, x) in enumerate(usual):
+            near = [y for _, y in usual[max(0, j - K.RR_NEIGHBOURS):j] + usual[j + 1:j + 1 + K.RR_NEIGHBOURS]]
+            if len(near) < 2 or abs(x - median(near)) <= K.RR_MAX_DEVIATION * median(near):
+                out.append((i, x))
+        return out
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 11, 60, 500):
+        rr = rng.choice([700.0, 800.0, 810.0, 1000.0, 1500.0, 250.0, 2500.0, math.nan], n, p=[.3, .2, .2, .1, .05, .05, .05, .05])
+        a = rng.integers(0, n + 1, 60)
+        b, times = np.minimum(n, a + rng.choice([0, 1, 9, 10, 11, 12, 40, 300], 60)), rng.choice([1, 1, 2, 9, 10, 11, 25], 60)
+        got, told = S.features(rr, a, b, times, 60), S.qualities(rr, a, b, 20)
+        for x in range(60):
+            all_ = [v for v in rr[a[x]:b[x]] for _ in range(times[x])]
+            clean = kept(all_)
+            v, steps = [y for _, y in clean], [q - p for (i, p), (j, q) in zip(clean, clean[1:]) if j == i + 1]
+            cover = min(len(v) * median(v) / 60_000, 1.5) if len(v) >= 3 else 0.0
+            hrv = cover >= K.HRV_COVERAGE and len(steps) >= K.HRV_PAIRS
+            want = [60_000 / (sum(v) / len(v)) if cover >= K.HR_COVERAGE else math.nan, math.sqrt(sum(s * s for s in steps) / len(steps)) if hrv else math.nan,
+                    stdev(v) if hrv else math.nan, cover, 1 - len(v) / len(all_) if all_ else 0.0, len(all_), len(v)]
+            assert [got[c][x] for c in ("hr_mean", "rmssd", "sdnn", "coverage", "rejected", "n_beats", "n_clean")] == pytest.approx(want, abs=1e-9, nan_ok=True)
+            seen = list(rr[a[x]:b[x]])
+            clean = [y for _, y in kept(seen)]
+            cover, bad = (len(clean) * median(clean) / 20_000, 1 - len(clean) / len(seen)) if clean else (0, 1)
+            assert told[x] == ("fair" if not seen else "poor" if len(clean) < 3 else "good" if cover >= 0.9 and bad <= 0.05 else
+                               "fair" if cover >= K.HRV_COVERAGE and bad <= 0.2 else "poor")
