@@ -351,6 +351,71 @@ def test_one_row_per_reading(spark, tmp_path):
     assert out[0]["n_beats"] == 60 and out[0]["hr_mean"] == 60
 
 
+class Kept:
+    """State of one key in a dict, as a state store gives it."""
+
+    def __init__(self):
+        self.values, self.timers = {}, []
+
+    def getMapState(self, name, *schemas):
+        return MapOf(self.values.setdefault(name, {}))
+
+    def getValueState(self, name, schema):
+        return ValueOf(self.values, name)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class MapOf:
+    def __init__(self, d):
+        self.d = d
+        self.updateValue, self.getValue, self.removeKey = d.__setitem__, d.__getitem__, d.pop
+
+    def keys(self):
+        return list(self.d)
+
+
+class ValueOf:
+    def __init__(self, d, name):
+        self.exists, self.get, self.update = lambda: name in d, lambda: d[name], lambda v: d.__setitem__(name, v)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+@pytest.mark.parametrize("in_order", [True, False])
+def test_a_batch_of_any_size_is_played_in_portions(monkeypatch, in_order):
+    """A key's rows of one batch are not in memory together, and portions tell the same as one play of them all."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(2)
+    n = 40_000
+    d = pd.DataFrame({"t_ms": rng.integers(0, 400_000, n), "rr_ms": np.where(rng.random(n) < 0.9, 700 + rng.integers(0, 300, n), np.nan),
+                      "contact": rng.choice(np.array([True, True, None, False], object), n), "battery": np.where(rng.random(n) < 0.1, rng.integers(1, 90, n), np.nan)})
+    d = d.sort_values("t_ms", kind="stable") if in_order else d
+
+    def played(processor, upto):
+        at, handle = [], Kept()
+        processor.keys = ["device"]
+        processor.init(handle)
+        play = processor.play
+        processor.play = lambda state, rows, until: (at.append(len(rows)), play(state, rows, until))[1]
+        processor.handleInputRows(("a",), iter([d[i:i + 1000] for i in range(0, n, 1000)]), None)
+        out = [x for ms in upto for x in processor.handleExpiredTimer(("a",), Watermark(ms), None)]
+        return pd.concat(out).reset_index(drop=True), max(at), handle
+
+    for make in (lambda: P.Device(), lambda: P.Quality(20, 4000), lambda: P.Gaps(4000, P.RETRY_S)):
+        whole, most, _ = played(make(), [10 ** 9])
+        with monkeypatch.context() as m:
+            for name, rows in (("STORE_ROWS", 5000), ("PIECE_ROWS", 100), ("PLAY_ROWS", 500)):
+                m.setattr(P, name, rows)
+            parts, few, handle = played(make(), [100_000, 100_500, 10 ** 9])
+        assert parts.equals(whole) and few < 8000 and not handle.values["waiting"]
+
+
 def test_spans_equal_their_intervals_one_by_one():
     """Flags, counts and features of overlapping spans, also with copies, against each span by itself."""
     import numpy as np
