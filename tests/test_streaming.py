@@ -451,3 +451,24 @@ def test_spans_equal_their_intervals_one_by_one():
             cover, bad = (len(clean) * median(clean) / 20_000, 1 - len(clean) / len(seen)) if clean else (0, 1)
             assert told[x] == ("fair" if not seen else "poor" if len(clean) < 3 else "good" if cover >= 0.9 and bad <= 0.05 else
                                "fair" if cover >= K.HRV_COVERAGE and bad <= 0.2 else "poor")
+
+
+def test_overlapping_readings_are_not_joined_beat_by_beat(spark, tmp_path):
+    """Many readings over the same beats: no pair of reading and beat is made, and each equals its own window."""
+    rng = random.Random(9)
+    beats = [(o, T0 + timedelta(milliseconds=rng.randrange(150_000)), rng.choice([700.0, 820.0, 1500.0, 250.0, None])) for o in ("a", "b", None) for _ in range(400)]
+    starts = [(o, T0 + timedelta(milliseconds=rng.randrange(60_000) // 100 * 100)) for o in ("a", "b", None) for _ in range(60)]
+    end = datetime(2025, 1, 1)
+    b, s = spark.createDataFrame(beats + [("~", end, 1.0)], "owner string, ts timestamp, rr_ms double"), spark.createDataFrame(starts + starts[:3] + [("~", end)], "owner string, start_ts timestamp")
+    b.coalesce(1).write.parquet(str(tmp_path / "b"))
+    s.coalesce(1).write.parquet(str(tmp_path / "s"))
+    r = L.readings(spark.readStream.schema(b.schema).parquet(str(tmp_path / "b")), spark.readStream.schema(s.schema).parquet(str(tmp_path / "s")))
+    assert "Join" not in r._jdf.queryExecution().analyzed().toString()
+    got = as_dicts(L.run_once(r, new_folder(spark, "t")), "owner", "start_ts")
+    near = (F.col("b.owner") == F.col("s.owner")) & (F.col("b.ts") >= F.col("s.start_ts")) & (F.col("b.ts") < F.col("s.start_ts") + F.expr("INTERVAL 60 SECONDS"))
+    pairs = b.alias("b").join(s.alias("s"), near).filter("s.owner <> '~'").groupBy("s.owner", "s.start_ts").agg(
+        F.collect_list(F.struct(F.unix_micros("b.ts").alias("t"), F.col("b.rr_ms").alias("v"))).alias("rows"))
+    want = as_dicts(pairs.select("owner", "start_ts", B.array_features(F.col("rows"), 60).alias("f")).select("owner", "start_ts", "f.*"), "owner", "start_ts")
+    assert len(got) == len(want) > 90
+    for g, w in zip(got, want):
+        assert g == {c: pytest.approx(v) if isinstance(v, float) else v for c, v in w.items()}
