@@ -153,8 +153,13 @@ def leading_signal(fused: str = "fused_logit", signals: list[str] = K.SIGNALS) -
 
 
 def score_with_models(z_long: DataFrame, models: DataFrame, key: list[str]) -> DataFrame:
-    """Score with models held in a table (signal, feature, coef, intercept): one join and one aggregate."""
-    joined = z_long.join(models, "feature")
+    """Score with models held in a table (signal, feature, coef, intercept): one join and one aggregate.
+
+    Rows are dealt out by key alone. By feature all rows of one would meet in a task, and adding up before the exchange would hold nearly all
+    groups of a file in one, for they have a few rows each. A number of parts that is not named would be merged again after the exchange.
+    """
+    parts = int(z_long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = z_long.repartition(parts, *key).join(F.broadcast(models), "feature")
     return (joined.groupBy(*key, "signal")
             .agg((F.sum(F.col("coef") * F.coalesce(F.col("z"), F.lit(0.0))) + F.max("intercept")).alias("logit"))
             .withColumn("p", sigmoid(F.col("logit"))).withColumn("score", to_score(F.col("p"))))

@@ -121,3 +121,19 @@ def test_fixed_and_signed(spark):
     assert [r[0] for r in d.select(signed(F.col("x"), 1)).collect()] == ["0.0", "−1.3", "+2.5", "0.0"]
     assert [r[0] for r in d.select(round_up(F.col("x") * 100 / 100)).collect()] == [0, -1, 3, 0]
     assert spark.range(1).select(round_significant(F.lit(0.000123456), 3)).first()[0] == pytest.approx(0.000123)
+
+
+def test_models_of_a_table_meet_rows_dealt_by_key(spark):
+    """No task gets all rows of a feature, and groups are added up only where their rows have met."""
+    rows = [(k, f, None if k % 3 == 0 and f == "sdnn" else k / 7 - 1) for k in range(50) for f in ("hr_mean", "rmssd", "sdnn")]
+    z = spark.createDataFrame(rows, "id long, feature string, z double")
+    d = S.score_with_models(z, S.model_table(spark), ["id"])
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(feature" not in plan and plan.count("Exchange hashpartitioning(id") == 1
+    got = {(r["id"], r["signal"]): r["logit"] for r in d.collect()}
+    assert len(got) == 100
+    for k, f, v in rows:
+        if f == "hr_mean":
+            assert got[k, "hr"] == pytest.approx(K.MODEL_INTERCEPT["hr"] + K.MODEL_COEF["hr_mean"] * v)
+    z = {(k, f): v or 0 for k, f, v in rows}
+    assert all(got[k, "hrv"] == pytest.approx(K.MODEL_INTERCEPT["hrv"] + sum(K.MODEL_COEF[f] * z[k, f] for f in ("rmssd", "sdnn"))) for k in range(50))
