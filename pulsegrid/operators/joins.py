@@ -48,8 +48,8 @@ def earliest_of_time(right: DataFrame, by: list[str], t: str, order: str, values
 
 
 def interpolate_at(grid: DataFrame, samples: DataFrame, by: list[str], *, t: str, sample_t: str,
-                   values: list[str], max_gap: float | None = 250, **ordered) -> DataFrame:
-    """Linear value at every grid time from the previous and next sample; ends are held.
+                   values: list[str], max_gap: float | None = 250, keep: list[str] = [], **ordered) -> DataFrame:
+    """Linear value at every grid time from the previous and next sample; ends are held. `keep` names grid columns that stay.
 
     `valid` is true when the two samples lie within `max_gap`; at the last sample its own step counts. Grid and sample times are unique per owner.
     """
@@ -59,7 +59,7 @@ def interpolate_at(grid: DataFrame, samples: DataFrame, by: list[str], *, t: str
     stepped = Ordered(samples, by, [sample_t], **ordered).around(
         1, 0, lambda w: {"_back": F.col(sample_t) - F.lag(sample_t).over(w)}).rows
     s = stepped.select(*by, F.col(sample_t).cast("double").alias("_t"), F.lit(0).alias("_side"), cell.alias("_s"))
-    g = grid.select(*by, F.col(t).cast("double").alias("_t"), F.lit(1).alias("_side"), F.col(t).alias("_grid"))
+    g = grid.select(*by, F.col(t).cast("double").alias("_t"), F.lit(1).alias("_side"), F.col(t).alias("_grid"), *keep)
     both = s.unionByName(g, allowMissingColumns=True)
     o = Ordered(both, by, ["_t", "_side"], **ordered)
     o = o.running({"_a": ("last", F.col("_s"))}).running({"_b": ("last", F.col("_s"))}, reverse=True)
@@ -71,7 +71,7 @@ def interpolate_at(grid: DataFrame, samples: DataFrame, by: list[str], *, t: str
         return (F.when(F.col("_a").isNull(), b).when(F.col("_b").isNull() | (span == 0), a)
                 .otherwise(a + (b - a) * u)).alias(v)
 
-    cols = [F.col("_grid").alias(t), *[value(v) for v in values]]
+    cols = [*keep, F.col("_grid").alias(t), *[value(v) for v in values]]
     if max_gap is not None:
         cols.append(F.coalesce(F.coalesce(span, F.col("_a.back")) <= max_gap, F.lit(False)).alias("valid"))
     return o.rows.filter("_side = 1").select(*by, *cols)

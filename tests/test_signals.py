@@ -178,3 +178,17 @@ def test_tonic_weights_equal_the_filters(spark):
     a, b = as_dicts(S.tonic_features(d), "k"), as_dicts(S.eda_features(d), "k")
     for x, y in zip(a, b):
         assert x["eda_tonic"] == pytest.approx(y["eda_tonic"], abs=1e-9) and x["eda_slope"] == pytest.approx(y["eda_slope"], abs=1e-9)
+
+
+def test_a_grid_is_not_joined_with_itself(spark):
+    """The plan knows a grid by its readings only, so a join with one would broadcast all its samples through the driver."""
+    f = spark.createDataFrame([(r, i * 33.0, 180 + math.sin(i / 4), 60.0, 40.0) for r in ("x", "y") for i in range(200)] + [(None, 0.0, 1.0, 1.0, 1.0)],
+                              "reading string, t_ms double, r double, g double, b double")
+    acc = spark.createDataFrame([(r, i * 20.0, float(i % 7)) for r in ("x", "y") for i in range(300)], "reading string, t_ms double, a double")
+    grid = P.resample(f)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(grid)
+    rows = as_dicts(grid, "reading", "i")
+    assert [(r["reading"], r["i"]) for r in rows] == [(r, i) for r in ("x", "y") for i in range(395)] and all(r["t_ms"] == pytest.approx(r["i"] * 1000 / 60) for r in rows)
+    merged = plan(P.motion_mask(grid, acc))
+    assert not [x for x in merged.splitlines() if "BroadcastHashJoin" in x and ("_tick" in x or "_k#" in x)] and merged.count("SortMergeJoin [reading") >= 2
