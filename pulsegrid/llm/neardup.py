@@ -259,24 +259,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of an undirected graph; root is the smallest node of its component.
 
     Alternates two steps until nothing changes: every node hands its smallest neighbour to its larger ones, and every node
-    hands the smallest of its smaller neighbours to the others. Both are aggregates and joins over the links.
+    hands the smallest of its smaller neighbours to the others. Both are an aggregate and a join over the links, and each is
+    written by itself: in one plan the first would stand four times, which the driver has to plan, compile and follow.
     """
+    def pairs(*of: tuple[str, str]) -> Column:
+        return F.inline(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in of]))
+
     e = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "graph")
     state = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    while True:     # u > v in every row
+        low = e.select(pairs(("u", "v"), ("v", "u"))).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = written(e.join(low, "v").select("u", F.col("m").alias("v")), "graph")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("u", "v", "m")
-        e = written(small.select("u", F.col("m").alias("v")).unionByName(
-            small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "graph")
+        e = written(large.join(low, "u").select(pairs(("u", "m"), ("v", "m"))).filter("u != v").distinct(), "graph")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return written(e.select(pairs(("u", "v"), ("v", "v"))).select(F.col("u").alias("node"), F.col("v").alias("root")).distinct(), "components")
 
 
 def _still_open(bucket: DataFrame, found: DataFrame) -> DataFrame:
@@ -390,7 +390,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not open_.isEmpty():
         bag = bags_of(open_.select("content"), members, texts)
         found = components(links.unionByName(verified(_untested(open_.join(bag, "content"), least), bag, least)))
-    root = members.select("content", "first", "rows").join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    root = written(members.select("content", "first", "rows").join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content")), "roots")
     classes = root.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("rows").alias("class_size"))
     named = root.select("content", "root").join(classes, "root").select("content", F.lower(F.hex("root")).alias("class_key"), "class_id", "class_size")
     return all_.select("doc_id", "tag", "content").join(named, "content").select("doc_id", "tag", "class_key", "class_id", "class_size")

@@ -154,6 +154,22 @@ def test_components_of_long_paths_and_stars(spark):
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {150: 150, 151: 150}
 
 
+def test_no_plan_of_near_duplicates_repeats_its_steps(spark, monkeypatch):
+    seen, write = [], neardup.written
+
+    def exchanges(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+
+    monkeypatch.setattr(neardup, "written", lambda df, name: (exchanges(df), write(df, name))[1])
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:50] + [f"x{i}"])) for i in range(6)] + [(9, "alone here with some more words"), (10, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = neardup.keep_one(df)
+    exchanges(left)
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 9, 10]
+    assert max(seen) <= 8, seen     # 15 before, where a round of components was one plan
+
+
 def nearest(rows, top=20):
     ok = [(i, np.array(v, float)) for i, v in rows if v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     ids, x = [i for i, _ in ok], np.array([v for _, v in ok])
