@@ -5,14 +5,16 @@ a text are the ids of its words in order. A word of plain letters is taken in lo
 which such a tokenizer encodes on their own. Every distinct word is encoded once:
 
 * the most frequent words of a bounded sample (`HOT_WORDS`) are encoded first and broadcast; they cover most positions,
-* all other words go, as (word, document, number), to the task of their word, where a run of equal words is encoded once;
-  their ids travel back to the document and are joined in by position.
+* every text is split once, into the numbers of its frequent words and a list of its other words, and dealt by document,
+* the other words go from there, as (word, document, number), to the task of their word, where a run of equal words is encoded
+  once; their ids travel back to the document and are joined in by position.
 
-So neither a frequent word nor a long tail of rare ones meets in one place. Decoding looks every id up in the id-to-piece
+Both steps behind the split read one exchange, which Spark reuses; were it not reused, only time would be lost. So neither a frequent word nor a long tail of rare ones meets in one place. Decoding looks every id up in the id-to-piece
 table, which is as long as the vocabulary.
 
 Bounds: the broadcast has at most `HOT_WORDS` words of at most `HOT_LENGTH` signs; which words it holds changes the work,
-never the result. A worker remembers up to `MEMO` written forms. Texts are encoded whole; what is shuffled of them are packed word numbers.
+never the result. A worker remembers up to `MEMO` written forms. Texts are encoded whole; what is shuffled of them are packed word numbers
+and other words. Ids are put together for documents of `CODES` bytes of word numbers at a time, or one longer document.
 
 Defined cases: NULL text is empty and has no ids; documents are told apart by id and, if any id stands more than once, a 64-bit hash of
 their text, so repeated ids and repeated rows are right; ties between equally frequent words go to the smaller one and change no result; special tokens inside a text are found as the library finds them; an empty table gives no
@@ -25,14 +27,16 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -41,13 +45,15 @@ from tokenizers import Tokenizer
 HOT_WORDS = 1 << 19
 HOT_LENGTH = 40
 SAMPLE_ROWS = 15_000
-RARE = bytes(4)
+RARE = bytes(1)
 MEMO = 100_000
 ROWS = 1000     # rows handled at a time
+CODES = 1 << 19
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 _made: dict[int, Tokenizer] = {}
+_known: dict[str, Known] = {}
 
 
 def _library(spec: str) -> Tokenizer:
@@ -71,25 +77,31 @@ def units(word: str) -> tuple[str, str]:
     return (m[1].lower(), m[2]) if m else (word, "")
 
 
+def numbers(n: int) -> list[bytes]:
+    """1 to n, below 2^21, seven bits a byte, so that frequent words, whose numbers are small, take one or two."""
+    one, two = min(n, 127), min(n, 16383)
+    return ([bytes((i,)) for i in range(1, one + 1)] + [bytes((i & 127 | 128, i >> 7)) for i in range(128, two + 1)]
+            + [bytes((i & 127 | 128, i >> 7 & 127 | 128, i >> 14)) for i in range(16384, n + 1)])
+
+
 class Known:
-    """Codes of written forms by the broadcast words: the number of the word from 1, 0 for a rare one, 4 bytes each; a word
-    with points behind it has two."""
+    """Codes of written forms by the broadcast words: the number of the word from 1, 0 for a rare one; a word with points behind
+    it has two. A written form that is its own word has the code of that word, so one table holds both."""
 
-    def __init__(self, hot: list[str]):
-        self.number = {w: (i + 1).to_bytes(4, "little") for i, w in enumerate(hot)}
-        self.forms, self.room = dict(self.number), MEMO
+    def __init__(self, hot: list[bytes]):
+        self.forms, self.room = dict(zip(hot, numbers(len(hot)))), MEMO
 
-    def codes(self, text: str) -> tuple[bytes, list[str]]:
+    def codes(self, text: bytes) -> tuple[bytes, list[bytes]]:
         """Codes of a text, and its rare words in order."""
-        forms = WORD.findall(text)
+        forms = text.split()        # bytes are split at the white space of WORD
         parts = list(map(self.forms.get, forms))
         rare = []
         for i in [i for i, p in enumerate(parts) if p is None]:
-            word, points = units(forms[i])
-            behind = self.number.get(points) if points else b""
+            word, points = (x.encode() for x in units(forms[i].decode()))
+            behind = self.forms.get(points) if points else b""
             if behind is None:
                 word, behind = forms[i], b""
-            own = self.number.get(word)
+            own = self.forms.get(word)
             if own is None:
                 rare.append(word)
                 parts[i] = RARE + behind
@@ -101,24 +113,59 @@ class Known:
         return b"".join(parts), rare
 
 
-def pack(codes: bytes) -> bytes:
-    """Compressed codes: seven bits a byte, so that frequent words, whose numbers are small, take one or two."""
-    c = np.frombuffer(codes, "<u4")
-    wide = np.stack([c & 127 | (c > 127) * 128, c >> 7 & 127 | (c > 16383) * 128, c >> 14], 1).astype(np.uint8)
-    return zstandard.compress(wide[np.stack([c >= 0, c > 127, c > 16383], 1)].tobytes(), 3)
+def _known_of(key: str, hot) -> Known:
+    """One per worker; `key` names the broadcast words `hot`."""
+    if key not in _known:
+        _known.clear()
+        _known[key] = Known(hot.value)
+    return _known[key]
+
+
+def pack(codes: bytes, rare: list[bytes], by: zstandard.ZstdCompressor) -> bytes:
+    return by.compress(len(codes).to_bytes(8, "little") + codes + b" ".join(rare))
+
+
+def unpack(packed: bytes, by: zstandard.ZstdDecompressor) -> tuple[bytes, bytes]:
+    """Codes and rare words, with a blank between them."""
+    raw = by.decompress(packed)
+    end = 8 + int.from_bytes(raw[:8], "little")
+    return raw[8:end], raw[end:]
 
 
-def unpack(packed: bytes) -> list[int]:
-    b = np.frombuffer(zstandard.decompress(packed), np.uint8)
+def unnumbered(codes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in the codes, and where the last byte of each stands."""
+    b = np.frombuffer(codes, np.uint8)
     last = np.flatnonzero(b < 128)
-    first = np.r_[0, last[:-1] + 1].astype(np.int64)
-    low = (b & 127).astype(np.int64)
-    code = low[first[:len(last)]]
+    first = np.r_[0, last[:-1] + 1][:len(last)]
+    out = (b[first] & 127).astype(np.int32)
     for k in (1, 2):
-        at = first[:len(last)] + k
-        more = at <= last
-        code[more] |= low[at[more]] << 7 * k
-    return code.tolist()
+        more = np.flatnonzero(last - first >= k)
+        out[more] |= (b[first[more] + k] & 127).astype(np.int32) << 7 * k
+    return out, last
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of every run, one run after the other."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _put_together(codes: list[bytes], fills: list[list[bytes]], hot: tuple[np.ndarray, np.ndarray]) -> Iterator[bytes]:
+    """Ids of documents, by their codes, the numbered ids of their rare words and the ids and ends of the frequent ones."""
+    ids, ends = hot
+    number, last = unnumbered(b"".join(codes))
+    # of each document the first code, and one more
+    at = np.searchsorted(last, np.cumsum([0, *map(len, codes)]))
+    holes = np.flatnonzero(number == 0)
+    given = [{f[:4]: f[4:] for f in x or ()} for x in fills]
+    if list(map(len, given)) != np.diff(np.searchsorted(holes, at)).tolist():
+        raise ValueError("ids of some words did not come back")
+    rare = [g[k.to_bytes(4, "little")] for g in given for k in range(len(g))]
+    begin, size = ends[number - 1], ends[number] - ends[number - 1]
+    size[holes] = np.array([len(r) // ids.itemsize for r in rare], np.int64)
+    begin[holes] = len(ids) + np.cumsum(size[holes]) - size[holes]
+    whole = np.concatenate([ids, np.frombuffer(b"".join(rare), ids.dtype)])[_runs(begin, size)].astype("<u4")
+    cut = np.r_[0, np.cumsum(size)][at].tolist()
+    return (whole[a:b].tobytes() for a, b in zip(cut, cut[1:]))
 
 
 def check_tokenizer(spec: str) -> None:
@@ -139,8 +186,9 @@ def pieces(spec: str) -> list[str]:
     return out
 
 
-def hot_words(docs: DataFrame, rows: int, text: str, spec, kind: str, n: int = HOT_WORDS, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[bytes]]:
-    """The most frequent words of about `sample_rows` of the `rows` documents, with their ids."""
+def hot_words(docs: DataFrame, rows: int, text: str, spec, kind: str, n: int = HOT_WORDS, sample_rows: int = SAMPLE_ROWS) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray]]:
+    """The most frequent words of about `sample_rows` of the `rows` documents, with their ids: these one after the other, and where
+    those of each word end, after a 0."""
     share = min(1.0, sample_rows / max(1, rows))
     picked = docs.filter(F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 31) - 1)) < F.lit(int(share * (1 << 31))))
 
@@ -165,15 +213,17 @@ def hot_words(docs: DataFrame, rows: int, text: str, spec, kind: str, n: int = H
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(_encoded(spec.value, words, kind), pa.binary())], ["word", "ids"])
 
     got = top.repartition(8).mapInArrow(encode, "word string, ids binary").toArrow()
-    return got.column("word").to_pylist(), got.column("ids").to_pylist()
+    coded = got.column("ids").to_pylist()
+    ends = np.cumsum([0, *map(len, coded)]) // np.dtype(kind).itemsize
+    return got.column("word").cast(pa.binary()).to_pylist(), (np.frombuffer(b"".join(coded), kind), ends)
 
 
-def _tag(text: str) -> int:
+def _tag(text: bytes) -> int:
     """A hash of the text in 64 bits."""
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _no_tag(text: str) -> int:
+def _no_tag(text: bytes) -> int:
     return 0
 
 
@@ -207,20 +257,30 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], doc_id: str = "doc_
     tag_of = _tag if keys < rows else _no_tag
     words, coded = hot_words(d, rows, "_text", spec, kind, hot, sample_rows)
     words, coded = sc.broadcast(words), sc.broadcast(coded)
+    key = uuid.uuid4().hex
+
+    def known_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, by = _known_of(key, words), zstandard.ZstdCompressor(3)
+        for batch in _slices(batches):
+            texts = batch.column("_text").cast(pa.binary()).to_pylist()
+            packed = [pack(*known.codes(x), by) for x in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names) + 1], pa.array(map(tag_of, texts), pa.int64()), pa.array(packed, pa.binary())],
+                                             [*names, "_id", "_tag", "_packed"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.select(*names).schema)
+    first = d.mapInArrow(known_codes, f"{kinds}_id long, _tag long, _packed binary")
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(words.value)
+        by = zstandard.ZstdDecompressor()
         for batch in _slices(batches):
-            word, row, tag, at = [], [], [], []
-            for i, x in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist()):
-                rare = known.codes(x)[1]
-                if rare:
-                    word += rare
-                    row += [i] * len(rare)
-                    tag += [tag_of(x)] * len(rare)
-                    at += range(len(rare))
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(row, pa.int64()), pa.array(tag, pa.int64()), pa.array(at, pa.int32())],
-                                             ["word", "id", "tag", "at"])
+            # of equal rows one asks for its words
+            batch = batch.filter(pc.equal(batch.column("_nth"), 1))
+            lists = [unpack(x, by)[1].split() for x in batch.column("_packed").to_pylist()]
+            n = np.array([len(x) for x in lists], np.int64)
+            row, tag = (np.repeat(batch.column(c).to_numpy(), n) for c in ("_id", "_tag"))
+            at = _runs(np.zeros(len(n), np.int64), n).astype(np.int32)
+            word = pa.array([w for x in lists for w in x], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([word, pa.array(row, pa.int64()), pa.array(tag, pa.int64()), pa.array(at, pa.int32())], ["word", "id", "tag", "at"])
 
     def rare_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ids = None, b""
@@ -234,33 +294,26 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], doc_id: str = "doc_
                 out.append(at.to_bytes(4, "little") + ids)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(out, pa.binary())], ["id", "tag", "fill"])
 
-    rare = (d.select("_id", "_text").mapInArrow(missing, "word string, id long, tag long, at int")
+    # all columns of `first` are read here and in the join below, and both need it dealt by document: one exchange
+    nth = F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("_tag"))
+    rare = (first.withColumn("_nth", nth).mapInArrow(missing, "word string, id long, tag long, at int")
             .repartition("word").sortWithinPartitions("word").mapInArrow(rare_ids, "id long, tag long, fill binary"))
     fills = rare.groupBy("id", "tag").agg(F.collect_list("fill").alias("fills"))
 
-    def known_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(words.value)
-        for batch in _slices(batches):
-            texts = batch.column("_text").to_pylist()
-            packed = [pack(known.codes(x)[0]) for x in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names) + 1], pa.array(map(tag_of, texts), pa.int64()), pa.array(packed, pa.binary())],
-                                             [*names, "_id", "_tag", "_packed"])
-
     added = "ids binary" + ", n_tokens long, ids_sha256 string, decoded_sha256 string" * digests
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = [None, *coded.value]
+        by = zstandard.ZstdDecompressor()
         for batch in _slices(batches):
-            out = []
-            for packed, fills in zip(*(batch.column(c).to_pylist() for c in ("_packed", "fills"))):
-                parts = list(map(ids_of.__getitem__, unpack(packed)))
-                holes = [i for i, p in enumerate(parts) if p is None]
-                given = {int.from_bytes(f[:4], "little"): f[4:] for f in fills or ()}
-                if len(given) != len(holes):
-                    raise ValueError("ids of some words did not come back")
-                for k, i in enumerate(holes):
-                    parts[i] = given[k]
-                out.append(np.frombuffer(b"".join(parts), kind).astype("<u4").tobytes())
+            out, codes, fills, held = [], [], [], 0
+            for packed, found in zip(batch.column("_packed").to_pylist(), batch.column("fills").to_pylist()):
+                codes.append(unpack(packed, by)[0])
+                fills.append(found)
+                held += len(codes[-1])
+                if held >= CODES:
+                    out += _put_together(codes, fills, coded.value)
+                    codes, fills, held = [], [], 0
+            out += _put_together(codes, fills, coded.value)
             columns = [pa.array(out, pa.binary())]
             if digests:
                 columns += [pa.array([len(b) // 4 for b in out], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in out], pa.string()),
@@ -271,9 +324,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], doc_id: str = "doc_
         for batch in joined(batches):
             yield batch.drop_columns(["ids"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.select(*names).schema)
-    first = d.mapInArrow(known_codes, f"{kinds}_id long, _tag long, _packed binary")
-    whole = first.join(fills, (F.col("_id") == F.col("id")) & (F.col("_tag") == F.col("tag")), "left").select(*names, "_packed", "fills")
+    whole = first.join(fills.hint("merge"), (F.col("_id") == F.col("id")) & (F.col("_tag") == F.col("tag")), "left").select(*names, "_packed", "fills")
     done = whole.mapInArrow(joined, kinds + added) if ids else whole.mapInArrow(packed_only, kinds + added.partition(", ")[2])
     return done.select(*[F.col(a).alias(b) for a, b in zip(names, keep)], *[c for c in done.columns if c not in names])
 

@@ -75,3 +75,28 @@ def test_counts_do_not_depend_on_chunks(spark):
         got = transducer.count_tokens(df, PATH, chunk=chunk).collect()
         assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in got) == want
     assert transducer.count_tokens(df.limit(0), PATH).count() == 0
+
+
+def test_texts_are_split_once(spark):
+    """One pass over the texts feeds the rare words and the documents they are joined to, and equal rows ask for their words once."""
+    rows = [(i % 40, f"hello world{i % 20}x {i % 40} Qzv{i % 7}!?") for i in range(200)] + [(None, "null id"), (None, "null id"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    t = Tokenizer.from_file(PATH)
+    for hot in (0, 6):
+        coded = bpe.encode(df, PATH, ["doc_id", "text"], hot=hot, digests=True)
+        got = coded.collect()
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted((str(i), str(x)) for i, x in rows)
+        for r in got:
+            ids = t.encode(r["text"] or "", add_special_tokens=False).ids
+            assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids) and r["n_tokens"] == len(ids)
+        final = coded._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+        assert sum("MapInArrow" in line and "_text#" in line for line in final.splitlines()) == 1
+
+
+def test_numbers_of_words_come_back():
+    n = (1 << 14) + 300
+    codes = bpe.numbers(n)
+    given = [0, 1, 127, 128, 16383, 16384, n, 0, 5]
+    number, last = bpe.unnumbered(b"".join(bpe.RARE if i == 0 else codes[i - 1] for i in given))
+    assert len(set(codes)) == n and number.tolist() == given and len(last) == len(given)
+    assert [len(x) for x in bpe.unnumbered(b"")] == [0, 0]
