@@ -6,8 +6,8 @@ which such a tokenizer encodes on their own. Every distinct word is encoded once
 
 * the most frequent words of a bounded sample (`HOT_WORDS`) are encoded first and broadcast; they cover most positions,
 * every text is split once, into the numbers of its frequent words and a list of its other words, and dealt by document,
-* the other words go from there, as (word, document, number), to the task of their word, where a run of equal words is encoded
-  once; their ids travel back to the document and are joined in by position.
+* the other words go from there, once for each document, as (word, document, number), to the task of their word, where a run of
+  equal words is encoded once; their ids travel back to the document and are joined in by that number.
 
 Both steps behind the split read one exchange, which Spark reuses; were it not reused, only time would be lost. So neither a frequent word nor a long tail of rare ones meets in one place. Decoding looks every id up in the id-to-piece
 table, which is as long as the vocabulary.
@@ -149,17 +149,19 @@ def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
-def _put_together(codes: list[bytes], fills: list[list[bytes]], hot: tuple[np.ndarray, np.ndarray]) -> Iterator[bytes]:
-    """Ids of documents, by their codes, the numbered ids of their rare words and the ids and ends of the frequent ones."""
+def _put_together(codes: list[bytes], words: list[list[bytes]], fills: list[list[bytes]], hot: tuple[np.ndarray, np.ndarray]) -> Iterator[bytes]:
+    """Ids of documents, by their codes, their rare words, the numbered ids of these and the ids and ends of the frequent ones."""
     ids, ends = hot
     number, last = unnumbered(b"".join(codes))
     # of each document the first code, and one more
     at = np.searchsorted(last, np.cumsum([0, *map(len, codes)]))
-    holes = np.flatnonzero(number == 0)
-    given = [{f[:4]: f[4:] for f in x or ()} for x in fills]
-    if list(map(len, given)) != np.diff(np.searchsorted(holes, at)).tolist():
-        raise ValueError("ids of some words did not come back")
-    rare = [g[k.to_bytes(4, "little")] for g in given for k in range(len(g))]
+    holes, rare = np.flatnonzero(number == 0), []
+    for own, found in zip(words, fills):
+        given = {int.from_bytes(f[:4], "little"): f[4:] for f in found or ()}
+        number_of = {w: k for k, w in enumerate(dict.fromkeys(own))}
+        if len(given) != len(number_of):
+            raise ValueError("ids of some words did not come back")
+        rare += [given[number_of[w]] for w in own]
     begin, size = ends[number - 1], ends[number] - ends[number - 1]
     size[holes] = np.array([len(r) // ids.itemsize for r in rare], np.int64)
     begin[holes] = len(ids) + np.cumsum(size[holes]) - size[holes]
@@ -275,7 +277,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], doc_id: str = "doc_
         for batch in _slices(batches):
             # of equal rows one asks for its words
             batch = batch.filter(pc.equal(batch.column("_nth"), 1))
-            lists = [unpack(x, by)[1].split() for x in batch.column("_packed").to_pylist()]
+            lists = [list(dict.fromkeys(unpack(x, by)[1].split())) for x in batch.column("_packed").to_pylist()]
             n = np.array([len(x) for x in lists], np.int64)
             row, tag = (np.repeat(batch.column(c).to_numpy(), n) for c in ("_id", "_tag"))
             at = _runs(np.zeros(len(n), np.int64), n).astype(np.int32)
@@ -305,15 +307,17 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], doc_id: str = "doc_
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = zstandard.ZstdDecompressor()
         for batch in _slices(batches):
-            out, codes, fills, held = [], [], [], 0
+            out, codes, rare, fills, held = [], [], [], [], 0
             for packed, found in zip(batch.column("_packed").to_pylist(), batch.column("fills").to_pylist()):
-                codes.append(unpack(packed, by)[0])
+                known, others = unpack(packed, by)
+                codes.append(known)
+                rare.append(others.split())
                 fills.append(found)
-                held += len(codes[-1])
+                held += len(known)
                 if held >= CODES:
-                    out += _put_together(codes, fills, coded.value)
-                    codes, fills, held = [], [], 0
-            out += _put_together(codes, fills, coded.value)
+                    out += _put_together(codes, rare, fills, coded.value)
+                    codes, rare, fills, held = [], [], [], 0
+            out += _put_together(codes, rare, fills, coded.value)
             columns = [pa.array(out, pa.binary())]
             if digests:
                 columns += [pa.array([len(b) // 4 for b in out], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in out], pa.string()),

@@ -79,7 +79,7 @@ def test_counts_do_not_depend_on_chunks(spark):
 
 def test_texts_are_split_once(spark):
     """One pass over the texts feeds the rare words and the documents they are joined to, and equal rows ask for their words once."""
-    rows = [(i % 40, f"hello world{i % 20}x {i % 40} Qzv{i % 7}!?") for i in range(200)] + [(None, "null id"), (None, "null id"), (1, None)]
+    rows = [(i % 40, f"Qzv2!? hello world{i % 20}x {i % 40} Qzv{i % 7}!? qzv{i % 7}") for i in range(200)] + [(None, "null id"), (None, "null id"), (1, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     t = Tokenizer.from_file(PATH)
     for hot in (0, 6):
